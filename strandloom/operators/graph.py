@@ -41,3 +41,93 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     else:
         raise RuntimeError("components did not settle")
     return own.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def partitions(edges: DataFrame, weight: str = "weight", above: int = 1) -> DataFrame:
+    """Node, part: components over the edges heavier than `above`; nodes on lighter edges only are parts of their own."""
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    return connected_components(edges.where(F.col(weight) > above), nodes=ends).withColumnRenamed("component", "part")
+
+
+def support_between(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """part_a < part_b, n_edges, n_a, n_b: edges between two parts and how many nodes of either they touch. Counts, not sets of
+    nodes: what a part links may be large."""
+    a = parts.select(F.col("node").alias("src"), F.col("part").alias("pa"))
+    b = parts.select(F.col("node").alias("dst"), F.col("part").alias("pb"))
+    e = edges.select("src", "dst").join(a, "src").join(b, "dst").where("pa <> pb")
+    flip = F.col("pa") > F.col("pb")
+    e = e.select(F.least("pa", "pb").alias("part_a"), F.greatest("pa", "pb").alias("part_b"), F.when(flip, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("b"))
+    return e.groupBy("part_a", "part_b").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"))
+
+
+def support_within(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Part, n_inner: nodes without an edge to another part."""
+    a = parts.select(F.col("node").alias("src"), F.col("part").alias("pa"))
+    b = parts.select(F.col("node").alias("dst"), F.col("part").alias("pb"))
+    out = edges.select("src", "dst").join(a, "src").join(b, "dst").where("pa <> pb")
+    outer = out.select(F.col("src").alias("node")).union(out.select("dst")).distinct()
+    return parts.join(outer, "node", "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("n_inner"))
+
+
+def strong_links(edges: DataFrame, parts: DataFrame, least: int, most_nodes: int = 500) -> DataFrame:
+    """Pairs of parts with at least `least` edges between them and no more than most_nodes nodes each: what is kept of a component too large to call at once."""
+    n = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    s = support_between(edges, parts).where(F.col("n_edges") >= least)
+    s = s.join(n.select(F.col("part").alias("part_a"), F.col("n").alias("na")), "part_a").join(n.select(F.col("part").alias("part_b"), F.col("n").alias("nb")), "part_b")
+    return s.where((F.col("na") <= most_nodes) & (F.col("nb") <= most_nodes)).select("part_a", "part_b", "n_edges")
+
+
+def cut_forbidden(edges: DataFrame, forbidden: DataFrame, most_nodes: int = 50) -> DataFrame:
+    """Edges without those cut so that no forbidden pair stays linked, within components of up to most_nodes nodes.
+
+    In each component the forbidden pairs are taken in order; a breadth-first walk from the first node, neighbours in order,
+    cuts the edge by which it reaches the second. Components that are triangles, stars of over three nodes or larger than most_nodes are left alone.
+    """
+    import pandas as pd
+
+    comp = connected_components(edges)
+    e = edges.select("src", "dst").join(comp.select(F.col("node").alias("src"), "component"), "src").withColumn("ban", F.lit(0))
+    f = forbidden.select("src", "dst").join(comp.select(F.col("node").alias("src"), "component"), "src").join(comp.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2")
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = f.select("component").distinct().join(size.where(F.col("n") <= most_nodes), "component").select("component")
+    kept = e.join(small, "component", "left_anti").select("src", "dst")
+    work = e.join(small, "component").select("component", "src", "dst", "ban").unionByName(f.join(small, "component").select("component", "src", "dst", F.lit(1).alias("ban")))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        links: dict = {}
+        for s, d in pdf.loc[pdf.ban == 0, ["src", "dst"]].itertuples(index=False):
+            links.setdefault(s, set()).add(d)
+            links.setdefault(d, set()).add(s)
+        n = len(links)
+        hub = any(len(x) == n - 1 for x in links.values())
+        if not (n == 3 or (n > 3 and hub)):
+            for s, d in sorted(set(map(tuple, pdf.loc[pdf.ban == 1, ["src", "dst"]].to_numpy().tolist()))):
+                while True:
+                    seen, queue, hit = {s}, [s], None
+                    while queue and hit is None:
+                        at = queue.pop(0)
+                        for x in sorted(links.get(at, ())):
+                            if x == d:
+                                hit = at
+                                break
+                            if x not in seen:
+                                seen.add(x)
+                                queue.append(x)
+                    if hit is None:
+                        break
+                    links[hit].discard(d)
+                    links[d].discard(hit)
+        rows = sorted({(min(a, b), max(a, b)) for a, x in links.items() for b in x})
+        return pd.DataFrame(rows, columns=["src", "dst"])
+
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in ("src", "dst"))
+    done = work.groupBy("component").applyInPandas(cut, kinds)
+    return kept.unionByName(done)
+
+
+def phase_sets(support: DataFrame, event: str, phase: str) -> DataFrame:
+    """Phase, joined: phase sets supported by one event belong together. An event links its least phase set to its others: a star, not all pairs."""
+    s = support.where(F.col(phase).isNotNull()).select(event, phase).distinct()
+    low = s.groupBy(event).agg(F.min(phase).alias("dst"))
+    links = s.join(low, event).select(F.col(phase).alias("src"), "dst")
+    return connected_components(links).select(F.col("node").alias(phase), F.col("component").alias("joined"))
