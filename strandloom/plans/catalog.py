@@ -803,3 +803,75 @@ def mate_regions(spark, sf):
     mate = r.where("pnext > 0").select(F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")).alias("chrom"), F.col("pnext").cast("long").alias("s"))
     x = own.unionByName(mate).withColumn("e", F.col("s"))
     return intervals.merge_intervals(x, ["chrom"], "s", "e", pad=1000)
+
+
+# ---------------------------------------------------------------- calling
+
+_SIDES = f"""sd AS (SELECT read_id, qname, rname, flag, CAST(pos AS BIGINT) AS pos, CAST(pos + {_REF} AS BIGINT) AS stop, CASE WHEN flag & 16 <> 0 THEN '5' ELSE '3' END AS st, {_CLIP_L('SH')} AS lc, {_CLIP_R('SH')} AS rc FROM r)"""
+_TOP = "arg_max(read_id, read_id) FILTER (WHERE {0})".format
+_PICK = f"""k AS (SELECT qname, {_TOP('flag & 64 <> 0 AND flag & 2304 = 0')} AS p1, {_TOP('flag & 64 <> 0 AND flag & 2304 <> 0')} AS s1, {_TOP('flag & 64 = 0 AND flag & 2304 = 0')} AS p2, {_TOP('flag & 64 = 0 AND flag & 2304 <> 0')} AS s2 FROM sd GROUP BY qname),
+pk AS (SELECT qname, CASE WHEN p1 IS NOT NULL AND s1 IS NOT NULL THEN p1 WHEN p2 IS NOT NULL AND s2 IS NOT NULL THEN p2 WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN p1 END AS x, CASE WHEN p1 IS NOT NULL AND s1 IS NOT NULL THEN s1 WHEN p2 IS NOT NULL AND s2 IS NOT NULL THEN s2 WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN p2 END AS y FROM k),
+pp AS (SELECT pk.qname, CASE WHEN a.pos < b.pos THEN x ELSE y END AS a, CASE WHEN a.pos < b.pos THEN y ELSE x END AS b FROM pk JOIN sd a ON a.read_id = x JOIN sd b ON b.read_id = y)"""
+
+
+@query("J25 G08", f"WITH {_R}, {_SIDES}, {_PICK} SELECT qname, a, b FROM pp")
+def informative_pairs(spark, sf):
+    from ..operators import calling
+
+    return calling.informative_pairs(reads(spark, sf, "qname", "flag", "pos"), "qname", "read_id")
+
+
+@query("X35 J21", f"""WITH {_R}, {_SIDES}, {_PICK}, j AS (SELECT pp.qname, a.pos AS pa, a.stop AS ea, a.st AS sa, a.lc AS la, a.rc AS ra, b.pos AS pb, b.stop AS eb, b.st AS sb, b.lc AS lb, b.rc AS rb, a.pos < b.pos OR (a.pos = b.pos AND a.stop <= b.stop) AS f
+  FROM pp JOIN sd a ON a.read_id = pp.a JOIN sd b ON b.read_id = pp.b WHERE a.rname = b.rname AND a.flag & 2304 = 0 AND b.flag & 2304 = 0)
+SELECT qname, CASE WHEN (f AND sa = '3' AND sb = '5') OR (NOT f AND sa = '5' AND sb = '3') THEN CASE WHEN CASE WHEN f THEN ea >= pb ELSE eb >= pa END THEN 'INS' ELSE 'DEL' END WHEN sa <> sb THEN 'DUP' ELSE 'INV' END AS svtype,
+CASE WHEN (f AND sa = '3' AND sb = '5') OR (NOT f AND sa = '5' AND sb = '3') THEN CASE WHEN f THEN ea ELSE pa END WHEN sa <> sb THEN CASE WHEN f THEN pa ELSE ea END WHEN sa = '5' THEN CASE WHEN (ra > 0 OR rb > 0) AND la = 0 AND lb = 0 THEN ea ELSE pa END
+ ELSE CASE WHEN (la > 0 OR lb > 0) AND ra = 0 AND rb = 0 AND (NOT f OR NOT (lb > 0 AND pa < pb)) THEN pa ELSE ea END END AS break_a FROM j""")
+def pair_types(spark, sf):
+    """Type and first break of the templates whose two primaries lie on one chromosome."""
+    from ..operators import calling
+
+    r = reads(spark, sf, "qname", "flag", "pos", "rname", "cigar")
+    p = calling.classified_pairs(r, "qname", "read_id").where("chrom_a = chrom_b")
+    primary = r.where(F.col("flag").bitwiseAND(2304) == 0).select("read_id")
+    return p.join(primary.withColumnRenamed("read_id", "a"), "a", "left_semi").join(primary.withColumnRenamed("read_id", "b"), "b", "left_semi").select("qname", "svtype", "break_a")
+
+
+@query("A21 A06 A07 P01 P03 F10 F14 J05 M01")
+def called_events(spark, sf):
+    """The whole calling pipeline over the alignments of all samples together."""
+    from .config import Options
+    from .pipelines import call, fetch
+
+    r = reads(spark, sf, "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "sa")
+    ev, track = fetch(r, Options.of(min_support=2))
+    return call(ev, track, Options.of(min_support=2)).select("chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "su", "gt", "gq", "prob", "filt")
+
+
+@query("A17 A18 F22")
+def directional_depth(spark, sf):
+    from ..operators import calling
+
+    track = depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom")
+    c = calls(spark, sf).where("pos is not null")
+    d = calling.directional_depth(c, track, "chrom", "call_id", "pos", F.lit(True), 15)
+    return d.select("call_id", "n", F.round("mean", 6).alias("mean"), F.round("cv", 6).alias("cv"))
+
+
+@query("J14 J15 F19 A23 P05")
+def normal_evidence(spark, sf):
+    """Whether any read near a call tells the same event."""
+    from ..operators import calling
+
+    c = calls(spark, sf).select("call_id", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen").where("svtype is not null")
+    s = spans(spark, sf, "rnext", "pnext", "sa")
+    x = pairs.reads_near(c, s, "call_id", "read_id", 500).join(c, "call_id").join(s.drop("pos"), "read_id")
+    return calling.matching_evidence(x, "call_id", 500)
+
+
+@query("M01 M02 F21", f"""WITH {_C} SELECT call_id, round(1 / (1 + exp(-(-1.6 + 0.18 * coalesce(su, 0)))), 3) AS score, CASE WHEN round(1 / (1 + exp(-(-1.6 + 0.18 * coalesce(su, 0)))), 3) >= CASE WHEN svtype IS NULL THEN 0.5 ELSE 0.45 END THEN 'PASS' ELSE 'lowProb' END AS label FROM c""")
+def scored_calls(spark, sf):
+    from ..operators.calling import Scorer
+
+    s = Scorer(weights={"su": 0.18})
+    c = calls(spark, sf)
+    return c.withColumn("score", s.prob(c)).select("call_id", "score", s.label(F.col("score"), F.coalesce("svtype", F.lit(""))).alias("label"))
