@@ -211,7 +211,7 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: Column | str, end:
     c = lambda x: F.col(x) if isinstance(x, str) else x
     keys = [f"k{i}" for i in range(len(entity))]
     a, b = c(start).cast("long"), c(end).cast("long")
-    base = df.select(*(F.col(x).alias(k) for x, k in zip(entity, keys)), F.least(a, b).alias("s"), F.greatest(a, b).alias("e")).where(a.isNotNull() & b.isNotNull())
+    base = df.where(a.isNotNull() & b.isNotNull()).select(*(F.col(x).alias(k) for x, k in zip(entity, keys)), F.least(a, b).alias("s"), F.greatest(a, b).alias("e"))
     base = base.select(*keys, F.shiftright("s", block_bits).alias("blk"), "s", "e")
     key_fields = [base.schema[k] for k in [*keys, "blk"]]
     key_fields = [T.StructField(f.name, f.dataType, True) for f in key_fields]

@@ -52,17 +52,17 @@ def skewed_stats(df: DataFrame, key: str, value: str, pcts: tuple[int, ...] = (5
     heavy = heavy_keys(rows, "k", share)
     spark = df.sparkSession
     names = [f"p{p}" for p in pcts]
-    figures = [F.sum("n").alias("n"), F.sum("n_value").alias("n_value"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("total") / F.sum("n_value")).alias("mean")]
+    figures = [F.sum("n").alias("n"), F.sum("n_value").alias("n_value"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.sum("total").cast("double") / F.sum("n_value")).alias("mean")]
     part = [F.count(F.lit(1)).alias("n"), F.count("v").alias("n_value"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("v").cast("decimal(38,0)")).alias("total")]
     ranked = [F.expr(f"percentile_disc({p / 100}) within group (order by v)").cast("long").alias(n) for p, n in zip(pcts, names)]
     listed = spark.createDataFrame([(h,) for h in heavy], "h string")
     light = rows.join(F.broadcast(listed), F.col("k") == F.col("h"), "left_anti")
-    light = light.groupBy("k").agg(*part, *ranked).select("k", F.lit(False).alias("heavy"), "n", "n_value", F.col("lo").alias("min"), F.col("hi").alias("max"), (F.col("total") / F.col("n_value")).cast("double").alias("mean"), *names)
+    light = light.groupBy("k").agg(*part, *ranked).select("k", F.lit(False).alias("heavy"), "n", "n_value", F.col("lo").alias("min"), F.col("hi").alias("max"), (F.col("total").cast("double") / F.col("n_value")).alias("mean"), *names)
     if not heavy:
         return light.withColumnRenamed("k", key)
     big = rows.join(F.broadcast(listed), F.col("k") == F.col("h")).drop("h")
     salted = big.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).groupBy("k", "salt").agg(*part)
-    base = salted.groupBy("k").agg(*figures).withColumn("mean", F.col("mean").cast("double"))
+    base = salted.groupBy("k").agg(*figures)
     pct = _heavy_percentiles(big, "k", "v", pcts).groupBy("k").pivot("pct", list(pcts)).agg(F.first("value"))
     done = base.join(pct, "k", "left").select("k", F.lit(True).alias("heavy"), "n", "n_value", "min", "max", "mean", *(F.col(str(p)).alias(n) for p, n in zip(pcts, names)))
     return light.unionByName(done).withColumnRenamed("k", key)

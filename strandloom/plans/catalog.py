@@ -280,8 +280,8 @@ def proximity_pairs(spark, sf):
 
 # ---------------------------------------------------------------- intervals
 
-@query("W01 S04 S13", f"""WITH {_IV}, o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
-i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
+@query("W01 S04 S13", f"""WITH {_IV}, x AS (SELECT *, row_number() OVER () AS rn FROM iv), o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT chrom, min(s) AS s, max(e) AS e, count(*) AS n_merged FROM i GROUP BY chrom, island""")
 def interval_merge(spark, sf):
     return intervals.merge_intervals(iv(spark, sf), ["chrom"], "s", "e")
@@ -351,7 +351,7 @@ def span_position_pairs(spark, sf):
     return p.select("a", "b", geo.alike_spans(*s, 100, 0.8, True).alias("long_rule"), geo.alike_spans(*s, 100, 0.3, False).alias("pair_rule"), geo.alike_spans_fixed(*s).alias("fixed_rule"), geo.alike_spans_filter(*s).alias("filter_rule"))
 
 
-_MERGED = """o AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+_MERGED = """o AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT chrom, s, e FROM u)),
 i AS (SELECT chrom, s, e, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), reg AS (SELECT chrom AS rc, min(s) AS rs, max(e) AS re FROM i GROUP BY chrom, g)"""
 
 
@@ -795,7 +795,7 @@ def greedy_sites(spark, sf):
 
 
 @query("S04", f"""WITH {_R}, d AS (SELECT rname AS chrom, CAST(pos AS BIGINT) AS p FROM r WHERE flag & 1284 = 0 AND flag & 1 <> 0 AND flag & 2 = 0 AND rname <> '*' UNION ALL SELECT CASE WHEN rnext = '=' THEN rname ELSE rnext END, CAST(pnext AS BIGINT) FROM r WHERE flag & 1284 = 0 AND flag & 1 <> 0 AND flag & 2 = 0 AND rname <> '*' AND pnext > 0),
-v AS (SELECT chrom, greatest(0, p - 1000) AS s, p + 1000 AS e FROM d), o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o)
+v AS (SELECT chrom, greatest(0, p - 1000) AS s, p + 1000 AS e, row_number() OVER () AS rn FROM d), o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS UNBOUNDED PRECEDING) AS g FROM o)
 SELECT chrom, min(s) AS s, max(e) AS e, count(*) AS n_merged FROM i GROUP BY chrom, g""")
 def mate_regions(spark, sf):
     r = reads(spark, sf, "flag", "rname", "rnext", "pos", "pnext").where((F.col("flag").bitwiseAND(1284) == 0) & cg.flag(1) & ~cg.flag(2) & (F.col("rname") != "*"))

@@ -79,7 +79,7 @@ WITH s AS (
   FROM sites WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL AND start_pos <> -1 AND end_pos <> -1),
 o AS (
   SELECT list_id, chrom, s, e, max(e) OVER (PARTITION BY list_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-  FROM s WHERE chrom = chrom_b),
+  FROM (SELECT DISTINCT * FROM s) WHERE chrom = chrom_b),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY list_id, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o),
 p AS (SELECT list_id, chrom, island, min(s) AS s, max(e) AS e FROM i GROUP BY list_id, chrom, island),
 g AS (SELECT list_id, chrom, e + 1 AS s, lead(s) OVER (PARTITION BY list_id, chrom ORDER BY s) - 1 AS e FROM p)
