@@ -91,7 +91,7 @@ def split_alignments(sa: Column | str) -> Column:
 
     def one(x):
         p = F.split(x, ",")
-        return F.struct(p[0].alias("chrom"), p[1].try_cast("int").alias("pos"), p[2].alias("strand"), p[3].alias("cigar"), p[4].try_cast("int").alias("mapq"), p[5].try_cast("int").alias("nm"))
+        return F.struct(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).try_cast("int").alias("pos"), F.get(p, F.lit(2)).alias("strand"), F.get(p, F.lit(3)).alias("cigar"), F.get(p, F.lit(4)).try_cast("int").alias("mapq"), F.get(p, F.lit(5)).try_cast("int").alias("nm"))
 
     return F.transform(each, one)
 

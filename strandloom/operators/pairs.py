@@ -109,6 +109,18 @@ def union_edges(*edges: DataFrame) -> DataFrame:
     return all_.where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
+def canonical(df: DataFrame, sides: list[tuple[str, str]], chrom: tuple[str, str], pos: tuple[str, str], ct: str | None = None) -> DataFrame:
+    """Df with its two ends in order: by chromosome name, on one chromosome by position. `sides` are the column pairs that swap; ct turns round."""
+    flip = (F.col(chrom[0]) > F.col(chrom[1])) | ((F.col(chrom[0]) == F.col(chrom[1])) & (F.col(pos[0]) > F.col(pos[1])))
+    new = {}
+    for a, b in sides:
+        new[a], new[b] = F.when(flip, F.col(b)).otherwise(F.col(a)), F.when(flip, F.col(a)).otherwise(F.col(b))
+    if ct:
+        turned = F.concat(F.substring_index(ct, "to", -1), F.lit("to"), F.substring_index(ct, "to", 1))
+        new[ct] = F.when(flip, turned).otherwise(F.col(ct))
+    return df.withColumns(new)
+
+
 def event_pairs(events: DataFrame, keys: list[str], row: str, pos_a: str, pos_b: str, ci: str, slack: int, other_sample: str | None = None) -> DataFrame:
     """Pairs of events on equal keys where the first end of one lies within slack/2 plus the confidence interval of the first end of the other.
 

@@ -62,6 +62,7 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     apart = 300 if opt.paired else 500
     p = materialize(calling.classified_pairs(reads, "qname", row))  # a filter must not be pushed into the rules
     p = p.join(reads.select(F.col(row).alias("a"), "flag", F.abs("tlen").alias("tlen"), "mapq"), "a")
+    p = pairs.canonical(p, [("chrom_a", "chrom_b"), ("break_a", "break_b"), ("precise_a", "precise_b")], ("chrom_a", "chrom_b"), ("break_a", "break_b"), "ct")
     odd = (F.col("flag").bitwiseAND(2) == 0) | F.col("length").isNotNull() | (F.col("tlen") > opt.max_tlen)
     by_pair = p.where(odd).select(F.col("a").alias("node"), "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", F.lit("pe").alias("how"))
     gaps = reads.select(row, "rname", "mapq", F.explode(F.filter(cg.walk("cigar", "start"), lambda g: g["op"].isin("I", "D") & (g["len"] >= opt.min_size))).alias("g"))

@@ -29,10 +29,10 @@ _OPS = "MIDNSHP=X"
 
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Alignments of SAM text, header lines left out; tags as typed columns and all of them in the map `tags`; file is where a row came from."""
-    line = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("file")).where(~F.col("f")[0].startswith("@") & (F.size("f") >= 11))
+    line = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("file")).where(~F.get("f", F.lit(0)).startswith("@") & (F.size("f") >= 11))
     tags = F.map_from_entries(F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring_index(t, ":", 1), F.regexp_extract(t, "^[^:]*:[^:]*:(.*)$", 1))))
     kinds = dict(x.split(" ") for x in READS.split(", "))
-    core = [F.col("f")[i].try_cast(kinds[c]).alias(c) for i, c in enumerate(list(kinds)[:11])]
+    core = [F.get("f", F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(list(kinds)[:11])]
     return line.select(*core, tags.alias("tags"), "file").select(*list(kinds)[:11], *(F.try_element_at("tags", F.lit(t)).try_cast(kinds[c]).alias(c) for c, t in _TAGS.items()), "tags", "file")
 
 
@@ -134,17 +134,17 @@ class _BamReader(DataSourceReader):
 def read_bed(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
     """Chrom, start, end of BED text or gz; comment lines are left out. Not strict: rows whose ends are no numbers are left out, else they fail."""
     f = spark.read.text(path).where("value <> '' and not startswith(value, '#') and not startswith(value, 'track') and not startswith(value, 'browser')").select(F.split("value", "\t").alias("f"))
-    num = lambda i: (F.col("f")[i].cast("long") if strict else F.try_element_at("f", F.lit(i + 1)).try_cast("long"))
-    b = f.select(F.col("f")[0].alias("chrom"), num(1).alias("start"), num(2).alias("end"))
+    num = lambda i: (F.get("f", F.lit(i)).cast("long") if strict else F.try_element_at("f", F.lit(i + 1)).try_cast("long"))
+    b = f.select(F.get("f", F.lit(0)).alias("chrom"), num(1).alias("start"), num(2).alias("end"))
     return b if strict else b.where("start is not null and end is not null")
 
 
 def read_gff_exons(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Chrom, start (0-based), end, strand, transcript_id, gene_name of the exon rows of GFF3."""
-    f = spark.read.text(path).where("not startswith(value, '#')").select(F.split("value", "\t").alias("f")).where((F.size("f") >= 9) & (F.col("f")[2] == "exon"))
-    attr = F.str_to_map(F.rtrim(F.col("f")[8], F.lit("; ")), F.lit(";"), F.lit("="))
+    f = spark.read.text(path).where("not startswith(value, '#')").select(F.split("value", "\t").alias("f")).where((F.size("f") >= 9) & (F.get("f", F.lit(2)) == "exon"))
+    attr = F.str_to_map(F.rtrim(F.get("f", F.lit(8)), F.lit("; ")), F.lit(";"), F.lit("="))
     f = f.withColumn("a", attr)
-    return f.select(F.col("f")[0].alias("chrom"), (F.col("f")[3].cast("long") - 1).alias("start"), F.col("f")[4].cast("long").alias("end"), F.col("f")[6].alias("strand"), F.try_element_at("a", F.lit("transcript_id")).alias("transcript_id"), F.try_element_at("a", F.lit("gene_name")).alias("gene_name")).where("transcript_id is not null")
+    return f.select(F.get("f", F.lit(0)).alias("chrom"), (F.get("f", F.lit(3)).cast("long") - 1).alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"), F.get("f", F.lit(6)).alias("strand"), F.try_element_at("a", F.lit("transcript_id")).alias("transcript_id"), F.try_element_at("a", F.lit("gene_name")).alias("gene_name")).where("transcript_id is not null")
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.genotype import event_type
 
@@ -26,10 +27,16 @@ def info_map(info: Column | str) -> Column:
     """MAP from key to value of an INFO text; items are trimmed, an item without = is a flag with value ''; null for no items. Of a repeated key the last counts."""
     c = F.col(info) if isinstance(info, str) else info
     items = F.filter(F.transform(F.split(c, ";"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: (x != "") & (x != "."))
-    # last wins without relying on a session setting: keep an item unless its key comes again
-    keys = F.transform(items, lambda x: F.substring_index(x, "=", 1))
-    kept = F.filter(F.transform(items, lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_extract(x, "^[^=]*=(.*)$", 1)).otherwise("").alias("v"), i.alias("i"))), lambda s: ~F.array_contains(F.slice(keys, s["i"] + 2, F.greatest(F.size(keys), F.lit(1))), s["k"]))
-    return F.when(F.size(items) > 0, F.map_from_entries(F.transform(kept, lambda s: F.struct(s["k"], s["v"]))))
+    # The last of a key wins without relying on a session setting. Items and keys are bound once, as variables of an outer transform.
+    bound = F.struct(items.alias("it"), F.transform(items, lambda x: F.substring_index(x, "=", 1)).alias("k"))
+
+    def entries(b: Column) -> Column:
+        value = lambda x: F.when(x.contains("="), F.regexp_extract(x, "^[^=]*=(.*)$", 1)).otherwise("")
+        each = F.transform(b["it"], lambda x, i: F.struct(F.element_at(b["k"], i + 1).alias("k"), value(x).alias("v"), i.alias("i")))
+        last = F.filter(each, lambda s: ~F.array_contains(F.slice(b["k"], s["i"] + 2, F.greatest(F.size(b["k"]), F.lit(1))), s["k"]))
+        return F.map_from_entries(F.transform(last, lambda s: F.struct(s["k"], s["v"])))
+
+    return F.when(F.size(items) > 0, F.element_at(F.transform(F.array(bound), entries), 1))
 
 
 def format_map(fmt: Column | str, value: Column | str) -> Column:
@@ -78,7 +85,7 @@ def read_events(spark: SparkSession, path: str | list[str], target: str | None =
     """The typed event table of VCF files; end_pos of an event over two chromosomes is CHR2_POS, missing ends are pos; positions 0-based."""
     t = typed(long_samples(read_vcf(spark, path), target), "info", "fmt", "value")
     chr2 = F.coalesce("chr2", "chrom")
-    end = F.coalesce(F.when(F.coalesce("chr2", "chrom") != F.col("chrom"), F.col("chr2_pos") - 1), F.col("end_pos"), F.col("chr2_pos") - 1, F.col("pos"))
+    end = F.coalesce(F.when(F.coalesce("chr2", "chrom") != F.col("chrom"), F.col("chr2_pos") - 1), F.col("end_pos") - 1, F.col("chr2_pos") - 1, F.col("pos"))
     return t.withColumn("chr2", chr2).withColumn("end_pos", end).withColumn("svtype", event_type("svtype", "chrom", "chr2"))
 
 
@@ -91,8 +98,6 @@ def sites_of(events: DataFrame, pass_only: bool = True, own_sample: str | None =
     same = F.col("chrom") == F.col("chr2")
     flip = same & (F.col("end_pos") < F.col("pos"))
     e = e.select("chrom", F.when(flip, F.col("end_pos")).otherwise(F.col("pos")).alias("start"), F.col("chr2").alias("chrom2"), F.when(flip, F.col("pos")).otherwise(F.col("end_pos")).alias("end"), "svtype", "id", F.abs("svlen").alias("svlen"), F.coalesce("mean_prob", "prob", F.lit(default_prob)).alias("prob")).distinct()
-    from pyspark.sql.window import Window as W
-
     return e.withColumn("idx", F.row_number().over(W.partitionBy("chrom").orderBy("start", "end", "id")) - 1)
 
 
