@@ -23,9 +23,9 @@ def test_query(spark, sf, name):
 
 # ------------------------------------------------------------ survivors
 
-def fuse(spark, rows, least=2):
+def fuse(spark, rows, least=2, **kw):
     df = spark.createDataFrame(rows, "grp long, rec long, src string, v string, rank long, p_v string")
-    return survivor.survivors(df, "grp", "rec", "src", {"v": F.col("v")}, {"v": [F.col("rank"), F.col("rec")]}, [F.col("rank"), F.col("rec")], least, rounds=2)
+    return survivor.survivors(df, "grp", "rec", "src", {"v": F.col("v")}, {"v": [F.col("rank"), F.col("rec")]}, [F.col("rank"), F.col("rec")], least, rounds=2, **kw)
 
 
 def test_survivor_takes_the_most_trusted_value(spark):
@@ -57,6 +57,26 @@ def test_model_tells_good_sources_from_bad_and_keeps_several_values(spark):
     assert len(both) > 100
 
 
+@pytest.mark.parametrize("small", [0, 3])
+def test_large_groups_give_the_same_as_packed_ones(spark, small):
+    rng = random.Random(8)
+    rows = [(g, 100 * g + i, rng.choice(["a", "b", "c", None]), rng.choice([None, "x", "y", "z", f"v{i}"]), rng.randrange(4), "q") for g in range(25) for i in range(rng.randrange(1, 9))]
+    one, two = fuse(spark, rows), fuse(spark, rows, small=small)
+    near = lambda rs: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, rs), key=repr)]
+    for a, b in zip(one, two):
+        a, b = sorted(a.columns), sorted(b.columns)
+        assert a == b
+    assert near(one[0].collect()) == near(two[0].collect())
+    assert near(one[1].select("g", "field", "value", "n_src", "p").collect()) == near(two[1].select("g", "field", "value", "n_src", "p").collect())
+    assert near(one[2].select("field", "src", "sens", "fpr").collect()) == near(two[2].select("field", "src", "sens", "fpr").collect())
+
+
+def test_more_sources_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(survivor, "SOURCE_BOUND", 2)
+    rows = [(1, i, f"s{i}", "D" if i else "I", i, "q") for i in range(5)]
+    assert [(r.rec, r.v, r.n_records) for r in fuse(spark, rows)[0].collect()] == [(0, "I", 5)]
+
+
 # ------------------------------------------------------------ near-duplicates
 
 def alike(rows):
