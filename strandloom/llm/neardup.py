@@ -3,7 +3,7 @@
 Two item sets of a and b items with similarity (shared over all) of at least t differ in at most
 d = (a + b)(1 - t)/(1 + t) items. If the universe of items is cut into more than d blocks, the two sets agree wholly in
 at least one block (pigeonhole). So each set is fingerprinted per block, sets are joined on equal block fingerprints, the
-Hamming distance of 256-bit parity fingerprints (never above the number of differing items) discards most candidates,
+Hamming distance of 32-bit parity fingerprints (never above the number of differing items) discards most candidates,
 and the rest are verified exactly. Blocks are balanced by how much the items under a key tell: keys are ranked
 by distinct values and dealt out to the blocks, so no block is left with common items only. Balance changes the speed, never the result.
 
@@ -14,11 +14,12 @@ alike share one of their first items in any fixed order, so such buckets are joi
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -29,53 +30,64 @@ THRESHOLD = (4, 5)
 #: Keys ranked for balancing the blocks, and classes in a bucket from which it is parted again.
 RANKED_KEYS = 256
 HOT = 64
+#: An item is coded as its key's rank (11 bits) above 52 bits of its hash; codes of one set ascend from the most telling key.
+_RANKS, _BITS = 2048, 52
 
 
-def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> DataFrame:
-    """record, key (of the set), items: the distinct trimmed non-empty parts of text, sorted. Null and empty texts have none.
-    A record delivered again counts once; if its texts differ, the least text counts."""
-    once = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text")).where("record is not null and text is not null")
-    once = once.groupBy("record").agg(F.min("text").alias("text"))
-    parts = F.transform(F.split("text", _literal(sep)), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    items = F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
-    return once.select("record", items.alias("items")).where(F.size("items") > 0).withColumn("key", F.md5(F.array_join("items", "\n")))
-
-
-def _literal(sep: str) -> str:
-    import re
-
-    return re.escape(sep)
+def _items(text: Column, sep: str) -> Column:
+    parts = F.transform(F.split(text, re.escape(sep)), lambda x: F.btrim(x, F.lit(" \t\r\n")))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-def _key_ranks(classes: DataFrame) -> dict[str, int]:
+def _key_ranks(items: DataFrame) -> dict[str, int]:
     """Rank of the item keys (text before =) by distinct values, most telling first; at most RANKED_KEYS of them."""
-    keys = classes.select(F.explode("items").alias("i")).select(F.substring_index("i", "=", 1).alias("k"), "i")
+    keys = items.select(F.explode("items").alias("i")).select(F.substring_index("i", "=", 1).alias("k"), "i")
     top = keys.groupBy("k").agg(F.approx_count_distinct("i", 0.1).alias("n")).orderBy(F.desc("n"), "k").limit(RANKED_KEYS).collect()
     return {r["k"]: i for i, r in enumerate(top)}
 
 
+def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> DataFrame:
+    """record, key (16 bytes, equal for equal sets), codes (sorted) of the distinct trimmed non-empty parts of text, row by row. Null and empty texts have none."""
+    rows = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text")).where("record is not null and text is not null")
+    sets = rows.select("record", _items(F.col("text"), sep).alias("items")).where(F.size("items") > 0)
+    ranks = _key_ranks(sets)
+    known = F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)) if ranks else F.create_map(F.lit(""), F.lit(0))
+
+    def code(x: Column) -> Column:
+        k = F.substring_index(x, "=", 1)
+        rank = F.coalesce(F.try_element_at(known, k), F.lit(RANKED_KEYS) + F.pmod(F.xxhash64(k), F.lit(_RANKS - RANKED_KEYS)).cast("int"))
+        return F.shiftleft(rank.cast("long"), _BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 64 - _BITS))
+
+    return sets.select("record", F.unhex(F.md5(F.array_join(F.array_sort("items"), "\n"))).alias("key"), F.array_sort(F.transform("items", code)).alias("codes"))
+
+
+def members_of(sets: DataFrame) -> DataFrame:
+    """record, key, one row per record: a record delivered again counts once; if its texts differ, the text with the least key counts."""
+    return materialize(sets.groupBy("record").agg(F.min("key").alias("key")))
+
+
 def _ladder(x: int) -> int:
     return 1 << max(0, math.ceil(math.log2(x)))
 
 
 def _signatures(num: int, den: int):
-    """Rows (sig, key, n, k, fp0..fp3) from (key, hashes, ranks): one per block of each block count the set may need."""
+    """Rows (sig, id, n, k, fp) from (id, codes): one per block of each block count the set may need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = lambda m: (m * (den - num)) // (den + num)
+        step = np.vectorize(_ladder, otypes=[np.int64])
         for b in batches:
             if not b.num_rows:
                 continue
-            hashes = b.column("hashes")
-            n = np.diff(np.asarray(hashes.offsets))
-            h = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            rank = b.column("ranks").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            codes, ids = b.column("codes"), b.column("id")
+            n = np.diff(np.asarray(codes.offsets)).astype(np.int64)
+            h = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            rank = (h >> np.uint64(_BITS)).astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
-            fp = np.zeros((len(n), 4), np.uint64)
-            np.bitwise_xor.at(fp, (row, ((h >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
-            low, high = -(-n * num // den), n * den // num
-            far = lambda m: ((n + m) * (den - num)) // (den + num)
-            step = np.vectorize(_ladder)
-            k_low, k_high = step(far(low) + 1), step(far(high) + 1)
+            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            fp = np.zeros(len(n), np.uint32)
+            np.bitwise_xor.at(fp, row, np.uint32(1) << (mixed >> np.uint64(59)).astype(np.uint32))
+            k_low, k_high = step(far(n + -(-n * num // den)) + 1), step(far(n + n * den // num) + 1)
             for k in np.union1d(k_low, k_high).tolist():
                 if k == 1:
                     continue  # no difference allowed: only copies
@@ -85,53 +97,49 @@ def _signatures(num: int, den: int):
                 turn, place = x // k, x % k
                 blk = np.where(turn % 2 == 0, place, k - 1 - place)
                 sig = np.zeros((len(n), k), np.uint64)
-                np.bitwise_xor.at(sig, (r, blk), h[pick])
+                np.bitwise_xor.at(sig, (r, blk), mixed[pick])
                 own = np.flatnonzero(use)
                 s = sig[own] * np.uint64(0x9E3779B97F4A7C15) ^ (np.arange(k, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(k))
-                at = pa.array(np.repeat(own, k))
-                cols = [pa.array(s.ravel().view(np.int64)), b.column("key").take(at), pa.array(np.repeat(n[own], k).astype(np.int32)), pa.array(np.full(len(own) * k, k, np.int32))]
-                cols += [pa.array(np.repeat(fp[own, j], k).view(np.int64)) for j in range(4)]
-                yield pa.RecordBatch.from_arrays(cols, names=["sig", "key", "n", "k", "fp0", "fp1", "fp2", "fp3"])
+                at = np.repeat(own, k)
+                cols = [pa.array(s.ravel().view(np.int64)), ids.take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(fp[at].view(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["sig", "id", "n", "k", "fp"])
 
     return run
 
 
-def alike_classes(sets: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> tuple[DataFrame, DataFrame]:
-    """(pairs, classes): key_a < key_b, shared, n_a, n_b of every two different sets alike by at least num/den; classes: key, hashes, ranks, n_records."""
-    classes = materialize(sets.groupBy("key").agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("n_records")))
-    ranks = _key_ranks(classes)
-    known = F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)) if ranks else F.create_map(F.lit(""), F.lit(0))
-    k = lambda x: F.substring_index(x, "=", 1)
-    rank = lambda x: F.coalesce(F.try_element_at(known, k(x)), (F.lit(len(ranks)) + F.pmod(F.xxhash64(k(x)), F.lit(1 << 20))).cast("int"))
-    coded = classes.select("key", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("items", rank).alias("ranks"), "n_records")
-    coded = materialize(coded)
-    sigs = coded.select("key", "hashes", "ranks").mapInArrow(_signatures(num, den), "sig long, key string, n int, k int, fp0 long, fp1 long, fp2 long, fp3 long")
-    sigs = sigs.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("m > 1")
-    sigs = materialize(sigs)
+def alike_classes(sets: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
+    """key_a, key_b of every two different sets alike by at least num/den.
+
+    Classes are written once under short ids; block signatures are shuffled once by signature to be counted, and those that
+    occur once go no further; codes are fetched only to verify what the fingerprints let through.
+    """
+    classes = materialize(sets.groupBy("key").agg(F.min("codes").alias("codes")).withColumn("id", F.monotonically_increasing_id()))
+    coded = classes.select("id", "codes")
+    sigs = coded.mapInArrow(_signatures(num, den), "sig long, id long, n int, k int, fp int")
+    sigs = materialize(sigs.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("m > 1"))
     far = f"(((a.n + b.n) * {den - num}) div {den + num})"
-    near = F.expr(
-        f"a.key < b.key and a.k = b.k and a.n * {num} <= b.n * {den} and b.n * {num} <= a.n * {den}"
-        f" and bit_count(a.fp0 ^ b.fp0) + bit_count(a.fp1 ^ b.fp1) + bit_count(a.fp2 ^ b.fp2) + bit_count(a.fp3 ^ b.fp3) <= {far}"
-    )
+    near = F.expr(f"a.id < b.id and a.k = b.k and a.n * {num} <= b.n * {den} and b.n * {num} <= a.n * {den} and bit_count(cast(a.fp ^ b.fp as bigint) & 4294967295) <= {far}")
     cool, hot = sigs.where(F.col("m") <= HOT), sigs.where(F.col("m") > HOT)
-    pairs = cool.alias("a").join(cool.alias("b"), (F.col("a.sig") == F.col("b.sig")) & near).select("a.key", F.col("b.key").alias("key_b"))
-    # the first n - ceil(n num / den) + 1 items by rank: alike sets share one of them
-    firsts = F.slice(F.array_sort(F.arrays_zip("ranks", "hashes")), 1, F.size("hashes") - F.ceil(F.size("hashes") * F.lit(num) / den).cast("int") + 1)
-    item = F.explode(F.transform(firsts, lambda x: x["hashes"])).alias("item")
-    parted = hot.join(coded.select("key", item), "key")
-    more = parted.alias("a").join(parted.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.item") == F.col("b.item")) & near).select("a.key", F.col("b.key").alias("key_b"))
-    pairs = pairs.unionByName(more).withColumnRenamed("key", "key_a").distinct()
-    both = pairs.join(coded.select(F.col("key").alias("key_a"), F.col("hashes").alias("h_a")), "key_a").join(coded.select(F.col("key").alias("key_b"), F.col("hashes").alias("h_b")), "key_b")
-    both = both.select("key_a", "key_b", F.size(F.array_intersect("h_a", "h_b")).alias("shared"), F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"))
-    return both.where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num), coded
+    pairs = cool.alias("a").join(cool.alias("b"), (F.col("a.sig") == F.col("b.sig")) & near).select("a.id", F.col("b.id").alias("id_b"))
+    if not hot.isEmpty():
+        # the first n - ceil(n num / den) + 1 codes: alike sets share one of them
+        firsts = F.slice("codes", 1, F.size("codes") - F.ceil(F.size("codes") * F.lit(num) / den).cast("int") + 1)
+        parted = materialize(hot.join(coded.select("id", F.explode(firsts).alias("item")), "id"))
+        more = parted.alias("a").join(parted.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.item") == F.col("b.item")) & near)
+        pairs = pairs.unionByName(more.select("a.id", F.col("b.id").alias("id_b")))
+    pairs = pairs.withColumnRenamed("id", "id_a").distinct()
+    a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}"), F.col("codes").alias(x)) for x in "ab")
+    both = pairs.join(a, "id_a").join(b, "id_b")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared * den >= (F.size("a") + F.size("b") - shared) * num).select("key_a", "key_b")
 
 
 def alike_pairs(df: DataFrame, record: str, text: str, sep: str = ";", num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """record_a < record_b: every two different records alike by at least num/den, copies included. Null and empty texts are never alike."""
-    sets = materialize(item_sets(df, record, text, sep))
-    pairs, _ = alike_classes(sets, num, den)
+    sets = item_sets(df, record, text, sep)
+    pairs, sets = materialize(alike_classes(sets, num, den)), members_of(sets)
     a, b = sets.select(F.col("key").alias("key_a"), F.col("record").alias("ra")), sets.select(F.col("key").alias("key_b"), F.col("record").alias("rb"))
-    across = pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
+    across = pairs.join(a, "key_a").join(b, "key_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
     copies = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("ra") < F.col("rb"))).select(F.col("ra").alias("record_a"), F.col("rb").alias("record_b"))
     return across.unionByName(copies)
 
@@ -139,10 +147,10 @@ def alike_pairs(df: DataFrame, record: str, text: str, sep: str = ";", num: int
 def alike_groups(df: DataFrame, record: str, text: str, sep: str = ";", num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """One row per record with a text: record, class_key (of its exact copies), group_id (least class_key linked to it by any
     chain of alike sets), n_copies (records of its class), n_links (other records alike to it, copies included)."""
-    sets = materialize(item_sets(df, record, text, sep))
-    pairs, classes = alike_classes(sets, num, den)
-    pairs = materialize(pairs.select("key_a", "key_b"))
-    sizes = classes.select("key", "n_records")
+    sets = item_sets(df, record, text, sep)
+    pairs = materialize(alike_classes(sets, num, den).select(F.hex("key_a").alias("key_a"), F.hex("key_b").alias("key_b")))
+    sets = members_of(sets).withColumn("key", F.hex("key"))
+    sizes = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n_records"))
     both = pairs.unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
     links = both.join(sizes.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key")).agg(F.sum("n_records").alias("others"))
     comp = connected_components(pairs, "key_a", "key_b")
