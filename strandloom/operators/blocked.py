@@ -7,6 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def _null_safe(key: list[str], names: list[str]):
+    same = F.lit(True)
+    for k, n in zip(key, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return same
+
+
+def with_carry(df: DataFrame, key: list[str], block: str, summary, out: str) -> DataFrame:
+    """df with `out`: the greatest `summary` (an aggregate) of the blocks before a row's block, within key. The window sees one row per block."""
+    names = [f"__c{i}" for i in range(len(key))]
+    per = df.groupBy(*key, block).agg(summary.alias("__s"))
+    run = F.max("__s").over(W.partitionBy(*key).orderBy(block).rowsBetween(W.unboundedPreceding, -1))
+    per = per.select(*(F.col(k).alias(n) for k, n in zip(key, names)), F.col(block).alias("__cb"), run.alias(out))
+    return df.join(per, _null_safe([*key, block], [*names, "__cb"]), "left").drop(*names, "__cb")
+
+
+def island_starts(df: DataFrame, key: list[str], start: str, end: str, out: str, width: int = 1 << 20) -> DataFrame:
+    """df with `out`: the start of the island a row's interval [start, end] belongs to; intervals that overlap or touch (start <= an end before) are one.
+
+    Rows are cut into blocks of `width` start positions; what reaches into a block, and the island open at its start, come from
+    one row per block, so no window holds more than the rows of one block. Rows need a start and an end.
+    """
+    x = df.withColumn("__blk", F.floor(F.col(start) / F.lit(width)))
+    x = with_carry(x, key, "__blk", F.max(end), "__reach")
+    w = W.partitionBy(*key, "__blk").orderBy(start, end)
+    reach = F.greatest(F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("__reach"))
+    x = x.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
+    # by range, not by rows: rows of one start belong together in whatever order they come
+    x = x.withColumn("__own", F.max("__new").over(W.partitionBy(*key, "__blk").orderBy(start).rangeBetween(W.unboundedPreceding, W.currentRow)))
+    x = with_carry(x, key, "__blk", F.max("__new"), "__open")
+    return x.withColumn(out, F.coalesce("__own", "__open")).drop("__blk", "__reach", "__new", "__own", "__open")
+
+
+def count_within(df: DataFrame, key: list[str], at: str, before: int, after: int, out: str) -> DataFrame:
+    """df with `out`: how many rows of its key lie within [at - before, at + after], itself included.
+
+    Rows stand in blocks of positions far wider than the reach and, as ghosts, in the blocks they reach into; a window counts
+    inside a block and the ghosts go. The null position counts nothing and gets null.
+    """
+    width = max(1, 64 * (before + after))
+    own = F.floor(F.col(at) / F.lit(width))
+    blocks = F.explode(F.sequence(F.floor((F.col(at) - after) / F.lit(width)), F.floor((F.col(at) + before) / F.lit(width))))
+    x = df.where(F.col(at).isNotNull()).withColumn("__own", own).withColumn("__blk", blocks)
+    w = W.partitionBy(*key, "__blk").orderBy(at).rangeBetween(-before, after)
+    x = x.withColumn(out, F.count(F.lit(1)).over(w)).where("__blk = __own").drop("__own", "__blk")
+    return x.unionByName(df.where(F.col(at).isNull()).withColumn(out, F.lit(None).cast("long")))
+
+
 def blocked_lag(df: DataFrame, key: list[str], order: str, value: list[str], out: str, width: int = 1000) -> DataFrame:
     """df with `out`: a struct of order and value columns of the row before, by `order` (an integer) within key; null for the first.
 
@@ -19,9 +67,7 @@ def blocked_lag(df: DataFrame, key: list[str], order: str, value: list[str], out
     inside = W.partitionBy(*key, "__blk").orderBy(order)
     ends = df.groupBy(*key, "__blk").agg(F.max_by("__this", order).alias("__end"))
     ends = ends.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), F.col("__blk").alias("__b"), F.lag("__end").over(W.partitionBy(*key).orderBy("__blk")).alias("__before"))
-    same = F.col("__blk") == F.col("__b")
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    same = (F.col("__blk") == F.col("__b")) & _null_safe(key, [f"__k{i}" for i in range(len(key))])
     joined = df.withColumn(out, F.lag("__this").over(inside)).join(ends, same, "left")
     return joined.withColumn(out, F.coalesce(out, "__before")).drop("__blk", "__this", "__b", "__before", *(f"__k{i}" for i in range(len(key))))
 

@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .blocked import count_within, island_starts
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, pad: int = 0, index: str | None = None) -> DataFrame:
-    """Keys, start, end of the islands of intervals that overlap or touch (start <= end); with pad, ends widened by it
-    (start not under 0); with index, the sorted index values of each island. Null ends are left out."""
-    w = W.partitionBy(*keys).orderBy(start, end)
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, pad: int = 0, index: str | None = None, width: int = 1 << 20) -> DataFrame:
+    """Keys, start, end, n_merged of the islands of intervals that overlap or touch (start <= end); with pad, ends widened by it
+    (start not under 0); with index, the sorted index values of each island. Null ends are left out. No window holds more than `width` start positions of a key."""
     x = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     if pad:
         x = x.withColumn(start, F.greatest(F.lit(0), F.col(start) - pad)).withColumn(end, F.col(end) + pad)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    x = x.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    x = x.withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    if not index:  # intervals with one start are one; counted before the shuffle
+        x = x.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("__n"))
+    x = island_starts(x, keys, start, end, "__island", width)
     more = [F.array_sort(F.collect_list(index)).alias(index)] if index else []
-    return x.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged"), *more).drop("__island")
+    n = F.count(F.lit(1)) if index else F.sum("__n")
+    return x.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), n.alias("n_merged"), *more).drop("__island")
 
 
 def subtract_intervals(df: DataFrame, other: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -96,9 +98,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value
 
 def count_near(df: DataFrame, keys: list[str], at: str, before: int, after: int, out: str, own: bool = True) -> DataFrame:
     """Number of rows of df on equal keys within [at - before, at + after], as column out; own tells whether the row itself counts."""
-    w = W.partitionBy(*keys).orderBy(at).rangeBetween(-before, after)
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn(out, n if own else n - 1)
+    x = count_within(df, keys, at, before, after, out)
+    return x if own else x.withColumn(out, F.col(out) - 1)
 
 
 def count_points(spans: DataFrame, points: DataFrame, keys: list[tuple[str, str]], span: tuple[Column | str, Column | str], at: str, row: list[str], width: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .blocked import island_starts
+
 
 def spread(df: DataFrame, group: list[str], value: str, cutoff: float = 8.0) -> DataFrame:
     """Group, n, median, upper_mad, mean and sd about the median of the values under median + cutoff x upper MAD.
@@ -52,19 +54,21 @@ def length_eps(longest: Column, tagged: bool = False) -> Column:
 def cluster_lengths(df: DataFrame, group: list[str], length: str, row: str, least: int = 2, tagged: bool = False) -> DataFrame:
     """Row, group, cluster (number from 1 within the group, by length): sorted lengths part where the step to the next exceeds the
     eps of the longest of the group. Clusters of under `least` rows are left out."""
-    w = W.partitionBy(*group).orderBy(length, row)
-    x = df.where(F.col(length).isNotNull()).withColumn("__eps", length_eps(F.max(length).over(W.partitionBy(*group)), tagged))
-    x = x.withColumn("__new", F.when(F.col(length) - F.lag(length).over(w) > F.col("__eps"), 1).otherwise(0))
-    x = x.withColumn("cluster", (1 + F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).cast("long"))
-    x = x.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*group, "cluster"))).where(F.col("__n") >= least)
-    return x.select(row, *group, "cluster")
+    x = df.where(F.col(length).isNotNull()).select(row, *group, F.col(length).alias("__len"))
+    # neighbours are found among the distinct lengths of a group, of which there are few however many rows
+    per = x.groupBy(*group, "__len").agg(F.count(F.lit(1)).alias("__n"))
+    w = W.partitionBy(*group).orderBy("__len")
+    per = per.withColumn("__eps", length_eps(F.max("__len").over(W.partitionBy(*group)), tagged))
+    per = per.withColumn("__new", F.when(F.col("__len") - F.lag("__len").over(w) > F.col("__eps"), 1).otherwise(0))
+    per = per.withColumn("cluster", (1 + F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).cast("long"))
+    per = per.withColumn("__all", F.sum("__n").over(W.partitionBy(*group, "cluster"))).where(F.col("__all") >= least).select(*group, "__len", "cluster")
+    return x.join(per, [*group, "__len"]).select(row, *group, "cluster")
 
 
 def islands(df: DataFrame, group: list[str], at: str, apart: int, row: str) -> DataFrame:
     """A09 in one dimension: single linkage at distance `apart` is an island of the sorted positions: row, group, island (its first position)."""
-    w = W.partitionBy(*group).orderBy(at, row)
-    x = df.withColumn("__first", F.when((F.col(at) - F.lag(at).over(w) > apart) | F.lag(at).over(w).isNull(), F.col(at)))
-    return x.select(row, *group, F.last("__first", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("island"))
+    x = df.where(F.col(at).isNotNull()).select(row, *group, F.col(at).alias("__at"), (F.col(at) + apart).alias("__to"))
+    return island_starts(x, group, "__at", "__to", "island").select(row, *group, "island")
 
 
 def evidence(df: DataFrame, group: list[str], kind: dict[str, Column], template: str, coverage: str | None = None) -> DataFrame:

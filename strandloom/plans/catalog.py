@@ -351,26 +351,27 @@ def span_position_pairs(spark, sf):
     return p.select("a", "b", geo.alike_spans(*s, 100, 0.8, True).alias("long_rule"), geo.alike_spans(*s, 100, 0.3, False).alias("pair_rule"), geo.alike_spans_fixed(*s).alias("fixed_rule"), geo.alike_spans_filter(*s).alias("filter_rule"))
 
 
-_MERGED = """o AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT chrom, s, e FROM u)),
+_MERGED = """o AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT chrom, greatest(0, s - 200000) AS s, e + 200000 AS e FROM u)),
 i AS (SELECT chrom, s, e, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), reg AS (SELECT chrom AS rc, min(s) AS rs, max(e) AS re FROM i GROUP BY chrom, g)"""
 
 
 @query("J08 S03 F10", f"WITH {_SITES}, {_MERGED}, {_C} SELECT call_id FROM c WHERE EXISTS (SELECT 1 FROM reg WHERE rc = chrom AND rs <= pos AND pos <= re)")
 def region_semi(spark, sf):
-    reg = intervals.merge_intervals(sites(spark, sf), ["chrom"], "s", "e").select(F.col("chrom").alias("rc"), F.col("s").alias("rs"), F.col("e").alias("re"))
-    return intervals.range_join(calls(spark, sf), reg, [("chrom", "rc")], ("pos", "pos"), ("rs", "re"), 8192, "left_semi").select("call_id")
+    reg = intervals.merge_intervals(sites(spark, sf), ["chrom"], "s", "e", pad=200_000).select(F.col("chrom").alias("rc"), F.col("s").alias("rs"), F.col("e").alias("re"))
+    return intervals.range_join(calls(spark, sf), reg, [("chrom", "rc")], ("pos", "pos"), ("rs", "re"), 1 << 17, "left_semi").select("call_id")
 
 
 @query("J12 F09 F13", f"WITH {_SITES}, {_MERGED}, {_C} SELECT call_id FROM c WHERE NOT EXISTS (SELECT 1 FROM reg WHERE rc = chrom AND rs <= pos AND pos <= re)")
 def region_anti(spark, sf):
-    reg = intervals.merge_intervals(sites(spark, sf), ["chrom"], "s", "e").select(F.col("chrom").alias("rc"), F.col("s").alias("rs"), F.col("e").alias("re"))
-    return intervals.range_join(calls(spark, sf), reg, [("chrom", "rc")], ("pos", "pos"), ("rs", "re"), 8192, "left_anti").select("call_id")
+    reg = intervals.merge_intervals(sites(spark, sf), ["chrom"], "s", "e", pad=200_000).select(F.col("chrom").alias("rc"), F.col("s").alias("rs"), F.col("e").alias("re"))
+    return intervals.range_join(calls(spark, sf), reg, [("chrom", "rc")], ("pos", "pos"), ("rs", "re"), 1 << 17, "left_anti").select("call_id")
 
 
 @query("J19 J20", f"""WITH {_SITES}, {_MERGED}, {_C}, k AS (SELECT call_id, chrom, chr2, a.rs AS ra, b.rs AS rb FROM c LEFT JOIN reg a ON a.rc = chrom AND a.rs <= pos AND pos <= a.re LEFT JOIN reg b ON b.rc = chr2 AND b.rs <= end_pos AND end_pos <= b.re)
 SELECT call_id, CASE WHEN ra IS NULL AND rb IS NULL THEN 'extra-regional' WHEN ra IS NULL OR rb IS NULL THEN 'hemi-regional' WHEN chrom = chr2 AND ra = rb THEN 'intra_regional' ELSE 'inter-regional' END AS kind, ra IS NULL AND rb IS NOT NULL AS switched FROM k""")
 def kind_label(spark, sf):
-    return intervals.region_label(calls(spark, sf), sites(spark, sf).select("chrom", "s", "e"), ["call_id"], "chrom", "pos", "chr2", "end_pos", ("chrom", "s", "e"))
+    reg = sites(spark, sf).select("chrom", F.greatest(F.lit(0), F.col("s") - 200_000).alias("s"), (F.col("e") + 200_000).alias("e"))
+    return intervals.region_label(calls(spark, sf), reg, ["call_id"], "chrom", "pos", "chr2", "end_pos", ("chrom", "s", "e"))
 
 
 @query("J17", f"""WITH {_C} SELECT call_id, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) - 1 AS neigh, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) - 1 AS neigh10 FROM c""")
@@ -720,7 +721,7 @@ def contig_repeats(spark, sf):
     return c.select("rec_id", F.round(u["repeat_score"]("contig"), 6).alias("repeat"), F.round(u["packed_percent"]("contig"), 6).alias("packed"), u["repeat_motif"]("contig").alias("motif"), u["repeat_bases"]("contig").alias("motif_bases"))
 
 
-@query("J10 J11 X19 X21")
+@query("J10 J11 X19 X20 X21 M03")
 def contig_pair_match(spark, sf):
     """Contigs of calls within 150 bases that share minimizers, aligned: cheap join first, alignment on what is left."""
     from ..functions.sequence import udfs
@@ -781,12 +782,11 @@ def table_samples(spark, sf):
     return m.groupBy("table_name").agg(F.count_distinct("sample_name").alias("n_samples"), F.min("sample_name").alias("first_sample"), F.count_distinct("row_id").alias("n"))
 
 
-@query("W06", f"""WITH {_C}, o AS (SELECT call_id, chrom, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, call_id) > 1000 THEN 1 ELSE 0 END AS cut FROM c), b AS (SELECT chrom, call_id, sum(cut) OVER (PARTITION BY chrom ORDER BY pos, call_id ROWS UNBOUNDED PRECEDING) AS blob FROM o) SELECT chrom, CAST(blob AS BIGINT) AS blob, count(*) AS n, min(call_id) AS first_call FROM b GROUP BY chrom, blob""")
+@query("W06", f"""WITH {_C}, o AS (SELECT call_id, chrom, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, call_id) > 1000 THEN 1 ELSE 0 END AS cut FROM c), b AS (SELECT chrom, pos, call_id, sum(cut) OVER (PARTITION BY chrom ORDER BY pos, call_id ROWS UNBOUNDED PRECEDING) AS blob FROM o) SELECT chrom, min(pos) AS first_pos, count(*) AS n, min(call_id) AS first_call FROM b GROUP BY chrom, blob""")
 def safe_shards(spark, sf):
-    w = W.partitionBy("chrom").orderBy("pos", "call_id")
-    c = calls(spark, sf).select("call_id", "chrom", "pos").withColumn("cut", F.when(F.col("pos") - F.lag("pos").over(w) > 1000, 1).otherwise(0))
-    b = c.withColumn("blob", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return b.groupBy("chrom", "blob").agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("first_call"))
+    c = calls(spark, sf).select("call_id", "chrom", F.col("pos").alias("s"), (F.col("pos") + 1000).alias("e"))
+    b = intervals.island_starts(c, ["chrom"], "s", "e", "first_pos")
+    return b.groupBy("chrom", "first_pos").agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("first_call"))
 
 
 @query("J23")
@@ -875,3 +875,120 @@ def scored_calls(spark, sf):
     s = Scorer(weights={"su": 0.18})
     c = calls(spark, sf)
     return c.withColumn("score", s.prob(c)).select("call_id", "score", s.label(F.col("score"), F.coalesce("svtype", F.lit(""))).alias("label"))
+
+
+@query("K07 S02", f"WITH {_R}, {_S} SELECT count(*) AS n_reads, CAST(sum({_ALIGNED}) AS BIGINT) AS n_aligned_bases FROM s")
+def run_figures(spark, sf):
+    return sink.run_figures(spans(spark, sf), cg.aligned_bases("cigar"))
+
+
+@query("X13 X27", f"""WITH {_C}, v AS (SELECT DISTINCT rec_id, alt FROM vcf_records WHERE regexp_matches(alt, '^[ACGTN]+$')), j AS (SELECT call_id, svtype, pos, svlen, alt FROM c JOIN v ON call_id = rec_id)
+SELECT call_id, CASE WHEN svtype = 'INS' THEN pos + 1 ELSE pos + svlen END AS end_in_read, CASE WHEN svtype = 'DEL' AND svlen < 50000 AND length(alt) > 1 THEN alt ELSE alt[1] END AS ref_allele,
+CASE WHEN svtype = 'DEL' AND svlen < 50000 AND length(alt) > 1 THEN alt[1] ELSE '<' || svtype || '>' END AS alt_allele FROM j WHERE svtype IS NOT NULL AND svlen IS NOT NULL""")
+def literal_alleles(spark, sf):
+    """REF and ALT written out or symbolic, and the end an event has inside a read."""
+    from ..operators.calling import reference_allele
+
+    v = table(spark, sf, "vcf_records").select(F.col("rec_id").alias("call_id"), F.col("alt").alias("bases")).where(F.col("bases").rlike("^[ACGTN]+$")).dropDuplicates(["call_id"])
+    c = calls(spark, sf).where("svtype is not null and svlen is not null").join(v, "call_id")
+    ref, alt = reference_allele(F.col("svtype"), F.col("bases"), F.col("svlen"))
+    return c.select("call_id", cg.end_position("svtype", "pos", "svlen").alias("end_in_read"), ref.alias("ref_allele"), alt.alias("alt_allele"))
+
+
+@query("X14", """SELECT rec_id, substring(alt, greatest(0, length(alt) // 2 - 5) + 1, least(length(alt), length(alt) // 2 + 5) - greatest(0, length(alt) // 2 - 5)) AS part FROM (SELECT DISTINCT rec_id, alt FROM vcf_records) WHERE regexp_matches(alt, '^[ACGTNacgtn]+$')""")
+def around_middle(spark, sf):
+    from ..operators.calling import around_event
+
+    v = table(spark, sf, "vcf_records").select("rec_id", "alt").dropDuplicates(["rec_id"]).where(F.col("alt").rlike("^[ACGTNacgtn]+$"))
+    return v.select("rec_id", around_event(F.col("alt"), F.expr("cast(length(alt) div 2 as int)"), 5).alias("part"))
+
+
+@query("J26 X12", f"""WITH {_R}, {_SIDES}, {_PICK}, j AS (SELECT pp.qname, a.rname AS ca, b.rname AS cb, a.flag AS fa, b.flag AS fb, a.pos AS pa, a.stop AS ea, a.lc AS la, a.rc AS ra, b.pos AS pb, b.stop AS eb FROM pp JOIN sd a ON a.read_id = pp.a JOIN sd b ON b.read_id = pp.b)
+SELECT qname, fa & 1 <> 0 AND fa & 8 = 0 AND ca = cb AND fa & 64 = fb & 64 AND greatest(pa, pb) <= least(ea, eb) AS overlaps, CAST(CASE WHEN (ra > la OR (ra = la AND pa <= pb)) AND ra > 0 THEN 0 ELSE la END AS INTEGER) AS left_kept,
+CAST(CASE WHEN NOT (ra > la OR (ra = la AND pa <= pb)) AND la > 0 THEN 0 ELSE ra END AS INTEGER) AS right_kept FROM j""")
+def mate_overlap(spark, sf):
+    """Whether the pair of a template overlaps itself, and the one clip of its first side that is kept."""
+    from ..functions import labels
+    from ..operators import calling
+
+    r = reads(spark, sf, "qname", "flag", "pos", "rname", "cigar")
+    s = r.select("read_id", "rname", "flag", labels.side().alias("side"))
+    p = calling.informative_pairs(r, "qname", "read_id")
+    a = s.select(F.col("read_id").alias("a"), F.col("rname").alias("ca"), F.col("flag").alias("fa"), F.col("side").alias("sa"))
+    b = s.select(F.col("read_id").alias("b"), F.col("rname").alias("cb"), F.col("flag").alias("fb"), F.col("side").alias("sb"))
+    j = p.join(a, "a").join(b, "b")
+    kept, _ = labels.masked_clips(F.col("sa"), F.col("sb"))
+    return j.select("qname", labels.overlaps_mate(*(F.col(x) for x in ("sa", "sb", "ca", "cb", "fa", "fb"))).alias("overlaps"), kept["left"].alias("left_kept"), kept["right"].alias("right_kept"))
+
+
+@query("S09 P04", f"""WITH v AS (SELECT DISTINCT rec_id, chrom, pos, filt, info FROM vcf_records), t AS (SELECT rec_id, chrom, pos - 1 AS pos, filt, {_ITEM('SVTYPE', 8)} AS svtype, TRY_CAST({_ITEM('END', 5)} AS BIGINT) - 1 AS e, TRY_CAST({_ITEM('SVLEN', 7)} AS BIGINT) AS svlen, TRY_CAST({_ITEM('MeanPROB', 10)} AS DOUBLE) AS p FROM v WHERE filt = 'PASS')
+SELECT rec_id, chrom, least(pos, coalesce(e, pos)) AS start_pos, greatest(pos, coalesce(e, pos)) AS end_pos, CASE WHEN starts_with(upper(svtype), 'DUP') THEN 'DUP' ELSE upper(svtype) END AS svtype, abs(svlen) AS svlen, coalesce(p, 0.6) AS prob FROM t""")
+def site_list(spark, sf):
+    """Records that pass, as a list of sites on their own chromosome."""
+    v = table(spark, sf, "vcf_records").select("rec_id", "chrom", "pos", "filt", "info").dropDuplicates(["rec_id"])
+    t = vcf.typed(v.where("filt = 'PASS'"), "info", keys=["SVTYPE", "END", "SVLEN", "MeanPROB"]).withColumn("svtype", F.nullif("svtype", F.lit("")))
+    e = t.select(F.col("rec_id").alias("id"), "chrom", F.col("chrom").alias("chr2"), (F.col("pos") - 1).alias("pos"), F.coalesce(F.col("end_pos") - 1, F.col("pos") - 1).alias("end_pos"), gtp.event_type("svtype", "chrom", "chrom").alias("svtype"), "svlen", "filt", "mean_prob", F.lit(None).cast("double").alias("prob"))
+    s = vcf.sites_of(e)
+    return s.select(F.col("id").alias("rec_id"), "chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "svtype", "svlen", "prob")
+
+
+@query("G05")
+def forbidden_cuts(spark, sf):
+    """Links between calls of like events, cut so that no two calls of one sample stay together in a small component."""
+    e = _merge_pairs(spark, sf)
+    comp = graph.connected_components(e)
+    s = calls(spark, sf).select("call_id", "sample_name").join(comp, F.col("call_id") == F.col("node"))
+    w = W.partitionBy("component", "sample_name").orderBy("node")
+    banned = s.select(F.lag("node").over(w).alias("src"), F.col("node").alias("dst")).where("src is not null")
+    return graph.cut_forbidden(e, banned)
+
+
+@query("G07 X22")
+def cluster_consensus(spark, sf):
+    """Consensus of the contigs of records that share minimizers at one place; components of over 200 contigs are left to their longest contig."""
+    import pandas as pd
+
+    from ..functions.sequence import consensus
+
+    comp = graph.connected_components(minimizer_pairs(spark, sf))
+    c = _contigs(spark, sf).join(comp, F.col("rec_id") == F.col("node")).select("component", "contig")
+    n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("contig"), "contig")).alias("top"))
+    small = c.join(n.where("n <= 200").select("component"), "component")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "n": [len(pdf)], "consensus": [consensus(pdf.contig.tolist())]})
+
+    done = small.groupBy("component").applyInPandas(run, "component long, n long, consensus string")
+    return done.unionByName(n.where("n > 200").select("component", "n", F.col("top.contig").alias("consensus")))
+
+
+@query("W09 M03")
+def gap_extension(spark, sf):
+    """Length of the longest in-read gap of each read with its neighbouring gaps added."""
+    import pandas as pd
+
+    from ..functions.sequence import gap_upper_bound
+
+    @F.pandas_udf("long")
+    def bound(starts: pd.Series, lens: pd.Series) -> pd.Series:
+        return pd.Series([gap_upper_bound(list(zip(s.tolist(), n.tolist())), int(n.argmax()), 3) for s, n in zip(starts, lens)])
+
+    r = reads(spark, sf, "cigar", "pos").where(F.col("cigar").rlike("[ID]"))
+    g = F.filter(cg.walk("cigar", "pos"), lambda x: x["op"].isin("I", "D"))
+    x = r.select("read_id", g.alias("g")).select("read_id", F.transform("g", lambda x: x["ref_start"]).alias("s"), F.transform("g", lambda x: x["len"].cast("long")).alias("n"))
+    return x.select("read_id", F.array_max("n").alias("longest"), bound("s", "n").alias("extended"))
+
+
+@query("A14", f"""WITH {_R}, {_S}, {_T}, {_C}, w AS (SELECT call_id, svtype, chrom, least(pos, end_pos) AS a, greatest(pos, end_pos) AS b FROM c WHERE chrom = chr2 AND svtype IN ('DEL', 'DUP', 'INV')),
+i AS (SELECT call_id, svtype, max(b // 10) - max(a // 10) + 1 AS n, sum((least(b // 10, to_bin - 1) - greatest(a // 10, bin) + 1) * depth) AS s FROM w LEFT JOIN t ON chrom = rname AND bin <= b // 10 AND to_bin > a // 10 GROUP BY 1, 2),
+o AS (SELECT call_id, sum((least((b + 1000) // 10, to_bin - 1) - greatest((greatest(0, a - 1000)) // 10, bin) + 1) * depth) AS s, max((b + 1000) // 10) - max((greatest(0, a - 1000)) // 10) + 1 AS n FROM w LEFT JOIN t ON chrom = rname AND bin <= (b + 1000) // 10 AND to_bin > (greatest(0, a - 1000)) // 10 GROUP BY 1)
+SELECT i.call_id, round(coalesce(i.s, 0) / i.n, 9) AS inner_cn, round(coalesce(o.s, 0) / o.n, 9) AS outer_cn, round(CASE WHEN svtype = 'DEL' AND coalesce(o.s, 0) > 0 THEN coalesce(i.s, 0) / i.n / (o.s / o.n) WHEN svtype <> 'DEL' AND coalesce(i.s, 0) > 0 THEN coalesce(o.s, 0) / o.n / (i.s / i.n) ELSE 0 END, 9) AS fold_change FROM i JOIN o ON i.call_id = o.call_id""")
+def fold_change(spark, sf):
+    """Depth inside an event and with 1,000 bases around it, and what the event changes."""
+    c = calls(spark, sf).where("chrom = chr2 and svtype in ('DEL', 'DUP', 'INV')").select("call_id", "svtype", "chrom", F.least("pos", "end_pos").alias("a"), F.greatest("pos", "end_pos").alias("b"))
+    t = depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom")
+    c = c.withColumn("b1", F.col("b") + 1).withColumn("lo", F.greatest(F.lit(0), F.col("a") - 1000)).withColumn("hi", F.col("b") + 1001)
+    i = depth.window_depth(c, t, "chrom", ["call_id"], "a", "b1").select("call_id", F.col("mean_depth").alias("inner_cn"))
+    o = depth.window_depth(c, t, "chrom", ["call_id"], "lo", "hi").select("call_id", F.col("mean_depth").alias("outer_cn"))
+    x = c.select("call_id", "svtype").join(i, "call_id").join(o, "call_id").withColumn("fold_change", depth.fold_change("inner_cn", "outer_cn", "svtype"))
+    return x.select("call_id", *(F.round(n, 9).alias(n) for n in ("inner_cn", "outer_cn", "fold_change")))
