@@ -4,8 +4,8 @@ Two item sets of a and b items with similarity (shared over all) of at least t d
 d = (a + b)(1 - t)/(1 + t) items. If the universe of items is cut into more than d blocks, the two sets agree wholly in
 at least one block (pigeonhole). So each set is fingerprinted per block, sets are joined on equal block fingerprints, the
 Hamming distance of 32-bit parity fingerprints (never above the number of differing items) discards most candidates,
-and the rest are verified exactly. Blocks are balanced by how much the items under a key tell: keys are ranked
-by distinct values and dealt out to the blocks, so no block is left with common items only. Balance changes the speed, never the result.
+and the rest are verified exactly. Blocks are balanced by how much the items under a key tell, so that none is left with
+common items only, and the more sets there are the more blocks a signature joins (see Blocks). Both change the speed, never the result.
 
 Exact copies are one class and are compared once. Buckets with many classes are parted again, exactly: sets that are
 alike share one of their first items in any fixed order, so such buckets are joined on that item as well.
@@ -13,6 +13,7 @@ alike share one of their first items in any fixed order, so such buckets are joi
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ THRESHOLD = (4, 5)
 #: Keys ranked for balancing the blocks, and classes in a bucket from which it is parted again.
 RANKED_KEYS = 256
 HOT = 64
+#: Most blocks of which several are joined in a signature.
+MOST_JOINED = 40
 #: An item is coded as its key's rank (11 bits) above 52 bits of its hash; codes of one set ascend from the most telling key.
 _RANKS, _BITS = 2048, 52
 
@@ -39,18 +42,59 @@ def _items(text: Column, sep: str) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-def _key_ranks(items: DataFrame) -> dict[str, int]:
-    """Rank of the item keys (text before =) by distinct values, most telling first; at most RANKED_KEYS of them."""
+class Blocks:
+    """How item keys are dealt out to blocks, and how many blocks a signature joins.
+
+    A key (text before =) tells as many bits as make two random sets agree on it with chance 2^-bits, absence included. Keys
+    are known by rank, most telling first; each goes to the block that tells least so far. If d differences are allowed,
+    the universe is cut into d + c blocks, of which at least c agree; a signature is one choice of c blocks. c is what makes
+    signatures and chance meetings together fewest for the number of sets, so meetings stay in proportion as sets grow.
+    """
+
+    def __init__(self, bits: list[float]) -> None:
+        self.bits, self.join, self.tables = bits, 1, {}
+
+    def deal(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Block of each rank, bits of each block."""
+        if k not in self.tables:
+            block, load = np.arange(_RANKS) % k, np.zeros(k)
+            for r, b in enumerate(self.bits):
+                block[r] = int(load.argmin())
+                load[block[r]] += b
+            self.tables[k] = block, load
+        return self.tables[k]
+
+    def choices(self, d: int) -> np.ndarray:
+        """The choices of blocks for d allowed differences, one per row. Very large sets use single blocks."""
+        c = self.join if d + self.join <= MOST_JOINED else 1
+        return np.array(list(itertools.combinations(range(d + c), c)), np.int64).reshape(-1, c)
+
+    def settle(self, sets: int, d: int) -> None:
+        """Choose c for this many sets with d usual differences."""
+        cost = {}
+        for c in (1, 2, 3):
+            self.join = c
+            rows = self.choices(d)
+            meet = np.exp2(-self.deal(d + c)[1][rows].sum(1)).sum() if d + c <= MOST_JOINED else np.inf
+            cost[c] = len(rows) + sets / 2 * meet
+        self.join = min(cost, key=cost.get)
+
+
+def _key_bits(items: DataFrame) -> tuple[dict[str, int], Blocks]:
+    """Ranks of at most RANKED_KEYS item keys, and their bits, from counts over all rows."""
     keys = items.select(F.explode("items").alias("i")).select(F.substring_index("i", "=", 1).alias("k"), "i")
-    top = keys.groupBy("k").agg(F.approx_count_distinct("i", 0.1).alias("n")).orderBy(F.desc("n"), "k").limit(RANKED_KEYS).collect()
-    return {r["k"]: i for i, r in enumerate(top)}
+    top = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("i", 0.1).alias("v")).orderBy(F.desc("v"), "k").limit(RANKED_KEYS).collect()
+    most = max((r["n"] for r in top), default=1)
+    tell = {r["k"]: -math.log2(max(1e-12, (r["n"] / most) ** 2 / max(1, r["v"]) + (1 - r["n"] / most) ** 2)) for r in top}
+    order = sorted(tell, key=lambda k: (-tell[k], k))
+    return {k: i for i, k in enumerate(order)}, Blocks([tell[k] for k in order])
 
 
-def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> DataFrame:
-    """record, key (16 bytes, equal for equal sets), codes (sorted) of the distinct trimmed non-empty parts of text, row by row. Null and empty texts have none."""
+def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> tuple[DataFrame, Blocks]:
+    """(sets, blocks); sets: record, key (16 bytes, equal for equal sets), codes (sorted) of the distinct trimmed non-empty parts of text, row by row. Null and empty texts have none."""
     rows = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text")).where("record is not null and text is not null")
     sets = rows.select("record", _items(F.col("text"), sep).alias("items")).where(F.size("items") > 0)
-    ranks = _key_ranks(sets)
+    ranks, blocks = _key_bits(sets)
     known = F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)) if ranks else F.create_map(F.lit(""), F.lit(0))
 
     def code(x: Column) -> Column:
@@ -58,7 +102,7 @@ def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> DataFram
         rank = F.coalesce(F.try_element_at(known, k), F.lit(RANKED_KEYS) + F.pmod(F.xxhash64(k), F.lit(_RANKS - RANKED_KEYS)).cast("int"))
         return F.shiftleft(rank.cast("long"), _BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 64 - _BITS))
 
-    return sets.select("record", F.unhex(F.md5(F.array_join(F.array_sort("items"), "\n"))).alias("key"), F.array_sort(F.transform("items", code)).alias("codes"))
+    return sets.select("record", F.unhex(F.md5(F.array_join(F.array_sort("items"), "\n"))).alias("key"), F.array_sort(F.transform("items", code)).alias("codes")), blocks
 
 
 def members_of(sets: DataFrame) -> DataFrame:
@@ -70,12 +114,12 @@ def _ladder(x: int) -> int:
     return 1 << max(0, math.ceil(math.log2(x)))
 
 
-def _signatures(num: int, den: int):
-    """Rows (sig, id, n, k, fp) from (id, codes): one per block of each block count the set may need."""
+def _signatures(num: int, den: int, blocks: Blocks):
+    """Rows (sig, id, n, d, fp) from (id, codes): for each number d of differences the set may need, one per choice of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = lambda m: (m * (den - num)) // (den + num)
-        step = np.vectorize(_ladder, otypes=[np.int64])
+        step = np.vectorize(lambda x: _ladder(x + 1) - 1, otypes=[np.int64])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -84,30 +128,36 @@ def _signatures(num: int, den: int):
             h = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             rank = (h >> np.uint64(_BITS)).astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = _mixed(h)
             fp = np.zeros(len(n), np.uint32)
             np.bitwise_xor.at(fp, row, np.uint32(1) << (mixed >> np.uint64(59)).astype(np.uint32))
-            k_low, k_high = step(far(n + -(-n * num // den)) + 1), step(far(n + n * den // num) + 1)
-            for k in np.union1d(k_low, k_high).tolist():
-                if k == 1:
+            low, high = step(far(n + -(-n * num // den))), step(far(n + n * den // num))
+            for d in np.union1d(low, high).tolist():
+                if d == 0:
                     continue  # no difference allowed: only copies
-                use = (k_low == k) | (k_high == k)
-                pick = use[row]
-                r, x = row[pick], rank[pick]
-                turn, place = x // k, x % k
-                blk = np.where(turn % 2 == 0, place, k - 1 - place)
+                use = (low == d) | (high == d)
+                pick, choice = use[row], blocks.choices(d)
+                k = d + choice.shape[1]
                 sig = np.zeros((len(n), k), np.uint64)
-                np.bitwise_xor.at(sig, (r, blk), mixed[pick])
+                np.bitwise_xor.at(sig, (row[pick], blocks.deal(k)[0][rank[pick]]), mixed[pick])
                 own = np.flatnonzero(use)
-                s = sig[own] * np.uint64(0x9E3779B97F4A7C15) ^ (np.arange(k, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(k))
-                at = np.repeat(own, k)
-                cols = [pa.array(s.ravel().view(np.int64)), ids.take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(fp[at].view(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["sig", "id", "n", "k", "fp"])
+                salted = _mixed(sig[own] + np.arange(k, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(k))
+                for part in range(0, len(own), max(1, 200_000 // len(choice))):
+                    some = slice(part, part + max(1, 200_000 // len(choice)))
+                    s = np.bitwise_xor.reduce(salted[some][:, choice], 2)
+                    at = np.repeat(own[some], len(choice))
+                    cols = [pa.array(s.ravel().view(np.int64)), ids.take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), d, np.int32)), pa.array(fp[at].view(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["sig", "id", "n", "d", "fp"])
 
     return run
 
 
-def alike_classes(sets: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def alike_classes(sets: DataFrame, blocks: Blocks, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """key_a, key_b of every two different sets alike by at least num/den.
 
     Classes are written once under short ids; block signatures are shuffled once by signature to be counted, and those that
@@ -115,10 +165,12 @@ def alike_classes(sets: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD
     """
     classes = materialize(sets.groupBy("key").agg(F.min("codes").alias("codes")).withColumn("id", F.monotonically_increasing_id()))
     coded = classes.select("id", "codes")
-    sigs = coded.mapInArrow(_signatures(num, den), "sig long, id long, n int, k int, fp int")
+    size = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.avg(F.size("codes")), F.lit(1.0)).alias("n")).first()
+    blocks.settle(size["sets"], _ladder(int(2 * size["n"]) * (den - num) // (den + num) + 1) - 1)
+    sigs = coded.mapInArrow(_signatures(num, den, blocks), "sig long, id long, n int, d int, fp int")
     sigs = materialize(sigs.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("m > 1"))
     far = f"(((a.n + b.n) * {den - num}) div {den + num})"
-    near = F.expr(f"a.id < b.id and a.k = b.k and a.n * {num} <= b.n * {den} and b.n * {num} <= a.n * {den} and bit_count(cast(a.fp ^ b.fp as bigint) & 4294967295) <= {far}")
+    near = F.expr(f"a.id < b.id and a.d = b.d and a.n * {num} <= b.n * {den} and b.n * {num} <= a.n * {den} and bit_count(cast(a.fp ^ b.fp as bigint) & 4294967295) <= {far}")
     cool, hot = sigs.where(F.col("m") <= HOT), sigs.where(F.col("m") > HOT)
     pairs = cool.alias("a").join(cool.alias("b"), (F.col("a.sig") == F.col("b.sig")) & near).select("a.id", F.col("b.id").alias("id_b"))
     if not hot.isEmpty():
@@ -136,8 +188,8 @@ def alike_classes(sets: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD
 
 def alike_pairs(df: DataFrame, record: str, text: str, sep: str = ";", num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """record_a < record_b: every two different records alike by at least num/den, copies included. Null and empty texts are never alike."""
-    sets = item_sets(df, record, text, sep)
-    pairs, sets = materialize(alike_classes(sets, num, den)), members_of(sets)
+    sets, blocks = item_sets(df, record, text, sep)
+    pairs, sets = materialize(alike_classes(sets, blocks, num, den)), members_of(sets)
     a, b = sets.select(F.col("key").alias("key_a"), F.col("record").alias("ra")), sets.select(F.col("key").alias("key_b"), F.col("record").alias("rb"))
     across = pairs.join(a, "key_a").join(b, "key_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
     copies = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("ra") < F.col("rb"))).select(F.col("ra").alias("record_a"), F.col("rb").alias("record_b"))
@@ -147,8 +199,8 @@ def alike_pairs(df: DataFrame, record: str, text: str, sep: str = ";", num: int
 def alike_groups(df: DataFrame, record: str, text: str, sep: str = ";", num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """One row per record with a text: record, class_key (of its exact copies), group_id (least class_key linked to it by any
     chain of alike sets), n_copies (records of its class), n_links (other records alike to it, copies included)."""
-    sets = item_sets(df, record, text, sep)
-    pairs = materialize(alike_classes(sets, num, den).select(F.hex("key_a").alias("key_a"), F.hex("key_b").alias("key_b")))
+    sets, blocks = item_sets(df, record, text, sep)
+    pairs = materialize(alike_classes(sets, blocks, num, den).select(F.hex("key_a").alias("key_a"), F.hex("key_b").alias("key_b")))
     sets = members_of(sets).withColumn("key", F.hex("key"))
     sizes = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n_records"))
     both = pairs.unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))

@@ -230,3 +230,21 @@ def test_empty_tables(spark):
     assert chosen.count() == 0 and [r.tokens for r in report.collect()] == [0]
     chosen, report = mix.mix_sources(docs(spark, [(1, "a", "s", "x")]), targets(spark, []))
     assert chosen.count() == 0 and report.count() == 0
+
+
+@pytest.mark.parametrize("join", [1, 2, 3])
+def test_any_number_of_joined_blocks_finds_the_same(spark, monkeypatch, join):
+    monkeypatch.setattr(neardup.Blocks, "settle", lambda self, sets, d: setattr(self, "join", join))
+    rows = some_rows(join + 20, 50)
+    got = {tuple(r) for r in neardup.alike_pairs(spark.createDataFrame(rows, "rec long, info string"), "rec", "info").collect()}
+    assert got == alike(rows)
+
+
+def test_more_sets_join_more_blocks():
+    bits = [17, 17, 13, 12, 10, 6, 6, 5, 5, 4, 4, 4, 3, 3, 2, 2, 2, 2, 1, 1]
+    joins = []
+    for sets in (10**3, 10**6, 10**9, 10**12):
+        b = neardup.Blocks(bits)
+        b.settle(sets, 7)
+        joins.append(b.join)
+    assert joins == sorted(joins) and joins[0] == 1 and joins[-1] == 3
