@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -946,8 +947,6 @@ def forbidden_cuts(spark, sf):
 @query("G07 X22")
 def cluster_consensus(spark, sf):
     """Consensus of the contigs of records that share minimizers at one place; components of over 200 contigs are left to their longest contig."""
-    import pandas as pd
-
     from ..functions.sequence import consensus
 
     comp = graph.connected_components(minimizer_pairs(spark, sf))
@@ -965,8 +964,6 @@ def cluster_consensus(spark, sf):
 @query("W09 M03")
 def gap_extension(spark, sf):
     """Length of the longest in-read gap of each read with its neighbouring gaps added."""
-    import pandas as pd
-
     from ..functions.sequence import gap_upper_bound
 
     @F.pandas_udf("long")

@@ -24,9 +24,10 @@ def test_live_periods_end_where_the_batch_operator_ends(spark, sf, tmp_path):
     assert want <= last and all(any(e == w[0] and w[1] <= a and b <= w[2] for w in want) for e, a, b in last)
 
 
-def test_windows_and_sessions(spark, sf):
+def test_windows_and_sessions(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet")
+    e.write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
     got = run(spark, windowed_counts(stream, "ts", "event_type", size="1 day"), "win", "complete").groupBy().sum("n").first()[0]
     assert got == e.count()
     n = run(spark, sessions(stream, "ts", "user_id"), "ses", "complete")
