@@ -18,7 +18,7 @@ def _c(x: Column | str) -> Column:
 def parse(cigar: Column | str) -> Column:
     """ARRAY<STRUCT<len INT, op STRING>>; null, empty and * give an empty array."""
     each = F.regexp_extract_all(F.coalesce(_c(cigar), F.lit("")), F.lit("\\d+[MIDNSHP=X]"), F.lit(0))
-    return F.transform(each, lambda x: F.struct(F.expr("cast(1 as int)") * F.regexp_extract(x, "\\d+", 0).cast("int"), F.right(x, F.lit(1))).cast("struct<len:int,op:string>"))
+    return F.transform(each, lambda x: F.struct(F.regexp_extract(x, "\\d+", 0).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
 
 
 def op_count(cigar: Column | str) -> Column:

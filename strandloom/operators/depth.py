@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .intervals import range_join
+from .intervals import asof_join, range_join
 
 BIN = 10
 SATURATED = 32_000
@@ -45,13 +45,10 @@ def median_of_nonzero(track: DataFrame, key: str) -> DataFrame:
 
 def depth_at(points: DataFrame, track: DataFrame, key: str, at: str, bin_size: int = BIN) -> DataFrame:
     """points with column depth, the depth of the bin they lie in (0 where none), by an as-of step over the union of both."""
-    bin_ = F.floor(F.col(at) / bin_size)
-    w = W.partitionBy("__k").orderBy("__b", "__side").rowsBetween(W.unboundedPreceding, 0)
-    cols = points.columns
-    p = points.select(F.col(key).alias("__k"), bin_.alias("__b"), F.lit(1).alias("__side"), F.struct(*cols).alias("__row"), F.lit(None).cast("struct<to:bigint,depth:bigint>").alias("__run"))
-    t = track.select(F.col(key).alias("__k"), F.col("bin").alias("__b"), F.lit(0).alias("__side"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.struct(F.col("to_bin").cast("long").alias("to"), F.col("depth").cast("long").alias("depth")).alias("__run"))
-    x = p.unionByName(t).withColumn("__last", F.last("__run", ignorenulls=True).over(w)).where("__side = 1")
-    return x.select("__row.*", F.when(F.col("__last.to") > F.col("__b"), F.col("__last.depth")).otherwise(F.lit(0)).cast("long").alias("depth"))
+    p = points.withColumn("__b", F.floor(F.col(at) / bin_size))
+    t = track.select(F.col(key), F.col("bin").alias("__b"), "to_bin", "depth")
+    x = asof_join(p, t, [key], "__b", ["to_bin", "depth"])
+    return x.select(*points.columns, F.when(F.col("last_to_bin") > F.col("__b"), F.col("last_depth")).otherwise(F.lit(0)).cast("long").alias("depth"))
 
 
 def window_depth(windows: DataFrame, track: DataFrame, key: str, row: list[str], lo: str, hi: str, bin_size: int = BIN) -> DataFrame:

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast  # noqa: F401  (re-exported for callers that tag lines)
 from .blocked import blocked_lag
 
 #: Bits of the JSON types; a file's type is the fold of the bits of its lines.

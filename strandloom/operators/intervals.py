@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .blocked import count_within, island_starts
+from .blocked import count_within, island_starts, with_carry
 
 
 def _c(x: Column | str) -> Column:
@@ -84,16 +85,24 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     return best.select(*row, F.col("__best.o").alias(other), F.col("__best.d").alias("distance"), *(F.col(f"__best.{c}") for c in right.columns if c != other and c not in row))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: list[str]) -> DataFrame:
-    """Each row of left with the columns `value` of the last row of right at or before it on equal keys (ties within right:
-    the greatest value), by one sort of the union: no pair is ever made."""
-    cols = [c for c in left.columns]
-    v = F.struct(*(F.col(c) for c in value))
-    r = right.groupBy(*keys, at).agg(F.max(v).alias("__v")).select(*keys, at, F.lit(0).alias("__side"), "__v", *(F.lit(None).cast(left.schema[c].dataType).alias(f"__c_{c}") for c in cols))
-    l = left.select(*keys, at, F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), *(F.col(c).alias(f"__c_{c}") for c in cols))  # noqa: E741
-    w = W.partitionBy(*keys).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select(*(F.col(f"__c_{c}").alias(c) for c in cols), *(F.col(f"__last.{c}").alias(f"last_{c}") for c in value))
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: list[str], width: int | None = None) -> DataFrame:
+    """Each row of left with the columns last_<value> of the last row of right at or before it on equal keys (ties within right: the
+    greatest value), by one sort of the union: no pair is ever made.
+
+    The union is cut into blocks of `width` (positions; microseconds for times); a block takes the last value of the blocks before
+    from one row per block, so no window holds all rows of a key.
+    """
+    cols = list(left.columns)
+    timed = isinstance(left.schema[at].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    place = F.unix_micros(F.col(at).cast("timestamp")) if timed else F.col(at).cast("long")
+    width = width or (86_400_000_000 if timed else 1 << 20)
+    r = right.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.max(F.struct(*(F.col(c) for c in value))).alias("__v")).select(*keys, at, F.lit(0).alias("__side"), F.struct(at, "__v").alias("__r"), *(F.lit(None).cast(left.schema[c].dataType).alias(f"__c_{c}") for c in cols))
+    mine = left.select(*keys, at, F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), *(F.col(c).alias(f"__c_{c}") for c in cols))
+    both = r.unionByName(mine).withColumn("__blk", F.floor(place / F.lit(width)))
+    both = with_carry(both, keys, "__blk", F.max("__r"), "__carry")
+    w = W.partitionBy(*keys, "__blk").orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("__last", F.coalesce(F.last("__r", ignorenulls=True).over(w), "__carry")).where("__side = 1")
+    return both.select(*(F.col(f"__c_{c}").alias(c) for c in cols), *(F.col(f"__last.__v.{c}").alias(f"last_{c}") for c in value))
 
 
 def count_near(df: DataFrame, keys: list[str], at: str, before: int, after: int, out: str, own: bool = True) -> DataFrame:

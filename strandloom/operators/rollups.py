@@ -122,7 +122,7 @@ def quality_ratio(df: DataFrame, group: list[str], place: str, quality: str) ->
     return x.select(*group, F.when((F.col("n") < 2) | (F.col("a") == 0), F.lit(-1.0)).otherwise(F.col("p") / F.col("a")).alias("ratio"))
 
 
-def fix_neighbours(df: DataFrame, keys: list[str], order: list[str], alike_before: Column, alike_after: Column, gt: str) -> DataFrame:
+def fix_neighbours(df: DataFrame, alike_before: Column, alike_after: Column, gt: str) -> DataFrame:
     """Homozygous calls next to an alike call are heterozygous: 1/1 becomes 0/1 where either neighbour is alike. The two
-    conditions may use lag and lead over the given order; genotypes only go down, so one pass is enough."""
+    conditions use lag and lead over the order of the calls; genotypes only go down, so one pass is enough."""
     return df.withColumn("fixed_gt", F.when((F.col(gt) == "1/1") & (F.coalesce(alike_before, F.lit(False)) | F.coalesce(alike_after, F.lit(False))), "0/1").otherwise(F.col(gt)))

@@ -537,7 +537,7 @@ def gt_adjacent_fix(spark, sf):
         long = (F.abs(e - p) > 0) & (F.abs(F.col("end_pos") - F.col("pos")) > 0) & geo.reciprocal("pos", "end_pos", p, e, 0.8)
         return (t == F.col("svtype")) & (((F.col("svtype") == "INS") & (p == F.col("pos"))) | (F.col("svtype").isin("DEL", "DUP", "INV") & long))
 
-    return rollups.fix_neighbours(c, ["sample_name", "chrom"], ["pos"], alike(F.lag), alike(F.lead), "gt").select("call_id", "fixed_gt")
+    return rollups.fix_neighbours(c, alike(F.lag), alike(F.lead), "gt").select("call_id", "fixed_gt")
 
 
 @query("W08 A20", f"""WITH {_C}, k AS (SELECT chrom, svtype, call_id, prob, row_number() OVER (PARTITION BY chrom, svtype ORDER BY prob DESC NULLS LAST, call_id) AS n FROM c WHERE svtype IS NOT NULL) SELECT chrom, svtype, call_id FROM k WHERE n = 1""")

@@ -153,6 +153,31 @@ def genotype_sites(events: DataFrame, sites: DataFrame, opt: Options = Options()
     return e.unionByName(blank, allowMissingColumns=True)
 
 
+def events_of_vcf(spark: SparkSession, path: str | list[str], target: str | None = None) -> DataFrame:
+    """The events of VCF files in the columns of EVENTS; event_id is the record's number, or a hash where it has none."""
+    e = vcf.read_events(spark, path, target)
+    number = F.coalesce(F.col("id").try_cast("long"), F.xxhash64("id", "chrom", "pos"))
+    return as_events(e.withColumn("event_id", number).withColumn("table_name", F.col("file")).withColumn("svlen", F.abs("svlen")).withColumn("gq", F.col("gq").try_cast("int")))
+
+
+def cohort_lines(events: DataFrame, opt: Options = Options()) -> tuple[DataFrame, list[str]]:
+    """(chrom, pos, line) of a multi-sample VCF of merged events, and its sample names in order.
+
+    Of several events of a sample in one cluster the one with most support is shown; a sample without one shows 0/0. The
+    names are collected: one per input sample.
+    """
+    samples = [r["sample"] for r in events.select("sample").distinct().orderBy("sample").collect()]
+    cohort, member = merge(events, opt)
+    cohort, member = materialize(cohort), materialize(member)
+    own = events.join(member, "event_id").where(F.col("sample").isNotNull())
+    best = rollups.best_per(own, ["cluster", "sample"], [-F.coalesce("su", F.lit(0))], ["event_id"]).select("event_id")
+    wide = sink.multi_sample(own.join(best, "event_id", "left_semi"), ["cluster"], "sample", samples)
+    site = cohort.withColumn("id", F.col("event_id").cast("string")).withColumn("grp", F.col("cluster")).withColumn("prob", F.col("max_prob")).withColumn("filt", F.lit("PASS"))
+    lines = sink.vcf_lines(site.withColumn("cluster", F.col("cluster")), extra=["cluster"])
+    head = F.substring_index("line", "\t", 9)
+    return lines.join(wide, "cluster").select("chrom", "pos", F.concat_ws("\t", head, *(F.col(f"`{s}`") for s in samples)).alias("line")), samples
+
+
 class Engine:
     """The workflows on one session. Options are checked when the engine is made."""
 

@@ -12,7 +12,8 @@ from ..functions.genotype import phred_quality
 FORMAT = ("GT", "GQ", "SU", "WR", "PE", "SR", "SC", "BND", "COV", "PROB")
 ABSENT = ":".join(["0/0"] + ["0"] * (len(FORMAT) - 1))
 FILTERS = {"PASS": "All filters passed", "lowProb": "Probability below the threshold", "normalOverlap": "Overlaps a variant of a normal sample", "normal": "Evidence in normal reads", "lowSupport": "Too few supporting reads", "lowAF": "Low allele fraction", "lowMapQ": "Low mapping quality", "highDivergence": "Region is poorly aligned"}
-_CASTS = {"double": "%.3f"}
+#: INFO keys of a record, the columns they come from, and their VCF type.
+INFO = {"SVTYPE": ("svtype", "String"), "END": ("end_pos1", "Integer"), "CHR2": ("chr2", "String"), "CHR2_POS": ("chr2_pos1", "Integer"), "GRP": ("grp", "Integer"), "NGRP": ("n_in_grp", "Integer"), "CIPOS95": ("cipos95", "Integer"), "CIEND95": ("ciend95", "Integer"), "SVLEN": ("svlen", "Integer"), "SU": ("su", "Integer"), "MeanPROB": ("mean_prob", "Float"), "MaxPROB": ("max_prob", "Float")}
 
 
 def _text(df: DataFrame, name: str, missing: str = ".") -> Column:
@@ -40,21 +41,21 @@ def info_column(df: DataFrame, keys: dict[str, str]) -> Column:
     return F.concat_ws(";", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}="), _text(df, c))) for k, c in keys.items()))
 
 
-def vcf_lines(df: DataFrame) -> DataFrame:
-    """Chrom, pos, line: single-sample records. df: chrom, pos (0-based), chr2, end_pos, svtype, svlen, optional row columns. Sort is left to the writer."""
-    keys = {"SVTYPE": "svtype", "END": "end_pos1", "CHR2": "chr2", "CHR2_POS": "chr2_pos1", "GRP": "grp", "NGRP": "n_in_grp", "CIPOS95": "cipos95", "CIEND95": "ciend95", "SVLEN": "svlen", "SU": "su", "MeanPROB": "mean_prob", "MaxPROB": "max_prob"}
+def vcf_lines(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Chrom, pos, line (and the columns `extra`): single-sample records. df: chrom, pos (0-based), chr2, end_pos, svtype, svlen, optional row columns. Sort is left to the writer."""
     inter = F.col("chrom") != F.col("chr2")
     x = df.withColumn("end_pos1", F.when(inter, F.col("pos") + 1).otherwise(F.col("end_pos") + 1)).withColumn("chr2_pos1", F.when(inter, F.col("end_pos") + 1))
-    info = info_column(x, {k: c for k, c in keys.items() if c in x.columns})
+    info = info_column(x, {k: c for k, (c, _) in INFO.items() if c in x.columns})
     qual = phred_quality("prob").cast("string") if "prob" in df.columns else F.lit(".")
     alt = F.concat(F.lit("<"), F.coalesce("svtype", F.lit("BND")), F.lit(">"))
     line = F.concat_ws("\t", F.col("chrom"), (F.col("pos") + 1).cast("string"), _text(x, "id"), _text(x, "ref_seq", "N"), alt, F.coalesce(qual, F.lit(".")), _text(x, "filt"), F.coalesce(F.nullif(info, F.lit("")), F.lit(".")), F.lit(":".join(FORMAT)), format_column(x))
-    return x.select("chrom", "pos", line.alias("line"))
+    return x.select(*(extra or []), "chrom", "pos", line.alias("line"))
 
 
 def header(samples: list[str], contigs: list[str] = ()) -> list[str]:
     """Header lines."""
     out = ["##fileformat=VCFv4.2", *(f"##contig=<ID={c}>" for c in contigs), *(f'##FILTER=<ID={k},Description="{v}">' for k, v in FILTERS.items())]
+    out += [f'##INFO=<ID={k},Number=1,Type={t},Description="{k}">' for k, (_, t) in INFO.items()]
     kinds = {"GT": "String", "PROB": "Float", "COV": "Float"}
     out += [f'##FORMAT=<ID={k},Number=1,Type={kinds.get(k, "Integer")},Description="{k}">' for k in FORMAT]
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]

@@ -46,7 +46,7 @@ def sam_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named.select("file", F.when(n == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), n.cast("string"))).alias("sample"))
 
 
-def is_paired(reads: DataFrame, group: list[str], n: int | None = None) -> DataFrame:
+def is_paired(reads: DataFrame, group: list[str]) -> DataFrame:
     """Group, paired: whether any read has a proper pair, reverse mate or second-in-pair flag (162) or a mate position."""
     return reads.groupBy(*group).agg(F.bool_or((F.col("flag").bitwiseAND(162) != 0) | (F.coalesce("pnext", F.lit(0)) > 0)).alias("paired"))
 

@@ -188,3 +188,21 @@ def test_fetch_keeps_depth_and_leaves_out_crowded_places(spark, sam):
     r = files.read_sam(spark, sam).withColumn("read_id", F.xxhash64("qname", "flag"))
     e, track = fetch(r, Options.of(max_cov=3))
     assert track.agg(F.max("depth")).first()[0] >= 8 and e.where("qname like 'd%' and flag = 97").count() < 8
+
+
+def test_shell_commands(spark, sam, tmp_path):
+    from strandloom.__main__ import main
+
+    t = str(tmp_path)
+    main(["--set", "min_support=3", "run", sam, f"{t}/a", "--sample", "s1"], spark)
+    main(["--set", "min_support=3", "fetch", sam, f"{t}/st"], spark)
+    main(["--set", "min_support=3", "call", f"{t}/st", f"{t}/b", "--sample", "s2"], spark)
+    a, b = ({(r.svtype, r.pos, r.end_pos) for r in vcf.read_events(spark, f"{t}/{x}").collect()} for x in "ab")
+    assert len(a) == 3 and a == b
+    main(["merge", f"{t}/a", f"{t}/b", f"{t}/m"], spark)
+    rows = vcf.long_samples(vcf.read_vcf(spark, f"{t}/m")).collect()
+    assert {r["sample"] for r in rows} == {"s1", "s2"} and len(rows) == 6 and not any(r.value == sink.ABSENT for r in rows)
+    main(["--overwrite", "filter", f"{t}/a", f"{t}/f", "--normal-vcf", f"{t}/b"], spark)
+    assert vcf.read_events(spark, f"{t}/f").count() < 3
+    with pytest.raises(Exception, match="exists"):
+        main(["filter", f"{t}/a", f"{t}/f", "--normal-vcf", f"{t}/b"], spark)

@@ -194,3 +194,22 @@ def test_canonical_order(spark):
     df = spark.createDataFrame([("c2", "c1", 1, 9, "3to5"), ("c1", "c1", 9, 1, "3to3"), ("c1", "c2", 9, 1, "5to3")], "ca string, cb string, a long, b long, ct string")
     got = [tuple(r) for r in pairs.canonical(df, [("ca", "cb"), ("a", "b")], ("ca", "cb"), ("a", "b"), "ct").collect()]
     assert got == [("c1", "c2", 9, 1, "5to3"), ("c1", "c1", 1, 9, "3to3"), ("c1", "c2", 9, 1, "5to3")]
+
+
+def test_asof_takes_the_last_value_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    left = [(k, int(a), i) for i, (k, a) in enumerate(zip(rng.choice(["x", "y", "z"], 80), rng.integers(0, 500, 80)))]
+    right = [(k, int(a), float(i)) for i, (k, a) in enumerate(zip(rng.choice(["x", "y"], 40), rng.integers(0, 500, 40)))]
+    dl, dr = spark.createDataFrame([(str(k), a, i) for k, a, i in left], "k string, at long, id long"), spark.createDataFrame([(str(k), a, v) for k, a, v in right], "k string, at long, v double")
+    want = {i: max(((b, v) for kk, b, v in right if kk == k and b <= a), default=(None, None))[1] for k, a, i in left}
+    for width in (7, 100, None):
+        got = intervals.asof_join(dl, dr, ["k"], "at", ["v"], width).collect()
+        assert {r.id: r.last_v for r in got} == want and len(got) == 80
+
+
+def test_counts_within_reach_over_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(str(k), int(a), i) for i, (k, a) in enumerate(zip(rng.choice(["x", "y"], 150), rng.integers(-300, 900, 150)))] + [("x", None, 999)]
+    df = spark.createDataFrame(rows, "k string, at long, id long")
+    got = {r.id: r.n for r in intervals.count_near(df, ["k"], "at", 2, 3, "n").collect()}
+    assert got == {i: None if a is None else sum(k == q and b is not None and a - 2 <= b <= a + 3 for q, b, _ in rows) for k, a, i in rows}
