@@ -10,6 +10,7 @@ from ..operators.drift import consistent_table, schema_changes
 from ..operators.packed import partners
 from ..operators.periods import periods_and_gaps
 from ..operators.skew import skewed_stats
+from .problem_sql import P3_SQL, P6_CHANGES_SQL, P6_SQL
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -107,4 +108,4 @@ SELECT svtype, chr2, CAST(count(*) * 100 // max(calls_all) AS INTEGER) AS share_
 """
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_stats": p5_stats, "p6_found": p6_found, "p6_changes": p6_changes, "p6_table": p6_table}
-ORACLES = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_stats": P5_STATS_SQL}
+ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_changes": P6_CHANGES_SQL, "p5_found": P5_SQL, "p5_stats": P5_STATS_SQL}
