@@ -42,8 +42,7 @@ def p5_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Calls, share in whole per mille and length figures of every (type, chromosome of chr2)."""
     calls = typed_calls(table(spark, sf, "sv_calls"))
     stats = skewed_stats(calls, "key", "length")
-    total = stats.groupBy().agg(F.sum("n").alias("calls_all"))
-    s = stats.crossJoin(F.broadcast(total))  # one row
+    s = stats.withColumn("calls_all", stats.select(F.sum("n")).scalar())
     part = F.split("key", "/", 2)
     return s.select(part[0].alias("svtype"), F.when(F.size(part) > 1, part[1]).alias("chr2"), F.col("n").alias("calls"), F.floor(F.col("n") * 1000 / F.col("calls_all")).cast("int").alias("share_permille"), F.col("n_value").alias("n_svlen"), F.col("min").alias("min_svlen"), F.col("max").alias("max_svlen"), F.round("mean", 4).alias("mean_svlen"), F.col("p50").alias("p50_svlen"), F.col("p90").alias("p90_svlen"), F.col("calls_all"))
 
