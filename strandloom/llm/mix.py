@@ -115,9 +115,8 @@ def plan_parts(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     cap is no cap, one under 0 is 0. What a capped or missing source falls short of is not given to others.
     """
     t = targets.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.max("total_ratio").alias("total_ratio"), F.sum(F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(0.0)))).alias("weight"), F.max("max_repeat").alias("max_repeat"), F.max(F.col("max_repeat").isNull()).alias("free"))
-    total = sizes.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens"))
     share = t.groupBy("mix_name").agg(F.sum("weight").alias("all_weight"))
-    x = t.join(F.broadcast(share), "mix_name").join(sizes, "source", "left").crossJoin(F.broadcast(total))  # one row
+    x = t.join(F.broadcast(share), "mix_name").join(sizes, "source", "left").withColumn("all_tokens", sizes.select(F.coalesce(F.sum("source_tokens"), F.lit(0))).scalar())
     x = x.withColumn("target_share", F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0))
     x = x.withColumn("target_tokens", F.col("target_share") * F.greatest(F.lit(0.0), F.coalesce("total_ratio", F.lit(0.0))) * F.col("all_tokens"))
     want = F.when(F.coalesce("source_tokens", F.lit(0)) > 0, F.col("target_tokens") / F.col("source_tokens")).otherwise(0.0)
