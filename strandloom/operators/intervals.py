@@ -123,16 +123,16 @@ def region_label(events: DataFrame, regions: DataFrame, row: list[str], chrom_a:
     """Row, kind, region of either end: extra-regional (no end in a region), hemi-regional (one end), intra_regional
     (both ends in one region), inter-regional (in two). regions (chrom, start, end by `keys`) are merged first."""
     chrom, start, end = keys
-    merged = merge_intervals(regions, [chrom], start, end).select(F.col(chrom).alias("__rc"), F.col(start).alias("__rs"), F.col(end).alias("__re"))
-
-    def hit(c: str, at: str, name: str) -> DataFrame:
-        # regions are disjoint: the last one that starts at or before the position decides
-        e = events.select(*row, F.col(c).alias("__rc"), F.col(at).alias("__rs"))
-        return asof_join(e, merged.withColumn("__start", F.col("__rs")), ["__rc"], "__rs", ["__start", "__re"]).select(*row, F.when(F.col("last___re") >= F.col("__rs"), F.col("last___start")).alias(name))
-
-    x = events.select(*row, chrom_a, chrom_b).join(hit(chrom_a, at_a, "region_a"), row).join(hit(chrom_b, at_b, "region_b"), row)
+    merged = merge_intervals(regions, [chrom], start, end).select(F.col(chrom).alias("__rc"), F.col(start).alias("__rs"), F.col(start).alias("__start"), F.col(end).alias("__re"))
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("c"), F.col(p).cast("long").alias("p")) for i, (c, p) in enumerate(((chrom_a, at_a), (chrom_b, at_b))))))
+    ends = events.select(*row, (F.col(chrom_a) == F.col(chrom_b)).alias("__same"), both.alias("__e")).select(*row, "__same", F.col("__e.side").alias("__end"), F.col("__e.c").alias("__rc"), F.col("__e.p").alias("__rs"))
+    # regions are disjoint: the last one that starts at or before a position decides; both ends go through one as-of step
+    hit = asof_join(ends, merged.withColumn("__rs", F.col("__rs").cast("long")), ["__rc"], "__rs", ["__start", "__re"])
+    inside = F.when(F.col("last___re") >= F.col("__rs"), F.col("last___start"))
+    x = hit.groupBy(*row, "__same").agg(F.max(F.when(F.col("__end") == 0, inside)).alias("region_a"), F.max(F.when(F.col("__end") == 1, inside)).alias("region_b"))
     a, b = F.col("region_a").isNotNull(), F.col("region_b").isNotNull()
-    kind = F.when(~a & ~b, "extra-regional").when(a != b, "hemi-regional").when((F.col(chrom_a) == F.col(chrom_b)) & (F.col("region_a") == F.col("region_b")), "intra_regional").otherwise("inter-regional")
+    one = F.coalesce(F.col("__same"), F.lit(False)) & (F.col("region_a") == F.col("region_b"))
+    kind = F.when(~a & ~b, "extra-regional").when(a != b, "hemi-regional").when(one, "intra_regional").otherwise("inter-regional")
     return x.select(*row, kind.alias("kind"), (~a & b).alias("switched"))
 
 

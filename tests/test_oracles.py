@@ -15,6 +15,9 @@ def con(sf):
 
 @pytest.mark.parametrize(("module", "name"), ALL, ids=[k for _, k in ALL])
 def test_query(spark, sf, con, module, name):
-    got = rows_of_spark(module.QUERIES[name](spark, sf))
+    df = module.QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = rows_of_spark(df)
     if name in module.ORACLES:
         assert got == rows_of_sql(con, module.ORACLES[name])
