@@ -12,6 +12,8 @@ from pyspark.sql.window import Window as W
 from ..functions import cigar as cg
 from ..functions import labels, sequence
 from ..functions.geometry import alike_spans_filter
+from ..session import materialize
+from . import pairs
 
 
 def informative_pairs(reads: DataFrame, template: str, row: str) -> DataFrame:
@@ -40,6 +42,36 @@ def classified_pairs(reads: DataFrame, template: str, row: str) -> DataFrame:
     return j.select(template, "a", "b", "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length")
 
 
+def split_breaks(reads: DataFrame, template: str, row: str, low_mapq: int = 1) -> DataFrame:
+    """Template, row, part (first in pair or not), place, mapq, chrom_a, chrom_b and the columns of classified_pairs for every junction of
+    the SA tags. An SA tag names all other alignments of its read, so one row of a read is expanded, the primary where it is there. Junctions
+    with an alignment under low_mapq are of type BND."""
+    part = F.col("flag").bitwiseAND(64)
+    w = W.partitionBy(F.coalesce(template, F.col(row).cast("string")), part).orderBy(cg.flag(2304), row)
+    one = reads.where("sa is not null").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    j = pairs.split_neighbours(one, row, low_mapq, sides=True).where("next_chrom is not null")
+    j = j.join(one.select(row, template, F.col("flag").alias("fa"), part.alias("part")), row).withColumn("fa", F.col("fa").bitwiseAND(~2304)).withColumn("fb", F.col("fa").bitwiseOR(2048))
+    # of the clips only the one at the junction counts: a middle alignment of three has two
+    faces = lambda c, right: F.col(c).withField("left", F.when(right, 0).otherwise(F.col(c)["left"])).withField("right", F.when(right, F.col(c)["right"]).otherwise(0))
+    j = j.withColumn("side", faces("side", F.col("side.strand") == "3")).withColumn("next_side", faces("next_side", F.col("next_side.strand") == "5"))
+    low = F.col("pos") <= F.col("next_pos")
+    j = j.select(template, row, "part", "place", "mapq", "junction", "fa", "fb", F.when(low, F.col("chrom")).otherwise(F.col("next_chrom")).alias("chrom_a"), F.when(low, F.col("next_chrom")).otherwise(F.col("chrom")).alias("chrom_b"), F.when(low, F.col("side")).otherwise(F.col("next_side")).alias("sa"), F.when(low, F.col("next_side")).otherwise(F.col("side")).alias("sb"))
+    c = labels.classify(materialize(j), "sa", "sb", "chrom_a", "chrom_b", "fa", "fb")  # the sides are read many times by the rules
+    kind = F.when(F.col("junction") == "BREAKEND", "BND").otherwise(F.col("svtype"))
+    return c.select(template, row, "part", "place", "mapq", "chrom_a", "chrom_b", kind.alias("svtype"), "ct", "break_a", "break_b", "precise_a", "precise_b", "length")
+
+
+def clip_breaks(reads: DataFrame, template: str, row: str, least: int) -> DataFrame:
+    """template, row, chrom, side, at, mapq, mins: the soft clips of at least `least` bases of reads without an SA tag, with the minimizers of the
+    clipped bases; none where the bases are not kept (* or not as many as the CIGAR says)."""
+    whole = F.col("seq") if "seq" in reads.columns else F.lit(None).cast("string")
+    whole = F.when(F.length(whole) == cg.query_length("cigar"), F.upper(whole))
+    left, right = cg.left_clip("cigar"), cg.right_clip("cigar")
+    ends = F.array(F.struct(F.lit("left").alias("side"), left.alias("n"), F.col("start").alias("at"), F.left(whole, left).alias("bases")), F.struct(F.lit("right").alias("side"), right.alias("n"), F.col("stop").alias("at"), F.right(whole, right).alias("bases")))
+    c = reads.where("sa is null").where(F.greatest(left, right) >= least).select(template, row, F.col("rname").alias("chrom"), "mapq", F.explode(ends).alias("e")).where(F.col("e.n") >= least)
+    return c.select(template, row, "chrom", "e.side", "e.at", "mapq", F.coalesce(pairs.minimizers(F.col("e.bases")), F.array().cast("array<bigint>")).alias("mins"))
+
+
 def assemble(clusters: DataFrame, cluster: list[str], least: int = 3) -> DataFrame:
     """One call per cluster of classified pairs with at least `least` of its commonest type: type, chromosomes, median breaks with
     half their 95 % interval, preciseness, length (median of the inserted lengths for INS, else the distance of the breaks; null over chromosomes), support.

@@ -25,25 +25,30 @@ def template_edges(reads: DataFrame, template: str, row: str, order: list[str])
     return x.where("dst is not null").withColumn("weight", F.lit(TEMPLATE_EDGE))
 
 
-def split_neighbours(reads: DataFrame, row: str, low_mapq: int = 1) -> DataFrame:
+def split_neighbours(reads: DataFrame, row: str, low_mapq: int = 1, sides: bool = False) -> DataFrame:
     """The alignments of each split read in the order of the read as sequenced: row, place, chrom, pos, strand, mapq, the
     next alignment's chrom and pos, and whether the junction is a BREAKEND (either side under low_mapq) or a SPLIT.
 
     reads: row, rname, pos, flag, cigar, mapq, sa. Work is per row, in arrays; no shuffle. Reads without a usable SA tag give no rows.
+    With `sides`, side and next_side are the two alignments as labels.side has them.
     """
     own = F.struct(F.col("rname").alias("chrom"), F.col("pos").alias("pos"), F.when(cg.flag(16), "-").otherwise("+").alias("strand"), F.col("cigar").alias("cigar"), F.col("mapq").alias("mapq"))
     others = F.transform(cg.split_alignments("sa"), lambda a: F.struct(a["chrom"].alias("chrom"), a["pos"].alias("pos"), a["strand"].alias("strand"), a["cigar"].alias("cigar"), a["mapq"].alias("mapq")))
 
     def placed(a):
         start, end = cg.query_interval(a["cigar"], a["strand"] == "-")
-        return F.struct(start.alias("q_start"), end.alias("q_end"), a["chrom"].alias("chrom"), a["pos"].alias("pos"), a["strand"].alias("strand"), a["mapq"].alias("mapq"))
+        return F.struct(start.alias("q_start"), end.alias("q_end"), a["chrom"].alias("chrom"), a["pos"].alias("pos"), a["strand"].alias("strand"), a["mapq"].alias("mapq"), a["cigar"].alias("cigar"))
+
+    def side(a):
+        at = a["pos"].cast("long")
+        return F.struct(at.alias("pos"), (at + cg.reference_length(a["cigar"])).alias("stop"), F.when(a["strand"] == "-", "5").otherwise("3").alias("strand"), cg.left_clip(a["cigar"], True).alias("left"), cg.right_clip(a["cigar"], True).alias("right"), a["q_start"].alias("q_start"), a["q_end"].alias("q_end"))
 
     x = reads.where(F.col("sa").isNotNull()).select(row, F.array_sort(F.transform(F.concat(F.array(own), others), placed)).alias("a")).where(F.size("a") > 1)
     x = x.select(row, "a", F.posexplode("a").alias("place", "one"))
     nxt = F.try_element_at("a", F.col("place") + 2)
-    x = x.select(row, (F.col("place") + 1).alias("place"), "one.*", nxt.alias("next"))
+    x = x.select(row, (F.col("place") + 1).alias("place"), "one.*", F.col("one").alias("one"), nxt.alias("next"))
     kind = F.when(F.col("next").isNull(), F.lit(None)).when((F.col("mapq") < low_mapq) | (F.col("next.mapq") < low_mapq), "BREAKEND").otherwise("SPLIT")
-    return x.select(row, "place", "q_start", "q_end", "chrom", "pos", "strand", "mapq", F.col("next.chrom").alias("next_chrom"), F.col("next.pos").alias("next_pos"), kind.alias("junction"))
+    return x.select(row, "place", "q_start", "q_end", "chrom", "pos", "strand", "mapq", F.col("next.chrom").alias("next_chrom"), F.col("next.pos").alias("next_pos"), kind.alias("junction"), *([side(F.col("one")).alias("side"), side(F.col("next")).alias("next_side")] if sides else []))
 
 
 def proximity_edges(nodes: DataFrame, keys: list[str], node: str, x: str, y: str, apart: int, alike: Column | None = None, most: int | None = MOST_NEIGHBOURS) -> DataFrame:

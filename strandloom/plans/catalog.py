@@ -837,13 +837,13 @@ def pair_types(spark, sf):
     return p.join(primary.withColumnRenamed("read_id", "a"), "a", "left_semi").join(primary.withColumnRenamed("read_id", "b"), "b", "left_semi").select("qname", "svtype", "break_a")
 
 
-@query("A21 A06 A07 P01 P03 F10 F14 J05 M01")
+@query("A21 A06 A07 P01 P03 F10 J01 J02 J04 J05 M01")
 def called_events(spark, sf):
     """The whole calling pipeline over the alignments of all samples together."""
     from .config import Options
     from .pipelines import call, fetch
 
-    r = reads(spark, sf, "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "sa")
+    r = reads(spark, sf, "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "sa")
     ev, track = fetch(r, Options.of(min_support=2))
     return call(ev, track, Options.of(min_support=2)).select("chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "su", "gt", "gq", "prob", "filt")
 

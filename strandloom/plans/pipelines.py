@@ -53,30 +53,51 @@ def fetch(reads: DataFrame, opt: Options = Options(), include: DataFrame | None
 
 
 def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str = "read_id", sample: str = "sample", scorer: calling.Scorer | None = None) -> DataFrame:
-    """Events from reads with evidence (columns of an alignment record, `row`, start, stop).
+    """Events from reads with evidence (columns of an alignment record, `row`, start, stop; seq where clips are to be compared).
 
-    Pairs of templates, split reads and in-read gaps become breaks with a type and two places; breaks of one type near each other on both
-    sides are edges; components are clusters; a cluster with enough support is a call. Depth, neighbours, genotype and score follow.
+    Pairs of templates, junctions of split reads, in-read gaps and clips become breaks with a type and two places (a clip has one). Breaks of one
+    type near each other on both sides and clips that share minimizers are edges of weight 2, neighbours on a template of weight 1. What hangs
+    together by weight 2 is a cluster, and a cluster with enough support a call; what hangs together by any edge is a group (grp). Depth, neighbours, genotype
+    and score follow.
     """
     scorer = scorer or calling.Scorer()
     apart = 300 if opt.paired else 500
+    least_clip = opt.clip_length if opt.clip_length > 0 else 50
+    kept = ["node", "template", "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", "how"]
+    sides = [("chrom_a", "chrom_b"), ("break_a", "break_b"), ("precise_a", "precise_b")]
+    splits = materialize(calling.split_breaks(reads, "qname", row, opt.mq))
     p = materialize(calling.classified_pairs(reads, "qname", row))  # a filter must not be pushed into the rules
-    p = p.join(reads.select(F.col(row).alias("a"), "flag", F.abs("tlen").alias("tlen"), "mapq"), "a")
-    p = pairs.canonical(p, [("chrom_a", "chrom_b"), ("break_a", "break_b"), ("precise_a", "precise_b")], ("chrom_a", "chrom_b"), ("break_a", "break_b"), "ct")
+    p = p.join(reads.select(F.col(row).alias("a"), "flag", F.abs("tlen").alias("tlen"), "mapq"), "a").join(reads.select(F.col(row).alias("b"), F.col("flag").alias("fb")), "b")
+    # a read and its supplementary tell a junction of the SA tag: counted there
+    one_read = F.col("flag").bitwiseAND(64) == F.col("fb").bitwiseAND(64)
+    told = splits.select("qname", F.col("part").alias("__part")).distinct().withColumn("__told", F.lit(True))
+    p = p.withColumn("__part", F.col("flag").bitwiseAND(64)).join(told, ["qname", "__part"], "left").where(~(one_read & F.coalesce("__told", F.lit(False))))
     odd = (F.col("flag").bitwiseAND(2) == 0) | F.col("length").isNotNull() | (F.col("tlen") > opt.max_tlen)
-    by_pair = p.where(odd).select(F.col("a").alias("node"), "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", F.lit("pe").alias("how"))
-    gaps = reads.select(row, "rname", "mapq", F.explode(F.filter(cg.walk("cigar", "start"), lambda g: g["op"].isin("I", "D") & (g["len"] >= opt.min_size))).alias("g"))
+    by_pair = p.where(odd).withColumn("node", F.col("a")).withColumn("template", F.col("qname")).withColumn("how", F.lit("pe")).select(*kept)
+    by_split = splits.withColumn("node", F.xxhash64(row, "place", F.lit("split"))).withColumn("template", F.col("qname")).withColumn("how", F.lit("sr")).select(*kept)
+    breaks = pairs.canonical(by_pair.unionByName(by_split), sides, ("chrom_a", "chrom_b"), ("break_a", "break_b"), "ct")
+    gaps = reads.select(row, F.col("qname").alias("template"), "rname", "mapq", F.explode(F.filter(cg.walk("cigar", "start"), lambda g: g["op"].isin("I", "D") & (g["len"] >= opt.min_size))).alias("g"))
     t = F.when(F.col("g.op") == "I", "INS").otherwise("DEL")
-    by_gap = gaps.select(F.xxhash64(row, F.col("g.idx")).alias("node"), F.col("rname").alias("chrom_a"), F.col("rname").alias("chrom_b"), t.alias("svtype"), F.lit("3to5").alias("ct"), F.col("g.ref_start").alias("break_a"), cg.end_position(t, F.col("g.ref_start"), F.col("g.len")).alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), F.col("g.len").cast("long").alias("length"), "mapq", F.lit("wr").alias("how"))
-    nodes = materialize(by_pair.unionByName(by_gap).where("break_a is not null and break_b is not null"))
-    edges = pairs.proximity_edges(nodes.select("node", "svtype", "chrom_a", "chrom_b", "break_a", "break_b"), ["svtype", "chrom_a", "chrom_b"], "node", "break_a", "break_b", apart, None, opt.search_depth)
-    comp = graph.connected_components(edges, nodes=nodes.select("node"))
-    clusters = nodes.join(comp, "node")
+    by_gap = gaps.select(F.xxhash64(row, F.col("g.idx")).alias("node"), "template", F.col("rname").alias("chrom_a"), F.col("rname").alias("chrom_b"), t.alias("svtype"), F.lit("3to5").alias("ct"), F.col("g.ref_start").alias("break_a"), cg.end_position(t, F.col("g.ref_start"), F.col("g.len")).alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), F.col("g.len").cast("long").alias("length"), "mapq", F.lit("wr").alias("how"))
+    clips = materialize(calling.clip_breaks(reads, "qname", row, least_clip).withColumn("node", F.xxhash64(row, "side", F.lit("clip"))))
+    no = F.lit(None)
+    by_clip = clips.select("node", F.col("qname").alias("template"), F.col("chrom").alias("chrom_a"), F.col("chrom").alias("chrom_b"), F.lit("BND").alias("svtype"), no.cast("string").alias("ct"), F.col("at").alias("break_a"), F.col("at").alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), no.cast("long").alias("length"), "mapq", F.lit("sc").alias("how"))
+    nodes = materialize(breaks.unionByName(by_gap).unionByName(by_clip).where("break_a is not null and break_b is not null"))
+    placed = nodes.where("how <> 'sc'").select("node", "svtype", "chrom_a", "chrom_b", "break_a", "break_b")
+    near = pairs.proximity_edges(placed, ["svtype", "chrom_a", "chrom_b"], "node", "break_a", "break_b", apart, None, opt.search_depth)
+    alike_clips = pairs.minimizer_edges(clips, ["chrom", "side"], "node", "at", "mins").withColumn("weight", F.lit(pairs.SIMILAR_EDGE))
+    edges = materialize(pairs.union_edges(near, alike_clips, pairs.template_edges(nodes, "template", "node", ["chrom_a", "break_a"])))
+    comp = graph.connected_components(edges.where(F.col("weight") == pairs.SIMILAR_EDGE), nodes=nodes.select("node"))
+    groups = graph.connected_components(edges, nodes=nodes.select("node")).withColumnRenamed("component", "grp")
+    clusters = materialize(nodes.join(comp, "node").join(groups, "node"))
     least = opt.min_support if isinstance(opt.min_support, int) else 2
-    calls = materialize(calling.assemble(clusters, ["component"], least))
-    figures = clusters.groupBy("component").agg(F.count_if(F.col("how") == "wr").alias("wr"), F.avg("mapq").alias("mapq"))
-    e = calls.join(figures, "component").withColumn("su", F.col("pe") + F.col("wr")).withColumn("precise", (F.col("precise_a") & F.col("precise_b")).cast("int"))
+    calls = materialize(calling.assemble(clusters, ["component"], least)).withColumnRenamed("pe", "n")
+    kinds = [F.count_if(F.col("how") == h).alias(h) for h in ("pe", "sr", "sc", "wr")]
+    figures = clusters.groupBy("component").agg(*kinds, F.avg("mapq").alias("mapq"), F.min("grp").alias("grp"))
+    e = calls.join(figures, "component").withColumn("su", F.col("n") + F.col("wr")).withColumn("precise", (F.col("precise_a") & F.col("precise_b")).cast("int"))
+    e = e.withColumn("bnd", F.when(F.col("svtype") == "BND", F.col("n")).otherwise(0)).withColumn("svlen", F.when(F.col("svtype") != "BND", F.col("svlen")))
     e = e.where((F.coalesce("svlen", F.lit(opt.min_size)) >= opt.min_size) | (F.col("chrom") != F.col("chr2")))
+    e = e.join(e.groupBy("grp").agg(F.count(F.lit(1)).alias("n_in_grp")), "grp")
     e = e.withColumn("event_id", F.col("component")).withColumn("sample", F.lit(sample))
     e = materialize(e)
     tr = track.withColumnRenamed("rname", "chrom")
