@@ -677,7 +677,10 @@ def support_inner(spark, sf):
 
 @query("F25", f"WITH RECURSIVE {_ED}, {_WALK} SELECT component, count(*) AS n, CAST(sum(CASE WHEN node < 1000000000 THEN 2 ELSE 1 END) AS BIGINT) AS support FROM g GROUP BY component HAVING sum(CASE WHEN node < 1000000000 THEN 2 ELSE 1 END) >= 4 AND count(*) > 1")
 def component_filter(spark, sf):
-    g = graph.connected_components(_edges(spark, sf))
+    return _supported(graph.connected_components(_edges(spark, sf)))
+
+
+def _supported(g: DataFrame) -> DataFrame:
     x = g.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("node") < 1_000_000_000, 2).otherwise(1)).alias("support"))
     return x.where("support >= 4 and n > 1")
 
@@ -687,6 +690,29 @@ def phase_sets(spark, sf):
     return graph.phase_sets(table(spark, sf, "lineitem").where("l_quantity >= 46"), "l_orderkey", "l_partkey")
 
 
+def _all_edges(spark, sf) -> DataFrame:
+    """Every part and order of lineitem: no slice. At this size recursive SQL is too slow, so the queries over it have none."""
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1_000_000_000).alias("dst")).distinct()
+
+
+@query("G01")
+def conn_components_whole(spark, sf):
+    """conn_components over all edges."""
+    return graph.connected_components(_all_edges(spark, sf))
+
+
+@query("F25")
+def component_filter_whole(spark, sf):
+    """component_filter over all edges."""
+    return _supported(graph.connected_components(_all_edges(spark, sf)))
+
+
+@query("G06")
+def phase_sets_whole(spark, sf):
+    """phase_sets over all rows."""
+    return graph.phase_sets(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+
+
 # ---------------------------------------------------------------- sequences, vectors, partners
 
 @query("X15 X16", """SELECT rec_id, reverse(translate(alt, 'ACGTUacgtu', 'TGCAAtgcaa')) AS revcomp, round(CASE WHEN length(regexp_replace(upper(alt), '[^ACGT]', '', 'g')) > 0 THEN 100.0 * length(regexp_replace(upper(alt), '[^GC]', '', 'g')) / length(regexp_replace(upper(alt), '[^ACGT]', '', 'g')) END, 6) AS gc FROM (SELECT DISTINCT rec_id, alt FROM vcf_records) WHERE regexp_matches(alt, '^[ACGTNacgtn]+$')""")
