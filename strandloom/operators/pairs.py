@@ -16,6 +16,8 @@ EVIDENCE = {"discordant": 0, "split": 1, "deletion": 2, "insertion": 3, "breaken
 SITE_EDGE, TEMPLATE_EDGE, SIMILAR_EDGE = 0, 1, 2
 MOST_NEIGHBOURS = 25
 MOST_CLIP_PARTNERS = 5
+GROUP_ROUNDS = 4
+GROUP_PAIRS = 500_000
 
 
 def template_edges(reads: DataFrame, template: str, row: str, order: list[str]) -> DataFrame:
@@ -198,19 +200,50 @@ def assign_nearest(items: DataFrame, centres: DataFrame, keys: list[str], item:
     """Item, centre, distance with each item and each centre used once, nearest pairs first.
 
     Greedy assignment is settled in rounds of mutual-best pairs: the nearest pair of a neighbourhood is best for both its
-    members, so rounds give the same pairs as one sorted pass, without a sequential loop over rows.
+    members, so rounds give the same pairs as one sorted pass, without a sequential loop over rows. Pairs that hang together by an
+    item or a centre do not touch others: after a few rounds such groups of up to GROUP_PAIRS pairs are finished in one sorted pass each
+    (many items at one place settle one pair a round). Larger groups go on in rounds, each of which settles at least one pair.
     """
     c = centres.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(centre), F.col(centre_at).alias("__at"))
     p = range_join(items.select(*keys, item, at), c, [(k, f"__{k}") for k in keys], (F.col(at) - within, F.col(at) + within), ("__at", "__at"), max(1, 2 * within))
     p = p.select(item, centre, F.abs(F.col(at) - F.col("__at")).alias("distance"))
     wi, wc = W.partitionBy(item).orderBy("distance", centre), W.partitionBy(centre).orderBy("distance", item)
     p = materialize(p)
-    done = None
-    for _ in range(50):
-        best = p.withColumn("__i", F.row_number().over(wi)).withColumn("__c", F.row_number().over(wc)).where("__i = 1 and __c = 1").select(item, centre, "distance")
-        best = materialize(best)
+    schema, done, n = p.schema, None, 0
+    while done is None or not p.isEmpty():
+        n += 1
+        if n % GROUP_ROUNDS == 0:
+            best, p = _settle_groups(p, item, centre, schema)
+        else:
+            best = p.withColumn("__i", F.row_number().over(wi)).withColumn("__c", F.row_number().over(wc)).where("__i = 1 and __c = 1").select(item, centre, "distance")
+            best = materialize(best)
+            p = materialize(p.join(best.select(item), item, "left_anti").join(best.select(centre), centre, "left_anti"))
         done = best if done is None else done.unionByName(best)
-        p = materialize(p.join(best.select(item), item, "left_anti").join(best.select(centre), centre, "left_anti"))
-        if p.isEmpty():
-            return done
-    raise RuntimeError("assignment did not settle")
+        if n % 20 == 0:  # the union stays short
+            done = materialize(done)
+    return done
+
+
+def _settle_groups(p: DataFrame, item: str, centre: str, schema) -> tuple[DataFrame, DataFrame]:
+    """(assigned pairs of the groups of up to GROUP_PAIRS candidate pairs, candidate pairs of the larger groups)."""
+    from .graph import connected_components
+
+    i, c = F.xxhash64(F.lit("i"), item), F.xxhash64(F.lit("c"), centre)  # equal hashes would only join two groups
+    x = p.withColumn("__node", i)
+    group = connected_components(p.select(i.alias("src"), c.alias("dst"))).select(F.col("node").alias("__node"), F.col("component").alias("__group"))
+    x = materialize(x.join(group, "__node").drop("__node"))
+    small = x.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= GROUP_PAIRS).select("__group")
+
+    def one_pass(pdf):
+        pdf = pdf.sort_values(["distance", item, centre])
+        items, centres, keep = set(), set(), []
+        for a, b in zip(pdf[item].tolist(), pdf[centre].tolist()):
+            free = a not in items and b not in centres
+            keep.append(free)
+            if free:
+                items.add(a)
+                centres.add(b)
+        return pdf.loc[keep, [item, centre, "distance"]]
+
+    best = materialize(x.join(small, "__group").groupBy("__group").applyInPandas(one_pass, schema))
+    return best, materialize(x.join(small, "__group", "left_anti").select(item, centre, "distance"))

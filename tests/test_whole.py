@@ -33,3 +33,24 @@ def test_graph_queries_take_every_row(spark, tmp_path):
     assert got == {c: x for c, x in size.items() if x[1] >= 4 and x[0] > 1}
     got = {r.l_partkey: r.joined for r in catalog.phase_sets_whole(spark, str(tmp_path)).collect()}
     assert got == {n: c for n, c in want.items() if n < 1_000_000_000}
+
+
+def greedy(items, centres, within):
+    p = sorted((abs(x - y), i, c) for i, x in items for c, y in centres if abs(x - y) <= within)
+    used_i, used_c, out = set(), set(), []
+    for d, i, c in p:
+        if i not in used_i and c not in used_c:
+            used_i.add(i)
+            used_c.add(c)
+            out.append((i, c, d))
+    return sorted(out)
+
+
+def test_assignment_beyond_fifty_rounds(spark):
+    rng = random.Random(5)
+    items = [(i, 1000) for i in range(70)] + [(100 + i, 5000 + rng.randint(0, 60)) for i in range(15)]
+    centres = [(i, 1000 + rng.randint(0, 9)) for i in range(65)] + [(100 + i, 5000 + rng.randint(0, 60)) for i in range(15)]
+    a = spark.createDataFrame([("k", *x) for x in items], "k string, item long, at long")
+    b = spark.createDataFrame([("k", *x) for x in centres], "k string, site long, p long")
+    got = sorted(map(tuple, pairs.assign_nearest(a, b, ["k"], "item", "at", "site", "p", 20).collect()))
+    assert got == greedy(items, centres, 20) and len(got) > 65
