@@ -129,10 +129,9 @@ def clip_is_good(qualities: list[int], least: int, width: int = 10, floor: int =
     return good + w - 1 >= least
 
 
-def contigs_match(a: str, b: str, least: int = 42, rel: float = 0.7, diff: int = 8, most: int = 10_000) -> bool:
+def contigs_match(a: str, b: str, least: int = 42, rel: float = 0.7, diff: int = 8) -> bool:
     """Whether two contigs tell one event: their best local alignment, with the part neither end overhangs as the expected length,
     covers `rel` of the expected score or falls short of it by at most `diff`; expected lengths under `least` never match."""
-    a, b = a[:most], b[:most]
     score, qs, qe, ts, te = local_alignment(a, b, *SCORES["merge"])
     if score == 0:
         return False

@@ -92,19 +92,41 @@ def minimizers(text: Column | str, k: int = 12, m: int = 6, hashed: bool = True)
     return F.when(n >= 1, F.array_distinct(F.element_at(windows, 1))).otherwise(F.array().cast("array<bigint>" if hashed else "array<string>"))
 
 
-def minimizer_edges(clips: DataFrame, keys: list[str], node: str, at: str, mins: str, apart: int = 7, least: float = 2.0, most: int = MOST_CLIP_PARTNERS) -> DataFrame:
-    """Src < dst, shared, of clips on equal keys (chromosome, side) nearer than `apart` that share minimizers so that half of all
-    plus the shared ones reach `least`; each keeps its `most` best partners."""
-    one = clips.where(F.size(mins) > 0).select(*keys, node, at, F.size(mins).alias("n"), F.explode(mins).alias("mm"))
+def minimizer_edges(clips: DataFrame, keys: list[str], node: str, at: str, mins: str, apart: int = 7, least: float = 2.0, star: bool = False) -> DataFrame:
+    """Src < dst, shared, of all clips on equal keys (chromosome, side) nearer than `apart` that share minimizers so that half of all
+    plus the shared ones reach `least`.
+
+    Exact copies (equal keys, place and minimizers) are one class and compared once; the pairs of their members follow by membership. With
+    `star` only the pairs of class representatives come back and one of each further member with its own: the same components, linear in copies.
+    """
+    x = clips.where(F.size(mins) > 0).select(*keys, node, at, F.array_sort(mins).alias("__mins"))
+    own = x.groupBy(*keys, at, "__mins").agg(F.min(node).alias("__rep"))
+    same = F.lit(True)
+    for k in (*keys, at, "__mins"):
+        same = same & (F.col(f"x.{k}") == F.col(f"o.{k}"))
+    member = materialize(x.alias("x").join(own.alias("o"), same).select(F.col("__rep").alias("rep"), F.col(f"x.{node}").alias("member"), F.size("x.__mins").alias("n")))
+    one = own.select(*keys, F.col("__rep"), at, F.size("__mins").alias("n"), F.explode("__mins").alias("mm"))
     a = one.select(*(F.col(c).alias(f"a_{c}") for c in one.columns)).withColumn("__cell", F.floor(F.col(f"a_{at}") / apart))
     b = one.select(*(F.col(c).alias(f"b_{c}") for c in one.columns)).withColumn("__near", F.explode(F.sequence(F.floor(F.col(f"b_{at}") / apart) - 1, F.floor(F.col(f"b_{at}") / apart) + 1)))
-    on = (F.col("a_mm") == F.col("b_mm")) & (F.col("__cell") == F.col("__near")) & (F.col(f"a_{node}") < F.col(f"b_{node}")) & (F.abs(F.col(f"a_{at}") - F.col(f"b_{at}")) < apart)
+    on = (F.col("a_mm") == F.col("b_mm")) & (F.col("__cell") == F.col("__near")) & (F.col("a___rep") < F.col("b___rep")) & (F.abs(F.col(f"a_{at}") - F.col(f"b_{at}")) < apart)
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-    e = a.join(b, on).groupBy(F.col(f"a_{node}").alias("src"), F.col(f"b_{node}").alias("dst")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("a_n", "b_n")).alias("n"))
-    e = e.where(F.col("n") / 2 + F.col("shared") >= least)
+    e = a.join(b, on).groupBy(F.col("a___rep").alias("ra"), F.col("b___rep").alias("rb")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("a_n", "b_n")).alias("n"))
+    e = e.where(F.col("n") / 2 + F.col("shared") >= least).select("ra", "rb", "shared")
+    copies = member.where(F.col("n") * 1.5 >= least)
+    if star:
+        inner = copies.where("rep <> member").select(F.col("rep").alias("src"), F.col("member").alias("dst"), F.col("n").cast("long").alias("shared"))
+        return e.select(F.col("ra").alias("src"), F.col("rb").alias("dst"), "shared").unionByName(inner)
+    left, right = (member.select(F.col("rep").alias(r), F.col("member").alias(m)) for r, m in (("ra", "ma"), ("rb", "mb")))
+    outer = e.join(left, "ra").join(right, "rb").select(F.least("ma", "mb").alias("src"), F.greatest("ma", "mb").alias("dst"), "shared")
+    inner = copies.select("rep", F.col("member").alias("src"), F.col("n").cast("long").alias("shared")).join(copies.select("rep", F.col("member").alias("dst")), "rep").where("src < dst").select("src", "dst", "shared")
+    return outer.unionByName(inner)
+
+
+def best_partners(edges: DataFrame, most: int = MOST_CLIP_PARTNERS) -> DataFrame:
+    """Src, dst, shared, rank of the `most` best partners with a greater id of each clip: a ranking of the edges, which stay whole."""
     w = W.partitionBy("src").orderBy(F.desc("shared"), "dst")
-    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("src", "dst", "shared")
+    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("src", "dst", "shared", "rank")
 
 
 def union_edges(*edges: DataFrame) -> DataFrame:

@@ -732,11 +732,22 @@ def minimizers(spark, sf):
     return _contigs(spark, sf).select("rec_id", F.explode(pairs.minimizers("contig", hashed=False)).alias("mer"))
 
 
-@query("J04 X26")
-def minimizer_pairs(spark, sf):
+def _minimizer_edges(spark, sf, star: bool) -> DataFrame:
     v = table(spark, sf, "vcf_records").select("rec_id", "chrom", "pos").dropDuplicates(["rec_id"]).join(_contigs(spark, sf), "rec_id")
     c = v.select("rec_id", "chrom", "pos", pairs.minimizers("contig").alias("mins"))
-    return pairs.minimizer_edges(c, ["chrom"], "rec_id", "pos", "mins", apart=150)
+    return pairs.minimizer_edges(c, ["chrom"], "rec_id", "pos", "mins", apart=150, star=star)
+
+
+@query("J04 X26")
+def minimizer_pairs(spark, sf):
+    """All pairs of contigs that qualify."""
+    return _minimizer_edges(spark, sf, False)
+
+
+@query("J04")
+def minimizer_partners(spark, sf):
+    """The five best partners of each contig, as a ranking."""
+    return pairs.best_partners(minimizer_pairs(spark, sf))
 
 
 @query("X16 X17 X18")
@@ -975,7 +986,7 @@ def cluster_consensus(spark, sf):
     """Consensus of the contigs of records that share minimizers at one place; components of over 200 contigs are left to their longest contig."""
     from ..functions.sequence import consensus
 
-    comp = graph.connected_components(minimizer_pairs(spark, sf))
+    comp = graph.connected_components(_minimizer_edges(spark, sf, True))
     c = _contigs(spark, sf).join(comp, F.col("rec_id") == F.col("node")).select("component", "contig")
     n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("contig"), "contig")).alias("top"))
     small = c.join(n.where("n <= 200").select("component"), "component")

@@ -85,7 +85,7 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     nodes = materialize(breaks.unionByName(by_gap).unionByName(by_clip).where("break_a is not null and break_b is not null"))
     placed = nodes.where("how <> 'sc'").select("node", "svtype", "chrom_a", "chrom_b", "break_a", "break_b")
     near = pairs.proximity_edges(placed, ["svtype", "chrom_a", "chrom_b"], "node", "break_a", "break_b", apart, None, opt.search_depth)
-    alike_clips = pairs.minimizer_edges(clips, ["chrom", "side"], "node", "at", "mins").withColumn("weight", F.lit(pairs.SIMILAR_EDGE))
+    alike_clips = pairs.minimizer_edges(clips, ["chrom", "side"], "node", "at", "mins", star=True).withColumn("weight", F.lit(pairs.SIMILAR_EDGE))
     edges = materialize(pairs.union_edges(near, alike_clips, pairs.template_edges(nodes, "template", "node", ["chrom_a", "break_a"])))
     comp = graph.connected_components(edges.where(F.col("weight") == pairs.SIMILAR_EDGE), nodes=nodes.select("node"))
     groups = graph.connected_components(edges, nodes=nodes.select("node")).withColumnRenamed("component", "grp")

@@ -54,3 +54,24 @@ def test_assignment_beyond_fifty_rounds(spark):
     b = spark.createDataFrame([("k", *x) for x in centres], "k string, site long, p long")
     got = sorted(map(tuple, pairs.assign_nearest(a, b, ["k"], "item", "at", "site", "p", 20).collect()))
     assert got == greedy(items, centres, 20) and len(got) > 65
+
+
+def test_minimizer_edges_keep_every_pair(spark):
+    rng = random.Random(7)
+    rows = [(i, "a", 100 + rng.randint(0, 12), sorted(rng.sample(range(9), rng.randint(1, 5)))) for i in range(40)]
+    rows += [(100 + i, "a", 105, [1, 2, 3]) for i in range(9)] + [(200 + i, "b", 50, [4]) for i in range(3)]
+    df = spark.createDataFrame(rows, "node long, k string, at long, mins array<long>")
+    want = {(a, b, len(set(m) & set(n))) for a, k, p, m in rows for b, l, q, n in rows if a < b and k == l and abs(p - q) < 7 and set(m) & set(n) and min(len(m), len(n)) / 2 + len(set(m) & set(n)) >= 2}
+    got = [tuple(r) for r in pairs.minimizer_edges(df, ["k"], "node", "at", "mins").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    star = [tuple(r)[:2] for r in pairs.minimizer_edges(df, ["k"], "node", "at", "mins", star=True).collect()]
+    assert components(star) == components([w[:2] for w in want]) and len(star) < len(want)
+
+
+def test_whole_contigs_are_judged():
+    from strandloom.functions.sequence import contigs_match
+
+    rng = random.Random(11)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared = base(60)
+    assert contigs_match(base(10_050) + shared, shared + base(60))
