@@ -142,30 +142,45 @@ def contigs_match(a: str, b: str, least: int = 42, rel: float = 0.7, diff: int =
 def consensus(seqs: list[str], weights: list[int] | None = None, least: int = 50) -> str | None:
     """Consensus of overlapping sequences by heaviest path through their word graph.
 
-    Every sequence is laid against the growing backbone by its best local alignment; columns vote by weight. Returns null under
-    `least` bases. Ends seen by a single sequence are written in lower case.
+    Every sequence is laid against the growing backbone by its best local alignment; columns vote by weight (copies of a sequence). Returns
+    null under `least` bases. Ends seen by a single sequence are written in lower case.
     """
-    order = sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), seqs[i]))
-    if not order:
-        return None
+    return voted(votes(seqs, weights), sum(weights) if weights else len(seqs), least)
+
+
+def votes(seqs: list[str], weights: list[int] | None = None) -> list[dict[str, int]]:
+    """The votes of the sequences by column of their backbone."""
     w = weights or [1] * len(seqs)
-    columns: list[dict[str, int]] = [{c: w[order[0]]} for c in seqs[order[0]].upper()]
-    for i in order[1:]:
-        s = seqs[i].upper()
-        back = "".join(max(c, key=lambda x: (c[x], x)) for c in columns)
-        score, qs, qe, ts, te = local_alignment(s, back)
+    return merge_votes([[{c: w[i]} for c in seqs[i].upper()] for i in sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), seqs[i]))])
+
+
+def merge_votes(parts: list[list[dict[str, int]]]) -> list[dict[str, int]]:
+    """One table of votes of several, in order: each is laid by its leading bases against the backbone so far; what overhangs extends it."""
+    columns = [dict(c) for c in parts[0]] if parts else []
+    for part in parts[1:]:
+        s = _leading(part)
+        score, qs, qe, ts, te = local_alignment(s, _leading(columns))
         if score < 2 * min(20, len(s)) * 0.6:
             continue
         for k in range(min(qe - qs, te - ts)):  # an ungapped vote inside the aligned stretch
-            columns[ts + k][s[qs + k]] = columns[ts + k].get(s[qs + k], 0) + w[i]
+            for base, n in part[qs + k].items():
+                columns[ts + k][base] = columns[ts + k].get(base, 0) + n
         if te == len(columns) and qe < len(s):
-            columns += [{c: w[i]} for c in s[qe:]]
+            columns += [dict(c) for c in part[qe:]]
         if ts == 0 and qs > 0:
-            columns = [{c: w[i]} for c in s[:qs]] + columns
+            columns = [dict(c) for c in part[:qs]] + columns
+    return columns
+
+
+def _leading(columns: list[dict[str, int]]) -> str:
+    return "".join(max(c, key=lambda x: (c[x], x)) for c in columns)
+
+
+def voted(columns: list[dict[str, int]], copies: int, least: int = 50) -> str | None:
+    """The consensus of columns of votes, from `copies` sequences in all."""
     if len(columns) < least:
         return None
-    single = max(w)
-    return "".join(b if sum(c.values()) > single or len(seqs) == 1 else b.lower() for c in columns for b in [max(c, key=lambda x: (c[x], x))])
+    return "".join(b if sum(c.values()) > 1 or copies == 1 else b.lower() for c, b in zip(columns, _leading(columns)))
 
 
 def gap_upper_bound(gaps: list[tuple[int, int]], at: int, extend: int = 15, divergence: float = 0.02) -> int:

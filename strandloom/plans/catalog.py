@@ -983,19 +983,33 @@ def forbidden_cuts(spark, sf):
 
 @query("G07 X22")
 def cluster_consensus(spark, sf):
-    """Consensus of the contigs of records that share minimizers at one place; components of over 200 contigs are left to their longest contig."""
-    from ..functions.sequence import consensus
-
+    """Consensus of the contigs of records that share minimizers at one place."""
     comp = graph.connected_components(_minimizer_edges(spark, sf, True))
-    c = _contigs(spark, sf).join(comp, F.col("rec_id") == F.col("node")).select("component", "contig")
-    n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("contig"), "contig")).alias("top"))
-    small = c.join(n.where("n <= 200").select("component"), "component")
+    return consensus_by_component(_contigs(spark, sf).join(comp, F.col("rec_id") == F.col("node")).select("component", "contig"))
+
+
+def consensus_by_component(contigs: DataFrame, part_size: int = 200) -> DataFrame:
+    """Component, n, consensus of contigs (component, contig). Equal contigs are one with a weight; a component of more than part_size different ones
+    votes in salted parts, whose votes are laid together."""
+    import json
+
+    from ..functions import sequence
+
+    x = contigs.groupBy("component", "contig").agg(F.count(F.lit(1)).alias("copies"))
+    n = x.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part_size).alias("parts"))
+    x = x.join(n, "component").withColumn("part", F.pmod(F.xxhash64("contig"), F.col("parts")))
+
+    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = sequence.votes(pdf.contig.tolist(), pdf.copies.tolist())
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "part": [pdf.part.iloc[0]], "copies": [pdf.copies.sum()], "votes": [json.dumps(v)]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"component": [pdf.component.iloc[0]], "n": [len(pdf)], "consensus": [consensus(pdf.contig.tolist())]})
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [json.loads(v) for v in pdf.sort_values(["copies", "part"], ascending=[False, True]).votes]
+        copies = int(pdf.copies.sum())
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "n": [copies], "consensus": [sequence.voted(sequence.merge_votes(parts), copies)]})
 
-    done = small.groupBy("component").applyInPandas(run, "component long, n long, consensus string")
-    return done.unionByName(n.where("n > 200").select("component", "n", F.col("top.contig").alias("consensus")))
+    v = x.groupBy("component", "part").applyInPandas(vote, "component long, part long, copies long, votes string")
+    return v.groupBy("component").applyInPandas(together, "component long, n long, consensus string")
 
 
 @query("W09 M03")

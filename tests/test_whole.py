@@ -75,3 +75,15 @@ def test_whole_contigs_are_judged():
     base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
     shared = base(60)
     assert contigs_match(base(10_050) + shared, shared + base(60))
+
+
+def test_large_components_are_voted(spark):
+    from strandloom.functions.sequence import consensus
+
+    rng = random.Random(13)
+    true = "".join(rng.choice("ACGT") for _ in range(90))
+    err = lambda s: "".join(rng.choice("ACGT") if rng.random() < 0.04 else c for c in s)
+    rows = [(1, err(true)) for _ in range(300)] + [(2, true[:70])] * 250 + [(2, true[10:])]
+    got = {r.component: (r.n, r.consensus) for r in catalog.consensus_by_component(spark.createDataFrame(rows, "component long, contig string")).collect()}
+    assert got[1][0] == 300 and got[1][1][5:-5] == true[5:-5]  # a wrong base at the very end of the backbone is not outvoted
+    assert got[2] == (251, true[:70] + true[70:].lower()) == (251, consensus([c for k, c in rows if k == 2]))
