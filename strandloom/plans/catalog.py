@@ -17,6 +17,7 @@ from ..functions import genotype as gtp
 from ..functions import geometry as geo
 from ..functions.readings import chromosome, mate_chromosome, sv_length, sv_type
 from ..operators import depth, graph, intervals, pairs, rollups
+from ..session import materialize
 from ..sinks import files as sink
 from ..sources import vcf
 from .problems import SQL_CHROM, SQL_CHROM2, SQL_LENGTH, SQL_TYPE, table
@@ -874,15 +875,17 @@ def pair_types(spark, sf):
     return p.join(primary.withColumnRenamed("read_id", "a"), "a", "left_semi").join(primary.withColumnRenamed("read_id", "b"), "b", "left_semi").select("qname", "svtype", "break_a")
 
 
-@query("A21 A06 A07 P01 P03 F10 J01 J02 J04 J05 M01")
+@query("A21 A06 A07 P01 P03 F10 J01 J02 J03 J04 J05 M01")
 def called_events(spark, sf):
-    """The whole calling pipeline over the alignments of all samples together."""
+    """The whole calling pipeline over the alignments, each sample by itself; a read without a sample name has that of its template."""
     from .config import Options
     from .pipelines import call, fetch
 
-    r = reads(spark, sf, "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "sa")
-    ev, track = fetch(r, Options.of(min_support=2))
-    return call(ev, track, Options.of(min_support=2)).select("chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "su", "gt", "gq", "prob", "filt")
+    r = reads(spark, sf, "sample_name", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "sa")
+    named = r.groupBy("qname").agg(F.min("sample_name").alias("__named"))
+    r = r.join(named, "qname", "left").withColumn("sample_name", F.coalesce("sample_name", "__named")).drop("__named")
+    ev, track = fetch(materialize(r), Options.of(min_support=2), by="sample_name")
+    return call(materialize(ev), materialize(track), Options.of(min_support=2), by="sample_name").select("sample", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "su", "gt", "gq", "prob", "filt")
 
 
 @query("A17 A18 F22")

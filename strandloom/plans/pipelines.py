@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import cigar as cg
 from ..functions import genotype as gtp
+from ..functions import geometry as geo
 from ..operators import calling, depth, graph, intervals, pairs, rollups
 from ..session import materialize
 from ..sinks import files as sink
@@ -30,12 +32,15 @@ def as_events(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def fetch(reads: DataFrame, opt: Options = Options(), include: DataFrame | None = None, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def fetch(reads: DataFrame, opt: Options = Options(), include: DataFrame | None = None, exclude: DataFrame | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(reads with evidence, depth runs). include and exclude are interval tables (chrom, start, end); what is excluded is taken from
-    what is included. Reads in places deeper than max_cov are left out; depth counts all primary reads, the low in quality too."""
+    what is included. Reads in places deeper than max_cov are left out; depth counts all primary reads, the low in quality too.
+    With `by`, a column of sample names, depth is of each sample by itself: the runs are by place (_place)."""
     mapped = reads.where((F.col("flag").bitwiseAND(1284) == 0) & (F.col("rname") != "*") & (cg.op_count("cigar") > 0))
     r = mapped.withColumn("start", F.col("pos").cast("long")).withColumn("stop", F.col("pos") + cg.reference_length("cigar"))
-    track = depth.depth_track(r, "rname", "start", "stop")
+    key = "place" if by else "rname"
+    r = r.withColumn("place", _place(by, "rname")) if by else r
+    track = depth.depth_track(r, key, "start", "stop")
     clip = F.greatest(cg.left_clip("cigar"), cg.right_clip("cigar")) >= (opt.clip_length if opt.clip_length > 0 else 50)
     gap = cg.has_op("cigar", "I", opt.min_size) | cg.has_op("cigar", "D", opt.min_size)
     odd = cg.flag(1) & ~cg.flag(2)
@@ -48,44 +53,70 @@ def fetch(reads: DataFrame, opt: Options = Options(), include: DataFrame | None
         reg = intervals.merge_intervals(exclude, ["chrom"], "start", "end").select(F.col("chrom").alias("rc"), F.col("start").alias("rs"), F.col("end").alias("re"))
         r = intervals.range_join(r, reg, [("rname", "rc")], ("start", "start"), ("rs", "re"), 8192, "left_anti")
     if opt.max_cov > 0:
-        r = depth.depth_at(r, track, "rname", "start").where(F.col("depth") <= opt.max_cov).drop("depth")
+        r = depth.depth_at(r, track, key, "start").where(F.col("depth") <= opt.max_cov).drop("depth")
     return r, track
 
 
-def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str = "read_id", sample: str = "sample", scorer: calling.Scorer | None = None) -> DataFrame:
+def _place(sample: str, chrom: str):
+    return F.concat_ws("\t", F.coalesce(sample, F.lit("")), chrom)
+
+
+def alike(opt: Options):
+    """Whether two near nodes (columns a_* and b_*: chrom_a, chrom_b, break_a, break_b, gap, svtype, how) are one event: with a reciprocal overlap and second breaks nearer
+    than 150 by their in-read lengths (sd) where both have one, else by the span-position rule (dist_norm, spd)."""
+    c = F.col
+    at = [c("a_break_a"), c("a_break_b"), c("b_break_a"), c("b_break_b")]
+    far = lambda long, trust: geo.alike_spans(*at, opt.dist_norm, opt.spd, long, F.coalesce("a_gap", F.lit(0)), F.coalesce("b_gap", F.lit(0)), trust)
+    rule = lambda long: F.when(c("a_svtype") == "INS", far(long, opt.trust_ins_len)).otherwise(far(long, False))
+    span = F.when((c("a_how") == "sr") | (c("b_how") == "sr"), rule(True)).otherwise(rule(False)) if opt.paired else rule(True)
+    overlap = (c("a_chrom_a") != c("a_chrom_b")) | geo.reciprocal(*at)
+    lengths = F.abs(c("a_gap") - c("b_gap")) / F.greatest("a_gap", "b_gap") < opt.sd
+    return F.when(overlap & (F.abs(at[1] - at[3]) < 150), F.coalesce(lengths, F.lit(True))).otherwise(span)
+
+
+def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str = "read_id", sample: str = "sample", scorer: calling.Scorer | None = None, by: str | None = None) -> DataFrame:
     """Events from reads with evidence (columns of an alignment record, `row`, start, stop; seq where clips are to be compared).
 
     Pairs of templates, junctions of split reads, in-read gaps and clips become breaks with a type and two places (a clip has one). Breaks of one
     type near each other on both sides and clips that share minimizers are edges of weight 2, neighbours on a template of weight 1. What hangs
     together by weight 2 is a cluster, and a cluster with enough support a call; what hangs together by any edge is a group (grp). Depth, neighbours, genotype
-    and score follow.
+    and score follow. With `by`, a column of sample names (and a track by place), every sample is called by itself.
     """
     scorer = scorer or calling.Scorer()
     apart = 300 if opt.paired else 500
     least_clip = opt.clip_length if opt.clip_length > 0 else 50
-    kept = ["node", "template", "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", "how"]
+    # a name may come in several samples: templates are of a sample
+    reads = reads.withColumn("sample", F.coalesce(by, F.lit("")) if by else F.lit(sample))
+    reads = reads.withColumn("template", F.when(F.col("qname").isNotNull(), F.concat_ws("\t", "sample", "qname")))
+    owner = reads.select(F.col(row).alias("a"), "sample")
+    kept = ["node", "sample", "template", "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", "how"]
     sides = [("chrom_a", "chrom_b"), ("break_a", "break_b"), ("precise_a", "precise_b")]
-    splits = materialize(calling.split_breaks(reads, "qname", row, opt.mq))
-    p = materialize(calling.classified_pairs(reads, "qname", row))  # a filter must not be pushed into the rules
-    p = p.join(reads.select(F.col(row).alias("a"), "flag", F.abs("tlen").alias("tlen"), "mapq"), "a").join(reads.select(F.col(row).alias("b"), F.col("flag").alias("fb")), "b")
+    splits = materialize(calling.split_breaks(reads, "template", row, opt.mq).join(owner.withColumnRenamed("a", row), row))
+    p = materialize(calling.classified_pairs(reads, "template", row))  # a filter must not be pushed into the rules
+    p = p.join(reads.select(F.col(row).alias("a"), "sample", "flag", F.abs("tlen").alias("tlen"), "mapq"), "a").join(reads.select(F.col(row).alias("b"), F.col("flag").alias("fb")), "b")
     # a read and its supplementary tell a junction of the SA tag: counted there
     one_read = F.col("flag").bitwiseAND(64) == F.col("fb").bitwiseAND(64)
-    told = splits.select("qname", F.col("part").alias("__part")).distinct().withColumn("__told", F.lit(True))
-    p = p.withColumn("__part", F.col("flag").bitwiseAND(64)).join(told, ["qname", "__part"], "left").where(~(one_read & F.coalesce("__told", F.lit(False))))
+    told = splits.select("template", F.col("part").alias("__part")).distinct().withColumn("__told", F.lit(True))
+    p = p.withColumn("__part", F.col("flag").bitwiseAND(64)).join(told, ["template", "__part"], "left").where(~(one_read & F.coalesce("__told", F.lit(False))))
     odd = (F.col("flag").bitwiseAND(2) == 0) | F.col("length").isNotNull() | (F.col("tlen") > opt.max_tlen)
-    by_pair = p.where(odd).withColumn("node", F.col("a")).withColumn("template", F.col("qname")).withColumn("how", F.lit("pe")).select(*kept)
-    by_split = splits.withColumn("node", F.xxhash64(row, "place", F.lit("split"))).withColumn("template", F.col("qname")).withColumn("how", F.lit("sr")).select(*kept)
+    by_pair = p.where(odd).withColumn("node", F.col("a")).withColumn("how", F.lit("pe")).select(*kept)
+    by_split = splits.withColumn("node", F.xxhash64(row, "place", F.lit("split"))).withColumn("how", F.lit("sr")).select(*kept)
     breaks = pairs.canonical(by_pair.unionByName(by_split), sides, ("chrom_a", "chrom_b"), ("break_a", "break_b"), "ct")
-    gaps = reads.select(row, F.col("qname").alias("template"), "rname", "mapq", F.explode(F.filter(cg.walk("cigar", "start"), lambda g: g["op"].isin("I", "D") & (g["len"] >= opt.min_size))).alias("g"))
+    gaps = reads.select(row, "sample", "template", "rname", "mapq", F.explode(F.filter(cg.walk("cigar", "start"), lambda g: g["op"].isin("I", "D") & (g["len"] >= opt.min_size))).alias("g"))
     t = F.when(F.col("g.op") == "I", "INS").otherwise("DEL")
-    by_gap = gaps.select(F.xxhash64(row, F.col("g.idx")).alias("node"), "template", F.col("rname").alias("chrom_a"), F.col("rname").alias("chrom_b"), t.alias("svtype"), F.lit("3to5").alias("ct"), F.col("g.ref_start").alias("break_a"), cg.end_position(t, F.col("g.ref_start"), F.col("g.len")).alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), F.col("g.len").cast("long").alias("length"), "mapq", F.lit("wr").alias("how"))
-    clips = materialize(calling.clip_breaks(reads, "qname", row, least_clip).withColumn("node", F.xxhash64(row, "side", F.lit("clip"))))
+    by_gap = gaps.select(F.xxhash64(row, F.col("g.idx")).alias("node"), "sample", "template", F.col("rname").alias("chrom_a"), F.col("rname").alias("chrom_b"), t.alias("svtype"), F.lit("3to5").alias("ct"), F.col("g.ref_start").alias("break_a"), cg.end_position(t, F.col("g.ref_start"), F.col("g.len")).alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), F.col("g.len").cast("long").alias("length"), "mapq", F.lit("wr").alias("how"))
+    clips = materialize(calling.clip_breaks(reads, "template", row, least_clip).join(owner.withColumnRenamed("a", row), row).withColumn("node", F.xxhash64(row, "side", F.lit("clip"))))
     no = F.lit(None)
-    by_clip = clips.select("node", F.col("qname").alias("template"), F.col("chrom").alias("chrom_a"), F.col("chrom").alias("chrom_b"), F.lit("BND").alias("svtype"), no.cast("string").alias("ct"), F.col("at").alias("break_a"), F.col("at").alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), no.cast("long").alias("length"), "mapq", F.lit("sc").alias("how"))
+    by_clip = clips.select("node", "sample", "template", F.col("chrom").alias("chrom_a"), F.col("chrom").alias("chrom_b"), F.lit("BND").alias("svtype"), no.cast("string").alias("ct"), F.col("at").alias("break_a"), F.col("at").alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), no.cast("long").alias("length"), "mapq", F.lit("sc").alias("how"))
     nodes = materialize(breaks.unionByName(by_gap).unionByName(by_clip).where("break_a is not null and break_b is not null"))
-    placed = nodes.where("how <> 'sc'").select("node", "svtype", "chrom_a", "chrom_b", "break_a", "break_b")
-    near = pairs.proximity_edges(placed, ["svtype", "chrom_a", "chrom_b"], "node", "break_a", "break_b", apart, None, opt.search_depth)
-    alike_clips = pairs.minimizer_edges(clips, ["chrom", "side"], "node", "at", "mins", star=True).withColumn("weight", F.lit(pairs.SIMILAR_EDGE))
+    # equal nodes are one in the comparison of pairs, so that crowded places need no limit of partners
+    same = ["sample", "svtype", "chrom_a", "chrom_b", "break_a", "break_b", "gap", "how"]
+    placed = nodes.where("how <> 'sc'").withColumn("gap", F.when(F.col("how") == "wr", F.col("length")).otherwise(0)).withColumn("gap", F.nullif("gap", F.lit(0)))
+    placed = materialize(placed.select("node", *same).withColumn("rep", F.min("node").over(W.partitionBy(*same))))
+    copies = placed.where("node <> rep").select(F.col("rep").alias("src"), F.col("node").alias("dst"), F.lit(pairs.SIMILAR_EDGE).alias("weight"))
+    near = pairs.proximity_edges(placed.where("node = rep").drop("rep"), ["sample", "svtype", "chrom_a", "chrom_b"], "node", "break_a", "break_b", apart, alike(opt), None)
+    near = near.select("src", "dst", "weight").unionByName(copies)
+    alike_clips = pairs.minimizer_edges(clips, ["sample", "chrom", "side"], "node", "at", "mins", star=True).withColumn("weight", F.lit(pairs.SIMILAR_EDGE))
     edges = materialize(pairs.union_edges(near, alike_clips, pairs.template_edges(nodes, "template", "node", ["chrom_a", "break_a"])))
     comp = graph.connected_components(edges.where(F.col("weight") == pairs.SIMILAR_EDGE), nodes=nodes.select("node"))
     groups = graph.connected_components(edges, nodes=nodes.select("node")).withColumnRenamed("component", "grp")
@@ -93,21 +124,21 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     least = opt.min_support if isinstance(opt.min_support, int) else 2
     calls = materialize(calling.assemble(clusters, ["component"], least)).withColumnRenamed("pe", "n")
     kinds = [F.count_if(F.col("how") == h).alias(h) for h in ("pe", "sr", "sc", "wr")]
-    figures = clusters.groupBy("component").agg(*kinds, F.avg("mapq").alias("mapq"), F.min("grp").alias("grp"))
+    figures = clusters.groupBy("component").agg(*kinds, F.avg("mapq").alias("mapq"), F.min("grp").alias("grp"), F.min("sample").alias("sample"))
     e = calls.join(figures, "component").withColumn("su", F.col("n") + F.col("wr")).withColumn("precise", (F.col("precise_a") & F.col("precise_b")).cast("int"))
     e = e.withColumn("bnd", F.when(F.col("svtype") == "BND", F.col("n")).otherwise(0)).withColumn("svlen", F.when(F.col("svtype") != "BND", F.col("svlen")))
     e = e.where((F.coalesce("svlen", F.lit(opt.min_size)) >= opt.min_size) | (F.col("chrom") != F.col("chr2")))
     e = e.join(e.groupBy("grp").agg(F.count(F.lit(1)).alias("n_in_grp")), "grp")
-    e = e.withColumn("event_id", F.col("component")).withColumn("sample", F.lit(sample))
+    e = e.withColumn("event_id", F.col("component")).withColumn("place", _place("sample", "chrom") if by else F.col("chrom"))
     e = materialize(e)
-    tr = track.withColumnRenamed("rname", "chrom")
-    flank = depth.window_depth(e.select("event_id", "chrom", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi")), tr, "chrom", ["event_id"], "lo", "hi").select("event_id", F.col("mean_depth").alias("cov"))
-    inner = depth.window_depth(e.where("chrom = chr2").select("event_id", "chrom", F.least("pos", "end_pos").alias("lo"), (F.greatest("pos", "end_pos") + 1).alias("hi")), tr, "chrom", ["event_id"], "lo", "hi").select("event_id", F.col("mean_depth").alias("inner_cn"))
+    tr = track.withColumnRenamed("rname", "place")
+    flank = depth.window_depth(e.select("event_id", "place", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi")), tr, "place", ["event_id"], "lo", "hi").select("event_id", F.col("mean_depth").alias("cov"))
+    inner = depth.window_depth(e.where("chrom = chr2").select("event_id", "place", F.least("pos", "end_pos").alias("lo"), (F.greatest("pos", "end_pos") + 1).alias("hi")), tr, "place", ["event_id"], "lo", "hi").select("event_id", F.col("mean_depth").alias("inner_cn"))
     e = e.join(flank, "event_id", "left").join(inner, "event_id", "left").withColumn("outer_cn", F.col("cov"))
     if opt.min_support == "auto":
         e = e.where(F.col("su") >= gtp.least_support("cov", 0.05))
-    e = intervals.count_near(e, ["chrom"], "pos", 50, 50, "neigh", own=False)
-    e = intervals.count_near(e, ["chrom"], "pos", 10_000, 10_000, "neigh10", own=False)
+    e = intervals.count_near(e, ["place"], "pos", 50, 50, "neigh", own=False)
+    e = intervals.count_near(e, ["place"], "pos", 10_000, 10_000, "neigh10", own=False)
     gt, gq = gtp.genotype(F.greatest(F.lit(0.0), F.coalesce("cov", F.lit(0.0)) - F.col("su")), F.col("su"), F.col("svtype"))
     e = e.withColumn("gt", gt).withColumn("gq", gq).withColumn("a_freq", F.round(F.least(F.lit(1.0), F.col("su") / (F.coalesce("cov", F.lit(0.0)) + 1e-5)), 3))
     e = e.withColumn("prob", scorer.prob(e)).withColumn("fold_change", depth.fold_change("inner_cn", "outer_cn", "svtype"))

@@ -11,8 +11,8 @@ READS = "read_id long, sample_name string, qname string, flag int, rname string,
 def called(spark, rows, **options):
     opt = Options.of(min_support=3, **options)
     reads = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], READS)
-    ev, track = fetch(reads, opt)
-    return call(ev, track, opt).collect()
+    ev, track = fetch(reads, opt, by="sample_name")
+    return call(ev, track, opt, by="sample_name").collect()
 
 
 def single(name, chrom, pos, cigar, seq="*", sa=None, sample="s1"):
@@ -32,6 +32,11 @@ def test_split_reads_and_clips_alone(spark):
     for i in range(4):
         rows.append(single(f"c{i}", "chr6", 1000 + i, f"{60 - i}M40S", base(60 - i) + clip))
         rows.append(single(f"n{i}", "chr7", 1000 + i, f"{60 - i}M40S", base(100 - i)))  # clips that share nothing
-    got = {(r.svtype, r.chrom, r.pos, r.chr2, r.end_pos, r.sr, r.sc, r.su) for r in called(spark, rows)}
+    # two lengths at one place, and one event in two samples deeper together than max_cov
+    rows += [single(f"g{i}", "chr8", 1000, "50M60D50M") for i in range(3)] + [single(f"h{i}", "chr8", 1000, "50M310D50M") for i in range(3)]
+    rows += [single(f"m{i}{s}", "chr9", 1000, "50M60D50M", sample=s) for i in range(5) for s in ("s1", "s2")]
+    events = called(spark, rows, max_cov=9)
+    assert sorted((r.sample, r.chrom, r.pos, r.svlen, r.wr) for r in events if r.chrom in ("chr8", "chr9")) == [("s1", "chr8", 1050, 60, 3), ("s1", "chr8", 1050, 310, 3), ("s1", "chr9", 1050, 60, 5), ("s2", "chr9", 1050, 60, 5)]
+    got = {(r.svtype, r.chrom, r.pos, r.chr2, r.end_pos, r.sr, r.sc, r.su) for r in events if r.chrom < "chr8"}
     dels = {("DEL", "chr1", 1060, "chr1", 5000, 4, 0, 4), ("DEL", "chr4", 1050, "chr4", 3000, 3, 0, 3), ("DEL", "chr4", 3050, "chr4", 9000, 3, 0, 3), ("DEL", "chr5", 1060, "chr5", 5000, 3, 0, 3)}
     assert got == dels | {("TRA", "chr2", 8060, "chr3", 700, 3, 0, 3), ("BND", "chr6", 1060, "chr6", 1060, 0, 4, 4)}
