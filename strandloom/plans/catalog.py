@@ -875,6 +875,15 @@ def pair_types(spark, sf):
     return p.join(primary.withColumnRenamed("read_id", "a"), "a", "left_semi").join(primary.withColumnRenamed("read_id", "b"), "b", "left_semi").select("qname", "svtype", "break_a")
 
 
+@query("X35 J21")
+def classified_pairs(spark, sf):
+    """Every informative pair whose two ends have a place, with all that its rule tells: over two chromosomes (TRA) and read with supplementary too."""
+    from ..operators import calling
+
+    r = reads(spark, sf, "qname", "flag", "pos", "rname", "cigar").where(~cg.flag(4) & (F.col("rname") != "*"))
+    return calling.classified_pairs(r, "qname", "read_id")
+
+
 @query("A21 A06 A07 P01 P03 F10 J01 J02 J03 J04 J05 M01")
 def called_events(spark, sf):
     """The whole calling pipeline over the alignments, each sample by itself; a read without a sample name has that of its template."""

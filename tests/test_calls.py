@@ -2,6 +2,7 @@
 
 import random
 
+from strandloom.plans import catalog
 from strandloom.plans.config import Options
 from strandloom.plans.pipelines import call, fetch
 
@@ -15,6 +16,15 @@ def called(spark, rows, **options):
     return call(ev, track, opt, by="sample_name").collect()
 
 
+def test_every_pair_is_classified(spark, tmp_path):
+    rows = [(1, "s1", "t", 97, "chr1", 100, 60, "100M", "chr2", 500, 0, "*", None), (2, "s1", "t", 145, "chr2", 500, 60, "100M", "chr1", 100, 0, "*", None)]
+    rows += [(3, "s1", "u", 65, "chr1", 1000, 60, "60M40S", "=", 1200, 0, "*", None), (4, "s1", "u", 2113, "chr1", 5000, 60, "60H40M", "=", 1200, 0, "*", None)]
+    spark.createDataFrame(rows, READS).write.parquet(f"{tmp_path}/alignments.parquet")
+    got = {r.qname: r for r in catalog.classified_pairs(spark, str(tmp_path)).collect()}
+    assert (got["t"].svtype, got["t"].chrom_a, got["t"].chrom_b, got["t"].ct, got["t"].break_a, got["t"].break_b, got["t"].precise_a) == ("TRA", "chr1", "chr2", "3to5", 200, 500, False)
+    assert (got["u"].svtype, got["u"].ct, got["u"].break_a, got["u"].break_b, got["u"].precise_a, got["u"].precise_b, got["u"].length) == ("DEL", "3to5", 1060, 5000, True, True, 3940)
+
+
 def single(name, chrom, pos, cigar, seq="*", sa=None, sample="s1"):
     return (sample, name, 0, chrom, pos, 60, cigar, "*", 0, 0, seq, sa)
 
