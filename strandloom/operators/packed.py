@@ -1,27 +1,32 @@
 """Several values packed into one field: one row per value, with its place kept.
 
 A field is read as a lattice over its tokens: quoted spans (atomic), words, numbers and the runs of characters between
-them. Arcs are a pair (name, joiner, id), a quoted pair, an id alone, a name alone (no value) and a delimiter. Whether a
-run of characters joins a name to its id or parts two values is learned from the whole column by
-expectation-maximisation, as are the frequencies of the names; a Viterbi pass then picks the likeliest path of each field.
-A comma and a colon right between a name and an id always join; that is a rule of the format and fixes those arcs.
+them. Arcs are a pair (name, joiner, id), a quoted pair, an id alone, a name alone (no value) and a delimiter. All that
+weighs the arcs is learned from the whole column by expectation-maximisation: how frequent each name is, how often it
+comes with an id and how often alone, which runs of characters join and which part, and how often an id comes alone. A
+Viterbi pass then picks the likeliest path of each field, so that one separator may join after one name and part after another.
+That a comma and a colon join a name to an id is a rule of the format; it enters as prior counts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Runs of characters that always join a name to the id after it.
-JOINERS = (",", ":")
-#: Names of which a frequency is handed to the tasks; with more distinct names all get one frequency (see `learn`).
-NAME_BOUND = 20_000
+#: Runs of characters that join a name to the id after it, and how many joins each is worth before any field is read.
+JOINERS, PRIOR = (",", ":"), 50.0
+#: Names are counted in so many buckets by hash, whatever their number: names in one bucket share their counts.
+BUCKETS = 1 << 13
+#: How many occurrences the share of all names weighs against a name's own in how often it comes with an id.
+BACK_OFF = 2.0
 ROUNDS = 12
 
 _TOKEN = re.compile(r'"(?:[^"]|"")*"|\'(?:[^\']|\'\')*\'|[\w.\-]+|[^\w.\-"\']+|["\']')
@@ -29,7 +34,7 @@ _ID = re.compile(r"\d+(?:\.0+)?")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 _QUOTED_PAIR = re.compile(r"(.*)[,:]\s*(\d+(?:\.0+)?)\s*", re.DOTALL)
 _BIG = 1 << 63
-_FLOOR = math.log(1e-9)
+_LEAST = 1e-9
 
 
 def _id(text: str) -> int | None:
@@ -37,11 +42,15 @@ def _id(text: str) -> int | None:
     return n if n < _BIG else None
 
 
+def bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 def sep_class(text: str) -> str:
-    """The characters of a run that are not blank, at most three of them, else the kind of blank: a bounded set of classes."""
+    """The characters of a run that are not blank, at most two of them and ? for any beyond ASCII, else the kind of blank: under 1,000 classes."""
     solid = "".join(text.split())
     if solid:
-        return solid[:3]
+        return "".join(c if c < "\x7f" else "?" for c in solid[:2])
     return "\n" if "\n" in text else "\t" if "\t" in text else " "
 
 
@@ -73,44 +82,60 @@ def tokens(text: str) -> list[tuple[str, str, int | None]]:
 
 
 class Model:
-    """Probabilities of the arcs: of a class of characters joining (rather than parting) a name and an id, and of names."""
+    """Log weights of the arcs.
 
-    def __init__(self, join: dict[str, float], names: dict[str, float] | None = None, other: float = 1e-6) -> None:
-        self.join, self.names, self.other = join, names or {}, other
+    join and part are the chances of each class of characters among joiners and among delimiters; bare is the chance that a
+    value is an id alone; frequency and paired tell per bucket of names how frequent they are and how often an id comes with them.
+    """
 
-    def score(self, name: str) -> float:
-        return math.log(self.names.get(name, self.other))
+    def __init__(self, join: dict[str, float], part: dict[str, float], bare: float, frequency: np.ndarray, paired: np.ndarray) -> None:
+        log = lambda d: {k: math.log(max(v, _LEAST)) for k, v in d.items()}
+        self.join, self.part = log(join), log(part)
+        self.bare, self.named = math.log(max(bare, _LEAST)), math.log(max(1 - bare, _LEAST))
+        self.frequency = np.log(np.maximum(frequency, _LEAST))
+        self.paired = np.clip(paired, _LEAST, 1 - _LEAST)
+        self.known: dict[str, tuple[float, float]] = {}
+
+    @staticmethod
+    def plain(joiners: tuple[str, ...] = JOINERS) -> Model:
+        """Without learning: those join and nothing else does."""
+        return Model(dict.fromkeys(joiners, 1 / len(joiners)), {}, 0.5, np.full(BUCKETS, 1 / BUCKETS), np.full(BUCKETS, 0.5))
+
+    def of(self, name: str) -> tuple[float, float]:
+        """Log weights of the name with an id and alone."""
+        got = self.known.get(name)
+        if got is None:
+            b = bucket(name)
+            got = self.named + self.frequency[b] + math.log(self.paired[b]), self.named + self.frequency[b] + math.log(1 - self.paired[b])
+            if len(self.known) < BUCKETS:
+                self.known[name] = got
+        return got
 
     def split(self, text: str | None) -> list[tuple[str | None, int]]:
         """(name or None, id) of the values, by the likeliest path through the lattice."""
         if not text:
             return []
         t = tokens(text)
-        best: list[float] = [0.0] + [-math.inf] * len(t)
-        back: list[tuple[int, tuple | None]] = [(0, None)] * (len(t) + 1)
-
-        def arc(i: int, j: int, gain: float, value: tuple | None) -> None:
-            if best[i] + gain > best[j]:
-                best[j], back[j] = best[i] + gain, (i, value)
-
-        for i, (kind, word, n) in enumerate(t):
-            if best[i] == -math.inf:
-                continue
+        n = len(t)
+        least = math.log(_LEAST)  # characters that were never seen part
+        best: list[float] = [0.0] + [-math.inf] * n
+        back: list[tuple[int, tuple | None]] = [(0, None)] * (n + 1)
+        for i, (kind, word, ident) in enumerate(t):
+            at = best[i]
             if kind == "N":
-                pair = i + 2 < len(t) and t[i + 1][0] == "S" and t[i + 2][0] == "I"
-                p = 1.0 if pair and t[i + 1][1] in JOINERS else self.join.get(t[i + 1][1], 0.0) if pair else 0.0
-                name = self.score(word)
-                if pair and p > 0:
-                    arc(i, i + 3, name + math.log(p), (word, t[i + 2][2]))
-                if p < 1:
-                    arc(i, i + 1, name + math.log(1 - p), None)
+                pair, gain = self.of(word)
+                if i + 2 < n and t[i + 1][0] == "S" and t[i + 2][0] == "I":
+                    best[i + 3], back[i + 3] = at + pair + self.join.get(t[i + 1][1], 2 * least), (i, (word, t[i + 2][2]))
+                value = None
             elif kind == "P":
-                arc(i, i + 1, self.score(word) if word else 0.0, (word or None, n))
+                gain, value = self.of(word)[0] if word else 0.0, (word or None, ident)
             elif kind == "I":
-                arc(i, i + 1, 0.0, (None, n))
+                gain, value = self.bare, (None, ident)
             else:
-                arc(i, i + 1, 0.0, None)
-        out, j = [], len(t)
+                gain, value = self.part.get(word, least) if kind == "S" else 0.0, None
+            if at + gain > best[i + 1]:
+                best[i + 1], back[i + 1] = at + gain, (i, value)
+        out, j = [], n
         while j:
             j, value = back[j]
             if value:
@@ -119,70 +144,77 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side of the learning: name counts, and per class of characters how often it stands between a name and an id, and elsewhere."""
+    """Map side of the learning. Kinds: open (name bucket, characters, before an id), pair (quoted), alone, bare (id) and part (characters)."""
     got: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        kind, word = zip(*got) if got else ((), ())
-        r = pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(got.values(), pa.int64())], names=["kind", "word", "n"])
+        kind, name, sep = zip(*got)
+        r = pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(name, pa.int32()), pa.array(sep, pa.string()), pa.array(got.values(), pa.int64())], names=["kind", "name", "sep", "n"])
         got.clear()
         return r
 
     for b in batches:
         for text in b.column(0).to_pylist():
-            if not text:
-                continue
-            t = tokens(text)
+            t = tokens(text) if text else []
+            held = 0  # tokens that an open pair has used
             for i, (kind, word, _) in enumerate(t):
-                if kind in "NP":
-                    got["name", word] += 1
-                if kind == "N" and not (i + 2 < len(t) and t[i + 1][0] == "S" and t[i + 2][0] == "I"):
-                    got["alone", ""] += 1
+                if kind == "N":
+                    if i + 2 < len(t) and t[i + 1][0] == "S" and t[i + 2][0] == "I":
+                        got["open", bucket(word), t[i + 1][1]] += 1
+                        held = i + 3
+                    else:
+                        got["alone", bucket(word), ""] += 1
+                elif i < held:
+                    continue
                 elif kind == "S":
-                    got["between" if 0 < i < len(t) - 1 and t[i - 1][0] == "N" and t[i + 1][0] == "I" else "part", word] += 1
-                elif kind == "I" and not (i > 1 and t[i - 1][0] == "S" and t[i - 2][0] == "N"):
-                    got["bare", ""] += 1
+                    got["part", 0, word] += 1
+                elif kind == "I":
+                    got["bare", 0, ""] += 1
+                elif kind == "P":
+                    got["pair", bucket(word), ""] += 1
         if len(got) > 100_000:
             yield flush()
     if got:
         yield flush()
 
 
-def learn(df: DataFrame, field: str, rounds: int = ROUNDS, name_bound: int = NAME_BOUND) -> Model:
-    """Fit the arcs on the whole column.
+def learn(df: DataFrame, field: str, rounds: int = ROUNDS) -> Model:
+    """Fit the arcs on the whole column, by one scan.
 
-    Characters between a name and an id are either a joiner (one value) or a delimiter (a name without an id, then an id
-    alone). The E-step gives each class of characters its share of joins; the M-step re-estimates the rates of joined,
-    lone-name and lone-id arcs and the use of each class as joiner and as delimiter. Only counts per class of characters
-    reach the driver (classes have at most three characters). Name frequencies go to the tasks if there are no more than
-    `name_bound` names; beyond that every name gets the same frequency, which leaves the paths as they are, for a name
-    has the same tokens on either path.
+    What stands open is every name with characters and an id after it: one value with a joiner, or a name alone, a delimiter and
+    an id alone. The E-step gives each (name, characters) its chance of being one value; the M-step re-estimates how often each
+    name is paired (backing off to the share of all names), the use of each class of characters as joiner and as delimiter, and the rate of
+    ids alone. Only counts by bucket of names and class of characters reach the driver, both bounded by construction. An empty
+    column gives the prior.
     """
-    counts = df.select(F.col(field).cast("string").alias("text")).mapInArrow(_count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    rows = counts.where("kind <> 'name'").collect()
-    at = {(r["kind"], r["word"]): r["n"] for r in rows}
-    between = {w: n for (k, w), n in at.items() if k == "between"}
-    part = {w: n for (k, w), n in at.items() if k == "part"}
-    alone, bare = at.get(("alone", ""), 0) + 1.0, at.get(("bare", ""), 0) + 1.0
-    join = {w: 1.0 if w in JOINERS else 0.5 for w in between}
+    counts = df.select(F.col(field).cast("string").alias("text")).mapInArrow(_count, "kind string, name int, sep string, n long").groupBy("kind", "name", "sep").agg(F.sum("n").alias("n"))
+    rows = counts.collect()
+    seps = sorted({*JOINERS, *(r["sep"] for r in rows if r["kind"] in ("open", "part"))})
+    at = {s: i for i, s in enumerate(seps)}
+    of = lambda k: [r for r in rows if r["kind"] == k]
+    open_ = of("open")
+    name, sep, n = (np.array([x[k] if k != "sep" else at[x[k]] for x in open_], np.int64) for k in ("name", "sep", "n"))
+    pair, alone, part = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(seps))
+    for kind, into in (("pair", pair), ("alone", alone)):
+        for r in of(kind):
+            into[r["name"]] += r["n"]
+    for r in of("part"):
+        part[at[r["sep"]]] += r["n"]
+    bare = float(sum(r["n"] for r in of("bare")))
+    first = np.array([PRIOR if s in JOINERS else 0.0 for s in seps])
+    share = np.where(first[sep] > 0, 0.98, 0.5)
     for _ in range(rounds):
-        joined = {w: between[w] * join[w] for w in between}
-        parted = {w: part.get(w, 0) + between.get(w, 0) - joined.get(w, 0) for w in {*part, *between}}
-        j_all, d_all = sum(joined.values()) + 1.0, sum(parted.values()) + 1.0
-        lone = sum(between[w] - joined[w] for w in between)
-        values = j_all + alone + bare + 2 * lone
-        pair, name, single = j_all / values, (alone + lone) / values, (bare + lone) / values
-        for w in join:
-            if w not in JOINERS:
-                a = pair * (joined[w] + 1e-3) / j_all
-                b = name * single * (parted[w] + 1e-3) / d_all
-                join[w] = a / (a + b)
-    names = counts.where("kind = 'name'")
-    top = names.limit(name_bound + 1).collect()
-    if len(top) > name_bound:
-        return Model(join)
-    total = sum(r["n"] for r in top) or 1
-    return Model(join, {r["word"]: r["n"] / total for r in top}, 0.5 / total)
+        joined, parted = share * n, (1 - share) * n
+        p, a = pair + np.bincount(name, joined, BUCKETS), alone + np.bincount(name, parted, BUCKETS)
+        every = (p.sum() + 1) / (p.sum() + a.sum() + 2)
+        paired = (p + BACK_OFF * every) / (p + a + BACK_OFF)
+        j, d = first + np.bincount(sep, joined, len(seps)) + 1e-3, part + np.bincount(sep, parted, len(seps)) + 1e-3
+        join, delimit = j / j.sum(), d / d.sum()
+        alone_id = (bare + parted.sum() + 1) / (bare + 2 * parted.sum() + joined.sum() + pair.sum() + alone.sum() + 2)
+        one, two = paired[name] * join[sep], (1 - paired[name]) * delimit[sep] * alone_id
+        share = one / (one + two)
+    frequency = (pair + alone + np.bincount(name, n, BUCKETS) + 1e-3) / (pair.sum() + alone.sum() + n.sum() + 1e-3 * BUCKETS)
+    return Model(dict(zip(seps, join.tolist())), dict(zip(seps, delimit.tolist())), alone_id, frequency, paired)
 
 
 def _explode(model: Model):
