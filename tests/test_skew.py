@@ -29,6 +29,24 @@ def test_heavy_and_light_give_exact_figures(spark):
             assert r.mean is None and r.p50 is None
 
 
+def test_fractions_decimals_and_parted_buckets(spark):
+    """Values keep their type; buckets of more rows than the bound are parted until the rank is found."""
+    rng = random.Random(9)
+    rows = [("hot", rng.choice([None, float("nan"), rng.gauss(0, 3), 2.5, -1e300, 1e-300])) for _ in range(1500)] + [(f"k{i % 40}", rng.choice([0.1, 0.2, -7.25, rng.random()])) for i in range(800)]
+    df = spark.createDataFrame(rows, "key string, value double")
+    for few in (1_000_000, 20):
+        got = {r.key: r for r in skewed_stats(df, "key", "value", (1, 50, 99), 0.05, few).collect()}
+        for k in got:
+            have = [v for q, v in rows if q == k and v is not None and v == v]
+            r = got[k]
+            assert (r.n, r.n_value, r.min, r.max) == (sum(q == k for q, _ in rows), len(have), min(have), max(have))
+            assert (r.p1, r.p50, r.p99) == tuple(exact(have, p) for p in (1, 50, 99)), (few, k)
+        assert abs(got["k1"].mean - sum(v for q, v in rows if q == "k1") / got["k1"].n_value) < 1e-12
+    big = [("a", 2**62 + rng.randrange(2000)) for _ in range(500)] + [("a", -(2**61) - rng.randrange(900)) for _ in range(300)]
+    r = skewed_stats(spark.createDataFrame(big, "key string, value long"), "key", "value", (10, 50), 0.05, 100).first()
+    assert (r.p10, r.p50) == tuple(exact([v for _, v in big], p) for p in (10, 50))
+
+
 def test_no_heavy_key_is_missed(spark):
     rng = random.Random(5)
     keys = [f"u{rng.randrange(10**6)}" for _ in range(20000)] + ["a"] * 400 + ["b"] * 250
