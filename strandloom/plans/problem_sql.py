@@ -29,3 +29,22 @@ c AS (SELECT *, 'added' AS change_kind FROM x WHERE old_name IS NULL AND new_nam
 """
 P6_SQL = _P6 + "SELECT feed_id, file_no, field_name, change_kind FROM c"
 P6_CHANGES_SQL = _P6 + "SELECT feed_id, file_no, field_name, change_kind, old_name, new_name, old_type, new_type FROM c"
+
+P6_SCHEMA_SQL = """
+WITH l AS (SELECT DISTINCT feed_id, file_no, payload FROM call_files WHERE feed_id IS NOT NULL AND file_no IS NOT NULL),
+h AS (SELECT feed_id, file_no, field_name, alias_path, json_type(payload, '$.' || alias_path) AS kind FROM (SELECT * FROM l WHERE json_valid(payload)) v, (SELECT DISTINCT alias_path, field_name FROM field_alias) a WHERE json_exists(payload, '$.' || alias_path)),
+f AS (SELECT field_name, count(DISTINCT (feed_id, file_no)) AS n_files, count(DISTINCT alias_path) AS n_names, bool_or(kind IN ('ARRAY', 'OBJECT')) AS deep, bool_or(kind IN ('VARCHAR')) AS words, bool_or(kind = 'DOUBLE') AS fractions, bool_or(kind IN ('BIGINT', 'UBIGINT')) AS wholes FROM h GROUP BY 1)
+SELECT n.field_name, coalesce(n_files, 0) AS n_files, coalesce(n_names, 0) AS n_names, CASE WHEN deep THEN 'json' WHEN words THEN 'string' WHEN fractions THEN 'number' WHEN wholes THEN 'integer' END AS union_type
+FROM (SELECT DISTINCT field_name FROM field_alias) n LEFT JOIN f ON n.field_name = f.field_name
+"""
+
+_TEXT = "(SELECT arg_min(json_extract_string(payload, '$.' || alias_path), alias_path) FROM (SELECT DISTINCT alias_path FROM field_alias WHERE field_name = '{0}') a WHERE json_valid(payload) AND json_exists(payload, '$.' || alias_path) AND json_extract_string(payload, '$.' || alias_path) IS NOT NULL)".format
+
+P6_TABLE_SQL = f"""
+WITH v AS (SELECT row_id, feed_id, file_no, line_no, coalesce(json_valid(payload), false) AS readable, {_TEXT('svtype')} AS svtype_text, {_TEXT('svlen')} AS svlen_text, {_TEXT('chr2')} AS chr2_text FROM call_files),
+u AS (SELECT *, regexp_replace(svtype_text, '^\\["(.*)"\\]$', '\\1') AS t, regexp_replace(replace(regexp_replace(svlen_text, '[\\[\\]"]', '', 'g'), ',', ''), '\\s*(bp)?$', '') AS l, regexp_replace(chr2_text, '^\\["(.*)"\\]$', '\\1') AS c FROM v),
+w AS (SELECT *, split_part(upper(regexp_replace(trim(t, ' \t\r\n'), '[<>]', '', 'g')), ':', 1) AS kind, CAST(trunc(TRY_CAST(l AS DOUBLE)) AS BIGINT) AS size FROM u)
+SELECT row_id, feed_id, file_no, line_no, readable, CASE WHEN kind IN ('DEL', 'INS', 'DUP', 'INV', 'TRA', 'BND') THEN kind END AS svtype, CASE WHEN size NOT IN (0, -1) THEN abs(size) END AS svlen,
+  'chr' || upper(regexp_replace(trim(c, ' \t\r\n'), '^(?i)chr', '')) AS chr2, svtype_text, svlen_text, chr2_text,
+  concat_ws(',', CASE WHEN svtype_text IS NOT NULL AND coalesce(kind, '') NOT IN ('DEL', 'INS', 'DUP', 'INV', 'TRA', 'BND') THEN 'svtype' END, CASE WHEN svlen_text IS NOT NULL AND size IS NULL THEN 'svlen' END) AS unread FROM w
+"""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.readings import chromosome, mate_chromosome, sv_length, sv_type
-from ..operators.drift import consistent_table, schema_changes
+from ..operators.drift import consistent_table, schema_changes, union_schema
 from ..operators.packed import partners
 from ..operators.periods import periods_and_gaps
 from ..operators.skew import skewed_stats
-from .problem_sql import P3_SQL, P6_CHANGES_SQL, P6_SQL
+from .problem_sql import P3_SQL, P6_CHANGES_SQL, P6_SCHEMA_SQL, P6_SQL, P6_TABLE_SQL
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,10 +60,39 @@ def p6_changes(spark: SparkSession, sf: str) -> DataFrame:
     return schema_changes(table(spark, sf, "call_files"), table(spark, sf, "field_alias"))
 
 
+def p6_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """The union schema: per field the files and names it occurs in and the type all its values are promoted to."""
+    return union_schema(table(spark, sf, "call_files"), table(spark, sf, "field_alias"))
+
+
+#: Units of a length.
+UNITS = {"": 1, "b": 1, "bp": 1, "k": 1000, "kb": 1000, "kbp": 1000, "m": 1_000_000, "mb": 1_000_000, "mbp": 1_000_000}
+
+
+def read_length(text: Column) -> Column:
+    """A length as text read as a whole number: one element of a JSON list stands for the list, thousands may be set off by commas, a fraction is cut,
+    a unit of UNITS counts. Null for anything else."""
+    one = F.regexp_replace(F.lower(text), '^\\s*\\[?\\s*"?|"?\\s*\\]?\\s*$', "")
+    form = r"^(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:e[+-]?\d+)?)\s*([a-z]*)$"
+    number = F.regexp_extract(one, form, 1)
+    unit = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[F.regexp_extract(one, form, 2)]
+    value = F.regexp_replace(number, ",", "").try_cast("double") * unit
+    return F.when(F.abs(value) < 9e18, value.cast("long"))
+
+
+def read_list(text: Column) -> Column:
+    """The one element of a JSON list of text, or the text itself."""
+    return F.regexp_replace(text, '^\\s*\\[\\s*"([^"]*)"\\s*\\]\\s*$', "$1")
+
+
 def p6_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All lines in the union schema, read into the project's spellings."""
+    """All lines in the union schema, read into the project's spellings; the fields as they came are beside them, and unread names those with
+    a value that could not be read."""
     t = consistent_table(table(spark, sf, "call_files"), table(spark, sf, "field_alias"), ["row_id", "feed_id", "file_no", "line_no"])
-    return t.select("row_id", "feed_id", "file_no", "line_no", "readable", sv_type("svtype").alias("svtype"), sv_length("svlen").alias("svlen"), chromosome("chr2").alias("chr2"))
+    raw = {c: (F.col(c).cast("string") if c in t.columns else F.lit(None).cast("string")) for c in ("svtype", "svlen", "chr2")}
+    kind, size, place = sv_type(read_list(raw["svtype"])), read_length(raw["svlen"]), chromosome(read_list(raw["chr2"]))
+    unread = F.concat_ws(",", F.when(raw["svtype"].isNotNull() & kind.isNull(), "svtype"), F.when(raw["svlen"].isNotNull() & size.isNull(), "svlen"))
+    return t.select("row_id", "feed_id", "file_no", "line_no", "readable", kind.alias("svtype"), sv_length(size).alias("svlen"), place.alias("chr2"), *(raw[c].alias(f"{c}_text") for c in raw), unread.alias("unread"))
 
 
 _CHROM = "'chr' || upper(regexp_replace(trim({0}, ' \t\r\n'), '^(?i)chr', ''))"
@@ -106,5 +135,5 @@ WITH {_P5_CALLS}
 SELECT svtype, chr2, CAST(count(*) * 100 // max(calls_all) AS INTEGER) AS share_pct FROM c, t GROUP BY svtype, chr2 HAVING count(*) * 100 >= max(calls_all) * 4
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_stats": p5_stats, "p6_found": p6_found, "p6_changes": p6_changes, "p6_table": p6_table}
-ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_changes": P6_CHANGES_SQL, "p5_found": P5_SQL, "p5_stats": P5_STATS_SQL}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_stats": p5_stats, "p6_found": p6_found, "p6_changes": p6_changes, "p6_schema": p6_schema, "p6_table": p6_table}
+ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_changes": P6_CHANGES_SQL, "p6_schema": P6_SCHEMA_SQL, "p6_table": P6_TABLE_SQL, "p5_found": P5_SQL, "p5_stats": P5_STATS_SQL}

@@ -32,16 +32,26 @@ def build_session(app: str = "strandloom", master: str | None = None, shuffle_pa
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests, a single machine) a temporary one is set."""
+    """The shared folder of spark.checkpoint.dir. Only a local master, where all tasks see one disk, gets a temporary one if it is unset; on a
+    cluster that is an error, for the executors would write to disks the others cannot read."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandloom-")
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not is_local(sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="strandloom-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def is_local(master: str) -> bool:
+    """Whether the tasks run in the driver's own process; local-cluster has processes of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 _folders: dict[str, tuple] = {}
 
 

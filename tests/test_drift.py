@@ -1,7 +1,10 @@
 import json
 
+from pyspark.sql import functions as F
+
 from strandloom.operators.blocked import blocked_lag
-from strandloom.operators.drift import as_length, as_text, consistent_table, promote, read_line, schema_changes
+from strandloom.operators.drift import consistent_table, promote, promoted, read_line, schema_changes, union_schema
+from strandloom.plans.problems import read_length
 
 ALIAS = [("svlen", "svlen"), ("SVLEN", "svlen"), ("info.SVLEN", "svlen"), ("svtype", "svtype"), ("chr2", "chr2")]
 
@@ -80,17 +83,32 @@ def test_whole_table_against_brute_force(spark, sf):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_lattice():
-    assert [promote(b) for b in (0, 1, 2, 4, 6, 8, 3, 48)] == [None, "string", "integer", "number", "number", "array", "mixed", "mixed"]
-    assert read_line('{"a": NaN}') is None and read_line("[" * 100_000) is None and read_line('{"a": ' + "9" * 5000 + "}") == {"a": 0}
+def test_lattice(spark):
+    assert [promote(b) for b in (0, 1, 2, 4, 6, 8, 3, 48, 34, 66, 70, 130, 9)] == [None, "string", "integer", "number", "number", "array", "string", "json", "string", "integer", "string", "string", "json"]
+    assert [r.p for r in spark.range(256).withColumn("b", F.col("id").cast("int")).select("id", promoted("b").alias("p")).orderBy("id").collect()] == [promote(b) for b in range(256)]
+    assert all(promote(a | b) == promote(b | a) and promote(a | a) == promote(a) for a in range(64) for b in range(64))
+    assert read_line('{"a": NaN}') is None and read_line("[" * 100_000) is None and read_line('{"a": ' + "9" * 5000 + "}") == {"a": "9" * 5000}
 
 
-def test_consistent_table_keeps_every_line(spark):
-    rows = [(1, 1, 1, 1, '{"SVLEN": "27,616", "svtype": ["DUP"]}'), (2, 1, 1, 2, '{"svlen": "8143 bp", "chr2": 5}'), (3, 1, 1, 3, "{"), (4, 1, 1, 4, None), (5, 1, 2, 1, '{"info": {"SVLEN": [3.0]}, "chr2": 5.0}'), (5, 1, 2, 1, '{"svlen": {"a": 1}}')]
+def test_the_table_has_the_types_of_the_folded_headers(spark):
+    big = "9" * 5000
+    rows = [(1, 1, 1, 1, '{"SVLEN": 27616, "svtype": ["DUP"], "chr2": 4}'), (2, 1, 1, 2, '{"svlen": 8143.50, "chr2": null}'), (3, 1, 1, 3, "{"), (4, 1, 1, 4, None), (5, None, 2, 1, '{"info": {"SVLEN": 3}, "chr2": 5, "svtype": "DEL"}'), (5, 1, 2, 1, '{"svtype": {"a": [1.50, "x"]}}')]
     df, alias = tables(spark, rows)
-    got = sorted(tuple(r) for r in consistent_table(df.withColumn("readable", df.row_id).withColumn("svlen", df.row_id), alias, ["row_id"]).fillna(-9).fillna("-").collect())
-    assert got == [(1, True, "-", 27616.0, "DUP"), (2, True, "5", 8143.0, "-"), (3, False, "-", -9.0, "-"), (4, False, "-", -9.0, "-"), (5, True, "-", -9.0, "-"), (5, True, "5", 3.0, "-")]
-    assert as_text([None]) is None and as_text(True) == "true" and as_length(True) is None and as_length("x") is None
+    clash = df.withColumn("readable", df.row_id).withColumn("svlen", df.row_id)
+    t = consistent_table(clash, alias, ["row_id"])
+    assert dict(t.dtypes) == {"row_id": "bigint", "readable": "boolean", "chr2": "bigint", "svlen": "double", "svtype": "string"}
+    got = sorted(tuple(r) for r in t.fillna(-9).fillna("-").collect())
+    assert got == [(1, True, 4, 27616.0, '["DUP"]'), (2, True, -9, 8143.5, "-"), (3, False, -9, -9.0, "-"), (4, False, -9, -9.0, "-"), (5, True, -9, -9.0, '{"a":[1.50,"x"]}'), (5, True, 5, 3.0, "DEL")]
+    df, alias = tables(spark, [(1, 1, 1, 1, f'{{"svlen": {big}, "chr2": true}}'), (2, 1, 1, 1, '{"svlen": 7.0, "chr2": "x"}')])
+    assert sorted(tuple(r) for r in consistent_table(df, alias, ["row_id"]).collect()) == [(1, True, "true", big, None), (2, True, "x", "7.0", None)]
+    assert consistent_table(df.where("false"), alias, ["row_id"]).count() == 0 and union_schema(df.where("false"), alias).where("union_type is null and n_files = 0").count() == 3
+    assert consistent_table(df, alias.where("false"), ["row_id"]).columns == ["row_id", "readable"]
+
+
+def test_lengths_with_units_and_lists(spark):
+    want = {"27,616": 27616, "8143 bp": 8143, "1kb": 1000, "[7]": 7, '["7"]': 7, "[7,8]": None, "1.5 Mb": 1500000, "7.0": 7, "-3": -3, "x": None, "": None, "3 apples": None, "1,2": None, "9" * 400: None, None: None, "1e3": 1000}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.n for r in df.select("t", read_length(F.col("t")).alias("n")).collect()} == want
 
 
 def test_blocked_lag(spark):
