@@ -34,6 +34,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_survivors(spark, sf).select("grp", "call_id", "svtype", "svlen")
 
 
+def p2_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """The model's own survivor: per field the value the fitted qualities make likeliest, in how many values judged true; only ties go by trust. The record
+    it stands under is the most trusted one, which the model has no part in."""
+    s = _survivors(spark, sf)[0]
+    return s.select("grp", "call_id", F.coalesce("likeliest_svtype", F.lit(".")).alias("svtype"), F.coalesce(F.col("likeliest_svlen").cast("long"), F.lit(-1)).alias("svlen"), F.round("p_likeliest_svtype", 6).alias("p_svtype"), F.round("p_likeliest_svlen", 6).alias("p_svlen"), F.col("n_true_svtype").alias("n_true_svtype"), F.col("n_true_svlen").alias("n_true_svlen"))
+
+
 def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every claimed value of a field of a group, with its probability and whether it is judged true; several may be."""
     v = _survivors(spark, sf)[1]
@@ -88,6 +95,18 @@ def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles.percentiles(months, ["rg", "month"], tuple(LIMITS)).select("rg", "month", "pct", "value", "n_all")
 
 
+def p7_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the sketches compress, and what that costs: per rg the values, the buckets at the error used and at one in a hundred, and the median at either."""
+    fine, coarse = (percentiles.sketch(_reads(spark, sf), ["rg"], "size", a) for a in (percentiles.ALPHA, 0.01))
+    n = lambda s, c: s.groupBy("rg").agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias(c))
+    mid = lambda s, a, c: percentiles.percentiles(s, ["rg"], (50,), a).select("rg", F.col("value").alias(c))
+    a, b = n(fine, "buckets"), n(coarse, "buckets_coarse").select(F.col("rg").alias("g2"), "buckets_coarse")
+    c, d = mid(fine, percentiles.ALPHA, "median"), mid(coarse, 0.01, "median_coarse").select(F.col("rg").alias("g4"), "median_coarse")
+    c = c.select(F.col("rg").alias("g3"), "median")
+    x = a.join(b, F.col("rg").eqNullSafe(F.col("g2"))).join(c, F.col("rg").eqNullSafe(F.col("g3"))).join(d, F.col("rg").eqNullSafe(F.col("g4")))
+    return x.select("rg", "n_values", "buckets", "buckets_coarse", "median", "median_coarse")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(_table(spark, sf, "documents"), "text", ["doc_id"])
 
@@ -114,4 +133,4 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_pieces(spark, sf).where("piece_no = 2").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p2_values, p2_sources, p4_found, p4_groups, p7_found, p7_percentiles, p7_daily, p8_ids, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p2_fused, p2_values, p2_sources, p4_found, p4_groups, p7_found, p7_percentiles, p7_daily, p7_sketches, p8_ids, p9_mix, p9_shares, p10_found, p10_pieces)}

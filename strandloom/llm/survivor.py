@@ -6,7 +6,9 @@ latent truth model gives each source two qualities per field, sensitivity (true
 judged on their own, so several values of one field may be true together. The denials are never written out: a value
 starts from the sum of what all sources of its group would add by denying it, and each claim corrects that.
 
-A survivor takes, per field, the first value in a given trust order; its probability stands beside it.
+Two survivors come out beside each other. One takes, per field, the first value in a given trust order, and its probability: where an answer is
+fixed by rank, no quality model can give it. The other is the model's own: per field the likeliest value, the trust order parting ties only, and the number of
+values judged true.
 
 Groups of up to SMALL records are laid down once as one row each; every round of the fit is then one pass over that table, by
 array kernels, and only sums per source are shuffled. Larger groups are never brought together: their claims stay rows,
@@ -34,6 +36,9 @@ SOURCE_BOUND = 100_000
 SENSITIVITY, FALSE_CLAIMS, TRUTH = (5.0, 5.0), (1.0, 9.0), (1.0, 1.0)
 FIRST = (0.7, 0.2)
 _EDGE = 1e-4
+#: Probabilities this near each other are one for the choice of a value, so that the order of sums decides nothing.
+_DIGITS = 9
+JUDGED_TRUE = 0.5
 
 
 class _Batch:
@@ -124,9 +129,9 @@ def _survivors(quality, fields: list[str], width: int, least: int):
             b = _Batch(batch, len(fields))
             keys = lambda rank: [rank.field(f"t{j}").to_numpy(zero_copy_only=False) for j in range(width)][::-1]
 
-            def first(group: np.ndarray, rank: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-                """Groups that occur, and the place of the first row of each by rank."""
-                order = np.lexsort([*keys(rank), group])
+            def first(group: np.ndarray, rank: pa.StructArray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+                """Groups that occur, and the place of the first row of each by `before`, then by rank."""
+                order = np.lexsort([*keys(rank), *([] if before is None else [before]), group])
                 which, at = np.unique(group[order], return_index=True)
                 return which, order[at]
 
@@ -144,7 +149,14 @@ def _survivors(quality, fields: list[str], width: int, least: int):
                 mine = row[which[keep]]
                 cols.append(b.flat.field(f"v{i}").take(pa.array(mine, mask=mine < 0)))
                 cols.append(pa.array(chance[which[keep]], mask=mine < 0))
-            yield pa.RecordBatch.from_arrays(cols, names=["g", "rec", "n_records", *(f"{x}{i}" for i in range(len(fields)) for x in "vp")])
+                likely = -np.round(p[f[1]], _DIGITS)
+                g, place = first(b.group[rows], b.flat.field(f"k{i}").take(pa.array(rows)), likely)
+                row[g] = rows[place]
+                chance[g] = p[f[1][place]]
+                cols.append(b.flat.field(f"v{i}").take(pa.array(row[which[keep]], mask=mine < 0)))
+                cols.append(pa.array(chance[which[keep]], mask=mine < 0))
+                cols.append(pa.array(np.bincount(f[2], p >= JUDGED_TRUE, len(b.n))[which[keep]].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "rec", "n_records", *(f"{x}{i}" for i in range(len(fields)) for x in "vpmqt")])
 
     return run
 
@@ -178,16 +190,19 @@ class _Rows:
 
     def survivors(self, values: DataFrame, fields: int, least: int) -> DataFrame:
         known = self.facts.join(values.select("g", "field", "value", "p"), ["g", "field", "value"], "left")
-        first = lambda i: F.min(F.when(F.col("field") == i, F.struct("rank", "value", "p")))
-        out = known.groupBy("g").agg(first(-1).alias("r"), F.sum((F.col("field") == -1).cast("long")).alias("n_records"), *(first(i).alias(f"f{i}") for i in range(fields)))
-        return out.where(F.col("n_records") >= least).select("g", F.col("r.value").alias("rec"), "n_records", *(F.col(f"f{i}.{x}").alias(f"{y}{i}") for i in range(fields) for x, y in (("value", "v"), ("p", "p"))))
+        mine = lambda i, *k: F.min(F.when(F.col("field") == i, F.struct(*k)))
+        likely = (-F.round("p", _DIGITS)).alias("likely")
+        true = lambda i: F.count_if((F.col("field") == i) & (F.col("p") >= JUDGED_TRUE)).alias(f"t{i}")
+        out = known.groupBy("g").agg(mine(-1, "rank", "value", "p").alias("r"), F.sum((F.col("field") == -1).cast("long")).alias("n_records"), *(c for i in range(fields) for c in (mine(i, "rank", "value", "p").alias(f"f{i}"), mine(i, likely, "rank", "value", "p").alias(f"b{i}"), true(i))))
+        each = [F.col(n).alias(m) for i in range(fields) for n, m in ((f"f{i}.value", f"v{i}"), (f"f{i}.p", f"p{i}"), (f"b{i}.value", f"m{i}"), (f"b{i}.p", f"q{i}"), (f"t{i}", f"t{i}"))]
+        return out.where(F.col("n_records") >= least).select("g", F.col("r.value").alias("rec"), "n_records", *each)
 
 
 def survivors(df: DataFrame, group: str, record: str, source: str, fields: dict[str, Column], trust: dict[str, list[Column]], record_trust: list[Column], least: int = 2, rounds: int = ROUNDS, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(survivor, values, sources).
 
-    survivor: group, record (first in record_trust), n_records, and per field its value as text and p_<field>, for every group with at least
-    `least` records. values: g, field, value, n_src, p of every claimed value. sources: field, src, sens, fpr. fields gives each field as a
+    survivor: group, record (first in record_trust), n_records, and per field its value as text and p_<field>, likeliest_<field> and
+    p_likeliest_<field> (the model's choice) and n_true_<field>, for every group with at least `least` records. values: g, field, value, n_src, p of every claimed value. sources: field, src, sens, fpr. fields gives each field as a
     column, null where missing; trust gives per field the sort keys (longs, ascending, no nulls) that put its most trusted value
     first. df has one row per record; null groups are left out; a null source is the source ''; a field without any value is
     null, and so is its probability. An empty table gives no rows. Other columns are ignored, whatever their names.
@@ -225,7 +240,7 @@ def survivors(df: DataFrame, group: str, record: str, source: str, fields: dict[
     g_type, r_type = rows.schema["g"].dataType, rows.schema["rec"].dataType
     field = lambda n, t: T.StructField(n, t, True)
     value_type = T.StructType([field("g", g_type), field("field", T.StringType()), field("value", T.StringType()), field("n_src", T.LongType()), field("p", T.DoubleType())])
-    out_type = T.StructType([field("g", g_type), field("rec", r_type), field("n_records", T.LongType()), *(field(f"{x}{i}", T.StringType() if x == "v" else T.DoubleType()) for i in range(len(names)) for x in "vp")])
+    out_type = T.StructType([field("g", g_type), field("rec", r_type), field("n_records", T.LongType()), *(field(f"{x}{i}", {"v": T.StringType(), "m": T.StringType(), "t": T.LongType()}.get(x, T.DoubleType())) for i in range(len(names)) for x in "vpmqt")])
     values = groups.mapInArrow(_values(quality, names), value_type)
     out = groups.mapInArrow(_survivors(quality, names, width, least), out_type)
     if many:
@@ -235,5 +250,5 @@ def survivors(df: DataFrame, group: str, record: str, source: str, fields: dict[
         more = many.survivors(v, len(names), least)
         out = out.unionByName(more.withColumn("rec", F.col("rec").cast(r_type)))
     named = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("field") + 1)
-    out = out.select(F.col("g").alias(group), F.col("rec").alias(record), "n_records", *(F.col(f"{x}{i}").alias(n if x == "v" else f"p_{n}") for i, n in enumerate(names) for x in "vp"))
+    out = out.select(F.col("g").alias(group), F.col("rec").alias(record), "n_records", *(F.col(f"{x}{i}").alias(as_.format(n)) for i, n in enumerate(names) for x, as_ in (("v", "{}"), ("p", "p_{}"), ("m", "likeliest_{}"), ("q", "p_likeliest_{}"), ("t", "n_true_{}"))))
     return out, values, sources.withColumn("field", named)

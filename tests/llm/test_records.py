@@ -57,6 +57,19 @@ def test_model_tells_good_sources_from_bad_and_keeps_several_values(spark):
     assert len(both) > 100
 
 
+def test_the_model_may_choose_against_the_trust_order(spark):
+    """A source that often denies what all others say loses to them in the model's survivor, though it is trusted first; ties go by trust."""
+    rows, rec = [], 0
+    for g in range(60):
+        for s, v in (("bad", f"x{g}"), ("a", "T"), ("b", "T"), ("c", "T" if g % 3 else None)):
+            rec += 1
+            rows.append((g, rec, s, v, 0 if s == "bad" else 1, "x"))
+    rows += [(100, 1000, "new1", "P", 1, "x"), (100, 1001, "new2", "Q", 0, "x"), (101, 1002, None, None, 0, "x"), (101, 1003, None, None, 0, "x")]
+    got = {r.grp: r for r in fuse(spark, rows)[0].collect()}
+    assert all(got[g].v == f"x{g}" and got[g].likeliest_v == "T" and got[g].p_likeliest_v > 0.9 > got[g].p_v and got[g].n_true_v == 1 for g in range(60))
+    assert got[100].likeliest_v == got[100].v == "Q" and (got[101].likeliest_v, got[101].p_likeliest_v, got[101].n_true_v) == (None, None, 0)
+
+
 @pytest.mark.parametrize("small", [0, 3])
 def test_large_groups_give_the_same_as_packed_ones(spark, small):
     rng = random.Random(8)

@@ -74,7 +74,7 @@ def check(texts, limit, overlap):
         p = split.pieces(ENC, text, own, limit, overlap)
         assert p[0][0] == 0 and p[-1][0] + p[-1][1] == len(own)
         for x, y in zip(p, p[1:]):
-            assert y[0] == x[0] + x[1] - min(overlap, x[0] + x[1]) and y[2] == min(overlap, x[0] + x[1])
+            assert y[0] == x[0] + x[1] - y[2] and (y[2] == min(overlap, x[0] + x[1]) or (y[2] < overlap and (limit < 10 or not text.isascii())))
             assert y[1] > y[2]
         assert all(x[1] <= limit and len(ENC.bpe.encode_ordinary(x[4])) <= limit for x in p)
         ends = np.r_[0, np.cumsum(ENC.token_bytes[own])]
@@ -102,6 +102,32 @@ def test_natural_boundaries_come_first():
         assert {x[3] for x in p[:-1]} == {"word"}
 
 
+def test_the_hierarchy_is_recursive():
+    """A section that fits stays whole though its paragraphs would fill the piece before; one too large is parted at its paragraphs, and so on down."""
+    para = "Plain words in a row here. " * 6 + "\n\n"
+    text = "# A\n" + para + "\n# B\n" + para * 4 + "\n# C\n" + para * 9 + "\n# D\n" + "x y " * 300
+    n = lambda t: len(ENC.bpe.encode_ordinary(t))
+    limit = n(para) * 5 + 30
+    (_, p), = check([text], limit, 4)
+    first = [x[4] for x in p]
+    assert first[0].rstrip("\n").endswith("here. ") and "# C" not in first[0] and "# B" in first[0]  # A and B fit together, whole
+    assert {x[3] for x in p if "x y" not in x[4]} <= {"section", "paragraph"}
+    assert p[-2][3] == "word"
+    grade = np.array([5, 4, 5, 3, 5, 4, 2, 5, 5, 0, 5, 1])
+    assert split.natural_parts(grade, 12).tolist() == [12] and split.natural_parts(grade, 10).tolist() == [10, 12]
+    assert split.natural_parts(grade, 5).tolist() == [4, 7, 10, 12] and split.natural_parts(grade, 1).tolist() == list(range(1, 13))
+    assert split.natural_parts(np.full(6, 9), 2).tolist() == [6]
+
+
+def test_the_limit_is_hard():
+    rng = random.Random(3)
+    odd = ["".join(rng.choice(["🙂", "中", "é", "\u0915\u094d", "zq", " ", "\n"]) for _ in range(400)) for _ in range(6)]
+    for limit, overlap in ((4, 3), (5, 4), (7, 6)):
+        assert sum(1 for _ in check(odd, limit, overlap)) == 6
+    with pytest.raises(ValueError, match="single character"):
+        list(check(["🙂" * 9], 1, 0))
+
+
 def test_split_table(spark):
     rows = [(1, "w. " * 500, 3), (2, None, 3), (3, "", 3), (4, "short", 3), (1, "w. " * 500, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece_no int")
