@@ -1,13 +1,16 @@
 """File sources: alignments (SAM, BAM), variants (VCF), regions (BED), exons (GFF3), sequences (FASTA), depth files, CSV events.
 
 Text formats are read by Spark's own splittable text reader and parsed with built-in expressions; gz files are read whole by one task each, as
-the codec demands. BAM is binary and read by a DataSource, one partition per file.
+the codec demands. BAM is binary and read by a DataSource, one partition per file, in Arrow batches. Files that Python opens (BAM, FASTA, lists) may
+lie on any file system Arrow knows. Positions of every reader, those inside SA tags too, count from 0.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
+import io
+import itertools
 import os
 import random
 import struct
@@ -15,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window as W
@@ -23,17 +27,61 @@ from pyspark.sql.window import Window as W
 #: The columns of an alignment record.
 READS = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, nm int, as_ int, sa string, xa string, hp int, ps int, md string, rg string"
 _TAGS = {"nm": "NM", "as_": "AS", "sa": "SA", "xa": "XA", "hp": "HP", "ps": "PS", "md": "MD", "rg": "RG"}
+BATCH_ROWS = 10_000
 _BASES = "=ACMGRSVTWYHKDBN"
 _OPS = "MIDNSHP=X"
 
 
+def _opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def list_files(pattern: str) -> list[str]:
+    """Files of a path, of a directory, or of a pattern in the last part of a path, in order; on any file system Arrow knows."""
+    system, path = _opened(pattern)
+    head = pattern[: len(pattern) - len(path)] if pattern.endswith(path) else ""
+    if any(c in path for c in "*?["):
+        folder, last = path.rsplit("/", 1)
+        found = [f.path for f in system.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True)) if f.is_file and fnmatch.fnmatch(f.base_name, last)]
+    else:
+        info = system.get_file_info(path)
+        found = [path] if info.is_file else [f.path for f in system.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True)) if f.is_file]
+    return sorted(head + f for f in found)
+
+
+def _last_of_each(entries: Column) -> Column:
+    """MAP of an array of structs (k, v); of a repeated key the last counts, whatever the session says of repeated keys."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["k"])))
+
+
+def zero_based_sa(sa: Column) -> Column:
+    """An SA tag with its positions counted from 0; blocks that are none stay as they are."""
+    def one(block: Column) -> Column:
+        f = F.split(block, ",")
+        at = F.get(f, F.lit(1)).try_cast("int")
+        return F.when((F.size(f) == 6) & at.isNotNull(), F.array_join(F.transform(f, lambda x, i: F.when(i == 1, (at - 1).cast("string")).otherwise(x)), ",")).otherwise(block)
+
+    return F.array_join(F.transform(F.split(sa, ";"), one), ";")
+
+
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of SAM text, header lines left out; tags as typed columns and all of them in the map `tags`; file is where a row came from."""
+    """Alignments of SAM text, header lines left out; tags as typed columns and all of them, as they are, in the map `tags` (of a repeated tag
+    the last); file is where a row came from. pos and pnext count from 0, -1 is none."""
     line = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("file")).where(~F.get("f", F.lit(0)).startswith("@") & (F.size("f") >= 11))
-    tags = F.map_from_entries(F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring_index(t, ":", 1), F.regexp_extract(t, "^[^:]*:[^:]*:(.*)$", 1))))
+    each = F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring_index(t, ":", 1).alias("k"), F.regexp_extract(t, "^[^:]*:[^:]*:(.*)$", 1).alias("v")))
     kinds = dict(x.split(" ") for x in READS.split(", "))
-    core = [F.get("f", F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(list(kinds)[:11])]
-    return line.select(*core, tags.alias("tags"), "file").select(*list(kinds)[:11], *(F.try_element_at("tags", F.lit(t)).try_cast(kinds[c]).alias(c) for c, t in _TAGS.items()), "tags", "file")
+
+    def core(i: int, c: str) -> Column:
+        v = F.get("f", F.lit(i)).try_cast(kinds[c])
+        return (v - 1 if c in ("pos", "pnext") else v).alias(c)
+
+    def tag(c: str, t: str) -> Column:
+        v = F.try_element_at("tags", F.lit(t))
+        return (zero_based_sa(v) if c == "sa" else v.try_cast(kinds[c])).alias(c)
+
+    rows = line.withColumn("each", each).select("f", "file", _last_of_each(F.col("each")).alias("tags"))
+    return rows.select(*(core(i, c) for i, c in enumerate(list(kinds)[:11])), "tags", "file").select(*list(kinds)[:11], *(tag(c, t) for c, t in _TAGS.items()), "tags", "file")
 
 
 def sam_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -52,7 +100,8 @@ def is_paired(reads: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _bam_records(path: str) -> Iterator[tuple]:
-    with gzip.open(path, "rb") as f:  # BGZF blocks are gzip members
+    system, inner = _opened(path)
+    with system.open_input_stream(inner, compression=None) as raw, gzip.open(raw, "rb") as f:  # BGZF blocks are gzip members
         if f.read(4) != b"BAM\1":
             raise ValueError(f"{path} is no BAM file")
         f.read(struct.unpack("<i", f.read(4))[0])
@@ -78,7 +127,15 @@ def _bam_records(path: str) -> Iterator[tuple]:
             tags = _bam_tags(b, at + l_seq)
             mate = "=" if nrid == rid and nrid >= 0 else ref(nrid)
             num = lambda t: int(tags[t]) if t in tags else None
-            yield (name, flag, ref(rid), pos + 1, mapq, cig, mate, npos + 1, tlen, seq, qual, num("NM"), num("AS"), tags.get("SA"), tags.get("XA"), num("HP"), num("PS"), tags.get("MD"), tags.get("RG"))
+            yield (name, flag, ref(rid), pos, mapq, cig, mate, npos, tlen, seq, qual, num("NM"), num("AS"), _zero_based(tags.get("SA")), tags.get("XA"), num("HP"), num("PS"), tags.get("MD"), tags.get("RG"))
+
+
+def _zero_based(sa: str | None) -> str | None:
+    """zero_based_sa for a plain string."""
+    if sa is None:
+        return None
+    blocks = [b.split(",") for b in sa.split(";")]
+    return ";".join(",".join([*f[:1], str(int(f[1]) - 1), *f[2:]] if len(f) == 6 and f[1].lstrip("-").isdigit() else f) for f in blocks)
 
 
 def _bam_tags(b: bytes, at: int) -> dict[str, object]:
@@ -125,10 +182,14 @@ class _BamReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.path.removeprefix("file:")))]
+        return [InputPartition(p) for p in list_files(self.path)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from _bam_records(partition.value)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        names, types = zip(*((n, kinds[k]) for n, k in (x.split(" ") for x in READS.split(", "))))
+        records = _bam_records(partition.value)
+        while rows := list(itertools.islice(records, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))
 
 
 def read_bed(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
@@ -154,7 +215,7 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFram
             for p in b.column(0).to_pylist():
                 yield from _fasta_pieces(p, chunk)
 
-    paths = sorted(glob.glob(path.removeprefix("file:")))
+    paths = list_files(path)
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, "name string, chunk long, seq string")
 
 
@@ -163,7 +224,8 @@ def _fasta_pieces(path: str, chunk: int) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([no], pa.int64()), pa.array([seq])], names=["name", "chunk", "seq"])
 
     name, no, held = None, 0, ""
-    with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
+    system, inner = _opened(path)
+    with system.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None) as raw, io.TextIOWrapper(raw) as f:
         for line in f:
             if line[0] == ">":
                 if name is not None and held:
@@ -213,10 +275,11 @@ def read_event_csv(spark: SparkSession, path: str | list[str], schema: str | Non
 def expand_paths(spec: str, extensions: tuple[str, ...] = (".bam", ".cram", ".sam"), leave_out: tuple[str, ...] = ()) -> list[str]:
     """Files of a glob, of a directory, or of a text file that lists them; only those extensions, without files whose stem is in leave_out."""
     if spec.endswith(".txt"):
-        with open(spec) as f:
-            found = [x.strip() for x in f if x.strip()]
+        system, inner = _opened(spec)
+        with system.open_input_stream(inner) as f:
+            found = [x.strip() for x in f.read().decode().splitlines() if x.strip()]
     else:
-        found = sorted(glob.glob(os.path.join(spec, "*") if os.path.isdir(spec) else spec))
+        found = list_files(spec)
     stem = lambda p: os.path.splitext(os.path.basename(p))[0]
     return [p for p in found if p.endswith(extensions) and stem(p) not in leave_out]
 

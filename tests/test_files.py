@@ -38,11 +38,18 @@ def test_sam(spark, sam):
     r = files.read_sam(spark, sam)
     assert r.count() == 60 * 2 + 16 + 12 + 5
     x = r.where("qname = 'i0'").first()
-    assert (x.pos, x.cigar, x.hp, x.nm) == (12000, "50M80I50M", 1, None) and x.tags == {"HP": "1"}
+    assert (x.pos, x.pnext, x.cigar, x.hp, x.nm) == (11999, -1, "50M80I50M", 1, None) and x.tags == {"HP": "1"}
     assert files.sam_samples(spark, sam).first().sample == "alpha"
     assert files.is_paired(r, ["file"]).first().paired
 
 
+def test_sam_positions_and_repeated_tags(spark, tmp_path):
+    (tmp_path / "s.sam").write_text("q\t0\tc1\t100\t60\t60M40S\t=\t7\t0\t*\t*\tSA:Z:c1,500,+,60S40M,60,0;x,y;\tHP:i:1\tHP:i:2\n")
+    r = files.read_sam(spark, str(tmp_path / "s.sam")).first()
+    assert (r.pos, r.pnext, r.sa, r.hp, r.tags["HP"]) == (99, 6, "c1,499,+,60S40M,60,0;x,y;", 2, "2")
+    assert files.list_files(str(tmp_path / "*.sam")) == files.list_files(str(tmp_path)) == [f"{tmp_path}/s.sam"] and files.list_files(str(tmp_path / "n*")) == []
+
+
 def test_bam(spark, tmp_path):
     def record(name, flag, rid, pos, cigar, seq, tags):
         ops = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar)
@@ -58,7 +65,7 @@ def test_bam(spark, tmp_path):
     p.write_bytes(gzip.compress(data[:40]) + gzip.compress(data[40:]))
     spark.dataSource.register(files.BamSource)
     got = spark.read.format("bam").load(str(p)).collect()
-    assert [(r.qname, r.flag, r.rname, r.pos, r.cigar, r.seq, r.nm, r.sa) for r in got] == [("q1", 16, "c1", 10, "2S3M", "ACGTN", 2, "c1,5,+,3M,9,0;"), ("q2", 4, "*", 0, "*", "*", None, None)]
+    assert [(r.qname, r.flag, r.rname, r.pos, r.cigar, r.seq, r.nm, r.sa) for r in got] == [("q1", 16, "c1", 9, "2S3M", "ACGTN", 2, "c1,4,+,3M,9,0;"), ("q2", 4, "*", -1, "*", "*", None, None)]
 
 
 def test_bed_gff_fasta_depth_csv(spark, tmp_path):
@@ -152,7 +159,7 @@ def test_engine_finds_planted_events(spark, sam, tmp_path):
     assert set(got) == {("DEL", "c1", "c1"), ("TRA", "c1", "c2"), ("INS", "c1", "c1")}
     d, i = got["DEL", "c1", "c1"], got["INS", "c1", "c1"]
     assert abs(d.pos - 4103) <= 5 and abs(d.end_pos - 5603) <= 5 and d.pe == 8 and abs(d.svlen - 1500) <= 8
-    assert i.pos == 12050 and i.svlen == 80 and i.wr == 5
+    assert i.pos == 12049 and i.svlen == 80 and i.wr == 5
     assert d.cov > 0 and d.gt in ("0/1", "1/1") and d.prob > 0
     include = spark.createDataFrame([("c1", 3000, 7000)], "chrom string, start long, end long")
     only = eng.run(eng.read(sam), "alpha", include=include)
@@ -164,7 +171,10 @@ def test_engine_finds_planted_events(spark, sam, tmp_path):
     assert {r.site_id for r in known if r.site_id} == {"site1", "site2"} and [r.gt for r in known if r.site_id == "site2"] == ["0/0"]
     assert next(r.prob for r in known if r.site_id == "site1") > d.prob
     eng.write_vcf(e, str(tmp_path / "calls"), "alpha")
-    assert vcf.read_events(spark, str(tmp_path / "calls")).count() == 3
+    back = {r.svtype: r for r in vcf.read_events(spark, str(tmp_path / "calls")).collect()}
+    assert len(back) == 3 and {t: r.pos for t, r in back.items()} == {r.svtype: r.pos for r in got.values()}
+    written = {r.value.split("\t")[4]: int(r.value.split("\t")[1]) for r in spark.read.text(str(tmp_path / "calls")).collect() if r.value[0] != "#"}
+    assert written["<INS>"] == 12050 and abs(written["<DEL>"] - 4103) <= 4 and abs(written["<TRA>"] - 9103) <= 4  # 1-based, as planted: reads at 12000 match 50 bases before it
 
 
 def ev(spark, rows):
