@@ -77,6 +77,26 @@ def walk(cigar: Column | str, pos: Column | str) -> Column:
     return F.aggregate(parse(cigar), start, step, lambda acc: acc["out"])
 
 
+def extended_gap(gaps: Column, extend: int = 15, divergence: float = 0.02) -> Column:
+    """Length of the longest gap with its neighbours added (W09): walking outward, first left then right, while a gap starts within
+    min(3 length, log2(1 + length)/divergence) of it; gaps over `extend` add their length. gaps: ARRAY<STRUCT<s, n>> (start, length) in order."""
+    n = F.transform(gaps, lambda g: g["n"])
+    k = F.array_position(n, F.array_max(n)).cast("int")
+    first = F.element_at(gaps, k)
+
+    def walk_out(side: Column, total: Column) -> Column:
+        def step(acc: Column, g: Column) -> Column:
+            reach = F.least(3.0 * acc["t"], F.log2(1.0 + acc["t"]) / divergence)
+            near = acc["o"] & (F.abs(g["s"] - first["s"]) <= reach)
+            return F.struct(F.when(near & (g["n"] > extend), acc["t"] + g["n"]).otherwise(acc["t"]).alias("t"), near.alias("o"))
+
+        return F.aggregate(side, F.struct(total.alias("t"), F.lit(True).alias("o")), step, lambda acc: acc["t"])
+
+    left = F.reverse(F.slice(gaps, F.lit(1), k - 1))
+    right = F.slice(gaps, k + 1, F.size(gaps))
+    return F.when(F.size(gaps) > 0, walk_out(right, walk_out(left, first["n"])))
+
+
 def query_interval(cigar: Column | str, reverse: Column) -> tuple[Column, Column]:
     """Start and end on the read as sequenced: clips of either kind count, and strands read from the other end (X11)."""
     lead, trail = left_clip(cigar, True), right_clip(cigar, True)

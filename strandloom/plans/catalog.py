@@ -5,8 +5,6 @@ Names say what a query does; the IDs of the operator inventory it covers stand b
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,42 +18,30 @@ from ..operators import depth, graph, intervals, pairs, rollups
 from ..session import materialize
 from ..sinks import files as sink
 from ..sources import vcf
+from .registry import COVERS, ORACLES, QUERIES, query  # noqa: F401
+from .problem_sql import P3_SQL
 from .problems import SQL_CHROM, SQL_CHROM2, SQL_LENGTH, SQL_TYPE, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-COVERS: dict[str, str] = {}
-
-
-def query(ids: str, sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        COVERS[f.__name__] = ids
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- shared tables
 
 READ_COLUMNS = ["read_id", "qname", "sample_name", "rg", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "nm", "sa"]
 
 
-def reads(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """One row per read_id."""
+def reads(spark: SparkSession, sf: str, *columns: str, where=None) -> DataFrame:
+    """One row per read_id. Copies of a read agree, so `where` (and the choice of columns) goes before the shuffle that drops them."""
     c = list(dict.fromkeys(["read_id", *columns])) if columns else READ_COLUMNS
-    return table(spark, sf, "alignments").select(*c).dropDuplicates(["read_id"])
+    a = table(spark, sf, "alignments")
+    return (a if where is None else a.where(where)).select(*c).dropDuplicates(["read_id"])
 
 
-def calls(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per call_id, read into one spelling: chrom, pos, chr2, end_pos (on chr2), svtype, svlen and the rest."""
+def calls(spark: SparkSession, sf: str, where: str | None = None) -> DataFrame:
+    """One row per call_id, read into one spelling: chrom, pos, chr2, end_pos (on chr2), svtype, svlen and the rest. Copies agree in these
+    columns, so `where` goes before the shuffle that drops them."""
     c = table(spark, sf, "sv_calls")
     chrom, chr2 = chromosome("chrom"), mate_chromosome("chr2", "chrom")
     end = F.coalesce(F.when(chrom != chr2, F.nullif("chr2_pos", F.lit(-1))), F.nullif("end_pos", F.lit(-1)), F.col("pos"))
     c = c.select("call_id", "sample_name", chrom.alias("chrom"), "pos", chr2.alias("chr2"), end.alias("end_pos"), sv_type("svtype").alias("svtype"), sv_length("svlen").alias("svlen"), "filt", "grp", F.col("cipos95").cast("long").alias("ci"), F.col("su").cast("long").alias("su"), "gt", "prob", "called_at")
-    return c.dropDuplicates(["call_id"])
+    return (c.where(where) if where else c).dropDuplicates(["call_id"])
 
 
 _R = "r AS (SELECT DISTINCT read_id, qname, sample_name, rg, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, nm, sa FROM alignments)"
@@ -91,7 +77,7 @@ _CLIP_L = "coalesce(TRY_CAST(nullif(regexp_extract(coalesce(cigar, ''), '^(\\d+)
 _CLIP_R = "coalesce(TRY_CAST(nullif(regexp_extract(coalesce(cigar, ''), '(\\d+)[{0}]$', 1), '') AS INTEGER), 0)".format
 
 
-@query("S01 S02 F01", f"WITH {_R} SELECT read_id, rname, pos, mapq FROM r WHERE flag & 1284 = 0 AND mapq >= 1 AND len({_LIST}) > 0")
+@query("S02 F01", f"WITH {_R} SELECT read_id, rname, pos, mapq FROM r WHERE flag & 1284 = 0 AND mapq >= 1 AND len({_LIST}) > 0")
 def read_filter(spark, sf):
     r = table(spark, sf, "alignments").where((F.col("flag").bitwiseAND(1284) == 0) & (F.col("mapq") >= 1) & F.col("cigar").rlike("\\d[MIDNSHP=X]"))
     return r.select("read_id", "rname", "pos", "mapq").dropDuplicates(["read_id"])
@@ -110,7 +96,7 @@ _EV = f"""e AS (SELECT *, greatest({_CLIP_L('S')}, {_CLIP_R('S')}) >= 15 AS clip
 
 @query("F02 P02", f"WITH {_R}, {_EV} SELECT read_id, clipped, gapped, discordant, supplementary, split FROM e WHERE flag & 1284 = 0 AND (clipped OR gapped OR discordant OR supplementary OR split)")
 def evidence_reads(spark, sf):
-    e = _evidence(reads(spark, sf, "flag", "cigar", "sa").where(F.col("flag").bitwiseAND(1284) == 0))
+    e = _evidence(reads(spark, sf, "flag", "cigar", "sa", where=F.col("flag").bitwiseAND(1284) == 0))
     return e.where("clipped or gapped or discordant or supplementary or split").select("read_id", "clipped", "gapped", "discordant", "supplementary", "split")
 
 
@@ -135,7 +121,7 @@ p AS (SELECT *, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THE
 SELECT read_id, CAST(i - 1 AS INTEGER) AS idx, op, CAST(len AS INTEGER) AS len, CAST(ref_start AS BIGINT) AS ref_start FROM p WHERE op IN ('I', 'D', 'N') AND len >= 5""",
 )
 def cigar_gaps(spark, sf):
-    r = reads(spark, sf, "cigar", "pos").where(F.col("cigar").rlike("[IDN]"))
+    r = reads(spark, sf, "cigar", "pos", where=F.col("cigar").rlike("[IDN]"))
     w = F.filter(cg.walk("cigar", "pos"), lambda g: g["op"].isin("I", "D", "N") & (g["len"] >= 5))
     return r.select("read_id", F.explode(w).alias("g")).select("read_id", "g.idx", "g.op", "g.len", "g.ref_start")
 
@@ -146,7 +132,7 @@ _ALIGNED = f"coalesce(list_sum(list_transform(list_filter({_LIST}, lambda x: rig
 @query("F05", f"WITH {_R} SELECT read_id, nm, CAST({_ALIGNED} AS BIGINT) AS aligned, nm >= floor({_ALIGNED} * 13 * 0.02) AS too_high FROM r WHERE nm IS NOT NULL")
 def edit_distance_filter(spark, sf):
     a = cg.aligned_bases("cigar")
-    r = reads(spark, sf, "cigar", "nm").where("nm is not null")
+    r = reads(spark, sf, "cigar", "nm", where="nm is not null")
     return r.select("read_id", "nm", a.alias("aligned")).withColumn("too_high", F.col("nm") >= F.floor(F.col("aligned") * 13 * 0.02))
 
 
@@ -156,7 +142,7 @@ def edit_distance_filter(spark, sf):
 rnext = '=' AND abs(tlen) < 1000 AND NOT clipped AND ((flag & 16) <> 0) = ((flag & 32) <> 0) AS chimera FROM e WHERE flag & 1 <> 0 AND tlen IS NOT NULL AND rnext IS NOT NULL""",
 )
 def mate_class(spark, sf):
-    e = _evidence(reads(spark, sf, "flag", "cigar", "sa", "rnext", "tlen").where(cg.flag(1) & F.col("tlen").isNotNull() & F.col("rnext").isNotNull()))
+    e = _evidence(reads(spark, sf, "flag", "cigar", "sa", "rnext", "tlen", where=cg.flag(1) & F.col("tlen").isNotNull() & F.col("rnext").isNotNull()))
     near = (F.col("rnext") == "=") & (F.abs("tlen") < 1000)
     kind = F.when(~F.col("clipped") & cg.flag(2), "none").when(cg.flag(2) & near, "breakend").when(~F.col("clipped") & near, "none").otherwise("discordant")
     return e.select("read_id", kind.alias("kind"), (near & ~F.col("clipped") & (cg.flag(16) == cg.flag(32))).alias("chimera"))
@@ -167,9 +153,16 @@ def template_neighbors(spark, sf):
     return pairs.template_edges(reads(spark, sf, "qname", "pos"), "qname", "read_id", ["pos"])
 
 
-@query("J02 A04")
+_SA = "p AS (SELECT read_id, string_split(x, ',') AS a FROM (SELECT read_id, unnest(string_split(sa, ';')) AS x FROM r WHERE sa IS NOT NULL))"
+
+
+@query("J02", f"""WITH {_R}, {_SA}, u AS (SELECT read_id, rname AS chrom, pos, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, cigar, mapq FROM r WHERE sa IS NOT NULL
+  UNION ALL SELECT read_id, a[1], TRY_CAST(a[2] AS INTEGER), a[3], a[4], TRY_CAST(a[5] AS INTEGER) FROM p WHERE len(a) = 6),
+q AS (SELECT *, CAST(CASE WHEN strand = '-' THEN {_CLIP_R('SH')} ELSE {_CLIP_L('SH')} END AS BIGINT) AS q_start, count(*) OVER (PARTITION BY read_id) AS n FROM u), e AS (SELECT *, q_start + {_sum("'M', 'I', '=', 'X'")} AS q_end FROM q WHERE n > 1),
+o AS (SELECT *, row_number() OVER w AS place, lead(chrom) OVER w AS next_chrom, lead(pos) OVER w AS next_pos, lead(mapq) OVER w AS next_mapq, lead(1) OVER w AS more FROM e WINDOW w AS (PARTITION BY read_id ORDER BY q_start, q_end, chrom, pos, strand, mapq, cigar))
+SELECT read_id, CAST(place AS INTEGER) AS place, q_start, CAST(q_end AS BIGINT) AS q_end, chrom, pos, strand, mapq, next_chrom, next_pos, CASE WHEN more IS NULL THEN NULL WHEN mapq < 1 OR next_mapq < 1 THEN 'BREAKEND' ELSE 'SPLIT' END AS junction FROM o""")
 def split_neighbors(spark, sf):
-    return pairs.split_neighbours(reads(spark, sf, "rname", "pos", "flag", "cigar", "mapq", "sa"), "read_id")
+    return pairs.split_neighbours(reads(spark, sf, "rname", "pos", "flag", "cigar", "mapq", "sa", where="sa is not null"), "read_id")
 
 
 @query(
@@ -178,7 +171,7 @@ def split_neighbors(spark, sf):
 SELECT read_id, a[1] AS chrom, TRY_CAST(a[2] AS INTEGER) AS pos, a[3] AS strand, a[4] AS cigar, TRY_CAST(a[5] AS INTEGER) AS mapq, TRY_CAST(a[6] AS INTEGER) AS nm FROM p WHERE len(a) = 6""",
 )
 def split_targets(spark, sf):
-    r = reads(spark, sf, "sa").where("sa is not null")
+    r = reads(spark, sf, "sa", where="sa is not null")
     return r.select("read_id", F.explode(cg.split_alignments("sa")).alias("a")).select("read_id", "a.*")
 
 
@@ -187,7 +180,7 @@ d AS (SELECT v.rg, m, coalesce(median(CASE WHEN v > m THEN v - m END), 0) AS mad
 k AS (SELECT v.rg, v, mad FROM v JOIN d ON v.rg = d.rg WHERE v <= m + 8 * mad), n AS (SELECT rg, median(v) AS med, min(mad) AS mad FROM k GROUP BY rg)
 SELECT k.rg, count(*) AS n, min(med) AS median, min(n.mad) AS upper_mad, round(avg(v), 4) AS mean, round(sqrt(avg((v - med) * (v - med))), 4) AS sd, round(greatest(0, min(med) - 1.6448536269514729 * sqrt(avg((v - med) * (v - med)))), 4) AS low_quantile FROM k JOIN n ON k.rg = n.rg GROUP BY k.rg""")
 def insert_sizes(spark, sf):
-    r = reads(spark, sf, "rg", "flag", "tlen").where(cg.flag(2) & (F.col("tlen") > 0))
+    r = reads(spark, sf, "rg", "flag", "tlen", where=cg.flag(2) & (F.col("tlen") > 0))
     s = rollups.spread(r, ["rg"], "tlen")
     return s.select("rg", "n", "median", "upper_mad", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round(F.greatest(F.lit(0.0), F.col("median") - 1.6448536269514729 * F.col("sd")), 4).alias("low_quantile"))
 
@@ -204,7 +197,7 @@ def read_properties(spark, sf):
 
 def spans(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Mapped primary reads with the span they cover: start, stop (exclusive)."""
-    r = reads(spark, sf, "flag", "rname", "pos", "cigar", "mapq", *columns).where((F.col("flag").bitwiseAND(1284) == 0) & (F.col("rname") != "*"))
+    r = reads(spark, sf, "flag", "rname", "pos", "cigar", "mapq", *columns, where=(F.col("flag").bitwiseAND(1284) == 0) & (F.col("rname") != "*"))
     return r.withColumn("start", F.col("pos").cast("long")).withColumn("stop", F.col("pos") + cg.reference_length("cigar"))
 
 
@@ -213,7 +206,7 @@ _T = f"""m AS (SELECT rname, start // 10 AS bin, 1 AS d FROM s UNION ALL SELECT
 t AS (SELECT * FROM (SELECT rname, bin, lead(bin) OVER (PARTITION BY rname ORDER BY bin) AS to_bin, sum(d) OVER (PARTITION BY rname ORDER BY bin) AS depth FROM k) WHERE depth > 0)"""
 
 
-@query("A01 W02 K05 S14", f"WITH {_R}, {_S}, {_T} SELECT rname, CAST(bin AS BIGINT) AS bin, CAST(to_bin AS BIGINT) AS to_bin, CAST(depth AS BIGINT) AS depth FROM t")
+@query("A01 W02", f"WITH {_R}, {_S}, {_T} SELECT rname, CAST(bin AS BIGINT) AS bin, CAST(to_bin AS BIGINT) AS to_bin, CAST(depth AS BIGINT) AS depth FROM t")
 def depth_track(spark, sf):
     return depth.depth_track(spans(spark, sf), "rname", "start", "stop")
 
@@ -240,7 +233,7 @@ def max_depth_filter(spark, sf):
 SELECT call_id, round(coalesce(sum((least(hi, to_bin - 1) - greatest(lo, bin) + 1) * depth), 0) / (max(hi) - max(lo) + 1), 6) AS mean_depth, CAST(coalesce(max(depth), 0) AS BIGINT) AS max_depth
 FROM w LEFT JOIN t ON w.chrom = t.rname AND bin <= hi AND to_bin > lo GROUP BY call_id""")
 def depth_flanks(spark, sf):
-    c = calls(spark, sf).where("pos is not null").select("call_id", "chrom", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi"))
+    c = calls(spark, sf, "pos is not null").select("call_id", "chrom", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi"))
     d = depth.window_depth(c, depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom"), "chrom", ["call_id"], "lo", "hi")
     return d.withColumn("mean_depth", F.round("mean_depth", 6))
 
@@ -254,7 +247,7 @@ def reads_near_calls(spark, sf):
 _NEAR = f"""v AS (SELECT call_id, chrom AS vc, pos AS vp FROM c UNION SELECT call_id, chr2, end_pos FROM c), near AS (SELECT DISTINCT call_id, read_id FROM v JOIN s ON vc = rname AND start <= vp + 200 AND stop >= vp - 200 WHERE flag & 1540 = 0)"""
 
 
-@query("J14 A04 F17", f"""WITH {_R}, {_S}, {_C}, {_NEAR}, e AS (SELECT near.call_id, qname, flag & 1 <> 0 AND flag & 2 = 0 AS pe, flag & 2048 <> 0 OR sa IS NOT NULL AS supp, {_GAP} AS spanning, greatest({_CLIP_L('S')}, {_CLIP_R('S')}) >= 15 AS bnd, mapq = 0 AS low FROM near JOIN r ON near.read_id = r.read_id)
+@query("A04", f"""WITH {_R}, {_S}, {_C}, {_NEAR}, e AS (SELECT near.call_id, qname, flag & 1 <> 0 AND flag & 2 = 0 AS pe, flag & 2048 <> 0 OR sa IS NOT NULL AS supp, {_GAP} AS spanning, greatest({_CLIP_L('S')}, {_CLIP_R('S')}) >= 15 AS bnd, mapq = 0 AS low FROM near JOIN r ON near.read_id = r.read_id)
 SELECT call_id, CAST(count_if(pe) AS BIGINT) AS pe, CAST(count_if(supp) AS BIGINT) AS supp, CAST(count_if(spanning) AS BIGINT) AS spanning, CAST(count_if(bnd) AS BIGINT) AS bnd, CAST(count_if(low) AS BIGINT) AS mapq0, count(DISTINCT qname) AS templates, CAST(count_if(pe) + count_if(supp) + 2 * count_if(spanning) + count_if(bnd) AS BIGINT) AS su FROM e GROUP BY call_id""")
 def call_evidence(spark, sf):
     near = pairs.reads_near(calls(spark, sf), spans(spark, sf), "call_id", "read_id", 200)
@@ -263,7 +256,7 @@ def call_evidence(spark, sf):
     return rollups.evidence(x, ["call_id"], {"pe": F.col("discordant"), "supp": F.col("supplementary") | F.col("split"), "spanning": F.col("gapped"), "bnd": F.col("clipped"), "mapq0": F.col("mapq") == 0}, "qname")
 
 
-@query("J16 X37 F18", f"""WITH {_R}, {_S}, {_C}, p AS (SELECT rname, CASE WHEN {_CLIP_L('S')} >= {_CLIP_R('S')} THEN start ELSE stop END AS px FROM s WHERE greatest({_CLIP_L('S')}, {_CLIP_R('S')}) >= 15)
+@query("J16 X37", f"""WITH {_R}, {_S}, {_C}, p AS (SELECT rname, CASE WHEN {_CLIP_L('S')} >= {_CLIP_R('S')} THEN start ELSE stop END AS px FROM s WHERE greatest({_CLIP_L('S')}, {_CLIP_R('S')}) >= 15)
 SELECT call_id, count(px) AS n FROM c LEFT JOIN p ON chrom = rname AND px BETWEEN pos - 500 AND pos + 500 GROUP BY call_id""")
 def clip_counts(spark, sf):
     s = spans(spark, sf).where(F.greatest(cg.left_clip("cigar"), cg.right_clip("cigar")) >= 15)
@@ -275,14 +268,14 @@ def clip_counts(spark, sf):
 p AS (SELECT a.node AS src, b.node AS dst, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM n a JOIN n b ON a.chrom = b.chrom AND a.chrom2 = b.chrom2 AND a.node < b.node AND abs(a.x - b.x) < 20000 AND abs(a.y - b.y) < 20000),
 k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dy, dx, dst) AS rank FROM p) SELECT src, dst, CAST(dx AS BIGINT) AS dx, CAST(dy AS BIGINT) AS dy FROM k WHERE rank <= 25""")
 def proximity_pairs(spark, sf):
-    r = reads(spark, sf, "flag", "rname", "rnext", "pos", "pnext").where((F.col("flag").bitwiseAND(1284) == 0) & cg.flag(1) & ~cg.flag(2) & (F.col("pnext") > 0))
+    r = reads(spark, sf, "flag", "rname", "rnext", "pos", "pnext", where=(F.col("flag").bitwiseAND(1284) == 0) & cg.flag(1) & ~cg.flag(2) & (F.col("pnext") > 0))
     n = r.select(F.col("read_id").alias("node"), F.col("rname").alias("chrom"), F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")).alias("chrom2"), F.col("pos").cast("long").alias("x"), F.col("pnext").cast("long").alias("y"))
     return pairs.proximity_edges(n, ["chrom", "chrom2"], "node", "x", "y", 20_000).select("src", "dst", "dx", "dy")
 
 
 # ---------------------------------------------------------------- intervals
 
-@query("W01 S04 S13", f"""WITH {_IV}, x AS (SELECT *, row_number() OVER () AS rn FROM iv), o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+@query("W01", f"""WITH {_IV}, x AS (SELECT *, row_number() OVER () AS rn FROM iv), o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT chrom, min(s) AS s, max(e) AS e, count(*) AS n_merged FROM i GROUP BY chrom, island""")
 def interval_merge(spark, sf):
@@ -357,19 +350,19 @@ _MERGED = """o AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY
 i AS (SELECT chrom, s, e, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), reg AS (SELECT chrom AS rc, min(s) AS rs, max(e) AS re FROM i GROUP BY chrom, g)"""
 
 
-@query("J08 S03 F10", f"WITH {_SITES}, {_MERGED}, {_C} SELECT call_id FROM c WHERE EXISTS (SELECT 1 FROM reg WHERE rc = chrom AND rs <= pos AND pos <= re)")
+@query("J08", f"WITH {_SITES}, {_MERGED}, {_C} SELECT call_id FROM c WHERE EXISTS (SELECT 1 FROM reg WHERE rc = chrom AND rs <= pos AND pos <= re)")
 def region_semi(spark, sf):
     reg = intervals.merge_intervals(sites(spark, sf), ["chrom"], "s", "e", pad=200_000).select(F.col("chrom").alias("rc"), F.col("s").alias("rs"), F.col("e").alias("re"))
     return intervals.range_join(calls(spark, sf), reg, [("chrom", "rc")], ("pos", "pos"), ("rs", "re"), 1 << 17, "left_semi").select("call_id")
 
 
-@query("J12 F09 F13", f"WITH {_SITES}, {_MERGED}, {_C} SELECT call_id FROM c WHERE NOT EXISTS (SELECT 1 FROM reg WHERE rc = chrom AND rs <= pos AND pos <= re)")
+@query("J12", f"WITH {_SITES}, {_MERGED}, {_C} SELECT call_id FROM c WHERE NOT EXISTS (SELECT 1 FROM reg WHERE rc = chrom AND rs <= pos AND pos <= re)")
 def region_anti(spark, sf):
     reg = intervals.merge_intervals(sites(spark, sf), ["chrom"], "s", "e", pad=200_000).select(F.col("chrom").alias("rc"), F.col("s").alias("rs"), F.col("e").alias("re"))
     return intervals.range_join(calls(spark, sf), reg, [("chrom", "rc")], ("pos", "pos"), ("rs", "re"), 1 << 17, "left_anti").select("call_id")
 
 
-@query("J19 J20", f"""WITH {_SITES}, {_MERGED}, {_C}, k AS (SELECT call_id, chrom, chr2, a.rs AS ra, b.rs AS rb FROM c LEFT JOIN reg a ON a.rc = chrom AND a.rs <= pos AND pos <= a.re LEFT JOIN reg b ON b.rc = chr2 AND b.rs <= end_pos AND end_pos <= b.re)
+@query("J19", f"""WITH {_SITES}, {_MERGED}, {_C}, k AS (SELECT call_id, chrom, chr2, a.rs AS ra, b.rs AS rb FROM c LEFT JOIN reg a ON a.rc = chrom AND a.rs <= pos AND pos <= a.re LEFT JOIN reg b ON b.rc = chr2 AND b.rs <= end_pos AND end_pos <= b.re)
 SELECT call_id, CASE WHEN ra IS NULL AND rb IS NULL THEN 'extra-regional' WHEN ra IS NULL OR rb IS NULL THEN 'hemi-regional' WHEN chrom = chr2 AND ra = rb THEN 'intra_regional' ELSE 'inter-regional' END AS kind, ra IS NULL AND rb IS NOT NULL AS switched FROM k""")
 def kind_label(spark, sf):
     reg = sites(spark, sf).select("chrom", F.greatest(F.lit(0), F.col("s") - 200_000).alias("s"), (F.col("e") + 200_000).alias("e"))
@@ -389,7 +382,7 @@ def range_count(spark, sf):
     return intervals.count_near(e, ["event_type"], "at", 500, 500, "n").select("event_id", "n")
 
 
-@query("J06 J07", f"""WITH {_SITES}, {_C}, d AS (SELECT DISTINCT chrom AS sc, s FROM u), k AS (SELECT call_id, s, abs(pos - s) AS distance, row_number() OVER (PARTITION BY call_id ORDER BY abs(pos - s), s) AS n FROM c JOIN d ON chrom = sc AND s BETWEEN pos - 20000 AND pos + 20000)
+@query("J06", f"""WITH {_SITES}, {_C}, d AS (SELECT DISTINCT chrom AS sc, s FROM u), k AS (SELECT call_id, s, abs(pos - s) AS distance, row_number() OVER (PARTITION BY call_id ORDER BY abs(pos - s), s) AS n FROM c JOIN d ON chrom = sc AND s BETWEEN pos - 20000 AND pos + 20000)
 SELECT call_id, s AS site_start, distance FROM k WHERE n = 1""")
 def nearest_site(spark, sf):
     d = sites(spark, sf).select(F.col("chrom").alias("sc"), F.col("s").alias("site_start")).distinct()
@@ -422,12 +415,12 @@ _ONE = f"""coalesce(NOT (ca = c2 AND ca = d2) OR (pa = pb AND la = lb) OR ta = '
 
 
 def _merge_pairs(spark, sf) -> DataFrame:
-    c = calls(spark, sf).where("svtype is not null").select("call_id", "sample_name", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "ci")
+    c = calls(spark, sf, "svtype is not null").select("call_id", "sample_name", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "ci")
     p = pairs.event_pairs(c, ["chrom", "svtype"], "call_id", "pos", "end_pos", "ci", 200, "sample_name")
     return p.where(pairs.merge_rule(False)).select(F.col("a_call_id").alias("src"), F.col("b_call_id").alias("dst"))
 
 
-@query("J09 J10 O04", f"WITH {_C}, {_PAIR} SELECT a AS src, b AS dst FROM p WHERE {_ONE}")
+@query("J09 J10", f"WITH {_C}, {_PAIR} SELECT a AS src, b AS dst FROM p WHERE {_ONE}")
 def merge_pairs(spark, sf):
     return _merge_pairs(spark, sf)
 
@@ -437,7 +430,7 @@ walk AS (SELECT call_id AS a, call_id AS b FROM c WHERE svtype IS NOT NULL UNION
 
 
 def _clusters(spark, sf) -> DataFrame:
-    c = calls(spark, sf).where("svtype is not null")
+    c = calls(spark, sf, "svtype is not null")
     return graph.connected_components(_merge_pairs(spark, sf), nodes=c.select("call_id")).select(F.col("node").alias("call_id"), F.col("component").alias("cluster"))
 
 
@@ -459,11 +452,11 @@ def merge_rollup(spark, sf):
 _PL = "('pe', 'pacbio', 'nanopore')"
 
 
-@query("K02 A20 A11", f"""WITH {_C}, j AS (SELECT svtype, chrom, pl, prob FROM c JOIN samples s ON c.sample_name = s.sample_name WHERE svtype IS NOT NULL)
+@query("A11", f"""WITH {_C}, j AS (SELECT svtype, chrom, pl, prob FROM c JOIN samples s ON c.sample_name = s.sample_name WHERE svtype IS NOT NULL)
 SELECT svtype, chrom, count(CASE WHEN pl = 'pe' THEN 1 END) AS n_pe, count(CASE WHEN pl = 'pacbio' THEN 1 END) AS n_pacbio, count(CASE WHEN pl = 'nanopore' THEN 1 END) AS n_nanopore, round(avg(prob), 9) AS mean_prob, round(max(prob), 6) AS max_prob FROM j GROUP BY svtype, chrom""")
 def cohort_pivot(spark, sf):
     s = table(spark, sf, "samples").select("sample_name", "pl")  # a fixed table of 120 rows
-    j = calls(spark, sf).where("svtype is not null").join(F.broadcast(s), "sample_name")
+    j = calls(spark, sf, "svtype is not null").join(F.broadcast(s), "sample_name")
     n = j.groupBy("svtype", "chrom").pivot("pl", ["pe", "pacbio", "nanopore"]).count()
     p = j.groupBy("svtype", "chrom").agg(F.round(F.avg("prob"), 9).alias("mean_prob"), F.round(F.max("prob"), 6).alias("max_prob"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(f"n_{c}")
@@ -475,7 +468,7 @@ w AS (SELECT chrom, svtype, pos - 1000 AS lo, pos + 1000 AS hi, svlen FROM n UNI
 SELECT call_id, EXISTS (SELECT 1 FROM w a WHERE a.chrom = j.chrom AND a.svtype = j.svtype AND j.pos BETWEEN a.lo AND a.hi AND j.svlen IS NOT NULL AND a.svlen IS NOT NULL AND least(a.svlen, j.svlen) > 0.8 * greatest(a.svlen, j.svlen)) AS normal_overlap FROM j WHERE tissue = 'tumour'""")
 def normal_overlap(spark, sf):
     s = table(spark, sf, "samples").select("sample_name", "tissue")
-    j = calls(spark, sf).where("svtype is not null").join(F.broadcast(s), "sample_name")
+    j = calls(spark, sf, "svtype is not null").join(F.broadcast(s), "sample_name")
     n = j.where("tissue = 'normal' and svlen is not null")
     ends = F.explode(F.array(F.struct(F.col("chrom").alias("c"), F.col("pos").alias("p")), F.struct(F.col("chr2").alias("c"), F.col("end_pos").alias("p")))).alias("x")
     w = n.select("svtype", "svlen", ends).select(F.col("x.c").alias("wc"), F.col("x.p").alias("wp"), F.col("svtype").alias("wt"), F.col("svlen").alias("wl")).distinct()
@@ -485,7 +478,7 @@ def normal_overlap(spark, sf):
     return t.select("call_id").join(hit, "call_id", "left").select("call_id", F.coalesce("hit", F.lit(False)).alias("normal_overlap"))
 
 
-@query("F11 F12 F15 F16 F20 F21 K08 P05", f"""WITH {_C}, j AS (SELECT c.*, coalesce(mean_cov, 20) AS cov FROM c JOIN samples s ON c.sample_name = s.sample_name),
+@query("F11 F12 F15 F20 F21 K08", f"""WITH {_C}, j AS (SELECT c.*, coalesce(mean_cov, 20) AS cov FROM c JOIN samples s ON c.sample_name = s.sample_name),
 f AS (SELECT call_id, filt, CASE WHEN prob < 0.1 THEN 'lowProb' WHEN greatest(0, least(1, su / 2 / (cov + 1e-5))) < 0.05 THEN 'lowAF' WHEN su < round_even(1.5 + 0.1 * cov, 0) THEN 'lowSupport' WHEN svlen < 30 AND chrom = chr2 THEN 'tooSmall' END AS reason FROM j)
 SELECT call_id, reason, CASE WHEN reason IS NULL THEN coalesce(filt, 'PASS') WHEN coalesce(filt, '.') IN ('PASS', '.', '') THEN reason WHEN list_contains(string_split(filt, ';'), reason) THEN filt ELSE filt || ';' || reason END AS label FROM f""")
 def filter_chain(spark, sf):
@@ -507,7 +500,7 @@ _HOM = "CASE svtype WHEN 'DUP' THEN 0.2 ELSE 0.9 END"
 _LH, _LM = (f"(alt * log10({p}) + ref * log10(1 - {p}))" for p in (_HET, _HOM))
 
 
-@query("X31 X32 O05", f"""WITH {_C}, k AS (SELECT call_id, svtype, coalesce(su, 0) AS alt, CAST(length(coalesce(filt, '')) + coalesce(ci, 0) AS BIGINT) AS ref FROM c)
+@query("X31 O05", f"""WITH {_C}, k AS (SELECT call_id, svtype, coalesce(su, 0) AS alt, CAST(length(coalesce(filt, '')) + coalesce(ci, 0) AS BIGINT) AS ref FROM c)
 SELECT call_id, CASE WHEN ref + alt <= 0 THEN './.' WHEN {_LH} > {_LM} THEN '0/1' ELSE '1/1' END AS new_gt, CASE WHEN ref + alt > 0 THEN CAST(trunc(least(200, 10 * abs({_LH} - {_LM}))) AS INTEGER) END AS new_gq FROM k""")
 def genotype_likelihood(spark, sf):
     k = calls(spark, sf).select("call_id", "svtype", F.coalesce("su", F.lit(0)).alias("alt"), (F.length(F.coalesce("filt", F.lit(""))) + F.coalesce("ci", F.lit(0))).alias("ref"))
@@ -531,7 +524,7 @@ def strand_bias(spark, sf):
 SELECT call_id, CASE WHEN gt = '1/1' AND coalesce((b.t = svtype AND ((svtype = 'INS' AND b.p = pos) OR (svtype IN ('DEL', 'DUP', 'INV') AND abs(b.e - b.p) > 0 AND abs(end_pos - pos) > 0 AND greatest(0, least(greatest(pos, end_pos), greatest(b.p, b.e)) - greatest(least(pos, end_pos), least(b.p, b.e))) / greatest(abs(b.e - b.p), abs(end_pos - pos)) > 0.8)))
 OR (a.t = svtype AND ((svtype = 'INS' AND a.p = pos) OR (svtype IN ('DEL', 'DUP', 'INV') AND abs(a.e - a.p) > 0 AND abs(end_pos - pos) > 0 AND greatest(0, least(greatest(pos, end_pos), greatest(a.p, a.e)) - greatest(least(pos, end_pos), least(a.p, a.e))) / greatest(abs(a.e - a.p), abs(end_pos - pos)) > 0.8))), false) THEN '0/1' ELSE gt END AS fixed_gt FROM o""")
 def gt_adjacent_fix(spark, sf):
-    c = calls(spark, sf).where("svtype is not null")
+    c = calls(spark, sf, "svtype is not null")
     w = W.partitionBy("sample_name", "chrom").orderBy("pos", "call_id")
     def alike(f):
         t, p, e = (f(x).over(w) for x in ("svtype", "pos", "end_pos"))
@@ -541,15 +534,15 @@ def gt_adjacent_fix(spark, sf):
     return rollups.fix_neighbours(c, alike(F.lag), alike(F.lead), "gt").select("call_id", "fixed_gt")
 
 
-@query("W08 A20", f"""WITH {_C}, k AS (SELECT chrom, svtype, call_id, prob, row_number() OVER (PARTITION BY chrom, svtype ORDER BY prob DESC NULLS LAST, call_id) AS n FROM c WHERE svtype IS NOT NULL) SELECT chrom, svtype, call_id FROM k WHERE n = 1""")
+@query("W08", f"""WITH {_C}, k AS (SELECT chrom, svtype, call_id, prob, row_number() OVER (PARTITION BY chrom, svtype ORDER BY prob DESC NULLS LAST, call_id) AS n FROM c WHERE svtype IS NOT NULL) SELECT chrom, svtype, call_id FROM k WHERE n = 1""")
 def best_per_site(spark, sf):
-    c = calls(spark, sf).where("svtype is not null")
+    c = calls(spark, sf, "svtype is not null")
     return rollups.best_per(c, ["chrom", "svtype"], [F.coalesce(-F.col("prob"), F.lit(9.0))], ["call_id"])
 
 
 @query("O01 O03 O08 O09", f"""WITH {_C}, k AS (SELECT svtype, call_id, svlen, row_number() OVER (PARTITION BY svtype ORDER BY svlen DESC, call_id) AS rank FROM c WHERE svtype IS NOT NULL AND svlen IS NOT NULL) SELECT svtype, call_id, svlen, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 25""")
 def longest_per_type(spark, sf):
-    c = calls(spark, sf).where("svtype is not null and svlen is not null").select("svtype", "call_id", "svlen")
+    c = calls(spark, sf, "svtype is not null and svlen is not null").select("svtype", "call_id", "svlen")
     return rollups.top_k(c, ["svtype"], [F.desc("svlen"), F.col("call_id")], 25)
 
 
@@ -570,7 +563,7 @@ def uncalled_sites(spark, sf):
 
 @query("K12", f"""WITH {_C}, t AS (SELECT * FROM c WHERE chrom <> chr2) SELECT call_id, CAST(1 AS INTEGER) AS mate, chrom, pos + 1 AS pos, 'N[' || chr2 || ':' || (end_pos + 1) || '[' AS alt FROM t UNION ALL SELECT call_id, 2, chr2, end_pos + 1, ']' || chrom || ':' || (pos + 1) || ']N' FROM t""")
 def bnd_explode(spark, sf):
-    c = calls(spark, sf).where("chrom <> chr2").withColumn("ct", F.lit(None).cast("string"))
+    c = calls(spark, sf, "chrom <> chr2").withColumn("ct", F.lit(None).cast("string"))
     return sink.break_ends(c, "call_id")
 
 
@@ -602,13 +595,13 @@ def format_parse(spark, sf):
 @query("A08 A09", f"""WITH {_C}, k AS (SELECT call_id, svtype, svlen, greatest(1, least(CAST(trunc(0.045 * max(svlen) OVER (PARTITION BY svtype)) AS BIGINT), CAST(trunc(power(max(svlen) OVER (PARTITION BY svtype), 0.45)) AS BIGINT))) AS eps, svlen - lag(svlen) OVER (PARTITION BY svtype ORDER BY svlen, call_id) AS step FROM c WHERE svtype IS NOT NULL AND svlen IS NOT NULL),
 g AS (SELECT call_id, svtype, 1 + sum(CASE WHEN step > eps THEN 1 ELSE 0 END) OVER (PARTITION BY svtype ORDER BY svlen, call_id ROWS UNBOUNDED PRECEDING) AS cluster FROM k) SELECT call_id, svtype, CAST(cluster AS BIGINT) AS cluster FROM g QUALIFY count(*) OVER (PARTITION BY svtype, cluster) >= 2""")
 def length_clusters(spark, sf):
-    return rollups.cluster_lengths(calls(spark, sf).where("svtype is not null"), ["svtype"], "svlen", "call_id")
+    return rollups.cluster_lengths(calls(spark, sf, "svtype is not null"), ["svtype"], "svlen", "call_id")
 
 
 @query("A09", f"""WITH {_C}, k AS (SELECT call_id, svtype, chrom, pos, CASE WHEN pos - lag(pos) OVER w <= 500 THEN NULL ELSE pos END AS f FROM c WHERE svtype IS NOT NULL WINDOW w AS (PARTITION BY svtype, chrom ORDER BY pos, call_id))
 SELECT call_id, svtype, chrom, last_value(f IGNORE NULLS) OVER (PARTITION BY svtype, chrom ORDER BY pos, call_id ROWS UNBOUNDED PRECEDING) AS island FROM k""")
 def single_linkage(spark, sf):
-    return rollups.islands(calls(spark, sf).where("svtype is not null"), ["svtype", "chrom"], "pos", 500, "call_id")
+    return rollups.islands(calls(spark, sf, "svtype is not null"), ["svtype", "chrom"], "pos", 500, "call_id")
 
 
 @query("A13", """WITH x AS (SELECT l_partkey, l_linenumber, l_quantity AS q FROM lineitem), m AS (SELECT *, avg(q) OVER (PARTITION BY l_partkey, l_linenumber) AS m, count(q) OVER (PARTITION BY l_partkey, l_linenumber) AS n, avg(q) OVER (PARTITION BY l_partkey) AS a FROM x)
@@ -628,18 +621,20 @@ def haplotype_string(spark, sf):
 
 # ---------------------------------------------------------------- graph
 
-_ED = "ed AS (SELECT DISTINCT l_partkey AS p, 1000000000 + l_orderkey AS o FROM lineitem WHERE l_quantity >= 46 AND l_linenumber <= 2)"
+_ED = "ed AS (SELECT DISTINCT l_partkey AS p, 1000000000 + l_orderkey AS o FROM lineitem)"
 
 
 def _edges(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_quantity >= 46 and l_linenumber <= 2")
-    return li.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1_000_000_000).alias("dst")).distinct()
+    """Every part and order of lineitem."""
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1_000_000_000).alias("dst")).distinct()
 
 
-_WALK = "l AS (SELECT p AS a, o AS b FROM ed UNION SELECT o, p FROM ed), walk AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a), g AS (SELECT a AS node, min(b) AS component FROM walk GROUP BY a)"
+#: Components of the links l (a, b, both ways), by the least node that reaches each.
+_REACH = "g(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.a, min(g.component) FROM g JOIN l ON g.node = l.b JOIN recurring.g AS k ON k.node = l.a WHERE g.component < k.component GROUP BY l.a)"
+_LINKS = "l AS (SELECT p AS a, o AS b FROM ed UNION SELECT o, p FROM ed)"
 
 
-@query("G01", f"WITH RECURSIVE {_ED}, {_WALK} SELECT node, component FROM g")
+@query("G01", f"WITH RECURSIVE {_ED}, {_LINKS}, {_REACH} SELECT node, component FROM g")
 def conn_components(spark, sf):
     return graph.connected_components(_edges(spark, sf))
 
@@ -648,7 +643,7 @@ _MP = f"""{_C}, {_PAIR}, w AS (SELECT a AS src, b AS dst, CASE WHEN {_ONE} THEN
 
 
 def _weighted(spark, sf) -> DataFrame:
-    c = calls(spark, sf).where("svtype is not null").select("call_id", "sample_name", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "ci")
+    c = calls(spark, sf, "svtype is not null").select("call_id", "sample_name", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "ci")
     p = pairs.event_pairs(c, ["chrom", "svtype"], "call_id", "pos", "end_pos", "ci", 200, "sample_name")
     return p.select(F.col("a_call_id").alias("src"), F.col("b_call_id").alias("dst"), F.when(pairs.merge_rule(False), 2).otherwise(1).alias("weight"))
 
@@ -664,19 +659,26 @@ def strong_parts(spark, sf):
 _BETWEEN = f"{_PARTS}, x AS (SELECT least(ga.part, gb.part) AS part_a, greatest(ga.part, gb.part) AS part_b, CASE WHEN ga.part > gb.part THEN dst ELSE src END AS a, CASE WHEN ga.part > gb.part THEN src ELSE dst END AS b FROM w JOIN g ga ON src = ga.node JOIN g gb ON dst = gb.node WHERE ga.part <> gb.part)"
 
 
-@query("G03 G04", f"WITH RECURSIVE {_BETWEEN} SELECT part_a, part_b, count(*) AS n_edges, count(DISTINCT a) AS n_a, count(DISTINCT b) AS n_b FROM x GROUP BY 1, 2")
+@query("G03", f"WITH RECURSIVE {_BETWEEN} SELECT part_a, part_b, count(*) AS n_edges, count(DISTINCT a) AS n_a, count(DISTINCT b) AS n_b FROM x GROUP BY 1, 2")
 def support_matrix(spark, sf):
     e = _weighted(spark, sf)
     return graph.support_between(e, graph.partitions(e))
 
 
+@query("G04", f"WITH RECURSIVE {_BETWEEN}, z AS (SELECT part, count(*) AS n FROM g GROUP BY part) SELECT part_a, part_b, count(*) AS n_edges FROM x JOIN z za ON za.part = part_a JOIN z zb ON zb.part = part_b WHERE za.n <= 500 AND zb.n <= 500 GROUP BY 1, 2 HAVING count(*) >= 2")
+def strong_links(spark, sf):
+    """What is kept of a component too large to call at once; the bound on nodes is the rule itself."""
+    e = _weighted(spark, sf)
+    return graph.strong_links(e, graph.partitions(e), 2, 500)
+
+
 @query("G03", f"WITH RECURSIVE {_BETWEEN}, out_ AS (SELECT a AS n FROM x UNION SELECT b FROM x) SELECT part, count(*) AS n_inner FROM g WHERE node NOT IN (SELECT n FROM out_) GROUP BY part")
 def support_inner(spark, sf):
     e = _weighted(spark, sf)
     return graph.support_within(e, graph.partitions(e))
 
 
-@query("F25", f"WITH RECURSIVE {_ED}, {_WALK} SELECT component, count(*) AS n, CAST(sum(CASE WHEN node < 1000000000 THEN 2 ELSE 1 END) AS BIGINT) AS support FROM g GROUP BY component HAVING sum(CASE WHEN node < 1000000000 THEN 2 ELSE 1 END) >= 4 AND count(*) > 1")
+@query("F25", f"WITH RECURSIVE {_ED}, {_LINKS}, {_REACH} SELECT component, count(*) AS n, CAST(sum(CASE WHEN node < 1000000000 THEN 2 ELSE 1 END) AS BIGINT) AS support FROM g GROUP BY component HAVING sum(CASE WHEN node < 1000000000 THEN 2 ELSE 1 END) >= 4 AND count(*) > 1")
 def component_filter(spark, sf):
     return _supported(graph.connected_components(_edges(spark, sf)))
 
@@ -686,31 +688,8 @@ def _supported(g: DataFrame) -> DataFrame:
     return x.where("support >= 4 and n > 1")
 
 
-@query("G06", f"WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS ev, l_partkey AS ps FROM lineitem WHERE l_quantity >= 46), m AS (SELECT ev, min(ps) AS lo FROM s GROUP BY ev), l AS (SELECT ps AS a, lo AS b FROM s JOIN m ON s.ev = m.ev UNION SELECT lo, ps FROM s JOIN m ON s.ev = m.ev), walk AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a) SELECT a AS l_partkey, min(b) AS joined FROM walk GROUP BY a")
+@query("G06", f"WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS ev, l_partkey AS ps FROM lineitem), m AS (SELECT ev, min(ps) AS lo FROM s GROUP BY ev), l AS (SELECT ps AS a, lo AS b FROM s JOIN m ON s.ev = m.ev UNION SELECT lo, ps FROM s JOIN m ON s.ev = m.ev), {_REACH} SELECT node AS l_partkey, component AS joined FROM g")
 def phase_sets(spark, sf):
-    return graph.phase_sets(table(spark, sf, "lineitem").where("l_quantity >= 46"), "l_orderkey", "l_partkey")
-
-
-def _all_edges(spark, sf) -> DataFrame:
-    """Every part and order of lineitem: no slice. At this size recursive SQL is too slow, so the queries over it have none."""
-    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 1_000_000_000).alias("dst")).distinct()
-
-
-@query("G01")
-def conn_components_whole(spark, sf):
-    """conn_components over all edges."""
-    return graph.connected_components(_all_edges(spark, sf))
-
-
-@query("F25")
-def component_filter_whole(spark, sf):
-    """component_filter over all edges."""
-    return _supported(graph.connected_components(_all_edges(spark, sf)))
-
-
-@query("G06")
-def phase_sets_whole(spark, sf):
-    """phase_sets over all rows."""
     return graph.phase_sets(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
@@ -739,6 +718,19 @@ def _minimizer_edges(spark, sf, star: bool) -> DataFrame:
     return pairs.minimizer_edges(c, ["chrom"], "rec_id", "pos", "mins", apart=150, star=star)
 
 
+_MERS = """c AS (SELECT DISTINCT rec_id, regexp_extract(info, '(?:^|;)\\s*CONTIGA=([ACGTNacgtn]+)', 1) AS s FROM vcf_records), k AS (SELECT rec_id, s, length(s) - 5 AS n FROM c WHERE length(s) >= 6), p AS (SELECT rec_id, n, unnest(range(1, n + 1)) AS i, s FROM k), m AS (SELECT rec_id, n, i, s[i:i + 5] AS mer FROM p),
+w AS (SELECT rec_id, i, n, mer, min(mer) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS least_mer FROM m), d AS (SELECT DISTINCT rec_id, least_mer AS mer FROM w UNION SELECT rec_id, mer FROM w WHERE i = n)"""
+
+
+@query("J04", f"""WITH {_MERS}, z AS (SELECT rec_id, count(*) AS z FROM d GROUP BY rec_id), v AS (SELECT rec_id, min(chrom) AS chrom, min(pos) AS pos FROM vcf_records GROUP BY rec_id), x AS (SELECT d.rec_id, mer, chrom, pos, z FROM d JOIN z ON d.rec_id = z.rec_id JOIN v ON d.rec_id = v.rec_id)
+SELECT a.rec_id AS src, b.rec_id AS dst, count(*) AS shared FROM x a JOIN x b ON a.chrom = b.chrom AND a.mer = b.mer AND a.rec_id < b.rec_id AND abs(a.pos - b.pos) < 150 GROUP BY 1, 2 HAVING least(max(a.z), max(b.z)) / 2 + count(*) >= 2""")
+def minimizer_text_pairs(spark, sf):
+    """minimizer_pairs with minimizers by the order of their text, which SQL can follow."""
+    v = table(spark, sf, "vcf_records").select("rec_id", "chrom", "pos").dropDuplicates(["rec_id"]).join(_contigs(spark, sf), "rec_id")
+    c = v.select("rec_id", "chrom", "pos", pairs.minimizers("contig", hashed=False).alias("mins"))
+    return pairs.minimizer_edges(c, ["chrom"], "rec_id", "pos", "mins", apart=150)
+
+
 @query("J04 X26")
 def minimizer_pairs(spark, sf):
     """All pairs of contigs that qualify."""
@@ -751,6 +743,14 @@ def minimizer_partners(spark, sf):
     return pairs.best_partners(minimizer_pairs(spark, sf))
 
 
+@query("X16", """WITH c AS (SELECT DISTINCT rec_id, upper(regexp_extract(info, '(?:^|;)\\s*CONTIGA=([ACGTNacgtn]+)', 1)) AS s FROM vcf_records), p AS (SELECT rec_id, s, unnest(range(2, 7)) AS k FROM c WHERE s <> ''), q AS (SELECT rec_id, k, s, unnest(range(1, length(s) - k + 2)) AS i FROM p WHERE length(s) >= k),
+w AS (SELECT rec_id, k, i, i - lag(i) OVER (PARTITION BY rec_id, k, s[i:i + k - 1] ORDER BY i) AS far FROM q), m AS (SELECT rec_id, k, sum(CASE WHEN far IS NOT NULL THEN exp(-(far - 1) / 10.0) ELSE 0 END) / count(*) AS m FROM w GROUP BY 1, 2) SELECT c.rec_id, round(coalesce(avg(m), 0), 6) AS repeat FROM c LEFT JOIN m ON c.rec_id = m.rec_id WHERE s <> '' GROUP BY c.rec_id""")
+def repeat_scores(spark, sf):
+    from ..functions.sequence import udfs
+
+    return _contigs(spark, sf).select("rec_id", F.round(udfs()["repeat_score"]("contig"), 6).alias("repeat"))
+
+
 @query("X16 X17 X18")
 def contig_repeats(spark, sf):
     from ..functions.sequence import udfs
@@ -760,7 +760,7 @@ def contig_repeats(spark, sf):
     return c.select("rec_id", F.round(u["repeat_score"]("contig"), 6).alias("repeat"), F.round(u["packed_percent"]("contig"), 6).alias("packed"), u["repeat_motif"]("contig").alias("motif"), u["repeat_bases"]("contig").alias("motif_bases"))
 
 
-@query("J10 J11 X19 X20 X21 M03")
+@query("J10 X19 X20 X21 M03")
 def contig_pair_match(spark, sf):
     """Contigs of calls within 150 bases that share minimizers, aligned: cheap join first, alignment on what is left."""
     from ..functions.sequence import udfs
@@ -775,11 +775,11 @@ def contig_pair_match(spark, sf):
 _VEC = "[CAST(coalesce(su, 0) AS DOUBLE), CAST(coalesce(ci, 0) AS DOUBLE), coalesce(prob, 0), CAST(coalesce(svlen, 0) AS DOUBLE)]"
 
 
-@query("J22 K10", f"""WITH {_C}, n AS (SELECT c.*, tissue FROM c JOIN samples s ON c.sample_name = s.sample_name WHERE svtype IS NOT NULL), p AS (SELECT a.call_id AS a, b.call_id AS b, round(coalesce(list_cosine_similarity({_VEC.replace('su', 'a.su').replace('ci', 'a.ci').replace('prob', 'a.prob').replace('svlen', 'a.svlen')}, {_VEC.replace('su', 'b.su').replace('ci', 'b.ci').replace('prob', 'b.prob').replace('svlen', 'b.svlen')}), 0), 9) AS score
+@query("J22", f"""WITH {_C}, n AS (SELECT c.*, tissue FROM c JOIN samples s ON c.sample_name = s.sample_name WHERE svtype IS NOT NULL), p AS (SELECT a.call_id AS a, b.call_id AS b, round(coalesce(list_cosine_similarity({_VEC.replace('su', 'a.su').replace('ci', 'a.ci').replace('prob', 'a.prob').replace('svlen', 'a.svlen')}, {_VEC.replace('su', 'b.su').replace('ci', 'b.ci').replace('prob', 'b.prob').replace('svlen', 'b.svlen')}), 0), 9) AS score
 FROM n a JOIN n b ON a.tissue = 'tumour' AND b.tissue = 'normal' AND a.chrom = b.chrom AND a.svtype = b.svtype AND b.pos BETWEEN a.pos - 500 AND a.pos + 500), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rb FROM p WHERE score > 0.8 AND NOT isnan(score)) SELECT a, b, round(score, 6) AS score FROM k WHERE ra = 1 AND rb = 1""")
 def cosine_mutual_best(spark, sf):
     s = table(spark, sf, "samples").select("sample_name", "tissue")
-    n = calls(spark, sf).where("svtype is not null").join(F.broadcast(s), "sample_name")
+    n = calls(spark, sf, "svtype is not null").join(F.broadcast(s), "sample_name")
     vec = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("su", "ci", "prob", "svlen")))
     a = n.where("tissue = 'tumour'").select(F.col("call_id").alias("a"), F.col("chrom").alias("ac"), F.col("svtype").alias("at"), F.col("pos").alias("ap"), vec.alias("av"))
     b = n.where("tissue = 'normal'").select(F.col("call_id").alias("b"), F.col("chrom").alias("bc"), F.col("svtype").alias("bt"), F.col("pos").alias("bp"), vec.alias("bv"))
@@ -795,7 +795,7 @@ def jaccard_sets(spark, sf):
     return s.select("l_orderkey", F.round(pairs.jaccard("v", "u"), 6).alias("jaccard"))
 
 
-@query("K03 J27")
+@query("K03 J27", P3_SQL.strip().replace("SELECT row_id, CAST(row_number()", ", q AS (SELECT row_id, CAST(row_number()").rstrip() + ") SELECT row_id, string_agg(partner_table || ',' || partner_event_id, '|' ORDER BY item_no) AS partners FROM q GROUP BY row_id")
 def partner_csv(spark, sf):
     """Partners of the merged events, parsed and written again in one form."""
     from ..operators.packed import partners
@@ -805,7 +805,7 @@ def partner_csv(spark, sf):
     return g.select("row_id", sink.partner_text(F.transform("a", lambda x: F.struct(x["table"].alias("table"), x["event"].alias("event")))).alias("partners"))
 
 
-@query("J27 U01 S10")
+@query("J27", P3_SQL.strip().replace("SELECT row_id, CAST(row_number()", ", q AS (SELECT row_id, CAST(row_number()").rstrip() + f") SELECT row_id, item_no, partner_sample, partner_type FROM q JOIN (SELECT table_name, event_id, min(sample_name) AS partner_sample, min(CASE WHEN {SQL_TYPE('svtype')} IN ('DEL', 'INS', 'DUP', 'INV', 'TRA', 'BND') THEN {SQL_TYPE('svtype')} END) AS partner_type FROM merged_events GROUP BY 1, 2) e ON e.table_name = partner_table AND e.event_id = partner_event_id")
 def partner_events(spark, sf):
     """Every partner looked up among the events: row_id, item_no and the partner's sample and type."""
     from ..operators.packed import partners
@@ -815,7 +815,7 @@ def partner_events(spark, sf):
     return partners(m).join(own, ["partner_table", "partner_event_id"]).select("row_id", "item_no", "partner_sample", "partner_type")
 
 
-@query("S16 S17", """WITH s AS (SELECT table_name, count(DISTINCT sample_name) AS n_samples, min(sample_name) AS first_sample, count(DISTINCT row_id) AS n FROM merged_events GROUP BY table_name) SELECT table_name, n_samples, first_sample, n FROM s""")
+@query("U03", """WITH s AS (SELECT table_name, count(DISTINCT sample_name) AS n_samples, min(sample_name) AS first_sample, count(DISTINCT row_id) AS n FROM merged_events GROUP BY table_name) SELECT table_name, n_samples, first_sample, n FROM s""")
 def table_samples(spark, sf):
     m = table(spark, sf, "merged_events")
     return m.groupBy("table_name").agg(F.count_distinct("sample_name").alias("n_samples"), F.min("sample_name").alias("first_sample"), F.count_distinct("row_id").alias("n"))
@@ -828,7 +828,10 @@ def safe_shards(spark, sf):
     return b.groupBy("chrom", "first_pos").agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("first_call"))
 
 
-@query("J23")
+@query("J23", f"""WITH RECURSIVE {_SITES}, {_C}, p AS (SELECT call_id, site_id, abs(pos - s) AS distance, row_number() OVER (ORDER BY abs(pos - s), call_id, site_id) AS k FROM c JOIN u ON c.chrom = u.chrom AND s BETWEEN pos - 20000 AND pos + 20000),
+w(k, calls, sites, hit) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false UNION ALL SELECT p.k, CASE WHEN free THEN list_append(calls, z.call_id) ELSE calls END, CASE WHEN free THEN list_append(sites, z.site_id) ELSE sites END, free
+  FROM (SELECT w.*, q.call_id, q.site_id, q.k AS nk, NOT list_contains(calls, q.call_id) AND NOT list_contains(sites, q.site_id) AS free FROM w JOIN p q ON q.k = w.k + 1) z JOIN p ON p.k = z.nk)
+SELECT call_id, site_id, distance FROM w JOIN p ON w.k = p.k WHERE hit""")
 def greedy_sites(spark, sf):
     return pairs.assign_nearest(calls(spark, sf), sites(spark, sf), ["chrom"], "call_id", "pos", "site_id", "s", 20_000)
 
@@ -837,7 +840,7 @@ def greedy_sites(spark, sf):
 v AS (SELECT chrom, greatest(0, p - 1000) AS s, p + 1000 AS e, row_number() OVER () AS rn FROM d), o AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, rn ROWS UNBOUNDED PRECEDING) AS g FROM o)
 SELECT chrom, min(s) AS s, max(e) AS e, count(*) AS n_merged FROM i GROUP BY chrom, g""")
 def mate_regions(spark, sf):
-    r = reads(spark, sf, "flag", "rname", "rnext", "pos", "pnext").where((F.col("flag").bitwiseAND(1284) == 0) & cg.flag(1) & ~cg.flag(2) & (F.col("rname") != "*"))
+    r = reads(spark, sf, "flag", "rname", "rnext", "pos", "pnext", where=(F.col("flag").bitwiseAND(1284) == 0) & cg.flag(1) & ~cg.flag(2) & (F.col("rname") != "*"))
     own = r.select(F.col("rname").alias("chrom"), F.col("pos").cast("long").alias("s"))
     mate = r.where("pnext > 0").select(F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")).alias("chrom"), F.col("pnext").cast("long").alias("s"))
     x = own.unionByName(mate).withColumn("e", F.col("s"))
@@ -880,7 +883,7 @@ def classified_pairs(spark, sf):
     """Every informative pair whose two ends have a place, with all that its rule tells: over two chromosomes (TRA) and read with supplementary too."""
     from ..operators import calling
 
-    r = reads(spark, sf, "qname", "flag", "pos", "rname", "cigar").where(~cg.flag(4) & (F.col("rname") != "*"))
+    r = reads(spark, sf, "qname", "flag", "pos", "rname", "cigar", where=~cg.flag(4) & (F.col("rname") != "*"))
     return calling.classified_pairs(r, "qname", "read_id")
 
 
@@ -897,17 +900,33 @@ def called_events(spark, sf):
     return call(materialize(ev), materialize(track), Options.of(min_support=2), by="sample_name").select("sample", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "su", "gt", "gq", "prob", "filt")
 
 
-@query("A17 A18 F22")
+@query("A18", f"""WITH {_R}, {_S}, {_T}, {_C}, b AS (SELECT call_id, chrom, pos // 10 AS b FROM c WHERE pos IS NOT NULL), e AS (SELECT rname, depth, unnest(range(bin, to_bin)) AS x FROM t),
+n AS (SELECT call_id, CAST(depth AS DOUBLE) AS d, row_number() OVER (PARTITION BY call_id ORDER BY x DESC) AS nth FROM b JOIN e ON chrom = rname AND x <= b AND x > b - 400), near AS (SELECT * FROM n WHERE nth <= 15),
+f AS (SELECT call_id, quantile_cont(d, 0.02) AS floor_ FROM near GROUP BY call_id), h AS (SELECT near.call_id, d FROM near JOIN f ON near.call_id = f.call_id WHERE floor_ <= 0.5 OR d >= floor_)
+SELECT call_id, count(*) AS n, round(avg(d), 6) AS mean, round(CASE WHEN count(*) > 1 AND avg(d) > 0 THEN sqrt(greatest(0, avg(d * d) - avg(d) * avg(d))) / avg(d) ELSE 0 END, 6) AS cv FROM h GROUP BY call_id""")
 def directional_depth(spark, sf):
     from ..operators import calling
 
     track = depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom")
-    c = calls(spark, sf).where("pos is not null")
+    c = calls(spark, sf, "pos is not null")
     d = calling.directional_depth(c, track, "chrom", "call_id", "pos", F.lit(True), 15)
     return d.select("call_id", "n", F.round("mean", 6).alias("mean"), F.round("cv", 6).alias("cv"))
 
 
-@query("J14 J15 F19 A23 P05")
+_WALK = f"""wo AS (SELECT read_id, pos, unnest({_LIST}) AS x, generate_subscripts({_LIST}, 1) AS i FROM r), ww AS (SELECT read_id, pos, i, right(x, 1) AS op, CAST(x[:-2] AS BIGINT) AS len FROM wo),
+wp AS (SELECT read_id, op, len, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ref_start FROM ww)"""
+_CLOSE = "abs({0} - ({1})) <= 500".format
+_MIN, _MAX = "least(start, pnext)", "greatest(start, pnext)"
+
+
+@query("J14", f"""WITH {_R}, {_S}, {_C}, {_SA}, {_WALK}, cc AS (SELECT * FROM c WHERE svtype IS NOT NULL), v AS (SELECT call_id, chrom AS vc, pos AS vp FROM cc UNION SELECT call_id, chr2, end_pos FROM cc), near AS (SELECT DISTINCT call_id, read_id FROM v JOIN s ON vc = rname AND start <= vp + 500 AND stop >= vp - 500 WHERE flag & 1540 = 0),
+x AS (SELECT cc.call_id, cc.chrom, cc.pos, cc.chr2, cc.end_pos, cc.svtype, cc.svlen, s.read_id, s.start, s.stop, s.flag, s.mapq, s.pnext, s.rnext FROM near JOIN cc ON near.call_id = cc.call_id JOIN s ON near.read_id = s.read_id),
+j AS (SELECT *, EXISTS (SELECT 1 FROM p WHERE p.read_id = x.read_id AND len(a) = 6 AND ((a[1] = x.chr2 AND {_CLOSE("TRY_CAST(a[2] AS INTEGER)", "x.end_pos")} AND ({_CLOSE("x.start", "x.pos")} OR {_CLOSE("x.stop", "x.pos")})) OR (a[1] = x.chrom AND {_CLOSE("TRY_CAST(a[2] AS INTEGER)", "x.pos")} AND ({_CLOSE("x.start", "x.end_pos")} OR {_CLOSE("x.stop", "x.end_pos")})))) AS supp,
+  svtype <> 'INS' AND rnext = '=' AND flag & 10 = 0 AND {_CLOSE(_MIN, "pos")} AND {_CLOSE(_MAX, "end_pos")} AND greatest(1, abs((pos + end_pos) / 2 - ({_MIN} + {_MAX}) / 2)) / greatest(1, abs(end_pos - pos), abs({_MAX} - {_MIN})) < 20
+   AND abs(greatest(1, abs(end_pos - pos)) - greatest(1, abs({_MAX} - {_MIN}))) / greatest(1, abs(end_pos - pos), abs({_MAX} - {_MIN})) < 0.75 AS mate,
+  rnext <> '=' AND rnext = chr2 AND chrom <> chr2 AND {_CLOSE("start", "pos")} AND {_CLOSE("pnext", "end_pos")} AS over_,
+  svtype IN ('INS', 'DEL') AND EXISTS (SELECT 1 FROM wp WHERE wp.read_id = x.read_id AND wp.op = CASE WHEN x.svtype = 'INS' THEN 'I' ELSE 'D' END AND {_CLOSE("wp.ref_start", "x.pos")} AND least(wp.len, x.svlen) > 0.75 * greatest(wp.len, x.svlen) AND x.svlen IS NOT NULL) AS gap, start <= pos - 10 AND stop >= pos + 10 AS cover FROM x)
+SELECT call_id, bool_or(coalesce(supp, false) OR coalesce(mate, false) OR coalesce(over_, false) OR coalesce(gap, false)) AS normal, CAST(count_if(cover) AS BIGINT) AS covering, CAST(count_if(cover AND mapq = 0) AS BIGINT) AS mapq0 FROM j GROUP BY call_id""")
 def normal_evidence(spark, sf):
     """Whether any read near a call tells the same event."""
     from ..operators import calling
@@ -918,7 +937,7 @@ def normal_evidence(spark, sf):
     return calling.matching_evidence(x, "call_id", 500)
 
 
-@query("M01 M02 F21", f"""WITH {_C} SELECT call_id, round(1 / (1 + exp(-(-1.6 + 0.18 * coalesce(su, 0)))), 3) AS score, CASE WHEN round(1 / (1 + exp(-(-1.6 + 0.18 * coalesce(su, 0)))), 3) >= CASE WHEN svtype IS NULL THEN 0.5 ELSE 0.45 END THEN 'PASS' ELSE 'lowProb' END AS label FROM c""")
+@query("M01 F21", f"""WITH {_C} SELECT call_id, round(1 / (1 + exp(-(-1.6 + 0.18 * coalesce(su, 0)))), 3) AS score, CASE WHEN round(1 / (1 + exp(-(-1.6 + 0.18 * coalesce(su, 0)))), 3) >= CASE WHEN svtype IS NULL THEN 0.5 ELSE 0.45 END THEN 'PASS' ELSE 'lowProb' END AS label FROM c""")
 def scored_calls(spark, sf):
     from ..operators.calling import Scorer
 
@@ -940,7 +959,7 @@ def literal_alleles(spark, sf):
     from ..operators.calling import reference_allele
 
     v = table(spark, sf, "vcf_records").select(F.col("rec_id").alias("call_id"), F.col("alt").alias("bases")).where(F.col("bases").rlike("^[ACGTN]+$")).dropDuplicates(["call_id"])
-    c = calls(spark, sf).where("svtype is not null and svlen is not null").join(v, "call_id")
+    c = calls(spark, sf, "svtype is not null and svlen is not null").join(v, "call_id")
     ref, alt = reference_allele(F.col("svtype"), F.col("bases"), F.col("svlen"))
     return c.select("call_id", cg.end_position("svtype", "pos", "svlen").alias("end_in_read"), ref.alias("ref_allele"), alt.alias("alt_allele"))
 
@@ -993,7 +1012,7 @@ def forbidden_cuts(spark, sf):
     return graph.cut_forbidden(e, banned)
 
 
-@query("G07 X22")
+@query("G07")
 def cluster_consensus(spark, sf):
     """Consensus of the contigs of records that share minimizers at one place."""
     comp = graph.connected_components(_minimizer_edges(spark, sf, True))
@@ -1024,19 +1043,20 @@ def consensus_by_component(contigs: DataFrame, part_size: int = 200) -> DataFram
     return v.groupBy("component").applyInPandas(together, "component long, n long, consensus string")
 
 
-@query("W09 M03")
-def gap_extension(spark, sf):
-    """Length of the longest in-read gap of each read with its neighbouring gaps added."""
-    from ..functions.sequence import gap_upper_bound
+_FOLD = "list_reduce({0}, lambda acc, x: {{t: CASE WHEN acc.o AND abs(x.s - home) <= least(3 * acc.t, ln(1 + acc.t) / ln(2) / 0.02) AND x.n > 3 THEN acc.t + x.n ELSE acc.t END, o: acc.o AND abs(x.s - home) <= least(3 * acc.t, ln(1 + acc.t) / ln(2) / 0.02)}}, {{t: {1}, o: true}}).t".format
 
-    @F.pandas_udf("long")
-    def bound(starts: pd.Series, lens: pd.Series) -> pd.Series:
-        return pd.Series([gap_upper_bound(list(zip(s.tolist(), n.tolist())), int(n.argmax()), 3) for s, n in zip(starts, lens)])
 
-    r = reads(spark, sf, "cigar", "pos").where(F.col("cigar").rlike("[ID]"))
+@query("W09", f"""WITH {_R}, o AS (SELECT read_id, pos, unnest({_LIST}) AS x, generate_subscripts({_LIST}, 1) AS i FROM r), w AS (SELECT read_id, pos, i, right(x, 1) AS op, CAST(x[:-2] AS BIGINT) AS len FROM o),
+p AS (SELECT *, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w),
+g AS (SELECT read_id, list({{s: CAST(s AS BIGINT), n: len}} ORDER BY i) AS g FROM p WHERE op IN ('I', 'D') GROUP BY read_id), m AS (SELECT read_id, g, list_max(list_transform(g, lambda x: x.n)) AS longest FROM g),
+k AS (SELECT *, list_position(list_transform(g, lambda x: x.n), longest) AS k FROM m), y AS (SELECT *, g[k].s AS home, list_reverse(g[1:k - 1]) AS lo, g[k + 1:] AS hi FROM k), z AS (SELECT *, {_FOLD('lo', 'longest')} AS t1 FROM y)
+SELECT read_id, longest, {_FOLD('hi', 't1')} AS extended FROM z""")
+def gap_extension(spark, sf):
+    """Length of the longest in-read gap of each read with its neighbouring gaps added."""
+    r = reads(spark, sf, "cigar", "pos", where=F.col("cigar").rlike("[ID]"))
     g = F.filter(cg.walk("cigar", "pos"), lambda x: x["op"].isin("I", "D"))
-    x = r.select("read_id", g.alias("g")).select("read_id", F.transform("g", lambda x: x["ref_start"]).alias("s"), F.transform("g", lambda x: x["len"].cast("long")).alias("n"))
-    return x.select("read_id", F.array_max("n").alias("longest"), bound("s", "n").alias("extended"))
+    x = r.select("read_id", F.transform(g, lambda x: F.struct(x["ref_start"].alias("s"), x["len"].cast("long").alias("n"))).alias("g"))
+    return x.select("read_id", F.array_max(F.transform("g", lambda x: x["n"])).alias("longest"), cg.extended_gap(F.col("g"), 3).alias("extended"))
 
 
 @query("A14", f"""WITH {_R}, {_S}, {_T}, {_C}, w AS (SELECT call_id, svtype, chrom, least(pos, end_pos) AS a, greatest(pos, end_pos) AS b FROM c WHERE chrom = chr2 AND svtype IN ('DEL', 'DUP', 'INV')),
@@ -1045,7 +1065,7 @@ o AS (SELECT call_id, sum((least((b + 1000) // 10, to_bin - 1) - greatest((great
 SELECT i.call_id, round(coalesce(i.s, 0) / i.n, 9) AS inner_cn, round(coalesce(o.s, 0) / o.n, 9) AS outer_cn, round(CASE WHEN svtype = 'DEL' AND coalesce(o.s, 0) > 0 THEN coalesce(i.s, 0) / i.n / (o.s / o.n) WHEN svtype <> 'DEL' AND coalesce(i.s, 0) > 0 THEN coalesce(o.s, 0) / o.n / (i.s / i.n) ELSE 0 END, 9) AS fold_change FROM i JOIN o ON i.call_id = o.call_id""")
 def fold_change(spark, sf):
     """Depth inside an event and with 1,000 bases around it, and what the event changes."""
-    c = calls(spark, sf).where("chrom = chr2 and svtype in ('DEL', 'DUP', 'INV')").select("call_id", "svtype", "chrom", F.least("pos", "end_pos").alias("a"), F.greatest("pos", "end_pos").alias("b"))
+    c = calls(spark, sf, "chrom = chr2 and svtype in ('DEL', 'DUP', 'INV')").select("call_id", "svtype", "chrom", F.least("pos", "end_pos").alias("a"), F.greatest("pos", "end_pos").alias("b"))
     t = depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom")
     c = c.withColumn("b1", F.col("b") + 1).withColumn("lo", F.greatest(F.lit(0), F.col("a") - 1000)).withColumn("hi", F.col("b") + 1001)
     i = depth.window_depth(c, t, "chrom", ["call_id"], "a", "b1").select("call_id", F.col("mean_depth").alias("inner_cn"))

@@ -23,15 +23,15 @@ def test_graph_queries_take_every_row(spark, tmp_path):
     rows = [(rng.randint(1, 60), rng.randint(1, 80), rng.randint(1, 7), float(rng.randint(1, 50))) for _ in range(70)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = components([(p, o + 1_000_000_000) for o, p, _, _ in rows])
-    got = {r.node: r.component for r in catalog.conn_components_whole(spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in catalog.conn_components(spark, str(tmp_path)).collect()}
     assert got == want
     size = {}
     for node, c in want.items():
         n, s = size.get(c, (0, 0))
         size[c] = n + 1, s + (2 if node < 1_000_000_000 else 1)
-    got = {r.component: (r.n, r.support) for r in catalog.component_filter_whole(spark, str(tmp_path)).collect()}
+    got = {r.component: (r.n, r.support) for r in catalog.component_filter(spark, str(tmp_path)).collect()}
     assert got == {c: x for c, x in size.items() if x[1] >= 4 and x[0] > 1}
-    got = {r.l_partkey: r.joined for r in catalog.phase_sets_whole(spark, str(tmp_path)).collect()}
+    got = {r.l_partkey: r.joined for r in catalog.phase_sets(spark, str(tmp_path)).collect()}
     assert got == {n: c for n, c in want.items() if n < 1_000_000_000}
 
 
