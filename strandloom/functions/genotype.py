@@ -99,6 +99,11 @@ def low_in_read_support(wr, coverage, inner, outer, fraction: float, n_overlap,
     return (_c(wr) > 0) & (_c(wr) < F.least(F.lit(4), least_support(cov, fraction / 2)))
 
 
+def low_covering_support(n_covering, n_mapq0) -> Column:
+    """No more than two reads with a mapping quality over the place."""
+    return F.coalesce(_c(n_covering), F.lit(0)) - F.coalesce(_c(n_mapq0), F.lit(0)) <= 2
+
+
 def crowded_by_clips(n_clipped, coverage, inner, outer, fraction: float) -> Column:
     """Clipped reads at or above round(1 + half the fraction x scaled coverage)."""
     cov = scaled_coverage(coverage, inner, outer)
@@ -186,3 +191,10 @@ def support_pair_long(su, spanning, inner, outer) -> tuple[Column, Column]:
     low, high = F.least(_c(inner), _c(outer)), F.greatest(_c(inner), _c(outer))
     s = _c(su) - _c(spanning)
     return F.greatest(F.lit(0), (high - s).cast("int")), F.greatest((high - low).cast("int"), s.cast("int"))
+
+
+def auto_limits(mapped, read_length, bases, genome) -> tuple[Column, Column, Column]:
+    """(mean coverage, greatest coverage, least support): 0.98 of mapped reads times their length over the genome, six times that in whole numbers, and
+    the least support at 0.05 of the aligned bases over the genome (A16)."""
+    mean = _c(mapped) * _c(read_length) / _c(genome) * 0.98
+    return mean, (F.bround(mean, 0) * 6).cast("long"), least_support(_c(bases) / _c(genome), 0.05)

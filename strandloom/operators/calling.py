@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,11 +88,13 @@ def assemble(clusters: DataFrame, cluster: list[str], least: int = 3) -> DataFra
     return g.withColumn("svlen", length.cast("long")).drop("len")
 
 
-def nearest_to_middle(group: list[str], value: str, row: str) -> list[Column]:
-    """The row whose value lies nearest to the median of its group, as a window expression pair (median, is nearest)."""
-    w = W.partitionBy(*group)
-    m = F.median(value).over(w)
-    return [m, F.row_number().over(w.orderBy(F.abs(F.col(value) - m), row)) == 1]
+def nearest_to_middle(df: DataFrame, group: list[str], value: str, row: str) -> DataFrame:
+    """Group, row, value of the row whose value lies nearest to the median of its group; ties go to the least row. The rows of a group are never
+    brought together: one aggregate for the medians, one for the nearest."""
+    m = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.median(value).alias("__m"))
+    x = df.join(m, group).where(F.col(value).isNotNull())
+    best = x.groupBy(*group).agg(F.min(F.struct(F.abs(F.col(value) - F.col("__m")).alias("far"), F.col(row).alias("row"), F.col(value).alias("value"))).alias("__b"))
+    return best.select(*group, F.col("__b.row").alias(row), F.col("__b.value").alias(value))
 
 
 def matching_evidence(pairs: DataFrame, variant: str, pad: int, gap_len: float = 0.75) -> DataFrame:
@@ -114,6 +117,44 @@ def matching_evidence(pairs: DataFrame, variant: str, pad: int, gap_len: float =
     return pairs.groupBy(variant).agg(F.bool_or(some(supp) | some(mate) | some(over) | some(gap)).alias("normal"), F.count_if(some(cover)).alias("covering"), F.count_if(some(cover) & (c("mapq") == 0)).alias("mapq0"))
 
 
+def near_reference_gap(events: DataFrame, fasta: DataFrame, row: str, pad: int = 250, chunk: int = 1 << 16) -> DataFrame:
+    """row, gap: whether the first, the middle or the last base of the `pad` bases around either end of an event is N. Windows of events that overlap
+    are one and judged as one. events: row, chrom, pos, chr2, end_pos; fasta as of read_fasta. Ends on chromosomes that are not there tell nothing."""
+    from ..sources.files import fetch_bases
+    from .intervals import merge_intervals, range_join
+
+    both = F.explode(F.array(F.struct(F.col("chrom").alias("c"), F.col("pos").cast("long").alias("p")), F.struct(F.col("chr2").alias("c"), F.col("end_pos").cast("long").alias("p")))).alias("e")
+    ends = events.select(row, both).where("e.c is not null and e.p is not null").select(row, F.col("e.c").alias("__c"), F.greatest(F.lit(0), F.col("e.p") - pad).alias("__s"), (F.col("e.p") + pad).alias("__e"))
+    win = materialize(merge_intervals(ends.select("__c", "__s", "__e"), ["__c"], "__s", "__e").select(F.col("__c").alias("wc"), F.col("__s").alias("ws"), F.col("__e").alias("we")))
+    known = win.join(fasta.select(F.col("name").alias("wc")).distinct(), "wc", "left_semi")
+    bases = fetch_bases(known, fasta, ["wc", "ws", "we"], "wc", "ws", "we", chunk)
+    n = F.length("bases")
+    at = lambda i: F.substring("bases", i.cast("int"), F.lit(1)) == "N"
+    bad = bases.where(at(F.lit(1)) | at(n) | at(F.floor(n / 2) + 1)).select(F.col("wc").alias("__wc"), F.col("ws").alias("__ws"), F.col("we").alias("__we"))
+    hit = range_join(ends, bad, [("__c", "__wc")], ("__s", "__e"), ("__ws", "__we"), 8192).select(row).distinct().withColumn("__hit", F.lit(True))
+    return events.select(row).join(hit, row, "left").select(row, F.coalesce("__hit", F.lit(False)).alias("gap"))
+
+
+def region_figures(pairs: DataFrame, variant: str, clip: int = 50, within: int = 30, small_gap: int = 30) -> DataFrame:
+    """variant with the figures of the reads near it: n_aligns, n_overlap and n_overlap0 (over the first end; those with mapping quality 0), n_covering, n_clipped
+    (clipped by at least `clip` within `within` of either end), sum_edits and sum_gaps (rates per aligned base) and sum_nm (edits without the large gaps).
+    pairs as in matching_evidence, with nm."""
+    c = F.col
+    bases = cg.aligned_bases("cigar", 0)
+    ops = lambda test: F.aggregate(F.filter(cg.parse("cigar"), lambda x: x["op"].isin("I", "D") & test(x["len"])), F.lit(0).cast("long"), lambda a, x: a + x["len"])
+    small = F.size(F.filter(cg.parse("cigar"), lambda x: x["op"].isin("I", "D") & (x["len"] < small_gap)))
+    rate = lambda x: F.when(bases > 0, x / bases)
+    over = (c("start") <= c("pos") + 1) & (c("stop") >= c("pos"))
+    cover = (c("start") <= c("pos") - 10) & (c("stop") >= c("pos") + 10)
+    near = lambda x: (F.abs(x - c("pos")) <= within) | (F.abs(x - c("end_pos")) <= within)
+    clipped = ((cg.left_clip("cigar") >= clip) & near(c("start"))) | ((cg.right_clip("cigar") >= clip) & near(c("stop")))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return pairs.groupBy(variant).agg(
+        F.count(F.lit(1)).alias("n_aligns"), F.count_if(over).alias("n_overlap"), F.count_if(over & (c("mapq") == 0)).alias("n_overlap0"), F.count_if(cover).alias("n_covering"),
+        F.count_if(clipped).alias("n_clipped"), zero(F.sum(rate(c("nm")))).alias("sum_edits"), zero(F.sum(rate(small))).alias("sum_gaps"), zero(F.sum(rate(c("nm") - ops(lambda n: n >= small_gap)))).alias("sum_nm"),
+    )
+
+
 def clip_evidence(pairs: DataFrame, variant: str, distance: int, clip: int = 15) -> DataFrame:
     """Variant, clip side and clipped bases of the reads clipped by at least `clip` within `distance` of the first end, on the side its junction (ct) opens to.
     pairs as in matching_evidence with seq and ct. Reads whose bases are not kept (*) are counted with null bases."""
@@ -144,13 +185,40 @@ def clips_match(paired: bool = True):
     return udf
 
 
-def contig_ends(contig: str, stretch: int = 2) -> tuple[str, str]:
-    """The clipped (lower-case) ends of a contig, each with as much of what follows as `stretch` asks; empty where there is none."""
+def any_contig_match(paired: bool = True):
+    """Pandas UDF over two arrays of contigs: whether any pair of them aligns well and tells one event; the first that does ends the search."""
+
+    @F.pandas_udf("boolean")
+    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([any(good_contig_alignment(x, y, paired) and sequence.contigs_match(x, y) for x in xs for y in ys) for xs, ys in zip(a, b)], dtype=bool)
+
+    return udf
+
+
+def remap_udf(left_side: bool = False):
+    """Pandas UDF over a clip and the bases around its break, the break in their middle: kind, length and score."""
+
+    @F.pandas_udf("kind string, length long, score long")
+    def udf(clip: pd.Series, window: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([remap_clip(c, w, left_side, len(w) // 2) for c, w in zip(clip, window)], columns=["kind", "length", "score"])
+
+    return udf
+
+
+def bad_ends_udf(limit: float = 0.02, width: int = 2000):
+    """pandas UDF over CIGARs: bases to leave out at the left and right end; matches as M and = say, gaps and X are none."""
     import re
 
-    left = re.match(r"[a-z]+", contig)
-    right = re.search(r"[a-z]+$", contig)
-    return (contig[: stretch * len(left[0])] if left else "", contig[max(0, len(contig) - stretch * len(right[0])) :] if right else "")
+    @F.pandas_udf("left_bad long, right_bad long")
+    def udf(cigar: pd.Series) -> pd.DataFrame:
+        out = []
+        for c in cigar:
+            ops = [(int(n), o) for n, o in re.findall(r"(\d+)([MIDX=])", c or "")]
+            m = np.repeat([o in "M=" for _, o in ops], [n for n, _ in ops]) if ops else np.zeros(0, bool)
+            out.append(sequence.bad_ends(m, limit, width))
+        return pd.DataFrame(out, columns=["left_bad", "right_bad"])
+
+    return udf
 
 
 def good_contig_alignment(a: str, b: str, paired: bool, nanopore: bool = False) -> bool:
@@ -220,11 +288,17 @@ def depth_ratio_kept(left: Column, right: Column, least: float = 0.01) -> Column
     return F.least(left, right) / (F.greatest(left, right) + 1e-6) > least
 
 
+#: Columns of the score that rest on contigs, and on two copies of each chromosome.
+CONTIG_COLUMNS = ("precise", "contig_length", "rep", "rep_sc", "gc", "compress")
+DIPLOID_COLUMNS = ("inner_cn", "outer_cn", "fold_change", "a_freq", "gq")
+
+
 @dataclass(frozen=True)
 class Scorer:
     """Probability of a call as a logistic score of its columns; another model with the same two methods can stand in for it.
 
-    weights are per column (nulls count as `fill`), thresholds per type. without_contigs and non_diploid name variants with their own weights.
+    weights are per column (nulls count as `fill`), thresholds per type. `variant` gives the model for calls without contigs or for samples that
+    are not diploid: the weights of the columns that mean nothing there are left out and their usual value goes into the bias.
     """
 
     weights: dict[str, float] = field(default_factory=lambda: {"su": 0.18, "wr": 0.25, "sr": 0.1, "sc": 0.02, "precise": 0.6, "mapq": 0.03})
@@ -232,6 +306,12 @@ class Scorer:
     fill: float = 0.0
     thresholds: dict[str, float] = field(default_factory=lambda: dict.fromkeys(("DEL", "INS", "DUP", "INV", "TRA", "BND"), 0.45))
 
+    def variant(self, contigs: bool = True, diploid: bool = True, usual: dict[str, float] | None = None) -> Scorer:
+        """The model without what rests on contigs, or on a diploid genome; `usual` are the values that stand in (0 where none is given)."""
+        gone = {*(() if contigs else CONTIG_COLUMNS), *(() if diploid else DIPLOID_COLUMNS)} & set(self.weights)
+        bias = self.bias + sum(self.weights[c] * (usual or {}).get(c, 0.0) for c in gone)
+        return replace(self, weights={c: w for c, w in self.weights.items() if c not in gone}, bias=bias)
+
     def prob(self, df: DataFrame) -> Column:
         z = F.lit(self.bias)
         for c, w in self.weights.items():

@@ -141,3 +141,29 @@ def introns(exons: DataFrame, transcript: list[str], start: str, end: str) -> Da
     w = W.partitionBy(*transcript).orderBy(start, end)
     x = exons.select(*transcript, start, end).distinct().withColumn("__next", F.lead(start).over(w))
     return x.where(F.col(end) < F.col("__next")).select(*transcript, F.col(end).alias("gap_start"), F.col("__next").alias("gap_end"))
+
+
+def without_known_gaps(gaps: DataFrame, known: DataFrame, keys: list[tuple[str, str]], span: tuple[str, str], known_span: tuple[str, str], slack: int = 10) -> DataFrame:
+    """the gaps of which no known gap on equal keys has both its start and its end nearer than `slack`. The known gaps stand in the nine cells of
+    the plane (start, end) around their own, so that the anti join is on equal cells."""
+    cell = lambda c: F.floor(F.col(c) / slack)
+    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    k = known.select(*(F.col(r).alias(f"__k{i}") for i, (_, r) in enumerate(keys)), F.col(known_span[0]).alias("__ks"), F.col(known_span[1]).alias("__ke")).distinct()
+    k = k.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).select("*", (cell("__ks") + F.col("__dx")).alias("__kx"), (cell("__ke") + F.col("__dy")).alias("__ky"))
+    g = gaps.withColumn("__cx", cell(span[0])).withColumn("__cy", cell(span[1]))
+    on = (F.col("__cx") == F.col("__kx")) & (F.col("__cy") == F.col("__ky")) & (F.abs(F.col(span[0]) - F.col("__ks")) < slack) & (F.abs(F.col(span[1]) - F.col("__ke")) < slack)
+    for i, (l, _) in enumerate(keys):
+        on = on & (F.col(l) == F.col(f"__k{i}"))
+    return g.join(k, on, "left_anti").drop("__cx", "__cy")
+
+
+def shared_region(events: DataFrame, regions: DataFrame, row: str, ends: tuple[tuple[str, str], tuple[str, str]], region: tuple[str, str, str, str], width: int = 1 << 14) -> DataFrame:
+    """Row, shared: whether both ends (chromosome, position) lie in one region (name, chromosome, start, end; both ends belong to it) on one chromosome."""
+    name, chrom, start, end = region
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("c"), F.col(p).cast("long").alias("p")) for i, (c, p) in enumerate(ends)))).alias("e")
+    same = F.col(ends[0][0]) == F.col(ends[1][0])
+    x = events.where(same).select(row, both).select(row, F.col("e.side").alias("__side"), F.col("e.c").alias("__c"), F.col("e.p").alias("__p"))
+    r = regions.select(F.col(name).alias("__name"), F.col(chrom).alias("__rc"), F.col(start).alias("__rs"), F.col(end).alias("__re"))
+    hit = range_join(x, r, [("__c", "__rc")], ("__p", "__p"), ("__rs", "__re"), width)
+    hit = hit.groupBy(row, "__name").agg(F.bit_or(F.col("__side") + 1).alias("__sides")).where("__sides = 3").select(row, F.lit(True).alias("__hit")).distinct()
+    return events.select(row).join(hit, row, "left").select(row, F.coalesce("__hit", F.lit(False)).alias("shared"))

@@ -269,3 +269,24 @@ def _settle_groups(p: DataFrame, item: str, centre: str, schema) -> tuple[DataFr
 
     best = materialize(x.join(small, "__group").groupBy("__group").applyInPandas(one_pass, schema))
     return best, materialize(x.join(small, "__group", "left_anti").select(item, centre, "distance"))
+
+
+def site_edges(nodes: DataFrame, sites: DataFrame, keys: list[str], node: str, x: str, y: str, apart: int) -> DataFrame:
+    """Src (node), dst (site), dx, dy, weight 0: sites stand among the nodes as nodes of their own, and each node is tied to those near it on both sides.
+    nodes and sites have the same key and position columns; ids of sites are kept apart by the column they come back in."""
+    cell = lambda c: F.floor(F.col(c) / apart)
+    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    a = nodes.select(*(F.col(c).alias(f"a_{c}") for c in (*keys, node, x, y))).withColumn("__cx", cell(f"a_{x}")).withColumn("__cy", cell(f"a_{y}"))
+    b = sites.select(*(F.col(c).alias(f"b_{c}") for c in (*keys, node, x, y))).withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
+    b = b.withColumn("__bx", cell(f"b_{x}") + F.col("__dx")).withColumn("__by", cell(f"b_{y}") + F.col("__dy"))
+    dx, dy = F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")), F.abs(F.col(f"a_{y}") - F.col(f"b_{y}"))
+    on = (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by")) & (dx < apart) & (dy < apart)
+    for k in keys:
+        on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
+    return a.join(b, on).select(F.col(f"a_{node}").alias("src"), F.col(f"b_{node}").alias("dst"), dx.alias("dx"), dy.alias("dy"), F.lit(SITE_EDGE).alias("weight"))
+
+
+def capped(pairs: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """At most `most` partners b of each a, an even draw that depends on the two ids only (by the order of the md5 of both)."""
+    w = W.partitionBy(a).orderBy(F.md5(F.concat_ws("|", F.col(a).cast("string"), F.col(b).cast("string"))), b)
+    return pairs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")

@@ -63,14 +63,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared checkpoint folder and read it back. Compressed, columnar, survives lost executors."""
-    spark = df.sparkSession
+def tables_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables and files inside the shared checkpoint folder; it is removed when the session ends."""
     root = checkpoint_dir(spark).rstrip("/") + "/tables"
     if root not in _folders:
         _folders[root] = (spark,)
         atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    return root
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and read it back. Compressed, columnar, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{tables_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

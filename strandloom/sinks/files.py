@@ -144,3 +144,37 @@ def update_values(target: DataFrame, cohort: DataFrame, on: list[str], values: l
         return F.when(F.col(f"__{v}").isNotNull() & (F.col(v).isNull() | differs), F.col(f"__{v}")).otherwise(F.col(v)).alias(v)
 
     return j.select(*(new(c) if c in values else F.col(c) for c in target.columns))
+
+
+def update_cohort(cohort: DataFrame, calls: DataFrame, site: str, sample: str, values: list[str], prob: str = "prob") -> tuple[DataFrame, DataFrame]:
+    """(cohort rows with the values of the matching calls, sites). cohort and calls have one row per site and sample. sites: site, updated, mean_prob and
+    max_prob over all samples, worked out again where a row of the site changed (and null elsewhere: what is written stays)."""
+    new = update_values(cohort, calls, [site, sample], values)
+    old = cohort.select(F.col(site).alias("__s"), F.col(sample).alias("__n"), *(F.col(v).alias(f"__o_{v}") for v in values))
+    changed = F.lit(False)
+    for v in values:
+        changed = changed | ~F.col(v).eqNullSafe(F.col(f"__o_{v}"))
+    x = new.join(old, F.col(site).eqNullSafe(F.col("__s")) & F.col(sample).eqNullSafe(F.col("__n")))
+    g = x.groupBy(site).agg(F.bool_or(changed).alias("updated"), F.avg(prob).alias("__mean"), F.max(prob).alias("__max"))
+    return new, g.select(site, "updated", F.when(F.col("updated"), F.col("__mean")).alias("mean_prob"), F.when(F.col("updated"), F.col("__max")).alias("max_prob"))
+
+
+def write_depth_bins(track: DataFrame, path: str, key: str = "chrom") -> DataFrame:
+    """One file of little-endian int16 per chromosome, a number per bin from bin 0 on, depths held to 32,000; the written paths come back (key, file, bins). A task writes
+    a chromosome run by run, so it holds no more than the runs of one; the folder may lie on any file system Arrow knows."""
+    import numpy as np
+    import pandas as pd
+    from pyarrow import fs
+
+    def write(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system.create_dir(folder, recursive=True)
+        name, at = f"{folder}/{key_[0]}.depth.bin", 0
+        with system.open_output_stream(name) as out:
+            for b, t, d in zip(pdf["bin"], pdf["to_bin"], pdf["depth"]):
+                out.write(bytes(2 * (int(b) - at)) + np.full(int(t) - int(b), min(int(d), 32_000), "<i2").tobytes())
+                at = int(t)
+        return pd.DataFrame({key: [key_[0]], "file": [name], "bins": [at]})
+
+    return track.select(key, "bin", "to_bin", "depth").groupBy(key).applyInPandas(write, f"{key} string, file string, bins long")

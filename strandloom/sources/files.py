@@ -49,6 +49,13 @@ def list_files(pattern: str) -> list[str]:
     return sorted(head + f for f in found)
 
 
+def list_folders(path: str) -> list[str]:
+    """Folders right under a path, in order."""
+    system, inner = _opened(path)
+    head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    return sorted(head + f.path for f in system.get_file_info(arrow_fs.FileSelector(inner, allow_not_found=True)) if f.type == arrow_fs.FileType.Directory)
+
+
 def _last_of_each(entries: Column) -> Column:
     """MAP of an array of structs (k, v); of a repeated key the last counts, whatever the session says of repeated keys."""
     keys = F.transform(entries, lambda e: e["k"])

@@ -112,7 +112,6 @@ def test_registered_functions(spark):
 def test_contig_rules():
     s = "ACGTTGCATGCCATTAGACCTGAATCGGATCCATTTGACGGATACCA" * 2
     assert calling.good_contig_alignment(s, s, True) and not calling.good_contig_alignment(s, "T" * 60, True)
-    assert calling.contig_ends("acgtACGTACGTttt") == ("acgtACGT", "CGTttt") and calling.contig_ends("ACGT") == ("", "")
     assert calling.remap_clip(s[:40], "G" * 30 + s[:40] + "G" * 60, True, 120)[:2] == ("DEL", 50)
     assert calling.remap_clip("ACGT" * 10, "T" * 200, True, 100)[0] is None
 
