@@ -568,7 +568,7 @@ def bnd_explode(spark, sf):
 
 
 @query("K01 F23 F24", f"""WITH {_C} SELECT chrom, pos, chrom || chr(9) || (pos + 1) || chr(9) || call_id || chr(9) || 'N' || chr(9) || '<' || coalesce(svtype, 'BND') || '>' || chr(9) || coalesce(CAST(CASE WHEN prob >= 1 THEN 30 ELSE CAST(trunc(least(30, -20 * log10(1 - prob))) AS INTEGER) END AS VARCHAR), '.') || chr(9) || coalesce(filt, '.') || chr(9)
- || concat_ws(';', 'SVTYPE=' || svtype, 'END=' || CASE WHEN chrom <> chr2 THEN pos + 1 ELSE end_pos + 1 END, 'CHR2=' || chr2, 'CHR2_POS=' || CASE WHEN chrom <> chr2 THEN end_pos + 1 END, 'SVLEN=' || svlen, 'SU=' || su) || chr(9) || 'GT:GQ:SU:WR:PE:SR:SC:BND:COV:PROB' || chr(9) || coalesce(gt, './.') || ':.:' || coalesce(CAST(su AS VARCHAR), '0') || ':0:0:0:0:0:0:' || coalesce(printf('%.3f', prob), '0') AS line FROM c""")
+ || concat_ws(';', 'SVTYPE=' || svtype, 'END=' || CASE WHEN chrom <> chr2 THEN pos + 1 ELSE end_pos + 1 END, 'CHR2=' || chr2, 'CHR2_POS=' || CASE WHEN chrom <> chr2 THEN end_pos + 1 END, 'SVLEN=' || svlen, 'SU=' || su) || chr(9) || 'GT:GQ:PSET:HP:AF:MAPQP:MAPQS:SU:WR:PE:SR:SC:BND:NMB:COV:NEIGH10:PS:MS:RMS:RED:BCC:FCC:ICN:OCN:PROB' || chr(9) || coalesce(gt, './.') || ':.:0:0:0:0:0:' || coalesce(CAST(su AS VARCHAR), '0') || repeat(':0', 16) || ':' || coalesce(printf('%.3f', prob), '0') AS line FROM c""")
 def vcf_lines(spark, sf):
     c = calls(spark, sf).withColumn("id", F.col("call_id").cast("string")).drop("grp")
     return sink.vcf_lines(c.select("chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "filt", "su", "gt", "prob", "id"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-#: What each preset changes.
+#: What each preset changes, and the defaults of the options below.
 PRESETS: dict[str, dict] = {
     "pe": {},
-    "nanopore-r9": {"pl": "nanopore", "min_support": "auto", "dist_norm": 900, "max_cov": 150, "remap": False, "clip_length": -1, "trust_ins_len": False, "sd": 0.6, "divergence": "auto"},
-    "nanopore-r10": {"pl": "nanopore", "min_support": "auto", "dist_norm": 600, "max_cov": 150, "remap": False, "clip_length": -1, "trust_ins_len": False, "sd": 0.35, "thresholds": (0.35,) * 5},
-    "pacbio-sequel2": {"pl": "pacbio", "min_support": "auto", "dist_norm": 600, "max_cov": 150, "remap": False, "clip_length": -1, "trust_ins_len": True, "sd": 0.45},
-    "pacbio-revio": {"pl": "pacbio", "min_support": "auto", "dist_norm": 600, "max_cov": 150, "remap": False, "clip_length": -1, "trust_ins_len": True, "sd": 0.35, "thresholds": (0.25,) * 5},
+    "nanopore-r9": {"pl": "nanopore", "min_support": "auto", "dist_norm": 900, "max_cov": 150, "clip_length": -1, "trust_ins_len": False, "sd": 0.6, "divergence": "auto"},
+    "nanopore-r10": {"pl": "nanopore", "min_support": "auto", "dist_norm": 600, "max_cov": 150, "clip_length": -1, "trust_ins_len": False, "sd": 0.35, "thresholds": (0.35,) * 5},
+    "pacbio-sequel2": {"pl": "pacbio", "min_support": "auto", "dist_norm": 600, "max_cov": 150, "clip_length": -1, "trust_ins_len": True, "sd": 0.45},
+    "pacbio-revio": {"pl": "pacbio", "min_support": "auto", "dist_norm": 600, "max_cov": 150, "clip_length": -1, "trust_ins_len": True, "sd": 0.35, "thresholds": (0.25,) * 5},
 }
 
 
@@ -28,7 +28,6 @@ class Options:
     sd: float = 0.8
     search_depth: int = 100
     trust_ins_len: bool = True
-    remap: bool = True
     drop_gaps: bool = True
     regions_only: bool = False
     symbolic_sv_size: int = 50_000

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import genotype as gtp
 from ..functions import geometry as geo
@@ -15,11 +16,15 @@ from ..sinks import files as sink
 from ..sources import files, vcf
 from .config import Options
 
-#: Columns of the event table (P10), in the order of outputs; those a workflow does not know are null.
+#: Columns of the event table (P10), in the order of outputs; those a workflow does not know are null. Places and groups, support, quality, sequence, depth, genotype.
 EVENTS = (
-    "chrom string, pos bigint, chr2 string, end_pos bigint, sample string, event_id bigint, grp bigint, n_in_grp bigint, svtype string, ct string, svlen bigint, cipos95 bigint, ciend95 bigint, "
-    "precise_a boolean, precise_b boolean, su bigint, pe bigint, sr bigint, sc bigint, bnd bigint, wr bigint, mapq double, cov double, inner_cn double, outer_cn double, fold_change double, "
-    "neigh bigint, neigh10 bigint, kind string, gt string, gq int, a_freq double, prob double, filt string, table_name string"
+    "chrom string, pos bigint, chr2 string, end_pos bigint, sample string, event_id bigint, grp bigint, n_in_grp bigint, svtype string, ct string, svlen bigint, lprec bigint, cipos95 bigint, ciend95 bigint, "
+    "precise_a boolean, precise_b boolean, query_overlap bigint, query_gap bigint, jitter double, kind string, rt string, site_id string, partners string, "
+    "su bigint, pe bigint, sr bigint, sc bigint, bnd bigint, wr bigint, np bigint, plus bigint, minus bigint, strand_bias double, double_clips bigint, n_unmapped_mates bigint, n_small_tlen bigint, block_edge bigint, linked bigint, "
+    "mapq double, mapq_pri double, mapq_supp double, nm_pri double, nm_supp double, nm_base double, n_sa double, n_xa double, n_gaps double, max_as_supp bigint, sqc double, scw double, clip_qual_ratio double, bad_clip_count bigint, "
+    "contig_a string, contig_b string, left_ins string, right_ins string, ref_seq string, variant_seq string, gc double, rep double, rep_sc double, ref_rep double, compress double, nexp bigint, stride bigint, expseq string, rpoly bigint, "
+    "ref_bases bigint, ras bigint, fas bigint, remap_score bigint, remap_ed bigint, modified bigint, cov double, mcov double, inner_cn double, outer_cn double, fold_change double, "
+    "neigh bigint, neigh10 bigint, gt string, gq int, a_freq double, haplotype string, phase_set bigint, prob double, mean_prob double, max_prob double, filt string, table_name string"
 )
 
 
@@ -34,7 +39,8 @@ def as_events(df: DataFrame) -> DataFrame:
 
 def fetch(reads: DataFrame, opt: Options = Options(), include: DataFrame | None = None, exclude: DataFrame | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(reads with evidence, depth runs). include and exclude are interval tables (chrom, start, end); what is excluded is taken from
-    what is included. Reads in places deeper than max_cov are left out; depth counts all primary reads, the low in quality too.
+    what is included; with regions_only both mates have to lie in what is included. Reads in places deeper than max_cov are left out, and so are reads with edits at or over 13 times
+    `divergence` (where nm is there and divergence is a number); depth counts all primary reads, the low in quality too.
     With `by`, a column of sample names, depth is of each sample by itself: the runs are by place (_place)."""
     mapped = reads.where((F.col("flag").bitwiseAND(1284) == 0) & (F.col("rname") != "*") & (cg.op_count("cigar") > 0))
     r = mapped.withColumn("start", F.col("pos").cast("long")).withColumn("stop", F.col("pos") + cg.reference_length("cigar"))
@@ -45,10 +51,16 @@ def fetch(reads: DataFrame, opt: Options = Options(), include: DataFrame | None
     gap = cg.has_op("cigar", "I", opt.min_size) | cg.has_op("cigar", "D", opt.min_size)
     odd = cg.flag(1) & ~cg.flag(2)
     r = r.where((F.col("mapq") >= opt.mq) & (clip | gap | odd | cg.flag(2048) | F.col("sa").isNotNull()))
+    if opt.divergence != "auto" and "nm" in r.columns:
+        r = r.where(F.coalesce(F.col("nm") < F.greatest(F.lit(1), F.floor(cg.aligned_bases("cigar") * 13 * opt.divergence)), F.lit(True)))
     if include is not None:
         reg = intervals.subtract_intervals(include, exclude, ["chrom"], "start", "end") if exclude is not None else include
         reg = intervals.merge_intervals(reg, ["chrom"], "start", "end").select(F.col("chrom").alias("rc"), F.col("start").alias("rs"), F.col("end").alias("re"))
         r = intervals.range_join(r, reg, [("rname", "rc")], ("start", "stop"), ("rs", "re"), 8192, "left_semi")
+        if opt.regions_only:  # the mate's place too, where there is one
+            r = r.withColumn("__mc", F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))).withColumn("__mp", F.col("pnext").cast("long"))
+            mated = (F.col("__mc") != "*") & (F.col("__mp") >= 0)
+            r = r.where(~mated | mated.isNull()).unionByName(intervals.range_join(r.where(mated), reg, [("__mc", "rc")], ("__mp", "__mp"), ("rs", "re"), 8192, "left_semi")).drop("__mc", "__mp")
     elif exclude is not None:
         reg = intervals.merge_intervals(exclude, ["chrom"], "start", "end").select(F.col("chrom").alias("rc"), F.col("start").alias("rs"), F.col("end").alias("re"))
         r = intervals.range_join(r, reg, [("rname", "rc")], ("start", "start"), ("rs", "re"), 8192, "left_anti")
@@ -82,7 +94,7 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     together by weight 2 is a cluster, and a cluster with enough support a call; what hangs together by any edge is a group (grp). Depth, neighbours, genotype
     and score follow. With `by`, a column of sample names (and a track by place), every sample is called by itself.
     """
-    scorer = scorer or calling.Scorer()
+    scorer = scorer or calling.Scorer(thresholds=dict(zip(("DEL", "INS", "INV", "DUP", "TRA"), opt.thresholds)))
     apart = 300 if opt.paired else 500
     least_clip = opt.clip_length if opt.clip_length > 0 else 50
     # a name may come in several samples: templates are of a sample
@@ -145,26 +157,46 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     return as_events(e.withColumn("filt", scorer.label(F.col("prob"), F.col("svtype"))))
 
 
+#: Counters that are summed over the events of a cluster, beside su.
+COUNTERS = ("pe", "sr", "sc", "bnd", "wr", "np", "plus", "minus", "double_clips", "n_unmapped_mates", "n_small_tlen")
+
+
 def merge(events: DataFrame, opt: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(cohort events, membership) of the events of several samples (columns of EVENTS with unique event_id).
 
     All samples are compared at once by a range join; the result is that of a fold over samples without its dependence on their order (U06).
-    membership: event_id, cluster.
+    Without merge_across every event is a cluster of its own; no event is compared with more than max_comparisons others where that is over 0 (an even
+    draw by hash). membership: event_id, cluster.
     """
     c = events.select("event_id", "sample", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", F.col("cipos95").alias("ci")).where("svtype is not null")
     p = pairs.event_pairs(c, ["chrom", "svtype"], "event_id", "pos", "end_pos", "ci", opt.merge_dist, None if opt.merge_within else "sample")
+    if not opt.merge_across:
+        p = p.where("false")
+    if opt.max_comparisons > 0:
+        p = pairs.capped(p, "a_event_id", "b_event_id", opt.max_comparisons)
     links = p.where(pairs.merge_rule(opt.merge_within)).select(F.col("a_event_id").alias("src"), F.col("b_event_id").alias("dst"))
     member = graph.connected_components(links, nodes=c.select("event_id")).select(F.col("node").alias("event_id"), F.col("component").alias("cluster"))
     x = events.withColumn("__su", F.coalesce("su", F.lit(0))).withColumn("total_su", F.coalesce("su", F.lit(0))).join(member, "event_id")
     rank = F.struct(rollups.merge_rank(F.col("__su"), F.coalesce("wr", F.lit(0)), F.lit(False)), F.coalesce("svlen", F.lit(0)), -F.col("event_id"))
     keep = ["event_id", "chrom", "pos", "chr2", "end_pos", "svtype", "ct", "svlen", "cipos95", "ciend95"]
-    m = rollups.merge_rollup(x, ["cluster"], rank, keep, ["total_su"], ["prob"], ["prob", "mapq"], "__su")
-    return m.withColumnRenamed("total_su", "su").withColumnRenamed("mean_mapq", "mapq"), member
+    counters = [c for c in COUNTERS if c in x.columns]
+    means = ["prob", *(c for c in ("mapq", "mapq_pri", "mapq_supp", "nm_pri", "nm_supp", "nm_base") if c in x.columns)]
+    tops = ["prob", *(c for c in ("max_as_supp",) if c in x.columns)]
+    m = rollups.merge_rollup(x, ["cluster"], rank, keep, ["total_su", *counters], tops, means, "__su")
+    for c in means[1:]:
+        m = m.withColumnRenamed(f"mean_{c}", c)
+    for c in tops[1:]:
+        m = m.withColumnRenamed(f"max_{c}", c)
+    if "contig_a" in x.columns:  # the longest contig of the cluster
+        longest = F.max_by("contig_a", F.struct(F.length("contig_a"), -F.col("event_id")))
+        m = m.join(x.where("contig_a is not null").groupBy("cluster").agg(longest.alias("contig_a")), "cluster", "left")
+    return m.withColumnRenamed("total_su", "su"), member
 
 
 def filter_events(events: DataFrame, normals: DataFrame | None, opt: Options = Options(), normal_reads: DataFrame | None = None) -> DataFrame:
     """Events with filt set by the first rule that fails: mapping quality, probability, allele fraction, support, overlap with a
-    normal event, evidence in normal reads. Failing rows stay only with keep_all."""
+    normal event, what normal reads say (see _judged_by_reads). Failing rows stay only with keep_all. normal_reads: read_id, rname, start, stop, flag, mapq, cigar,
+    pnext, rnext, sa, and nm and seq where they are kept."""
     c = F.col
     reason = F.when(c("mapq") < opt.min_mapq, "lowMapQ").when(c("prob") < opt.min_prob, "lowProb").when(gtp.allele_fraction("a_freq", "su", "cov") < opt.min_af, "lowAF")
     reason = reason.when(F.coalesce(gtp.low_support("su", "cov", F.coalesce("inner_cn", F.lit(0.0)), F.coalesce("outer_cn", F.lit(0.0)), opt.support_fraction), F.lit(False)), "lowSupport")
@@ -178,17 +210,48 @@ def filter_events(events: DataFrame, normals: DataFrame | None, opt: Options = O
         hit = hit.where(ratio > F.when(small, 0.5).otherwise(0.8)).select("event_id").distinct().withColumn("__hit", F.lit("normalOverlap"))
         e = e.join(hit, "event_id", "left").withColumn("__why", F.coalesce("__why", "__hit")).drop("__hit")
     if normal_reads is not None:
-        pad = 500 if opt.paired else 1000
-        open_ = e.where("__why is null").select("event_id", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen")
-        near = pairs.reads_near(open_, normal_reads, "event_id", "read_id", pad)
-        x = near.join(open_, "event_id").join(normal_reads.select("read_id", "rname", "start", "stop", "flag", "mapq", "cigar", "pnext", "rnext", "sa"), "read_id")
-        ev = calling.matching_evidence(x, "event_id", pad).where("normal").select("event_id", F.lit("normal").alias("__ev"))
-        e = e.join(ev, "event_id", "left").withColumn("__why", F.coalesce("__why", "__ev")).drop("__ev")
+        e = _judged_by_reads(materialize(e), normal_reads, opt)
+        e = e.withColumn("__why", F.coalesce("__why", "__ev")).drop("__ev")
     passed = F.when(c("prob") >= opt.pass_prob, "PASS").otherwise(c("filt"))
     out = e.withColumn("filt", F.when(c("__why").isNull(), passed).otherwise(sink.label(c("filt"), c("__why"))))
     return (out if opt.keep_all else out.where("__why is null")).drop("__why")
 
 
+def _judged_by_reads(e: DataFrame, normal_reads: DataFrame, opt: Options) -> DataFrame:
+    """Events with column __ev, what the normal reads say of those still open (__why null): normal where one tells the same event or its clip is that of
+    a contig; of long reads also lowSupport where the place is hardly covered, support inside reads is low or clips crowd, and highDivergence."""
+    c = F.col
+    pad = 500 if opt.paired else 1000
+    have = set(normal_reads.columns)
+    read = normal_reads.select("read_id", "rname", "start", "stop", "flag", "mapq", "cigar", "pnext", "rnext", "sa", *(c(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (("nm", "int"), ("seq", "string"))))
+    keep = ["event_id", "chrom", "pos", "chr2", "end_pos", "svtype", "svlen", "ct"]
+    cols = set(e.columns)
+    open_ = e.where("__why is null").select(*(c(k) if k in cols else F.lit(None).cast("string").alias(k) for k in keep))
+    near = pairs.reads_near(open_, read, "event_id", "read_id", pad)
+    x = materialize(near.join(open_, "event_id").join(read, "read_id"))
+    ev = calling.matching_evidence(x, "event_id", pad).select("event_id", "normal")
+    contig = F.coalesce(*(c(k) for k in ("contig_a", "contig_b") if k in cols)) if {"contig_a", "contig_b"} & cols else F.lit(None).cast("string")
+    ends = e.select("event_id", *bs.clipped_ends(contig, 1)).toDF("event_id", "__left", "__right")
+    clips = calling.clip_evidence(x, "event_id", 50 if opt.paired else 500, 3 if opt.paired else 50).where("bases is not null").join(ends, "event_id")
+    mine = F.when(c("clip_side") == "right", c("__right")).otherwise(c("__left"))
+    clips = clips.where(F.length(mine) > 0).where(calling.clips_match(opt.paired)("bases", mine)).select("event_id", F.lit(True).alias("__clip")).distinct()
+    e = e.join(ev, "event_id", "left").join(clips, "event_id", "left")
+    reason = F.when(c("normal"), "normal")
+    if not opt.paired:
+        e = e.join(calling.region_figures(x, "event_id"), "event_id", "left")
+        zero = lambda n: F.coalesce(c(n).cast("double"), F.lit(0.0))
+        shape = (zero("cov"), zero("inner_cn"), zero("outer_cn"), opt.support_fraction)
+        told = F.coalesce(c("n_aligns"), F.lit(0)) > 0
+        reason = reason.when(told & (c("chrom") == c("chr2")) & gtp.low_covering_support("n_covering", "n_overlap0"), "lowSupport")
+        reason = reason.when(told & (c("chrom") == c("chr2")) & gtp.low_in_read_support(F.coalesce(c("wr"), F.lit(0)), *shape, c("n_overlap"), c("n_overlap0")), "lowSupport")
+        reason = reason.when(told & c("svtype").isin("INV", "TRA") & contig.isNull() & gtp.crowded_by_clips(c("n_clipped"), *shape), "lowSupport")
+    reason = reason.when(c("__clip"), "normal")
+    if not opt.paired:
+        base = F.coalesce(c("nm_base"), F.lit(0.0)) if "nm_base" in cols else F.lit(0.0)
+        reason = reason.when(told & gtp.poorly_aligned("sum_edits", "sum_gaps", "n_aligns", base, "sum_nm", opt.max_divergence), "highDivergence")
+    return e.withColumn("__ev", F.when(c("__why").isNull(), reason)).drop("normal", "__clip", "n_aligns", "n_overlap", "n_overlap0", "n_covering", "n_clipped", "sum_edits", "sum_gaps", "sum_nm")
+
+
 def genotype_sites(events: DataFrame, sites: DataFrame, opt: Options = Options(), within: int = 50) -> DataFrame:
     """Events with the site nearest to each (same chromosome and type), their probability updated with the site's, the best call per
     site kept; with all_sites, sites without a call are added as 0/0."""
@@ -247,9 +310,15 @@ class Engine:
             r = files.read_sam(self.spark, path)
         return r.withColumn("read_id", F.xxhash64("qname", "flag", "rname", "pos", "cigar"))
 
-    def run(self, reads: DataFrame, sample: str = "sample", include: DataFrame | None = None, exclude: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    def run(self, reads: DataFrame, sample: str = "sample", include: DataFrame | None = None, exclude: DataFrame | None = None, sites: DataFrame | None = None, fasta: DataFrame | None = None) -> DataFrame:
+        """Events of the reads of one sample. With a reference (read_fasta) and drop_gaps, long events near its gaps that no read spans are left out."""
         r, track = fetch(reads, self.options, include, exclude)
         e = call(materialize(r), track, self.options, sample=sample, scorer=self.scorer)
+        if fasta is not None and self.options.drop_gaps:
+            e = materialize(e)
+            long_ = F.when((F.col("svtype") == "INS") & F.lit(self.options.paired), 250).otherwise(1000)
+            at_risk = e.where((F.coalesce("wr", F.lit(0)) == 0) & ((F.col("chrom") != F.col("chr2")) | (F.coalesce("svlen", F.lit(0)) >= long_)))
+            e = e.join(calling.near_reference_gap(at_risk, fasta, "event_id").where("gap").select("event_id"), "event_id", "left_anti")
         return genotype_sites(e, sites, self.options) if sites is not None else e
 
     def merge(self, *tables: DataFrame) -> DataFrame:
@@ -266,5 +335,13 @@ class Engine:
     def sites(self, path: str, own_sample: str | None = None) -> DataFrame:
         return vcf.sites_of(vcf.read_events(self.spark, path), self.options.sites_pass_only, own_sample, self.options.sites_prob)
 
-    def write_vcf(self, events: DataFrame, path: str, sample: str, mode: str = "errorifexists") -> None:
-        sink.write_vcf(sink.vcf_lines(events.withColumn("id", F.col("event_id").cast("string"))), path, [sample], mode)
+    def write_vcf(self, events: DataFrame, path: str, sample: str, mode: str = "errorifexists", fasta: DataFrame | None = None, metrics: bool = False) -> None:
+        """The events as a VCF. verbosity 0 leaves both contigs out, 1 the second; metrics writes all FORMAT keys; with a reference the bases of deletions under symbolic_sv_size are written out."""
+        e = events.drop(*(("contig_a", "contig_b"), ("contig_b",), ())[min(self.options.verbosity, 2)]).withColumn("id", F.col("event_id").cast("string"))
+        if fasta is not None:
+            e = materialize(e)
+            span = e.select("event_id", "chrom", "pos", F.when((F.col("svtype") == "DEL") & (F.col("svlen") < self.options.symbolic_sv_size), F.col("end_pos")).otherwise(F.col("pos") + 1).alias("to"))
+            e = e.drop("ref_seq").join(files.fetch_bases(span, fasta, ["event_id"], "chrom", "pos", "to"), "event_id")
+            ref, alt = calling.reference_allele(F.coalesce("svtype", F.lit("BND")), F.col("bases"), F.coalesce("svlen", F.lit(0)), self.options.symbolic_sv_size)
+            e = e.withColumn("ref_seq", ref).withColumn("alt", alt).drop("bases")
+        sink.write_vcf(sink.vcf_lines(e, keys=sink.FULL_FORMAT if metrics else sink.FORMAT), path, [sample], mode, keys=sink.FULL_FORMAT if metrics else sink.FORMAT)

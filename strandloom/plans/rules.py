@@ -269,10 +269,9 @@ def region_figures(spark, sf):
 
 @query("X23")
 def remapped_clips(spark, sf):
-    """Clipped ends of contigs laid against the other contig of the record as the reference around the break: type, length and score of what they tell."""
+    """Clipped ends of contigs laid against the aligned part of the contig, as the reference around the break: type, length and score of what they tell."""
     c = _both_contigs(spark, sf)
-    a, b = (c.where(F.col("which") == w).select("rec_id", F.col("contig").alias(w.lower())) for w in "AB")
-    x = a.join(b, "rec_id").select("rec_id", F.explode(F.array(*bs.clipped_ends(F.col("a"), 1))).alias("clip"), "b").where("clip <> ''")
+    x = c.select("rec_id", F.explode(F.array(*bs.clipped_ends(F.col("contig"), 1))).alias("clip"), F.regexp_replace("contig", "[a-z]", "").alias("b")).where("clip <> '' and b <> ''")
     return x.select("rec_id", calling.remap_udf()("clip", "b").alias("r")).select("rec_id", "r.*")
 
 

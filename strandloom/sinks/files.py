@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genotype import phred_quality
+from ..sources.vcf import FIELDS
 
-#: FORMAT keys in their order, and what an absent sample shows.
-FORMAT = ("GT", "GQ", "SU", "WR", "PE", "SR", "SC", "BND", "COV", "PROB")
+#: FORMAT keys in their order, of the usual and of the full layout, and what an absent sample shows.
+FORMAT = tuple("GT:GQ:PSET:HP:AF:MAPQP:MAPQS:SU:WR:PE:SR:SC:BND:NMB:COV:NEIGH10:PS:MS:RMS:RED:BCC:FCC:ICN:OCN:PROB".split(":"))
+FULL_FORMAT = tuple("GT:GQ:PSET:HP:AF:NMP:NMS:NMB:MAPQP:MAPQS:NP:MAS:SU:WR:PE:SR:SC:BND:SQC:SCW:SQR:BE:COV:MCOV:LNK:NEIGH:NEIGH10:RB:PS:MS:SBT:NG:NSA:NXA:NMU:NDC:RMS:RED:BCC:FCC:STL:RAS:FAS:ICN:OCN:CMP:RR:JIT:PROB".split(":"))
 ABSENT = ":".join(["0/0"] + ["0"] * (len(FORMAT) - 1))
 FILTERS = {"PASS": "All filters passed", "lowProb": "Probability below the threshold", "normalOverlap": "Overlaps a variant of a normal sample", "normal": "Evidence in normal reads", "lowSupport": "Too few supporting reads", "lowAF": "Low allele fraction", "lowMapQ": "Low mapping quality", "highDivergence": "Region is poorly aligned"}
 #: INFO keys of a record, the columns they come from, and their VCF type.
-INFO = {"SVTYPE": ("svtype", "String"), "END": ("end_pos1", "Integer"), "CHR2": ("chr2", "String"), "CHR2_POS": ("chr2_pos1", "Integer"), "GRP": ("grp", "Integer"), "NGRP": ("n_in_grp", "Integer"), "CIPOS95": ("cipos95", "Integer"), "CIEND95": ("ciend95", "Integer"), "SVLEN": ("svlen", "Integer"), "SU": ("su", "Integer"), "MeanPROB": ("mean_prob", "Float"), "MaxPROB": ("max_prob", "Float")}
+INFO = {"SVTYPE": ("svtype", "String"), "END": ("end_pos1", "Integer"), "CHR2": ("chr2", "String"), "CHR2_POS": ("chr2_pos1", "Integer"), "GRP": ("grp", "Integer"), "NGRP": ("n_in_grp", "Integer"), "CIPOS95": ("cipos95", "Integer"), "CIEND95": ("ciend95", "Integer"), "SVLEN": ("svlen", "Integer"), "SU": ("su", "Integer"), "KIND": ("kind", "String"), "CT": ("ct", "String"), "CONTIGA": ("contig_a", "String"), "CONTIGB": ("contig_b", "String"), "LEFT_SVINSSEQ": ("left_ins", "String"), "RIGHT_SVINSSEQ": ("right_ins", "String"), "MeanPROB": ("mean_prob", "Float"), "MaxPROB": ("max_prob", "Float")}
 
 
 def _text(df: DataFrame, name: str, missing: str = ".") -> Column:
@@ -30,10 +32,10 @@ def whole_gq(gq: Column | str) -> Column:
     return F.coalesce(c.cast("string").try_cast("double").cast("long").cast("string"), F.lit("."))
 
 
-def format_column(df: DataFrame) -> Column:
-    """The FORMAT value of a row, its keys in the order of FORMAT."""
+def format_column(df: DataFrame, keys: tuple[str, ...] = FORMAT) -> Column:
+    """The FORMAT value of a row, its keys in order; a value that is not known shows 0."""
     each = {"GT": F.coalesce(F.col("gt"), F.lit("./.")) if "gt" in df.columns else F.lit("./."), "GQ": whole_gq("gq") if "gq" in df.columns else F.lit(".")}
-    return F.concat_ws(":", *(each.get(k, _text(df, k.lower(), "0")) for k in FORMAT))
+    return F.concat_ws(":", *(each.get(k, _text(df, FIELDS[k][0], "0")) for k in keys))
 
 
 def info_column(df: DataFrame, keys: dict[str, str]) -> Column:
@@ -41,33 +43,34 @@ def info_column(df: DataFrame, keys: dict[str, str]) -> Column:
     return F.concat_ws(";", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}="), _text(df, c))) for k, c in keys.items()))
 
 
-def vcf_lines(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def vcf_lines(df: DataFrame, extra: list[str] | None = None, keys: tuple[str, ...] = FORMAT) -> DataFrame:
     """Chrom, pos, line (and the columns `extra`): single-sample records. df: chrom, pos (0-based), chr2, end_pos, svtype, svlen, optional row columns. Sort is left to the writer."""
     inter = F.col("chrom") != F.col("chr2")
     x = df.withColumn("end_pos1", F.when(inter, F.col("pos") + 1).otherwise(F.col("end_pos") + 1)).withColumn("chr2_pos1", F.when(inter, F.col("end_pos") + 1))
     info = info_column(x, {k: c for k, (c, _) in INFO.items() if c in x.columns})
     qual = phred_quality("prob").cast("string") if "prob" in df.columns else F.lit(".")
     alt = F.concat(F.lit("<"), F.coalesce("svtype", F.lit("BND")), F.lit(">"))
-    line = F.concat_ws("\t", F.col("chrom"), (F.col("pos") + 1).cast("string"), _text(x, "id"), _text(x, "ref_seq", "N"), alt, F.coalesce(qual, F.lit(".")), _text(x, "filt"), F.coalesce(F.nullif(info, F.lit("")), F.lit(".")), F.lit(":".join(FORMAT)), format_column(x))
+    alt = F.coalesce("alt", alt) if "alt" in df.columns else alt
+    line = F.concat_ws("\t", F.col("chrom"), (F.col("pos") + 1).cast("string"), _text(x, "id"), _text(x, "ref_seq", "N"), alt, F.coalesce(qual, F.lit(".")), _text(x, "filt"), F.coalesce(F.nullif(info, F.lit("")), F.lit(".")), F.lit(":".join(keys)), format_column(x, keys))
     return x.select(*(extra or []), "chrom", "pos", line.alias("line"))
 
 
-def header(samples: list[str], contigs: list[str] = ()) -> list[str]:
+def header(samples: list[str], contigs: list[str] = (), keys: tuple[str, ...] = FORMAT) -> list[str]:
     """Header lines."""
     out = ["##fileformat=VCFv4.2", *(f"##contig=<ID={c}>" for c in contigs), *(f'##FILTER=<ID={k},Description="{v}">' for k, v in FILTERS.items())]
     out += [f'##INFO=<ID={k},Number=1,Type={t},Description="{k}">' for k, (_, t) in INFO.items()]
-    kinds = {"GT": "String", "PROB": "Float", "COV": "Float"}
-    out += [f'##FORMAT=<ID={k},Number=1,Type={kinds.get(k, "Integer")},Description="{k}">' for k in FORMAT]
+    kinds = {"string": "String", "double": "Float", "bigint": "Integer"}
+    out += [f'##FORMAT=<ID={k},Number=1,Type={"Integer" if k == "GQ" else kinds[FIELDS[k][1]]},Description="{k}">' for k in keys]
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
-def write_vcf(df: DataFrame, path: str, samples: list[str], mode: str = "errorifexists") -> None:
+def write_vcf(df: DataFrame, path: str, samples: list[str], mode: str = "errorifexists", keys: tuple[str, ...] = FORMAT) -> None:
     """Records in order of chromosome and position as part files of text, the header first. df as of vcf_lines or multi_sample.
 
     The sort is a range shuffle, so files follow each other in order; nothing passes through the driver but the header.
     """
     spark = df.sparkSession
-    head = spark.createDataFrame([("", -1 - i, h) for i, h in enumerate(header(samples)[::-1])], "chrom string, pos long, line string")
+    head = spark.createDataFrame([("", -1 - i, h) for i, h in enumerate(header(samples, keys=keys)[::-1])], "chrom string, pos long, line string")
     head.unionByName(df.select("chrom", F.col("pos").cast("long").alias("pos"), "line")).orderBy("chrom", "pos", "line").select("line").write.mode(mode).text(path)
 
 

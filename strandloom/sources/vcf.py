@@ -17,8 +17,14 @@ FIELDS = {
     "PE": ("pe", "bigint"), "SR": ("sr", "bigint"), "SC": ("sc", "bigint"), "BND": ("bnd", "bigint"), "SVLEN": ("svlen", "bigint"),
     "REP": ("rep", "double"), "REPSC": ("rep_sc", "double"), "GC": ("gc", "double"), "NEXP": ("nexp", "bigint"), "STRIDE": ("stride", "bigint"),
     "EXPSEQ": ("expseq", "string"), "RPOLY": ("rpoly", "bigint"), "LPREC": ("lprec", "bigint"), "RT": ("rt", "string"), "MeanPROB": ("mean_prob", "double"),
-    "MaxPROB": ("max_prob", "double"), "PROB": ("prob", "double"), "COV": ("cov", "double"), "ICN": ("icn", "double"), "OCN": ("ocn", "double"),
+    "MaxPROB": ("max_prob", "double"), "PROB": ("prob", "double"), "COV": ("cov", "double"), "ICN": ("inner_cn", "double"), "OCN": ("outer_cn", "double"),
     "GT": ("gt", "string"), "GQ": ("gq", "string"), "AF": ("a_freq", "double"), "NEIGH": ("neigh", "bigint"), "NEIGH10": ("neigh10", "bigint"),
+    "SQC": ("sqc", "double"), "SCW": ("scw", "double"), "SQR": ("clip_qual_ratio", "double"), "BE": ("block_edge", "bigint"), "MCOV": ("mcov", "double"),
+    "LNK": ("linked", "bigint"), "RB": ("ref_bases", "bigint"), "PS": ("plus", "bigint"), "MS": ("minus", "bigint"), "SBT": ("strand_bias", "double"),
+    "NG": ("n_gaps", "double"), "NSA": ("n_sa", "double"), "NXA": ("n_xa", "double"), "NMU": ("n_unmapped_mates", "bigint"), "NDC": ("double_clips", "bigint"),
+    "RMS": ("remap_score", "bigint"), "RED": ("remap_ed", "bigint"), "BCC": ("bad_clip_count", "bigint"), "STL": ("n_small_tlen", "bigint"), "RAS": ("ras", "bigint"),
+    "FAS": ("fas", "bigint"), "CMP": ("compress", "double"), "FCC": ("fold_change", "double"), "RR": ("ref_rep", "double"), "JIT": ("jitter", "double"),
+    "PSET": ("phase_set", "bigint"), "HP": ("haplotype", "string"),
     "CONTIGA": ("contig_a", "string"), "CONTIGB": ("contig_b", "string"), "LEFT_SVINSSEQ": ("left_ins", "string"), "RIGHT_SVINSSEQ": ("right_ins", "string"),
 }
 

@@ -130,7 +130,7 @@ def test_whole_quality(spark):
 def test_multi_sample_labels_and_updates(spark, tmp_path):
     df = spark.createDataFrame([("c", 1, "s1", "0/1", 5), ("c", 2, "s2", "1/1", 6)], "chrom string, pos long, sample string, gt string, su long")
     got = {r.pos: (r.s1, r.s2) for r in sink.multi_sample(df, ["chrom", "pos"], "sample", ["s1", "s2"]).collect()}
-    assert got[1][1] == sink.ABSENT and got[2][0] == sink.ABSENT and got[1][0].startswith("0/1:.:5")
+    assert got[1][1] == sink.ABSENT and got[2][0] == sink.ABSENT and got[1][0].startswith("0/1:.:0:0:0:0:0:5:0")
     lab = spark.createDataFrame([("PASS", "x"), ("a", "x"), ("a", "a"), (None, None), ("a", None)], "f string, r string").select(sink.label(F.col("f"), F.col("r")).alias("l"))
     assert [r.l for r in lab.collect()] == ["x", "a;x", "a", "PASS", "a"]
     t = spark.createDataFrame([(1, 0.5, "a"), (2, 0.5, "b")], "id long, p double, g string")
@@ -194,6 +194,19 @@ def test_merge_and_filter(spark):
     assert {r.filt for r in Engine(spark, keep_all=True).filter(ev(spark, rows[1:2]), None, reads).collect()} == {"normal"}
 
 
+def test_long_normal_reads_put_calls_out(spark):
+    """Low cover, low support inside reads, clips of the contig and poor alignment, each with its label."""
+    rows = [(i, "a", "c", 1000 * i, "c", 1000 * i + 300, "DEL", 300, 9, 0, 0.9, 20.0, 60.0, "PASS") for i in (1, 10, 20, 30, 40)]
+    e = ev(spark, rows).withColumn("wr", F.when(F.col("event_id") == 20, 1).otherwise(0)).withColumn("ct", F.lit("3to5"))
+    e = e.withColumn("contig_a", F.when(F.col("event_id") == 30, "ACGTACGTAC" * 4 + ("gattacacat" * 6)))
+    read = lambda i, at, n, cigar="1000M", nm=2, seq="*": [(100 * i + k, "c", at - 500, at + 500, 0, 60, cigar, 0, "*", None, nm, seq) for k in range(n)]
+    reads = read(1, 1000, 2) + read(2, 10_000, 9) + read(3, 20_000, 9) + read(4, 30_000, 9) + read(5, 40_000, 9, nm=300)
+    reads += [(999, "c", 29_500, 30_000, 0, 60, "500M60S", 0, "*", None, 1, "A" * 500 + "GATTACACAT" * 6)]
+    n = spark.createDataFrame(reads, "read_id long, rname string, start long, stop long, flag int, mapq int, cigar string, pnext int, rnext string, sa string, nm int, seq string")
+    got = {r.event_id: r.filt for r in Engine(spark, "pacbio-revio", keep_all=True).filter(e, None, n).collect()}
+    assert got == {1: "lowSupport", 10: "PASS", 20: "lowSupport", 30: "normal", 40: "highDivergence"}
+
+
 def test_fetch_keeps_depth_and_leaves_out_crowded_places(spark, sam):
     r = files.read_sam(spark, sam).withColumn("read_id", F.xxhash64("qname", "flag"))
     e, track = fetch(r, Options.of(max_cov=3))
