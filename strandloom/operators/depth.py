@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .blocked import running
 from .intervals import asof_join, range_join
 
 BIN = 10
+#: Bins whose changes one window holds.
+BLOCK_BINS = 1 << 18
 SATURATED = 32_000
 
 
@@ -16,14 +19,13 @@ def depth_track(df: DataFrame, key: str, start: str, end: str, bin_size: int = B
     """Key, bin, to_bin (exclusive), depth, as runs of equal depth above 0.
 
     An interval adds one at the bin of its start and takes one off at the bin of its end, so intervals inside one bin cancel.
-    Changes are summed before the shuffle; the running sum sees one row per changed bin. Depth saturates at SATURATED.
+    Changes are summed before the shuffle; the running sum sees the changed bins of one block of a key, and one row per block. Depth saturates at SATURATED.
     """
     b = lambda c: F.floor(F.col(c) / bin_size)
     d = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(key, F.explode(F.array(F.struct(b(start).alias("bin"), F.lit(1).alias("d")), F.struct(b(end).alias("bin"), F.lit(-1).alias("d")))).alias("m"))
     d = d.groupBy(key, F.col("m.bin").alias("bin")).agg(F.sum("m.d").alias("d")).where("d <> 0")
-    w = W.partitionBy(key).orderBy("bin")
-    d = d.select(key, "bin", F.lead("bin").over(w).alias("to_bin"), F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("depth"))
-    return d.where("depth > 0").withColumn("depth", F.least("depth", F.lit(SATURATED)))
+    d = running(d, [key], "bin", ["d"], "to_bin", BLOCK_BINS).withColumnRenamed("run_d", "depth")
+    return d.select(key, "bin", "to_bin", "depth").where("depth > 0").withColumn("depth", F.least("depth", F.lit(SATURATED)))
 
 
 def rebin(track: DataFrame, key: str, bins: int) -> DataFrame:
@@ -55,7 +57,7 @@ def window_depth(windows: DataFrame, track: DataFrame, key: str, row: list[str],
     """Row, mean_depth, max_depth over the bins of [lo, hi) (positions); bins without depth count as 0."""
     w = windows.select(*row, key, F.floor(F.col(lo) / bin_size).alias("__lo"), F.greatest(F.floor((F.col(hi) - 1) / bin_size), F.floor(F.col(lo) / bin_size)).alias("__hi"))
     t = track.select(F.col(key).alias("__tk"), F.col("bin").alias("__b"), (F.col("to_bin") - 1).alias("__t"), F.col("depth").alias("__d"))
-    hit = range_join(w, t, [(key, "__tk")], ("__lo", "__hi"), ("__b", "__t"), 2048)
+    hit = range_join(w, t, [(key, "__tk")], ("__lo", "__hi"), ("__b", "__t"), 2048, levels=4)
     n = F.least("__hi", "__t") - F.greatest("__lo", "__b") + 1
     got = hit.groupBy(*row).agg(F.sum(n * F.col("__d")).alias("__s"), F.max("__d").alias("__m"))
     return w.join(got, row, "left").select(*row, (F.coalesce("__s", F.lit(0)) / (F.col("__hi") - F.col("__lo") + 1)).alias("mean_depth"), F.coalesce("__m", F.lit(0)).cast("long").alias("max_depth"))

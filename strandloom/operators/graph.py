@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 MAX_ROUNDS = 60
+#: Distinct edges, counted, up to which one task settles the components; the result is the same.
+FEW_EDGES = 1_000_000
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
@@ -15,7 +22,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
 
     Edges are undirected; loops, repeated edges and null ends change nothing. nodes (one column) adds nodes without edges.
     Rounds are logarithmic in the size of a component; each round is written to the shared checkpoint folder, so lineage
-    stays short and lost executors cost one round at most. Nothing but a count and a checksum reaches the driver.
+    stays short and lost executors cost one round at most. Nothing but a count and a checksum reaches the driver. An edge table that is counted to hold
+    no more than FEW_EDGES edges is settled by one task in a single pass.
     """
     a, b = F.least(src, dst), F.greatest(src, dst)
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(b.alias("u"), a.alias("v"))
@@ -24,6 +32,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
         own = own.union(nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null")).distinct()
     own = materialize(own)
     e = materialize(e.where("u <> v").distinct())
+    if e.count() <= FEW_EDGES:
+        kind = e.schema["u"].dataType.simpleString()
+        found = e.coalesce(1).mapInArrow(_settle, f"u {kind}, v {kind}")
+        return own.join(found.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     state = None
     for _ in range(MAX_ROUNDS):
         # large star: every neighbour above u is tied to the least of u and its neighbours
@@ -43,6 +55,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     return own.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node of its component) of the edges of one task: least labels pass along edges, and along labels, until nothing changes."""
+    t = [b for b in batches if b.num_rows]
+    if not t:
+        return
+    t = pa.Table.from_batches(t)
+    names = pc.unique(pa.chunked_array([*t["u"].chunks, *t["v"].chunks]))
+    names = names.take(pc.sort_indices(names))
+    u, v = (pc.index_in(t[c], value_set=names).to_numpy().astype(np.int64) for c in "uv")
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[u], label[v])
+        np.minimum.at(new, label[v], label[u])
+        while not np.array_equal(deeper := new[new], new):
+            new = deeper
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["u", "v"])
+
+
 def partitions(edges: DataFrame, weight: str = "weight", above: int = 1) -> DataFrame:
     """Node, part: components over the edges heavier than `above`; nodes on lighter edges only are parts of their own."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .blocked import count_within, island_starts, with_carry
+from .blocked import count_within, island_starts, running, with_carry
 
 
 def _c(x: Column | str) -> Column:
@@ -41,39 +41,57 @@ def subtract_intervals(df: DataFrame, other: DataFrame, keys: list[str], start:
         return t.select(*keys, e).select(*keys, "m.*")
 
     m = marks(df, 1, 0).unionByName(marks(other, 0, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = W.partitionBy(*keys).orderBy("at")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    m = m.select(*keys, F.col("at").alias(start), F.lead("at").over(w).alias(end), ((F.sum("da").over(run) > 0) & (F.sum("db").over(run) == 0)).alias("__in"))
+    m = running(m, keys, "at", ["da", "db"], "__next", 1 << 20)
+    m = m.select(*keys, F.col("at").alias(start), F.col("__next").alias(end), ((F.col("run_da") > 0) & (F.col("run_db") == 0)).alias("__in"))
     return merge_intervals(m.where("__in").drop("__in"), keys, start, end).drop("n_merged")
 
 
-def _bins(lo: Column, hi: Column, width: int) -> Column:
+#: From one level of bin widths to the next.
+LEVEL_STEP = 16
+
+
+def _bins(lo: Column, hi: Column, width: Column) -> Column:
     return F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_span: tuple[Column | str, Column | str], right_span: tuple[Column | str, Column | str], width: int, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_span: tuple[Column | str, Column | str], right_span: tuple[Column | str, Column | str], width: int, how: str = "inner", levels: int = 1) -> DataFrame:
     """Rows of left and right with equal keys whose closed spans share a position. Column names of the sides must differ.
 
     Both sides are put into every bin of `width` they touch and joined on (keys, bin); a pair counts in the bin where the
     later of its starts lies, so it comes once and no distinct is needed. Choose width near the usual span: a span of s
-    costs s/width + 1 rows. how: inner, left_semi or left_anti (then left must have no column __row).
+    costs s/width + 1 rows. Where spans differ much, `levels` of widths, each LEVEL_STEP times the one before, bound that: a span lives at the first level at which
+    it touches few bins and visits the coarser ones, and a pair meets at the coarser of its two levels. how: inner, left_semi or left_anti.
     """
     l1, l2, r1, r2 = (_c(x) for x in (*left_span, *right_span))
     if how in ("left_semi", "left_anti"):
         only = left.select(*(F.col(k).alias(f"__k{i}") for i, (k, _) in enumerate(keys)), l1.alias("__s"), l2.alias("__e")).distinct()
-        hit = range_join(only, right, [(f"__k{i}", r) for i, (_, r) in enumerate(keys)], ("__s", "__e"), right_span, width)
+        hit = range_join(only, right, [(f"__k{i}", r) for i, (_, r) in enumerate(keys)], ("__s", "__e"), right_span, width, levels=levels)
         hit = hit.select(*(f"__k{i}" for i in range(len(keys))), "__s", "__e").distinct()
         same = (l1 == F.col("__s")) & (l2 == F.col("__e"))
         for i, (k, _) in enumerate(keys):
             same = same & (F.col(k) == F.col(f"__k{i}"))
         return left.join(hit, same, how)
-    a = left.withColumn("__l1", l1).withColumn("__l2", l2).where("__l1 <= __l2").withColumn("__bin", _bins(F.col("__l1"), F.col("__l2"), width))
-    b = right.withColumn("__r1", r1).withColumn("__r2", r2).where("__r1 <= __r2").withColumn("__rbin", _bins(F.col("__r1"), F.col("__r2"), width))
+    a = left.withColumn("__l1", l1).withColumn("__l2", l2).where("__l1 <= __l2")
+    b = right.withColumn("__r1", r1).withColumn("__r2", r2).where("__r1 <= __r2")
     on = (F.col("__bin") == F.col("__rbin")) & (F.col("__l1") <= F.col("__r2")) & (F.col("__r1") <= F.col("__l2"))
+    wide = F.lit(width)
+    if levels > 1:
+        def level(lo: str, hi: str) -> Column:
+            c = F.lit(levels - 1)
+            for i in reversed(range(levels - 1)):
+                c = F.when(F.col(hi) - F.col(lo) < LEVEL_STEP * width * LEVEL_STEP**i, i).otherwise(c)
+            return c
+
+        a = a.withColumn("__la", level("__l1", "__l2")).withColumn("__lv", F.explode(F.sequence("__la", F.lit(levels - 1))))
+        b = b.withColumn("__lb", level("__r1", "__r2")).withColumn("__rlv", F.explode(F.sequence("__lb", F.lit(levels - 1))))
+        on = on & (F.col("__lv") == F.col("__rlv")) & (F.col("__lv") == F.greatest("__la", "__lb"))
+        wide = F.element_at(F.array(*(F.lit(width * LEVEL_STEP**i) for i in range(levels))), F.col("__lv") + 1)
+    a = a.withColumn("__bin", _bins(F.col("__l1"), F.col("__l2"), wide))
+    b = b.withColumn("__rbin", _bins(F.col("__r1"), F.col("__r2"), wide if levels == 1 else F.element_at(F.array(*(F.lit(width * LEVEL_STEP**i) for i in range(levels))), F.col("__rlv") + 1)))
     for k, r in keys:
         on = on & (a[k] == b[r])
-    out = a.join(b, on).where(F.col("__bin") == F.floor(F.greatest("__l1", "__r1") / width))
-    return out.drop("__l1", "__l2", "__r1", "__r2", "__bin", "__rbin")
+    out = a.join(b, on).where(F.col("__bin") == F.floor(F.greatest("__l1", "__r1") / wide))
+    return out.drop("__l1", "__l2", "__r1", "__r2", "__bin", "__rbin", "__la", "__lb", "__lv", "__rlv")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], at: str, other: str, within: int, row: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .blocked import island_starts
+from .blocked import island_starts, neighbours, running
 
 
 def spread(df: DataFrame, group: list[str], value: str, cutoff: float = 8.0) -> DataFrame:
@@ -36,7 +36,7 @@ def sweep(df: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     """Group, best (the first position where most intervals [start, end) are open), depth there, by a running sum over the changes."""
     m = df.where(F.col(start) < F.col(end)).select(*group, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("m"))
     m = m.groupBy(*group, F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"))
-    m = m.withColumn("depth", F.sum("d").over(W.partitionBy(*group).orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    m = running(m, group, "at", ["d"], "__next", 1 << 20).withColumnRenamed("run_d", "depth")
     return m.groupBy(*group).agg(F.max(F.struct("depth", (-F.col("at")).alias("at"))).alias("x")).select(*group, (-F.col("x.at")).alias("best"), F.col("x.depth").alias("depth"))
 
 
@@ -116,10 +116,17 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
 def quality_ratio(df: DataFrame, group: list[str], place: str, quality: str) -> DataFrame:
     """Group, ratio: sum of distances of qualities from the mean at their place over the sum of distances from the mean of all;
     -1 where no place has two values or nothing varies."""
-    per = W.partitionBy(*group, place)
-    x = df.withColumn("__n", F.count(quality).over(per)).withColumn("__m", F.avg(quality).over(per)).withColumn("__a", F.avg(quality).over(W.partitionBy(*group)))
-    x = x.groupBy(*group).agg(F.sum(F.abs(F.col(quality) - F.col("__m"))).alias("p"), F.sum(F.abs(F.col(quality) - F.col("__a"))).alias("a"), F.max("__n").alias("n"))
-    return x.select(*group, F.when((F.col("n") < 2) | (F.col("a") == 0), F.lit(-1.0)).otherwise(F.col("p") / F.col("a")).alias("ratio"))
+    x = df.where(F.col(quality).isNotNull()).groupBy(*group, place, F.col(quality).cast("double").alias("q")).agg(F.count(F.lit(1)).alias("__k"))  # equal values of a place are one row
+    at = x.groupBy(*group, place).agg(F.sum("__k").alias("__n"), (F.sum(F.col("q") * F.col("__k")) / F.sum("__k")).alias("__m"))
+    all_ = x.groupBy(*group).agg((F.sum(F.col("q") * F.col("__k")) / F.sum("__k")).alias("__a"))
+    x = x.join(at, [*group, place]).join(all_, group)
+    x = x.groupBy(*group).agg(F.sum(F.abs(F.col("q") - F.col("__m")) * F.col("__k")).alias("p"), F.sum(F.abs(F.col("q") - F.col("__a")) * F.col("__k")).alias("a"), F.max("__n").alias("n"))
+    return df.select(*group).distinct().join(x, group, "left").select(*group, F.when((F.coalesce("n", F.lit(0)) < 2) | (F.col("a") == 0), F.lit(-1.0)).otherwise(F.col("p") / F.col("a")).alias("ratio"))
+
+
+def next_to(df: DataFrame, key: list[str], at: str, row: str, value: list[str]) -> DataFrame:
+    """Df with the rows before and after each (structs __before and __after), for fix_neighbours; no window holds more than a block of a key."""
+    return neighbours(df, key, at, row, value, "__before", "__after")
 
 
 def fix_neighbours(df: DataFrame, alike_before: Column, alike_after: Column, gt: str) -> DataFrame:

@@ -525,13 +525,14 @@ SELECT call_id, CASE WHEN gt = '1/1' AND coalesce((b.t = svtype AND ((svtype = '
 OR (a.t = svtype AND ((svtype = 'INS' AND a.p = pos) OR (svtype IN ('DEL', 'DUP', 'INV') AND abs(a.e - a.p) > 0 AND abs(end_pos - pos) > 0 AND greatest(0, least(greatest(pos, end_pos), greatest(a.p, a.e)) - greatest(least(pos, end_pos), least(a.p, a.e))) / greatest(abs(a.e - a.p), abs(end_pos - pos)) > 0.8))), false) THEN '0/1' ELSE gt END AS fixed_gt FROM o""")
 def gt_adjacent_fix(spark, sf):
     c = calls(spark, sf, "svtype is not null")
-    w = W.partitionBy("sample_name", "chrom").orderBy("pos", "call_id")
-    def alike(f):
-        t, p, e = (f(x).over(w) for x in ("svtype", "pos", "end_pos"))
+    c = rollups.next_to(c, ["sample_name", "chrom"], "pos", "call_id", ["svtype", "end_pos"])
+
+    def alike(o):
+        t, p, e = (F.col(f"{o}.{x}") for x in ("svtype", "pos", "end_pos"))
         long = (F.abs(e - p) > 0) & (F.abs(F.col("end_pos") - F.col("pos")) > 0) & geo.reciprocal("pos", "end_pos", p, e, 0.8)
         return (t == F.col("svtype")) & (((F.col("svtype") == "INS") & (p == F.col("pos"))) | (F.col("svtype").isin("DEL", "DUP", "INV") & long))
 
-    return rollups.fix_neighbours(c, alike(F.lag), alike(F.lead), "gt").select("call_id", "fixed_gt")
+    return rollups.fix_neighbours(c, alike("__before"), alike("__after"), "gt").select("call_id", "fixed_gt")
 
 
 @query("W08", f"""WITH {_C}, k AS (SELECT chrom, svtype, call_id, prob, row_number() OVER (PARTITION BY chrom, svtype ORDER BY prob DESC NULLS LAST, call_id) AS n FROM c WHERE svtype IS NOT NULL) SELECT chrom, svtype, call_id FROM k WHERE n = 1""")

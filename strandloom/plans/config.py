@@ -36,7 +36,7 @@ class Options:
     merge_dist: int = 500
     merge_within: bool = False
     merge_across: bool = True
-    max_comparisons: int = 100
+    max_comparisons: int = 0
     sites_prob: float = 0.6
     sites_pass_only: bool = True
     all_sites: bool = False

@@ -210,9 +210,8 @@ def read_bed(spark: SparkSession, path: str | list[str], strict: bool = True) ->
 def read_gff_exons(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Chrom, start (0-based), end, strand, transcript_id, gene_name of the exon rows of GFF3."""
     f = spark.read.text(path).where("not startswith(value, '#')").select(F.split("value", "\t").alias("f")).where((F.size("f") >= 9) & (F.get("f", F.lit(2)) == "exon"))
-    attr = F.str_to_map(F.rtrim(F.get("f", F.lit(8)), F.lit("; ")), F.lit(";"), F.lit("="))
-    f = f.withColumn("a", attr)
-    return f.select(F.get("f", F.lit(0)).alias("chrom"), (F.get("f", F.lit(3)).cast("long") - 1).alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"), F.get("f", F.lit(6)).alias("strand"), F.try_element_at("a", F.lit("transcript_id")).alias("transcript_id"), F.try_element_at("a", F.lit("gene_name")).alias("gene_name")).where("transcript_id is not null")
+    attr = lambda k: F.nullif(F.regexp_extract(F.get("f", F.lit(8)), f"(?:^|;)\\s*{k}=([^;]*)", 1), F.lit(""))
+    return f.select(F.get("f", F.lit(0)).alias("chrom"), (F.get("f", F.lit(3)).cast("long") - 1).alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"), F.get("f", F.lit(6)).alias("strand"), attr("transcript_id").alias("transcript_id"), attr("gene_name").alias("gene_name")).where("transcript_id is not null")
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:

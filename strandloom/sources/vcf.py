@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.genotype import event_type
+from ..operators.blocked import numbered
 
 #: VCF key, column and type of the keys that become columns.
 FIELDS = {
@@ -46,10 +46,12 @@ def info_map(info: Column | str) -> Column:
 
 
 def format_map(fmt: Column | str, value: Column | str) -> Column:
-    """MAP from FORMAT key to the sample's value; keys without a value are left out, null for none."""
+    """MAP from FORMAT key to the sample's value; keys without a value are left out, null for none. Of a repeated key the last counts."""
     k, v = (F.split(F.col(x) if isinstance(x, str) else x, ":") for x in (fmt, value))
     n = F.least(F.size(k), F.size(v))
-    return F.when(n > 0, F.map_from_arrays(F.slice(k, 1, n), F.slice(v, 1, n)))
+    last = lambda x, i: (i < n) & ~F.array_contains(F.slice(k, i + 2, F.greatest(n - i - 1, F.lit(0))), x)
+    places = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: last(F.get(k, i), i))
+    return F.when(n > 0, F.map_from_entries(F.transform(places, lambda i: F.struct(F.get(k, i), F.get(v, i)))))
 
 
 def typed(df: DataFrame, info: str = "info", fmt: str | None = None, value: str | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -104,7 +106,8 @@ def sites_of(events: DataFrame, pass_only: bool = True, own_sample: str | None =
     same = F.col("chrom") == F.col("chr2")
     flip = same & (F.col("end_pos") < F.col("pos"))
     e = e.select("chrom", F.when(flip, F.col("end_pos")).otherwise(F.col("pos")).alias("start"), F.col("chr2").alias("chrom2"), F.when(flip, F.col("pos")).otherwise(F.col("end_pos")).alias("end"), "svtype", "id", F.abs("svlen").alias("svlen"), F.coalesce("mean_prob", "prob", F.lit(default_prob)).alias("prob")).distinct()
-    return e.withColumn("idx", F.row_number().over(W.partitionBy("chrom").orderBy("start", "end", "id")) - 1)
+    e = numbered(e, ["chrom"], "start", ["start", "end", "id"], "idx")
+    return e.withColumn("idx", F.col("idx") - 1)
 
 
 def variant_key(df: DataFrame, row: list[str]) -> DataFrame:

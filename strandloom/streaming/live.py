@@ -1,4 +1,4 @@
-"""Streaming twins: interval maps kept per entity while sites arrive, windowed counts with a watermark, sketches that are added to."""
+"""Streaming twins: interval maps kept per entity and block while sites arrive, windowed counts with a watermark, sessions."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ def live_periods(stream: DataFrame, entity: str, start: str, end: str, block_bit
     """entity, block, start_pos, end_pos, n_gaps: after each batch, the periods it changed, of each (entity, block of positions).
 
     State is an ordered disjoint-interval map per (entity, block), so one entity spreads over many state keys; intervals over several
-    blocks are cut at their borders. Output mode update; a period that grew comes again with its new ends. Null ends are left out.
+    blocks are cut at their borders, so a period over several blocks comes as one piece per block; n_gaps counts the gaps inside the block. The batch operator
+    (periods_and_gaps) closes the pieces and lists the gaps. Output mode update; a period that grew comes again with its new ends. Null ends are left out.
     """
     lo, hi = F.least(start, end).cast("long"), F.greatest(start, end).cast("long")
     x = stream.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(F.col(entity).cast("string").alias("entity"), lo.alias("s"), hi.alias("e"))

@@ -3,9 +3,9 @@
 import pytest
 
 from oracle import connect, rows_of_spark, rows_of_sql
-from strandloom.plans import catalog, problems
+from strandloom.plans import catalog, problems, registry, roundtrip, rules  # noqa: F401
 
-ALL = [(m, k) for m in (problems, catalog) for k in m.QUERIES]
+ALL = [(m, k) for m in (problems, registry) for k in m.QUERIES]
 
 
 @pytest.fixture(scope="module")

@@ -35,6 +35,44 @@ def test_graph_queries_take_every_row(spark, tmp_path):
     assert got == {n: c for n, c in want.items() if n < 1_000_000_000}
 
 
+def test_components_in_one_task_and_by_rounds_agree(spark, monkeypatch):
+    from strandloom.operators import graph
+
+    rng = random.Random(17)
+    rows = [(rng.randint(1, 90), rng.randint(1, 90)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)] + [(None, 3), (4, 4)]
+    df = spark.createDataFrame(rows, "src long, dst long")
+    words = df.selectExpr("'n' || src as src", "'n' || dst as dst")
+    few = [sorted(map(tuple, graph.connected_components(d, nodes=d.select("src")).collect())) for d in (df, words)]
+    assert dict(few[0]) == components([r for r in rows if None not in r])
+    monkeypatch.setattr(graph, "FEW_EDGES", -1)
+    assert few == [sorted(map(tuple, graph.connected_components(d, nodes=d.select("src")).collect())) for d in (df, words)]
+    assert graph.connected_components(df.where("false")).count() == 0
+
+
+def test_range_join_of_spans_of_all_lengths(spark):
+    from strandloom.operators.intervals import range_join
+
+    rng = random.Random(23)
+    span = lambda: (lambda s, n: (s, s + n))(rng.randint(-500, 90_000), rng.choice([0, 1, 7, 90, 3000, 60_000]))
+    a, b = ([(i, *span()) for i in range(60)] for _ in range(2))
+    da, db = spark.createDataFrame(a, "i long, s long, e long"), spark.createDataFrame(b, "j long, x long, y long")
+    want = sorted((i, j) for i, s, e in a for j, x, y in b if s <= y and x <= e)
+    for levels in (1, 2, 4):
+        got = range_join(da.withColumn("k", da.i % 1), db.withColumn("q", db.j % 1), [("k", "q")], ("s", "e"), ("x", "y"), 32, levels=levels).select("i", "j").collect()
+        assert sorted(map(tuple, got)) == want
+    semi = range_join(da.withColumn("k", da.i % 1), db.withColumn("q", db.j % 1).where("y - x < 10"), [("k", "q")], ("s", "e"), ("x", "y"), 32, "left_semi", 3)
+    assert {r.i for r in semi.collect()} == {i for i, s, e in a if any(s <= y and x <= e and y - x < 10 for _, x, y in b)}
+
+
+def test_copies_of_a_row_agree_in_every_column_that_queries_read(sf):
+    """Which copy a deduplication keeps decides nothing."""
+    from oracle import connect
+
+    con = connect(sf)
+    for name, key, columns in (("alignments", "read_id", "qname, sample_name, rg, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, nm, sa"), ("sv_calls", "call_id", "sample_name, chrom, pos, alt, filt, svtype, svlen, end_pos, chr2, chr2_pos, grp, cipos95, su, gt, gq, prob, called_at"), ("vcf_records", "rec_id", "chrom, pos, alt, filt, info, fmt, fmt_value"), ("merged_events", "row_id", "table_name, event_id, sample_name, svtype, partners"), ("sites", "site_id", "list_id, chrom, start_pos, chrom2, end_pos, svtype, svlen, prob")):
+        assert con.execute(f"select count(distinct {key}) = (select count(*) from (select distinct {key}, {columns} from {name} where {key} is not null)) from {name}").fetchone()[0], name
+
+
 def greedy(items, centres, within):
     p = sorted((abs(x - y), i, c) for i, x in items for c, y in centres if abs(x - y) <= within)
     used_i, used_c, out = set(), set(), []
