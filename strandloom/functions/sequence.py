@@ -139,19 +139,20 @@ def contigs_match(a: str, b: str, least: int = 42, rel: float = 0.7, diff: int =
     return expected >= least and (score / expected > rel or expected - score <= diff)
 
 
-def consensus(seqs: list[str], weights: list[int] | None = None, least: int = 50) -> str | None:
+def consensus(seqs: list[str], weights: list[int] | None = None, least: int = 50, cased: bool = False) -> str | None:
     """Consensus of overlapping sequences by heaviest path through their word graph.
 
     Every sequence is laid against the growing backbone by its best local alignment; columns vote by weight (copies of a sequence). Returns
-    null under `least` bases. Ends seen by a single sequence are written in lower case.
+    null under `least` bases. Ends seen by a single sequence are written in lower case; with `cased` the case of a base is voted too, and means
+    what it means in the sequences (lower: clipped or inserted).
     """
-    return voted(votes(seqs, weights), sum(weights) if weights else len(seqs), least)
+    return voted(votes(seqs, weights, cased), sum(weights) if weights else len(seqs), least, cased)
 
 
-def votes(seqs: list[str], weights: list[int] | None = None) -> list[dict[str, int]]:
+def votes(seqs: list[str], weights: list[int] | None = None, cased: bool = False) -> list[dict[str, int]]:
     """The votes of the sequences by column of their backbone."""
     w = weights or [1] * len(seqs)
-    return merge_votes([[{c: w[i]} for c in seqs[i].upper()] for i in sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), seqs[i]))])
+    return merge_votes([[{c: w[i]} for c in (seqs[i] if cased else seqs[i].upper())] for i in sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), seqs[i]))])
 
 
 def merge_votes(parts: list[list[dict[str, int]]]) -> list[dict[str, int]]:
@@ -172,15 +173,24 @@ def merge_votes(parts: list[list[dict[str, int]]]) -> list[dict[str, int]]:
     return columns
 
 
+def _lead(column: dict[str, int]) -> str:
+    """The base with most votes in either case, in the case that most of them have."""
+    by: dict[str, int] = {}
+    for c, n in column.items():
+        by[c.upper()] = by.get(c.upper(), 0) + n
+    best = max(by, key=lambda x: (by[x], x))
+    return best.lower() if column.get(best.lower(), 0) > column.get(best, 0) else best
+
+
 def _leading(columns: list[dict[str, int]]) -> str:
-    return "".join(max(c, key=lambda x: (c[x], x)) for c in columns)
+    return "".join(map(_lead, columns))
 
 
-def voted(columns: list[dict[str, int]], copies: int, least: int = 50) -> str | None:
+def voted(columns: list[dict[str, int]], copies: int, least: int = 50, cased: bool = False) -> str | None:
     """The consensus of columns of votes, from `copies` sequences in all."""
     if len(columns) < least:
         return None
-    return "".join(b if sum(c.values()) > 1 or copies == 1 else b.lower() for c, b in zip(columns, _leading(columns)))
+    return "".join(b if cased or sum(c.values()) > 1 or copies == 1 else b.lower() for c, b in zip(columns, _leading(columns)))
 
 
 def gap_upper_bound(gaps: list[tuple[int, int]], at: int, extend: int = 15, divergence: float = 0.02) -> int:

@@ -73,6 +73,39 @@ def clip_breaks(reads: DataFrame, template: str, row: str, least: int) -> DataFr
     return c.select(template, row, "chrom", "e.side", "e.at", "mapq", F.coalesce(pairs.minimizers(F.col("e.bases")), F.array().cast("array<bigint>")).alias("mins"))
 
 
+def read_contigs(reads: DataFrame, row: str, pad: int = 500) -> DataFrame:
+    """Row, contig: the bases of each read within `pad` of its longer clip (of its middle where it has none), clipped bases in lower case. Reads whose bases are not
+    kept (* or not as many as the CIGAR says) give none."""
+    n = cg.query_length("cigar")
+    x = reads.where((F.length("seq") == n) & (n > 0)).select(row, F.upper("seq").alias("__s"), cg.left_clip("cigar").alias("__l"), cg.right_clip("cigar").alias("__r"))
+    size = F.length("__s")
+    whole = F.concat(F.lower(F.left("__s", F.col("__l"))), F.substr("__s", F.col("__l") + 1, F.greatest(F.lit(0), size - F.col("__l") - F.col("__r"))), F.lower(F.right("__s", F.col("__r"))))
+    at = F.when((F.col("__l") == 0) & (F.col("__r") == 0), F.floor(size / 2)).when(F.col("__l") >= F.col("__r"), F.col("__l")).otherwise(size - F.col("__r"))
+    return x.select(row, around_event(whole, at.cast("int"), pad).alias("contig"))
+
+
+def consensus_by_component(contigs: DataFrame, part_size: int = 200, cased: bool = False, least: int = 50) -> DataFrame:
+    """Component, n, consensus of contigs (component, contig). Equal contigs are one with a weight; a component of more than part_size different ones
+    votes in salted parts, whose votes are laid together."""
+    import json
+
+    x = contigs.groupBy("component", "contig").agg(F.count(F.lit(1)).alias("copies"))
+    n = x.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part_size).alias("parts"))
+    x = x.join(n, "component").withColumn("part", F.pmod(F.xxhash64("contig"), F.col("parts")))
+
+    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = sequence.votes(pdf.contig.tolist(), pdf.copies.tolist(), cased)
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "part": [pdf.part.iloc[0]], "copies": [pdf.copies.sum()], "votes": [json.dumps(v)]})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [json.loads(v) for v in pdf.sort_values(["copies", "part"], ascending=[False, True]).votes]
+        copies = int(pdf.copies.sum())
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "n": [copies], "consensus": [sequence.voted(sequence.merge_votes(parts), copies, least, cased)]})
+
+    v = x.groupBy("component", "part").applyInPandas(vote, "component long, part long, copies long, votes string")
+    return v.groupBy("component").applyInPandas(together, "component long, n long, consensus string")
+
+
 def assemble(clusters: DataFrame, cluster: list[str], least: int = 3) -> DataFrame:
     """One call per cluster of classified pairs with at least `least` of its commonest type: type, chromosomes, median breaks with
     half their 95 % interval, preciseness, length (median of the inserted lengths for INS, else the distance of the breaks; null over chromosomes), support.

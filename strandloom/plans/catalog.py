@@ -5,7 +5,6 @@ Names say what a query does; the IDs of the operator inventory it covers stand b
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +14,7 @@ from ..functions import genotype as gtp
 from ..functions import geometry as geo
 from ..functions.readings import chromosome, mate_chromosome, sv_length, sv_type
 from ..operators import depth, graph, intervals, pairs, rollups
+from ..operators.calling import consensus_by_component
 from ..session import materialize
 from ..sinks import files as sink
 from ..sources import vcf
@@ -1020,30 +1020,6 @@ def cluster_consensus(spark, sf):
     return consensus_by_component(_contigs(spark, sf).join(comp, F.col("rec_id") == F.col("node")).select("component", "contig"))
 
 
-def consensus_by_component(contigs: DataFrame, part_size: int = 200) -> DataFrame:
-    """Component, n, consensus of contigs (component, contig). Equal contigs are one with a weight; a component of more than part_size different ones
-    votes in salted parts, whose votes are laid together."""
-    import json
-
-    from ..functions import sequence
-
-    x = contigs.groupBy("component", "contig").agg(F.count(F.lit(1)).alias("copies"))
-    n = x.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part_size).alias("parts"))
-    x = x.join(n, "component").withColumn("part", F.pmod(F.xxhash64("contig"), F.col("parts")))
-
-    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = sequence.votes(pdf.contig.tolist(), pdf.copies.tolist())
-        return pd.DataFrame({"component": [pdf.component.iloc[0]], "part": [pdf.part.iloc[0]], "copies": [pdf.copies.sum()], "votes": [json.dumps(v)]})
-
-    def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [json.loads(v) for v in pdf.sort_values(["copies", "part"], ascending=[False, True]).votes]
-        copies = int(pdf.copies.sum())
-        return pd.DataFrame({"component": [pdf.component.iloc[0]], "n": [copies], "consensus": [sequence.voted(sequence.merge_votes(parts), copies)]})
-
-    v = x.groupBy("component", "part").applyInPandas(vote, "component long, part long, copies long, votes string")
-    return v.groupBy("component").applyInPandas(together, "component long, n long, consensus string")
-
-
 _FOLD = "list_reduce({0}, lambda acc, x: {{t: CASE WHEN acc.o AND abs(x.s - home) <= least(3 * acc.t, ln(1 + acc.t) / ln(2) / 0.02) AND x.n > 3 THEN acc.t + x.n ELSE acc.t END, o: acc.o AND abs(x.s - home) <= least(3 * acc.t, ln(1 + acc.t) / ln(2) / 0.02)}}, {{t: {1}, o: true}}).t".format
 
 

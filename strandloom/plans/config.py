@@ -29,6 +29,8 @@ class Options:
     search_depth: int = 100
     trust_ins_len: bool = True
     drop_gaps: bool = True
+    contigs: bool = True
+    diploid: bool = True
     regions_only: bool = False
     symbolic_sv_size: int = 50_000
     thresholds: tuple[float, ...] = (0.45,) * 5

@@ -10,6 +10,7 @@ from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import genotype as gtp
 from ..functions import geometry as geo
+from ..functions import sequence
 from ..operators import calling, depth, graph, intervals, pairs, rollups
 from ..session import materialize
 from ..sinks import files as sink
@@ -91,9 +92,11 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
 
     Pairs of templates, junctions of split reads, in-read gaps and clips become breaks with a type and two places (a clip has one). Breaks of one
     type near each other on both sides and clips that share minimizers are edges of weight 2, neighbours on a template of weight 1. What hangs
-    together by weight 2 is a cluster, and a cluster with enough support a call; what hangs together by any edge is a group (grp). Depth, neighbours, genotype
+    together by weight 2 is a cluster, and a cluster with enough support a call; what hangs together by any edge is a group (grp). With `contigs`, the reads of a
+    call whose bases are kept are assembled to a consensus (contig_a, clipped bases in lower case). Depth, neighbours, genotype by the support ladders
     and score follow. With `by`, a column of sample names (and a track by place), every sample is called by itself.
     """
+    with_contigs = opt.contigs and "seq" in reads.columns
     scorer = scorer or calling.Scorer(thresholds=dict(zip(("DEL", "INS", "INV", "DUP", "TRA"), opt.thresholds)))
     apart = 300 if opt.paired else 500
     least_clip = opt.clip_length if opt.clip_length > 0 else 50
@@ -101,7 +104,7 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     reads = reads.withColumn("sample", F.coalesce(by, F.lit("")) if by else F.lit(sample))
     reads = reads.withColumn("template", F.when(F.col("qname").isNotNull(), F.concat_ws("\t", "sample", "qname")))
     owner = reads.select(F.col(row).alias("a"), "sample")
-    kept = ["node", "sample", "template", "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", "how"]
+    kept = ["node", "__row", "sample", "template", "chrom_a", "chrom_b", "svtype", "ct", "break_a", "break_b", "precise_a", "precise_b", "length", "mapq", "how"]
     sides = [("chrom_a", "chrom_b"), ("break_a", "break_b"), ("precise_a", "precise_b")]
     splits = materialize(calling.split_breaks(reads, "template", row, opt.mq).join(owner.withColumnRenamed("a", row), row))
     p = materialize(calling.classified_pairs(reads, "template", row))  # a filter must not be pushed into the rules
@@ -111,15 +114,15 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     told = splits.select("template", F.col("part").alias("__part")).distinct().withColumn("__told", F.lit(True))
     p = p.withColumn("__part", F.col("flag").bitwiseAND(64)).join(told, ["template", "__part"], "left").where(~(one_read & F.coalesce("__told", F.lit(False))))
     odd = (F.col("flag").bitwiseAND(2) == 0) | F.col("length").isNotNull() | (F.col("tlen") > opt.max_tlen)
-    by_pair = p.where(odd).withColumn("node", F.col("a")).withColumn("how", F.lit("pe")).select(*kept)
-    by_split = splits.withColumn("node", F.xxhash64(row, "place", F.lit("split"))).withColumn("how", F.lit("sr")).select(*kept)
+    by_pair = p.where(odd).withColumn("node", F.col("a")).withColumn("__row", F.col("a")).withColumn("how", F.lit("pe")).select(*kept)
+    by_split = splits.withColumn("node", F.xxhash64(row, "place", F.lit("split"))).withColumn("__row", F.col(row)).withColumn("how", F.lit("sr")).select(*kept)
     breaks = pairs.canonical(by_pair.unionByName(by_split), sides, ("chrom_a", "chrom_b"), ("break_a", "break_b"), "ct")
     gaps = reads.select(row, "sample", "template", "rname", "mapq", F.explode(F.filter(cg.walk("cigar", "start"), lambda g: g["op"].isin("I", "D") & (g["len"] >= opt.min_size))).alias("g"))
     t = F.when(F.col("g.op") == "I", "INS").otherwise("DEL")
-    by_gap = gaps.select(F.xxhash64(row, F.col("g.idx")).alias("node"), "sample", "template", F.col("rname").alias("chrom_a"), F.col("rname").alias("chrom_b"), t.alias("svtype"), F.lit("3to5").alias("ct"), F.col("g.ref_start").alias("break_a"), cg.end_position(t, F.col("g.ref_start"), F.col("g.len")).alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), F.col("g.len").cast("long").alias("length"), "mapq", F.lit("wr").alias("how"))
+    by_gap = gaps.select(F.xxhash64(row, F.col("g.idx")).alias("node"), F.col(row).alias("__row"), "sample", "template", F.col("rname").alias("chrom_a"), F.col("rname").alias("chrom_b"), t.alias("svtype"), F.lit("3to5").alias("ct"), F.col("g.ref_start").alias("break_a"), cg.end_position(t, F.col("g.ref_start"), F.col("g.len")).alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), F.col("g.len").cast("long").alias("length"), "mapq", F.lit("wr").alias("how"))
     clips = materialize(calling.clip_breaks(reads, "template", row, least_clip).join(owner.withColumnRenamed("a", row), row).withColumn("node", F.xxhash64(row, "side", F.lit("clip"))))
     no = F.lit(None)
-    by_clip = clips.select("node", "sample", "template", F.col("chrom").alias("chrom_a"), F.col("chrom").alias("chrom_b"), F.lit("BND").alias("svtype"), no.cast("string").alias("ct"), F.col("at").alias("break_a"), F.col("at").alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), no.cast("long").alias("length"), "mapq", F.lit("sc").alias("how"))
+    by_clip = clips.select("node", F.col(row).alias("__row"), "sample", "template", F.col("chrom").alias("chrom_a"), F.col("chrom").alias("chrom_b"), F.lit("BND").alias("svtype"), no.cast("string").alias("ct"), F.col("at").alias("break_a"), F.col("at").alias("break_b"), F.lit(True).alias("precise_a"), F.lit(True).alias("precise_b"), no.cast("long").alias("length"), "mapq", F.lit("sc").alias("how"))
     nodes = materialize(breaks.unionByName(by_gap).unionByName(by_clip).where("break_a is not null and break_b is not null"))
     # equal nodes are one in the comparison of pairs, so that crowded places need no limit of partners
     same = ["sample", "svtype", "chrom_a", "chrom_b", "break_a", "break_b", "gap", "how"]
@@ -141,6 +144,13 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     e = e.withColumn("bnd", F.when(F.col("svtype") == "BND", F.col("n")).otherwise(0)).withColumn("svlen", F.when(F.col("svtype") != "BND", F.col("svlen")))
     e = e.where((F.coalesce("svlen", F.lit(opt.min_size)) >= opt.min_size) | (F.col("chrom") != F.col("chr2")))
     e = e.join(e.groupBy("grp").agg(F.count(F.lit(1)).alias("n_in_grp")), "grp")
+    if with_contigs:
+        of = e.select("component").join(clusters.select("component", "__row").distinct(), "component")
+        parts = of.join(calling.read_contigs(reads, row).withColumnRenamed(row, "__row"), "__row").select("component", "contig")
+        u = sequence.udfs()
+        made = materialize(calling.consensus_by_component(parts, cased=True).where("consensus is not null").select("component", F.col("consensus").alias("contig_a")))
+        made = made.select("component", "contig_a", cg.gc_percent("contig_a").alias("gc"), u["repeat_score"]("contig_a").alias("rep"), u["packed_percent"]("contig_a").alias("compress"), u["repeat_motif"]("contig_a").alias("expseq"), bs.inserted_bases(F.col("contig_a")).alias("left_ins"))
+        e = e.join(made, "component", "left")
     e = e.withColumn("event_id", F.col("component")).withColumn("place", _place("sample", "chrom") if by else F.col("chrom"))
     e = materialize(e)
     tr = track.withColumnRenamed("rname", "place")
@@ -151,9 +161,17 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
         e = e.where(F.col("su") >= gtp.least_support("cov", 0.05))
     e = intervals.count_near(e, ["place"], "pos", 50, 50, "neigh", own=False)
     e = intervals.count_near(e, ["place"], "pos", 10_000, 10_000, "neigh10", own=False)
-    gt, gq = gtp.genotype(F.greatest(F.lit(0.0), F.coalesce("cov", F.lit(0.0)) - F.col("su")), F.col("su"), F.col("svtype"))
+    cov = F.coalesce("cov", F.lit(0.0))
+    names = {n: F.coalesce(F.col(n), F.lit(0)) for n in ("pe", "sc", "bnd", "su")} | {"icn": F.coalesce("inner_cn", cov), "ocn": cov, "spanning": F.coalesce("wr", F.lit(0)), "supp": F.coalesce("sr", F.lit(0)), "np": F.lit(0), "remap": F.lit(0)}
+    names["contigs"] = F.col("contig_a").isNotNull().cast("int") if with_contigs else F.lit(0)
+    loss = gtp.support_pair(names)
+    gain = gtp.support_pair_gain(names) if opt.paired else gtp.support_pair_long(names["su"], names["spanning"], names["icn"], names["ocn"])
+    like = F.col("svtype").isin("INS", "DUP")
+    ref, alt = (F.when(like, g.cast("double")).otherwise(x) for x, g in zip(loss, gain))
+    gt, gq = gtp.genotype(F.greatest(F.lit(0.0), ref), F.greatest(F.lit(0.0), alt), F.col("svtype"))
     e = e.withColumn("gt", gt).withColumn("gq", gq).withColumn("a_freq", F.round(F.least(F.lit(1.0), F.col("su") / (F.coalesce("cov", F.lit(0.0)) + 1e-5)), 3))
-    e = e.withColumn("prob", scorer.prob(e)).withColumn("fold_change", depth.fold_change("inner_cn", "outer_cn", "svtype"))
+    model = scorer if (with_contigs and opt.diploid) or not isinstance(scorer, calling.Scorer) else scorer.variant(with_contigs, opt.diploid, {"precise": 1.0})
+    e = e.withColumn("prob", model.prob(e)).withColumn("fold_change", depth.fold_change("inner_cn", "outer_cn", "svtype"))
     return as_events(e.withColumn("filt", scorer.label(F.col("prob"), F.col("svtype"))))
 
 

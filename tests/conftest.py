@@ -16,7 +16,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "3g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "3g").config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false")).config("spark.sql.codegen.factoryMode", "NO_CODEGEN" if os.environ.get("TEST_CODEGEN", "false") == "false" else "FALLBACK").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

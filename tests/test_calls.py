@@ -5,6 +5,7 @@ import random
 from strandloom.plans import catalog
 from strandloom.plans.config import Options
 from strandloom.plans.pipelines import call, fetch
+from strandloom.session import materialize
 
 READS = "read_id long, sample_name string, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, sa string"
 
@@ -12,7 +13,7 @@ READS = "read_id long, sample_name string, qname string, flag int, rname string,
 def called(spark, rows, **options):
     opt = Options.of(min_support=3, **options)
     reads = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], READS)
-    ev, track = fetch(reads, opt, by="sample_name")
+    ev, track = (materialize(x) for x in fetch(reads, opt, by="sample_name"))
     return call(ev, track, opt, by="sample_name").collect()
 
 
@@ -29,6 +30,18 @@ def single(name, chrom, pos, cigar, seq="*", sa=None, sample="s1"):
     return (sample, name, 0, chrom, pos, 60, cigar, "*", 0, 0, seq, sa)
 
 
+def test_contigs_of_calls(spark):
+    """Reads whose bases are kept become a consensus with its clip in lower case; the calls are the same without them."""
+    rng = random.Random(4)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    body, clip = base(60), base(40)
+    rows = [single(f"d{i}", "chr1", 1000 + i, f"{60 - i}M40S", body[i:] + clip, sa=f"chr1,5000,+,{60 - i}S40M,60,0;") for i in range(4)]
+    (e,) = called(spark, rows)
+    assert e.contig_a == body + clip.lower() and e.gc == 100 * sum(c in "GC" for c in body + clip) / 100 and 0 < e.compress <= 100
+    (plain,) = called(spark, rows, contigs=False)
+    assert plain.contig_a is None and (plain.svtype, plain.pos, plain.end_pos, plain.su, plain.gt) == (e.svtype, e.pos, e.end_pos, e.su, e.gt) == ("DEL", 1060, 5000, 4, "0/1")
+
+
 def test_split_reads_and_clips_alone(spark):
     rows = [single(f"d{i}", "chr1", 1000 + i, f"{60 - i}M40S", sa=f"chr1,5000,+,{60 - i}S40M,60,0;") for i in range(4)]
     rows += [single(f"t{i}", "chr2", 8000 + i, f"{60 - i}M40S", sa=f"chr3,700,+,{60 - i}S40M,60,0;") for i in range(3)]
