@@ -98,7 +98,7 @@ def _key_bits(items: DataFrame) -> tuple[dict[str, int], Blocks]:
 
 
 def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> tuple[DataFrame, Blocks]:
-    """(sets, blocks); sets, a written table of one row per record: record, key (16 bytes, equal for equal sets), items (distinct, trimmed, not empty, in order), codes (sorted).
+    """(sets, blocks); sets, a written table of one row per record: record, key (16 bytes, equal for equal sets), items (distinct, trimmed, not empty, in order, joined by sep), codes (sorted).
     Null and empty texts have none; of several texts of a record the least counts, before anything is compared."""
     rows = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text")).where("record is not null and text is not null")
     ranks, blocks = _key_bits(rows.select(_items(F.col("text"), sep).alias("items")))
@@ -110,7 +110,7 @@ def item_sets(df: DataFrame, record: str, text: str, sep: str = ";") -> tuple[Da
         return F.shiftleft(rank.cast("long"), _BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 64 - _BITS))
 
     sets = rows.groupBy("record").agg(F.min("text").alias("text")).select("record", F.array_sort(_items(F.col("text"), sep)).alias("items")).where(F.size("items") > 0)
-    return materialize(sets.select("record", F.unhex(F.md5(F.array_join("items", "\n"))).alias("key"), "items", F.array_sort(F.transform("items", code)).alias("codes"))), blocks
+    return materialize(sets.select("record", F.unhex(F.md5(F.array_join("items", "\n"))).alias("key"), F.array_join("items", sep).alias("items"), F.array_sort(F.transform("items", code)).alias("codes"))), blocks
 
 
 def _ladder(x: int) -> int:
@@ -163,13 +163,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def alike_classes(sets: DataFrame, blocks: Blocks, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
+def alike_classes(sets: DataFrame, blocks: Blocks, num: int = THRESHOLD[0], den: int = THRESHOLD[1], sep: str = ";") -> DataFrame:
     """key_a, key_b of every two different sets alike by at least num/den.
 
     Classes are written once under short ids; block signatures are written once and counted, and those that
     occur once go no further; items are fetched only to verify what the fingerprints let through.
     """
-    classes = materialize(sets.groupBy("key").agg(F.min_by("codes", "record").alias("codes"), F.min_by("items", "record").alias("items")).withColumn("id", F.monotonically_increasing_id()))
+    classes = materialize(sets.groupBy("key").agg(F.min(F.struct("record", "codes")).alias("c")).select("key", "c.record", "c.codes", F.monotonically_increasing_id().alias("id")))
     coded = classes.select("id", "codes")
     blocks.sets = classes.count()
     blocks.joins.clear()
@@ -187,8 +187,11 @@ def alike_classes(sets: DataFrame, blocks: Blocks, num: int = THRESHOLD[0], den:
         more = parted.alias("a").join(parted.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.item") == F.col("b.item")) & near)
         pairs = pairs.unionByName(more.select("a.id", F.col("b.id").alias("id_b")))
     pairs = pairs.withColumnRenamed("id", "id_a").distinct()
-    a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}"), F.col("items").alias(x)) for x in "ab")
-    both = pairs.join(a, "id_a").join(b, "id_b")
+    # the items of a class are those of its least record, the one row of the table of sets that is needed
+    named = classes.select("id", "record")
+    pairs = pairs.join(named.select(F.col("id").alias("id_a"), F.col("record").alias("ra")), "id_a").join(named.select(F.col("id").alias("id_b"), F.col("record").alias("rb")), "id_b").select("ra", "rb")
+    a, b = (sets.select(F.col("record").alias(f"r{x}"), F.col("key").alias(f"key_{x}"), F.col("items").alias(x)) for x in "ab")
+    both = pairs.join(a, "ra").join(b, "rb").select("key_a", "key_b", *(F.split(x, re.escape(sep)).alias(x) for x in "ab"))
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * den >= (F.size("a") + F.size("b") - shared) * num).select("key_a", "key_b")
 
@@ -197,7 +200,7 @@ def alike_pairs(df: DataFrame, record: str, text: str, sep: str = ";", num: int
     """record_a < record_b: every two different records alike by at least num/den, copies included. Null and empty texts are never alike; of a record
     delivered with several texts the least counts. An empty table gives no rows; other columns are ignored."""
     sets, blocks = item_sets(df, record, text, sep)
-    pairs = materialize(alike_classes(sets, blocks, num, den))
+    pairs = materialize(alike_classes(sets, blocks, num, den, sep))
     a, b = sets.select(F.col("key").alias("key_a"), F.col("record").alias("ra")), sets.select(F.col("key").alias("key_b"), F.col("record").alias("rb"))
     across = pairs.join(a, "key_a").join(b, "key_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
     copies = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("ra") < F.col("rb"))).select(F.col("ra").alias("record_a"), F.col("rb").alias("record_b"))
@@ -208,7 +211,7 @@ def alike_groups(df: DataFrame, record: str, text: str, sep: str = ";", num: int
     """One row per record with a text: record, class_key (of its exact copies), group_id (least class_key linked to it by any
     chain of alike sets), n_copies (records of its class), n_links (other records alike to it, copies included)."""
     sets, blocks = item_sets(df, record, text, sep)
-    pairs = materialize(alike_classes(sets, blocks, num, den).select(F.hex("key_a").alias("key_a"), F.hex("key_b").alias("key_b")))
+    pairs = materialize(alike_classes(sets, blocks, num, den, sep).select(F.hex("key_a").alias("key_a"), F.hex("key_b").alias("key_b")))
     sets = sets.select("record", F.hex("key").alias("key"))
     sizes = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n_records"))
     both = pairs.unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
