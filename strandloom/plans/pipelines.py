@@ -275,7 +275,7 @@ def genotype_sites(events: DataFrame, sites: DataFrame, opt: Options = Options()
     site kept; with all_sites, sites without a call are added as 0/0."""
     s = sites.select(F.col("chrom").alias("__sc"), F.col("start").alias("__sp"), F.col("svtype").alias("__st"), F.col("id").alias("site_id"), F.col("prob").alias("__prob"))
     near = intervals.nearest_join(events.select("event_id", "chrom", "svtype", "pos"), s, [("chrom", "__sc"), ("svtype", "__st")], "pos", "__sp", within, ["event_id"]).select("event_id", "site_id", F.col("__prob").alias("site_prob"))
-    e = events.join(near, "event_id", "left")
+    e = events.drop("site_id").join(near, "event_id", "left")
     e = e.withColumn("prob", F.when(F.col("site_prob").isNotNull(), F.round(gtp.posterior([F.col("prob"), F.col("site_prob")]), 3)).otherwise(F.col("prob")))
     best = rollups.best_per(e.where("site_id is not null"), ["site_id"], [-F.coalesce("prob", F.lit(0.0))], ["event_id"]).select("event_id", F.lit(True).alias("__best"))
     e = e.join(best, "event_id", "left").where("site_id is null or __best").drop("__best", "site_prob")
