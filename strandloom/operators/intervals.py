@@ -176,12 +176,20 @@ def without_known_gaps(gaps: DataFrame, known: DataFrame, keys: list[tuple[str,
 
 
 def shared_region(events: DataFrame, regions: DataFrame, row: str, ends: tuple[tuple[str, str], tuple[str, str]], region: tuple[str, str, str, str], width: int = 1 << 14) -> DataFrame:
-    """Row, shared: whether both ends (chromosome, position) lie in one region (name, chromosome, start, end; both ends belong to it) on one chromosome."""
-    name, chrom, start, end = region
-    both = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("c"), F.col(p).cast("long").alias("p")) for i, (c, p) in enumerate(ends)))).alias("e")
-    same = F.col(ends[0][0]) == F.col(ends[1][0])
-    x = events.where(same).select(row, both).select(row, F.col("e.side").alias("__side"), F.col("e.c").alias("__c"), F.col("e.p").alias("__p"))
-    r = regions.select(F.col(name).alias("__name"), F.col(chrom).alias("__rc"), F.col(start).alias("__rs"), F.col(end).alias("__re"))
-    hit = range_join(x, r, [("__c", "__rc")], ("__p", "__p"), ("__rs", "__re"), width)
-    hit = hit.groupBy(row, "__name").agg(F.bit_or(F.col("__side") + 1).alias("__sides")).where("__sides = 3").select(row, F.lit(True).alias("__hit")).distinct()
-    return events.select(row).join(hit, row, "left").select(row, F.coalesce("__hit", F.lit(False)).alias("shared"))
+    """Row, shared: whether both ends (chromosome, position) lie in one region (name, chromosome, start, end; both ends belong to it) on one chromosome.
+
+    The regions that start at or before the first end hold the second one if the farthest of them reaches it: a running maximum over blocks of `width`
+    positions, no pair of an event and a region is made.
+    """
+    _, chrom, start, end = region
+    a, b = (F.col(p).cast("long") for _, p in ends)
+    same = F.coalesce(F.col(ends[0][0]) == F.col(ends[1][0]), F.lit(False))
+    ids = F.when(same, F.col(ends[0][0]))
+    x = events.select(ids.alias("__k"), F.when(same & a.isNotNull() & b.isNotNull(), F.least(a, b)).alias("__at"), F.greatest(a, b).alias("__hi"), F.lit(None).cast("long").alias("__e"), F.struct(row).alias("__row"))
+    r = regions.where(F.col(chrom).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(F.col(chrom).alias("__k"), F.col(start).cast("long").alias("__at")).agg(F.max(F.col(end).cast("long")).alias("__e"))
+    r = r.select("__k", "__at", F.lit(None).cast("long").alias("__hi"), "__e", F.lit(None).cast(x.schema["__row"].dataType).alias("__row"))
+    both = with_carry(r.unionByName(x).withColumn("__blk", F.floor(F.col("__at") / F.lit(width))), ["__k"], "__blk", F.max("__e"), "__before")
+    # by range: regions that start where the first end lies count, in whatever order the rows come
+    reach = F.max("__e").over(W.partitionBy("__k", "__blk").orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    both = both.withColumn("__reach", F.greatest(reach, F.col("__before"))).where("__row is not null")
+    return both.select(f"__row.{row}", F.coalesce(F.col("__at").isNotNull() & (F.col("__reach") >= F.col("__hi")), F.lit(False)).alias("shared"))

@@ -125,3 +125,20 @@ def test_large_components_are_voted(spark):
     got = {r.component: (r.n, r.consensus) for r in catalog.consensus_by_component(spark.createDataFrame(rows, "component long, contig string")).collect()}
     assert got[1][0] == 300 and got[1][1][5:-5] == true[5:-5]  # a wrong base at the very end of the backbone is not outvoted
     assert got[2] == (251, true[:70] + true[70:].lower()) == (251, consensus([c for k, c in rows if k == 2]))
+
+
+def test_both_ends_in_one_region_make_no_pairs(spark):
+    from strandloom.operators.intervals import shared_region
+
+    rng = random.Random(31)
+    at = lambda: rng.randint(-60, 900)
+    regions = [(i, rng.choice(["a", "b", None]), s, s + rng.choice([0, 5, 90, 700])) for i in range(50) for s in [at()]] + [(90, "a", None, 5), (91, "b", 5, None), (92, "a", 50, 40)]
+    events = [(i, rng.choice(["a", "b", None]), at(), rng.choice(["a", "b"]), at()) for i in range(120)] + [(200, "a", None, "a", 7), (201, "c", 1, "c", 2), (202, "a", 45, "a", 45)]
+    r = spark.createDataFrame(regions, "name long, c string, s long, e long")
+    q = spark.createDataFrame(events, "id long, ca string, a long, cb string, b long")
+    want = {i: ca is not None and ca == cb and None not in (a, b) and any(k == ca and None not in (s, e) and s <= min(a, b) and max(a, b) <= e for _, k, s, e in regions) for i, ca, a, cb, b in events}
+    for width in (16, 512):
+        df = shared_region(q, r, "id", (("ca", "a"), ("cb", "b")), ("name", "c", "s", "e"), width)
+        assert {x.id: x.shared for x in df.collect()} == want and df.count() == len(want)
+    # the joins left are those of a block with what lies before it
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
