@@ -72,7 +72,7 @@ def blocked_lag(df: DataFrame, key: list[str], order: str, value: list[str], out
     return joined.withColumn(out, F.coalesce(out, "__before")).drop("__blk", "__this", "__b", "__before", *(f"__k{i}" for i in range(len(key))))
 
 
-def _per_block(df: DataFrame, key: list[str], summaries: list, carried: list) -> DataFrame:
+def per_block(df: DataFrame, key: list[str], summaries: list, carried: list) -> DataFrame:
     """df (with __blk) joined with what one window over one row per block says: `summaries` are aggregates, `carried` columns over W of them."""
     names = [f"__p{i}" for i in range(len(key))]
     per = df.groupBy(*key, "__blk").agg(*summaries)
@@ -89,7 +89,7 @@ def running(df: DataFrame, key: list[str], order: str, sums: list[str], next_: s
     x = df.withColumn("__blk", F.floor(F.col(order) / F.lit(width)))
     w = W.partitionBy(*key).orderBy("__blk")
     before = w.rowsBetween(W.unboundedPreceding, -1)
-    x = _per_block(x, key, [*(F.sum(s).alias(f"__s_{s}") for s in sums), F.min(order).alias("__first")], [*(F.sum(f"__s_{s}").over(before).alias(f"__b_{s}") for s in sums), F.lead("__first").over(w).alias("__then")])
+    x = per_block(x, key, [*(F.sum(s).alias(f"__s_{s}") for s in sums), F.min(order).alias("__first")], [*(F.sum(f"__s_{s}").over(before).alias(f"__b_{s}") for s in sums), F.lead("__first").over(w).alias("__then")])
     inside = W.partitionBy(*key, "__blk").orderBy(order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumns({**{f"run_{s}": F.sum(s).over(upto) + F.coalesce(f"__b_{s}", F.lit(0)) for s in sums}, next_: F.coalesce(F.lead(order).over(inside), "__then")})
@@ -100,7 +100,7 @@ def numbered(df: DataFrame, key: list[str], at: str, order: list[str], out: str,
     """df with `out`: the row's number from 1 by `order` (which begins with the whole number `at`) within key; rows without `at` come first."""
     x = df.withColumn("__blk", F.floor(F.col(at) / F.lit(width)))
     before = W.partitionBy(*key).orderBy(F.col("__blk").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    x = _per_block(x, key, [F.count(F.lit(1)).alias("__n")], [F.sum("__n").over(before).alias("__before")])
+    x = per_block(x, key, [F.count(F.lit(1)).alias("__n")], [F.sum("__n").over(before).alias("__before")])
     return x.withColumn(out, F.coalesce("__before", F.lit(0)) + F.row_number().over(W.partitionBy(*key, "__blk").orderBy(*order))).drop("__blk", "__before")
 
 
@@ -109,7 +109,7 @@ def neighbours(df: DataFrame, key: list[str], at: str, row: str, value: list[str
     this = F.struct(at, row, *value)
     x = df.withColumn("__blk", F.floor(F.col(at) / F.lit(width))).withColumn("__this", F.when(F.col(at).isNotNull(), this))
     w = W.partitionBy(*key).orderBy("__blk")
-    x = _per_block(x, key, [F.min("__this").alias("__lo"), F.max("__this").alias("__hi")], [F.lag("__hi").over(w).alias("__left"), F.lead("__lo").over(w).alias("__right")])
+    x = per_block(x, key, [F.min("__this").alias("__lo"), F.max("__this").alias("__hi")], [F.lag("__hi").over(w).alias("__left"), F.lead("__lo").over(w).alias("__right")])
     inside = W.partitionBy(*key, "__blk").orderBy(at, row)
     have = F.col(at).isNotNull()
     x = x.withColumns({before: F.when(have, F.coalesce(F.lag("__this").over(inside), "__left")), after: F.when(have, F.coalesce(F.lead("__this").over(inside), "__right"))})

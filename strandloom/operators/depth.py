@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .blocked import running
+from ..session import materialize
+from .blocked import per_block, running
 from .intervals import asof_join, range_join
 
 BIN = 10
@@ -53,6 +54,38 @@ def depth_at(points: DataFrame, track: DataFrame, key: str, at: str, bin_size: i
     return x.select(*points.columns, F.when(F.col("last_to_bin") > F.col("__b"), F.col("last_depth")).otherwise(F.lit(0)).cast("long").alias("depth"))
 
 
+def _bins(lo: str, hi: str, bin_size: int) -> tuple[Column, Column]:
+    """First and last bin of the positions [lo, hi); an empty window is the bin of lo."""
+    first = F.floor(F.col(lo) / bin_size)
+    return first, F.greatest(F.floor((F.col(hi) - 1) / bin_size), first)
+
+
+def window_means(windows: DataFrame, track: DataFrame, key: str, row: list[str], spans: dict[str, tuple[str, str]], bin_size: int = BIN) -> DataFrame:
+    """Row (which tells windows apart) and, under each name of `spans`, the mean depth over the bins of its [lo, hi) (positions); bins without depth count as 0.
+
+    A mean is the difference of two running sums over the track, read in one sort with the runs: a window costs two rows, however many runs it covers.
+    """
+    marks = []
+    for name, (lo, hi) in spans.items():
+        first, last = _bins(lo, hi, bin_size)
+        marks += [F.struct(F.lit(name).alias("name"), at.cast("long").alias("at"), F.lit(sign).alias("sign")) for at, sign in ((first, -1), (F.when(first.isNotNull(), last + 1), 1))]
+    points = windows.select(F.col(key).alias("__k"), F.struct(*row).alias("__row"), F.explode(F.array(*marks)).alias("__p"))
+    points = points.select("__k", F.col("__p.at").alias("__at"), *(F.lit(None).cast("long").alias(c) for c in ("__t", "__d")), "__row", F.col("__p.name").alias("__name"), F.col("__p.sign").alias("__sign"))
+    runs = track.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("bin").cast("long").alias("__at"), F.col("to_bin").cast("long").alias("__t"), F.col("depth").cast("long").alias("__d"))
+    both = materialize(runs.select("*", *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ("__row", "__name", "__sign"))).unionByName(points))
+    both = both.withColumns({"__blk": F.floor(F.col("__at") / F.lit(BLOCK_BINS)), "__area": (F.col("__t") - F.col("__at")) * F.col("__d"), "__run": F.when(F.col("__d").isNotNull(), F.struct("__at", "__t", "__d"))})
+    before = W.partitionBy("__k").orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
+    both = per_block(both, ["__k"], [F.sum("__area").alias("__a"), F.max("__run").alias("__r")], [F.sum("__a").over(before).alias("__sum"), F.max("__r").over(before).alias("__last")])
+    upto = W.partitionBy("__k", "__blk").orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    both = both.withColumns({"__sum": zero(F.sum("__area").over(upto)) + zero(F.col("__sum")), "__last": F.coalesce(F.last("__run", ignorenulls=True).over(upto), "__last")}).where("__row is not null")
+    # the depth of all bins before a place: that of the runs that start there or before, less what the last of them covers from there on
+    upto = F.col("__sum") - zero(F.greatest(F.lit(0), F.col("__last.__t") - F.col("__at")) * F.col("__last.__d"))
+    both = both.select("__row", "__name", (upto * F.col("__sign")).alias("__s"), (F.col("__at") * F.col("__sign")).alias("__n"))
+    of = lambda c, name: F.sum(F.when(F.col("__name") == name, F.col(c)))
+    return both.groupBy("__row").agg(*((of("__s", n) / of("__n", n)).alias(n) for n in spans)).select("__row.*", *spans)
+
+
 def window_depth(windows: DataFrame, track: DataFrame, key: str, row: list[str], lo: str, hi: str, bin_size: int = BIN) -> DataFrame:
     """Row, mean_depth, max_depth over the bins of [lo, hi) (positions); bins without depth count as 0."""
     w = windows.select(*row, key, F.floor(F.col(lo) / bin_size).alias("__lo"), F.greatest(F.floor((F.col(hi) - 1) / bin_size), F.floor(F.col(lo) / bin_size)).alias("__hi"))

@@ -201,6 +201,12 @@ def spans(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return r.withColumn("start", F.col("pos").cast("long")).withColumn("stop", F.col("pos") + cg.reference_length("cigar"))
 
 
+def covered(spark: SparkSession, sf: str) -> DataFrame:
+    """rname, start, stop of spans() alone. Copies of a read agree in them, so dropping equal rows drops the copies, and the CIGARs stay out of the shuffle."""
+    a = table(spark, sf, "alignments").where((F.col("flag").bitwiseAND(1284) == 0) & (F.col("rname") != "*"))
+    return a.select("read_id", "rname", F.col("pos").cast("long").alias("start"), (F.col("pos") + cg.reference_length("cigar")).alias("stop")).distinct().drop("read_id")
+
+
 _S = f"s AS (SELECT *, CAST(pos AS BIGINT) AS start, CAST(pos + {_REF} AS BIGINT) AS stop FROM r WHERE flag & 1284 = 0 AND rname <> '*')"
 _T = f"""m AS (SELECT rname, start // 10 AS bin, 1 AS d FROM s UNION ALL SELECT rname, stop // 10, -1 FROM s), k AS (SELECT rname, bin, sum(d) AS d FROM m GROUP BY rname, bin HAVING sum(d) <> 0),
 t AS (SELECT * FROM (SELECT rname, bin, lead(bin) OVER (PARTITION BY rname ORDER BY bin) AS to_bin, sum(d) OVER (PARTITION BY rname ORDER BY bin) AS depth FROM k) WHERE depth > 0)"""
@@ -1043,9 +1049,8 @@ SELECT i.call_id, round(coalesce(i.s, 0) / i.n, 9) AS inner_cn, round(coalesce(o
 def fold_change(spark, sf):
     """Depth inside an event and with 1,000 bases around it, and what the event changes."""
     c = calls(spark, sf, "chrom = chr2 and svtype in ('DEL', 'DUP', 'INV')").select("call_id", "svtype", "chrom", F.least("pos", "end_pos").alias("a"), F.greatest("pos", "end_pos").alias("b"))
-    t = depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom")
+    t = depth.depth_track(covered(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom")
     c = c.withColumn("b1", F.col("b") + 1).withColumn("lo", F.greatest(F.lit(0), F.col("a") - 1000)).withColumn("hi", F.col("b") + 1001)
-    i = depth.window_depth(c, t, "chrom", ["call_id"], "a", "b1").select("call_id", F.col("mean_depth").alias("inner_cn"))
-    o = depth.window_depth(c, t, "chrom", ["call_id"], "lo", "hi").select("call_id", F.col("mean_depth").alias("outer_cn"))
-    x = c.select("call_id", "svtype").join(i, "call_id").join(o, "call_id").withColumn("fold_change", depth.fold_change("inner_cn", "outer_cn", "svtype"))
+    x = depth.window_means(c, t, "chrom", ["call_id", "svtype"], {"inner_cn": ("a", "b1"), "outer_cn": ("lo", "hi")}).where("call_id is not null")
+    x = x.withColumn("fold_change", depth.fold_change("inner_cn", "outer_cn", "svtype"))
     return x.select("call_id", *(F.round(n, 9).alias(n) for n in ("inner_cn", "outer_cn", "fold_change")))

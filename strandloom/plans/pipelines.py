@@ -154,8 +154,8 @@ def call(reads: DataFrame, track: DataFrame, opt: Options = Options(), row: str
     e = e.withColumn("event_id", F.col("component")).withColumn("place", _place("sample", "chrom") if by else F.col("chrom"))
     e = materialize(e)
     tr = track.withColumnRenamed("rname", "place")
-    flank = depth.window_depth(e.select("event_id", "place", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi")), tr, "place", ["event_id"], "lo", "hi").select("event_id", F.col("mean_depth").alias("cov"))
-    inner = depth.window_depth(e.where("chrom = chr2").select("event_id", "place", F.least("pos", "end_pos").alias("lo"), (F.greatest("pos", "end_pos") + 1).alias("hi")), tr, "place", ["event_id"], "lo", "hi").select("event_id", F.col("mean_depth").alias("inner_cn"))
+    flank = depth.window_means(e.select("event_id", "place", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi")), tr, "place", ["event_id"], {"cov": ("lo", "hi")})
+    inner = depth.window_means(e.where("chrom = chr2").select("event_id", "place", F.least("pos", "end_pos").alias("lo"), (F.greatest("pos", "end_pos") + 1).alias("hi")), tr, "place", ["event_id"], {"inner_cn": ("lo", "hi")})
     e = e.join(flank, "event_id", "left").join(inner, "event_id", "left").withColumn("outer_cn", F.col("cov"))
     if opt.min_support == "auto":
         e = e.where(F.col("su") >= gtp.least_support("cov", 0.05))

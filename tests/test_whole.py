@@ -142,3 +142,41 @@ def test_both_ends_in_one_region_make_no_pairs(spark):
         assert {x.id: x.shared for x in df.collect()} == want and df.count() == len(want)
     # the joins left are those of a block with what lies before it
     assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def dense_track(rng, keys, n):
+    """Runs of depth (key, bin, to_bin, depth), some that touch, some long."""
+    runs = []
+    for k in keys:
+        b = -40
+        for _ in range(n):
+            b += rng.choice([0, 0, 1, 30, 600])
+            runs.append((k, b, (b := b + rng.choice([1, 1, 2, 9, 700])), rng.randint(1, 40)))
+    return runs
+
+
+def windows_of(rng, n):
+    size = lambda: rng.choice([0, 1, 25, 800, 2550, 2560, 2570, 5120, 20_000, 90_000])
+    return [(i, rng.choice(["a", "b", "c", None]), s, s + size()) for i in range(n) for s in [rng.choice([rng.randint(-900, 60_000), 2560 * rng.randint(0, 20)])]] + [(n, "a", None, None), (n + 1, "a", None, 50)]
+
+
+def under(runs, k, lo, hi):
+    """Sum, maximum and number of bins of a window by its definition."""
+    if lo is None:
+        return None, None, None
+    a, b = lo // 10, max((hi - 1) // 10, lo // 10)
+    hit = [(min(t - 1, b) - max(f, a) + 1, d) for q, f, t, d in runs if q == k and f <= b and t > a]
+    return sum(n * d for n, d in hit), max((d for _, d in hit), default=0), b - a + 1
+
+
+def test_means_of_windows_by_running_sums(spark, monkeypatch):
+    from strandloom.operators import depth
+
+    monkeypatch.setattr(depth, "BLOCK_BINS", 256)
+    rng = random.Random(41)
+    runs, windows = dense_track(rng, ["a", "b"], 60), windows_of(rng, 150)
+    t, w = spark.createDataFrame(runs, "k string, bin long, to_bin long, depth long"), spark.createDataFrame(windows, "id long, k string, lo long, hi long")
+    df = depth.window_means(w.selectExpr("*", "lo - 500 as lo2", "hi + 500 as hi2"), t, "k", ["id"], {"inner": ("lo", "hi"), "outer": ("lo2", "hi2")})
+    got = {r.id: (r.inner, r.outer) for r in df.collect()}
+    mean = lambda k, lo, hi: (lambda s, _, n: None if n is None else s / n)(*under(runs, k, lo, hi))
+    assert got == {i: (mean(k, lo, hi), None if lo is None else mean(k, lo - 500, hi + 500)) for i, k, lo, hi in windows}
