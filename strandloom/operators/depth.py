@@ -86,16 +86,54 @@ def window_means(windows: DataFrame, track: DataFrame, key: str, row: list[str],
     return both.groupBy("__row").agg(*((of("__s", n) / of("__n", n)).alias(n) for n in spans)).select("__row.*", *spans)
 
 
+#: Windows of fewer than 2**SHORT bins are joined with the runs they cover.
+SHORT = 8
+
+
 def window_depth(windows: DataFrame, track: DataFrame, key: str, row: list[str], lo: str, hi: str, bin_size: int = BIN) -> DataFrame:
-    """Row, mean_depth, max_depth over the bins of [lo, hi) (positions); bins without depth count as 0."""
-    w = windows.select(*row, key, F.floor(F.col(lo) / bin_size).alias("__lo"), F.greatest(F.floor((F.col(hi) - 1) / bin_size), F.floor(F.col(lo) / bin_size)).alias("__hi"))
-    t = track.select(F.col(key).alias("__tk"), F.col("bin").alias("__b"), (F.col("to_bin") - 1).alias("__t"), F.col("depth").alias("__d"))
-    hit = range_join(w, t, [(key, "__tk")], ("__lo", "__hi"), ("__b", "__t"), 2048, levels=4)
-    n = F.least("__hi", "__t") - F.greatest("__lo", "__b") + 1
-    got = hit.groupBy(*row).agg(F.sum(n * F.col("__d")).alias("__s"), F.max("__d").alias("__m"))
+    """Row, mean_depth, max_depth over the bins of [lo, hi) (positions); bins without depth count as 0.
+
+    A window of n bins, 2**v <= n < 2**(v+1), covers the end of one block of 2**v bins, the start of another and at most one whole block between. Sums and
+    maxima that run through a block from either side are read at those places, three rows a window however many runs it covers. Runs stand
+    in the blocks of those v that occur among the windows.
+    """
+    first, last = _bins(lo, hi, bin_size)
+    w = windows.select(*row, key, first.cast("long").alias("__lo"), last.cast("long").alias("__hi"))
+    w = materialize(w.withColumn("__v", F.greatest(F.length(F.bin(F.col("__hi") - F.col("__lo") + 1)) - 1, F.lit(SHORT - 1))))
+    good = w.where(F.col(key).isNotNull() & F.col("__lo").isNotNull())
+    sizes = sorted(r[0] for r in good.select("__v").distinct().collect())  # at most one for every power of two
+    t = track.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("bin").cast("long").alias("__b"), (F.col("to_bin") - 1).cast("long").alias("__t"), F.col("depth").cast("long").alias("__d"))
+    short = range_join(good.where(F.col("__v") < SHORT), t, [(key, "__k")], ("__lo", "__hi"), ("__b", "__t"), 1 << SHORT)
+    got = short.select(*row, ((F.least("__hi", "__t") - F.greatest("__lo", "__b") + 1) * F.col("__d")).alias("__s"), F.col("__d").alias("__m"))
+    if long := [v for v in sizes if v >= SHORT]:
+        parts = _block_parts(good.where(F.col("__v") >= SHORT), t, key, row, long)
+        got = got.unionByName(parts) if sizes[0] < SHORT else parts
+    got = got.groupBy(*row).agg(F.sum("__s").alias("__s"), F.max("__m").alias("__m"))
     return w.join(got, row, "left").select(*row, (F.coalesce("__s", F.lit(0)) / (F.col("__hi") - F.col("__lo") + 1)).alias("mean_depth"), F.coalesce("__m", F.lit(0)).cast("long").alias("max_depth"))
 
 
+def _block_parts(w: DataFrame, t: DataFrame, key: str, row: list[str], sizes: list[int]) -> DataFrame:
+    """row, __s, __m (sum and maximum) of the up to three parts of each window, which lie in blocks of 2**__v bins."""
+    t = t.withColumn("__v", F.explode(F.array(*(F.lit(v) for v in sizes)))).withColumn("__blk", F.explode(F.expr("sequence(shiftright(__b, __v), shiftright(__t, __v))")))
+    t = t.select("__k", "__v", "__blk", F.expr("greatest(__b, shiftleft(__blk, __v))").alias("__at"), F.expr("least(__t, shiftleft(__blk + 1, __v) - 1)").alias("__e"), "__d")
+    part = lambda blk, at, end: F.struct(F.expr(blk).alias("blk"), F.expr(at).alias("at"), F.lit(end).alias("end"))
+    a, b = "shiftright(__lo, __v)", "shiftright(__hi, __v)"
+    parts = F.array(part(a, "__lo", True), F.when(F.expr(f"{b} > {a}"), part(b, "__hi", False)), F.when(F.expr(f"{b} > {a} + 1"), part(f"{a} + 1", f"shiftleft({b}, __v) - 1", False)))
+    p = w.select(F.col(key).alias("__k"), "__v", F.struct(*row).alias("__row"), F.explode(parts).alias("__p")).where("__p is not null")
+    p = p.select("__k", "__v", F.col("__p.blk").alias("__blk"), F.col("__p.at").alias("__at"), *(F.lit(None).cast("long").alias(c) for c in ("__e", "__d")), "__row", F.col("__p.end").alias("__end"))
+    both = t.select("*", *(F.lit(None).cast(p.schema[c].dataType).alias(c) for c in ("__row", "__end"))).unionByName(p)
+    block = W.partitionBy("__k", "__v", "__blk")
+    upto, on = (block.orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.col("__at"), F.col("__at").desc()))
+    area = (F.col("__e") - F.col("__at") + 1) * F.col("__d")
+    both = both.withColumns({"__us": F.sum(area).over(upto), "__um": F.max("__d").over(upto), "__last": F.last(F.when(F.col("__d").isNotNull(), F.struct("__at", "__e", "__d")), ignorenulls=True).over(upto), "__os": F.sum(area).over(on), "__om": F.max("__d").over(on)}).where("__row is not null")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    at, end, d = F.col("__at"), F.col("__last.__e"), F.col("__last.__d")
+    # a run that starts at the place is among those from there on; one that starts before and covers it is not
+    over = F.when((F.col("__last.__at") < at) & (end >= at), d)
+    s = F.when(F.col("__end"), zero(F.col("__os")) + zero(over * (end - at + 1))).otherwise(zero(F.col("__us")) - zero(F.greatest(F.lit(0), end - at) * d))
+    return both.select("__row.*", s.alias("__s"), F.when(F.col("__end"), F.greatest("__om", over)).otherwise(F.col("__um")).alias("__m"))
+
+
 def fold_change(inner, outer, svtype):
     """Change of depth an event makes: middle over sides for DEL, sides over middle for DUP and INV, 0 for TRA and where nothing divides."""
     i, o, t = F.col(inner), F.col(outer), F.col(svtype)

@@ -240,7 +240,7 @@ SELECT call_id, round(coalesce(sum((least(hi, to_bin - 1) - greatest(lo, bin) +
 FROM w LEFT JOIN t ON w.chrom = t.rname AND bin <= hi AND to_bin > lo GROUP BY call_id""")
 def depth_flanks(spark, sf):
     c = calls(spark, sf, "pos is not null").select("call_id", "chrom", F.greatest(F.lit(0), F.col("pos") - 10_000).alias("lo"), (F.col("pos") + 10_000).alias("hi"))
-    d = depth.window_depth(c, depth.depth_track(spans(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom"), "chrom", ["call_id"], "lo", "hi")
+    d = depth.window_depth(c, depth.depth_track(covered(spark, sf), "rname", "start", "stop").withColumnRenamed("rname", "chrom"), "chrom", ["call_id"], "lo", "hi")
     return d.withColumn("mean_depth", F.round("mean_depth", 6))
 
 

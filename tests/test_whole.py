@@ -180,3 +180,18 @@ def test_means_of_windows_by_running_sums(spark, monkeypatch):
     got = {r.id: (r.inner, r.outer) for r in df.collect()}
     mean = lambda k, lo, hi: (lambda s, _, n: None if n is None else s / n)(*under(runs, k, lo, hi))
     assert got == {i: (mean(k, lo, hi), None if lo is None else mean(k, lo - 500, hi + 500)) for i, k, lo, hi in windows}
+
+
+def test_depth_of_windows_by_blocks(spark):
+    from strandloom.operators import depth
+
+    rng = random.Random(43)
+    runs, windows = dense_track(rng, ["a", "b"], 60), windows_of(rng, 150)
+    t, w = spark.createDataFrame(runs, "k string, bin long, to_bin long, depth long"), spark.createDataFrame(windows, "id long, k string, lo long, hi long")
+    for part in (w, w.where("hi - lo > 5000"), w.where("hi - lo < 1000"), w.where("id < 0")):
+        got = {r.id: (r.mean_depth, r.max_depth) for r in depth.window_depth(part, t, "k", ["id"], "lo", "hi").collect()}
+        ids = {r.id for r in part.collect()}
+        assert got == {i: (None if n is None else s / n, m or 0) for i, k, lo, hi in windows if i in ids for s, m, n in [under(runs, k, lo, hi)]}
+    # long windows are read at three places, not joined with their runs
+    plan = depth.window_depth(w.where("hi - lo > 5000"), t, "k", ["id"], "lo", "hi")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
