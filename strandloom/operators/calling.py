@@ -223,11 +223,24 @@ def any_contig_match(paired: bool = True):
 
     @F.pandas_udf("boolean")
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([any(good_contig_alignment(x, y, paired) and sequence.contigs_match(x, y) for x in xs for y in ys) for xs, ys in zip(a, b)], dtype=bool)
+        return pd.Series(contigs_tell_one_event(zip(a, b), paired), dtype=bool)
 
     return udf
 
 
+def contigs_tell_one_event(contigs, paired: bool) -> list[bool]:
+    """any_contig_match of pairs of lists of contigs. The first pairs of all rows are aligned together, then the second ones of the rows without a match,
+    and so on; one alignment serves both rules."""
+    rows = [[(x, y) for x in xs for y in ys] for xs, ys in contigs]
+    out, left, k = [False] * len(rows), list(range(len(rows))), 0
+    while left := [i for i in left if not out[i] and k < len(rows[i])]:
+        texts = [rows[i][k] for i in left]
+        for i, (x, y), al in zip(left, texts, sequence.local_alignments(texts, *sequence.SCORES["merge"])):
+            out[i] = good_alignment(al, len(x), len(y), paired) and sequence.alignment_matches(al, len(x), len(y))
+        k += 1
+    return out
+
+
 def remap_udf(left_side: bool = False):
     """Pandas UDF over a clip and the bases around its break, the break in their middle: kind, length and score."""
 
@@ -257,16 +270,21 @@ def bad_ends_udf(limit: float = 0.02, width: int = 2000):
 def good_contig_alignment(a: str, b: str, paired: bool, nanopore: bool = False) -> bool:
     """Whether the local alignment of two contigs leaves neither a long overhang on the same side nor too many gaps: matches of 50 or 60 % of the
     shorter, both ends of one sequence within the tolerance, or the overhangs on opposite sides."""
-    score, qs, qe, ts, te = sequence.local_alignment(a, b, *sequence.SCORES["merge"])
+    return good_alignment(sequence.local_alignment(a, b, *sequence.SCORES["merge"]), len(a), len(b), paired, nanopore)
+
+
+def good_alignment(alignment: tuple[int, int, int, int, int], len_a: int, len_b: int, paired: bool, nanopore: bool = False) -> bool:
+    """good_contig_alignment by the alignment of the two."""
+    score, qs, qe, ts, te = alignment
     if not score:
         return False
-    n = min(len(a), len(b))
+    n = min(len_a, len_b)
     slack = 10 if paired else max(10, n * (0.05 if nanopore else 0.04))
     gaps, most = abs((qe - qs) - (te - ts)), 14 if nanopore else 12
     matched = min(qe - qs, te - ts)
     if matched < n * (0.5 if paired else 0.6) or gaps > most or gaps > matched * (0.07 if nanopore else 0.05):
         return False
-    over = (qs > slack, len(a) - qe > slack, ts > slack, len(b) - te > slack)
+    over = (qs > slack, len_a - qe > slack, ts > slack, len_b - te > slack)
     if not (over[0] or over[1]) or not (over[2] or over[3]):
         return True
     return not ((over[0] and (over[1] or over[2])) or (over[3] and (over[2] or over[1])))

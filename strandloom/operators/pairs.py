@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import cigar as cg
 from ..functions import geometry as geo
+from ..functions import sequence
 from ..session import materialize
 from .intervals import range_join
 
@@ -84,6 +85,8 @@ def minimizers(text: Column | str, k: int = 12, m: int = 6, hashed: bool = True)
     """Distinct minimizers of a sequence: the least m-mer (by xxhash64, or as text) of each run of k-m+1 m-mers, of the shorter
     runs at the start, and the last m-mer. A sequence shorter than m has none."""
     t = F.col(text) if isinstance(text, str) else text
+    if hashed and m < 8:  # a character has four bytes at most
+        return sequence.minimizers_udf(k, m)(t)
     n = F.length(t) - m + 1
     mers = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substr(t, i, F.lit(m))) if hashed else F.substr(t, i, F.lit(m)))
     run = k - m + 1
@@ -99,16 +102,19 @@ def minimizer_edges(clips: DataFrame, keys: list[str], node: str, at: str, mins:
     Exact copies (equal keys, place and minimizers) are one class and compared once; the pairs of their members follow by membership. With
     `star` only the pairs of class representatives come back and one of each further member with its own: the same components, linear in copies.
     """
-    x = clips.where(F.size(mins) > 0).select(*keys, node, at, F.array_sort(mins).alias("__mins"))
+    # written once: in the plan below, the minimizers would be worked out again in every filter and branch
+    x = materialize(clips.select(*keys, node, at, F.array_sort(mins).alias("__mins"))).where(F.size("__mins") > 0)
     own = x.groupBy(*keys, at, "__mins").agg(F.min(node).alias("__rep"))
     same = F.lit(True)
     for k in (*keys, at, "__mins"):
         same = same & (F.col(f"x.{k}") == F.col(f"o.{k}"))
     member = materialize(x.alias("x").join(own.alias("o"), same).select(F.col("__rep").alias("rep"), F.col(f"x.{node}").alias("member"), F.size("x.__mins").alias("n")))
-    one = own.select(*keys, F.col("__rep"), at, F.size("__mins").alias("n"), F.explode("__mins").alias("mm"))
-    a = one.select(*(F.col(c).alias(f"a_{c}") for c in one.columns)).withColumn("__cell", F.floor(F.col(f"a_{at}") / apart))
-    b = one.select(*(F.col(c).alias(f"b_{c}") for c in one.columns)).withColumn("__near", F.explode(F.sequence(F.floor(F.col(f"b_{at}") / apart) - 1, F.floor(F.col(f"b_{at}") / apart) + 1)))
-    on = (F.col("a_mm") == F.col("b_mm")) & (F.col("__cell") == F.col("__near")) & (F.col("a___rep") < F.col("b___rep")) & (F.abs(F.col(f"a_{at}") - F.col(f"b_{at}")) < apart)
+    # both sides are one table, so that it is shuffled once: a row stands in its own cell and, near its end, in the next; a pair meets in the own cell of the later one
+    cell = lambda c: F.floor(c / (4 * apart))
+    one = own.withColumn("own", cell(F.col(at))).withColumn("cell", F.explode(F.sequence("own", cell(F.col(at) + apart - 1))))
+    one = one.select(*keys, "__rep", at, "own", "cell", F.size("__mins").alias("n"), F.explode("__mins").alias("mm"))
+    a, b = (one.select(*(F.col(c).alias(f"{side}_{c}") for c in one.columns)) for side in "ab")
+    on = (F.col("a_mm") == F.col("b_mm")) & (F.col("a_cell") == F.col("b_cell")) & (F.col("a___rep") < F.col("b___rep")) & (F.abs(F.col(f"a_{at}") - F.col(f"b_{at}")) < apart) & (F.col("a_cell") == F.greatest("a_own", "b_own"))
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
     e = a.join(b, on).groupBy(F.col("a___rep").alias("ra"), F.col("b___rep").alias("rb")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("a_n", "b_n")).alias("n"))

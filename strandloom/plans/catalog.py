@@ -708,9 +708,13 @@ def sequence_stats(spark, sf):
     return v.select("rec_id", cg.reverse_complement("alt").alias("revcomp"), F.round(cg.gc_percent("alt"), 6).alias("gc"))
 
 
+def _contig_a():
+    return F.regexp_extract("info", "(?:^|;)\\s*CONTIGA=([ACGTNacgtn]+)", 1)
+
+
 def _contigs(spark, sf) -> DataFrame:
     v = table(spark, sf, "vcf_records").select("rec_id", "info").dropDuplicates(["rec_id"])
-    return v.select("rec_id", F.regexp_extract("info", "(?:^|;)\\s*CONTIGA=([ACGTNacgtn]+)", 1).alias("contig")).where("contig <> ''")
+    return v.select("rec_id", _contig_a().alias("contig")).where("contig <> ''")
 
 
 @query("W04", """WITH c AS (SELECT DISTINCT rec_id, regexp_extract(info, '(?:^|;)\\s*CONTIGA=([ACGTNacgtn]+)', 1) AS s FROM vcf_records), k AS (SELECT rec_id, s, length(s) - 5 AS n FROM c WHERE length(s) >= 6), p AS (SELECT rec_id, n, unnest(range(1, n + 1)) AS i, s FROM k), m AS (SELECT rec_id, n, i, s[i:i + 5] AS mer FROM p),
@@ -720,7 +724,7 @@ def minimizers(spark, sf):
 
 
 def _minimizer_edges(spark, sf, star: bool) -> DataFrame:
-    v = table(spark, sf, "vcf_records").select("rec_id", "chrom", "pos").dropDuplicates(["rec_id"]).join(_contigs(spark, sf), "rec_id")
+    v = table(spark, sf, "vcf_records").where("rec_id is not null").select("rec_id", "chrom", "pos", _contig_a().alias("contig")).dropDuplicates(["rec_id"]).where("contig <> ''")
     c = v.select("rec_id", "chrom", "pos", pairs.minimizers("contig").alias("mins"))
     return pairs.minimizer_edges(c, ["chrom"], "rec_id", "pos", "mins", apart=150, star=star)
 

@@ -9,6 +9,7 @@ from ..functions import bases as bs
 from ..functions import cigar as cg
 from ..functions import genotype as gtp
 from ..operators import calling, intervals, pairs, rollups
+from ..session import materialize
 from ..sinks import files as sink
 from ..sources import files
 from .catalog import _C, _CLOSE, _R, _S, _SITES, _CLIP_L, _CLIP_R, _LIST, _ALIGNED, calls, reads, sites, spans
@@ -213,8 +214,9 @@ def contig_cross_pairs(spark, sf):
     """Records alike enough to share minimizers at one place: whether any of the up to four pairs of their contigs tells one event."""
     from .catalog import minimizer_pairs
 
-    c = _both_contigs(spark, sf).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("which", "contig"))).alias("c"))  # at most two
-    c = c.select("rec_id", F.transform("c", lambda x: x["contig"]).alias("c"))
+    both = F.array(*(F.regexp_extract("info", f"(?:^|;)\\s*CONTIG{w}=([ACGTNacgtn]+)", 1) for w in "AB"))
+    v = table(spark, sf, "vcf_records").where("rec_id is not null").select("rec_id", both.alias("c")).dropDuplicates(["rec_id"])
+    c = materialize(v.select("rec_id", F.filter("c", lambda x: x != "").alias("c")))  # read for both sides of a pair
     e = minimizer_pairs(spark, sf)
     j = e.join(c.select(F.col("rec_id").alias("src"), F.col("c").alias("ca")), "src").join(c.select(F.col("rec_id").alias("dst"), F.col("c").alias("cb")), "dst")
     return j.select("src", "dst", calling.any_contig_match()("ca", "cb").alias("same"))

@@ -1,6 +1,8 @@
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +214,40 @@ def test_counts_within_reach_over_blocks(spark):
     df = spark.createDataFrame(rows, "k string, at long, id long")
     got = {r.id: r.n for r in intervals.count_near(df, ["k"], "at", 2, 3, "n").collect()}
     assert got == {i: None if a is None else sum(k == q and b is not None and a - 2 <= b <= a + 3 for q, b, _ in rows) for k, a, i in rows}
+
+
+def test_alignments_of_many_pairs_agree_with_single_ones():
+    rng = random.Random(5)
+    base = lambda n: "".join(rng.choice("ACGTacgt") for _ in range(n))
+    some = [base(rng.choice([0, 1, 5, 30, 80])) for _ in range(30)] + ["é" + base(9), "A" * 700]
+    texts = [(rng.choice(some), rng.choice(some)) for _ in range(150)] + [(x[:60] + y[:5], y + x) for x in some for y in some[:4]]
+    for s in sq.SCORES.values():
+        assert sq.local_alignments(texts, *s) == [sq.local_alignment(a, b, *s) for a, b in texts]
+
+
+def test_lists_of_contigs_are_aligned_once_a_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    some = [base(80) for _ in range(6)]
+    some += [x[20:] + base(9) for x in some] + [x[:30] + base(3) + x[34:] for x in some]
+    lists = [([rng.choice(some) for _ in range(rng.randint(0, 2))], [rng.choice(some) for _ in range(rng.randint(0, 2))]) for _ in range(80)]
+    want = [any(calling.good_contig_alignment(x, y, True) and sq.contigs_match(x, y) for x in xs for y in ys) for xs, ys in lists]
+    assert len(set(want)) == 2
+    monkeypatch.setattr(sq, "local_alignment", None)  # none is made for one rule alone
+    assert calling.contigs_tell_one_event(lists, True) == want
+    assert list(calling.any_contig_match().func(pd.Series([x for x, _ in lists]), pd.Series([y for _, y in lists]))) == want
+
+
+def test_hashed_minimizers_by_their_definition(spark):
+    from strandloom.operators import pairs
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ACGTNacgt") for _ in range(n)) for n in [0, 1, 5, 6, 7, 11, 12, 13, 40, 90] * 3] + [None, "ACGTé" * 6, "€" * 20, "😀ACG" * 5, "A" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    mers = sorted({t[i : i + 6] for t in texts if t for i in range(len(t) - 5)})
+    hashes = {r.m: r.h for r in spark.createDataFrame([(m,) for m in mers], "m string").selectExpr("m", "xxhash64(m) as h").collect()}
+    for r in df.select("t", pairs.minimizers("t").alias("x")).collect():
+        h = [hashes[r.t[i : i + 6]] for i in range(len(r.t or "") - 5)]
+        assert len(r.x) == len(set(r.x)) and set(r.x) == {min(h[max(0, i - 6) : i + 1]) for i in range(len(h))} | set(h[-1:])
+    clips = df.where("t is not null").select("i", pairs.minimizers("t").alias("m")).selectExpr("'c' as k", "i", "0 as at", "m")
+    assert "Python" not in pairs.minimizer_edges(clips, ["k"], "i", "at", "m")._jdf.queryExecution().optimizedPlan().toString()  # worked out before the joins
